@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latentspark.llm import chat_format, decontaminate, jaccard_join, langid, packing, sharding, token_counts, topk_search, url_filter
+from latentspark.llm import chat_format, decontaminate, jaccard_join, langid, lm_score, packing, sharding, token_counts, topk_search, url_filter
 from latentspark.llm.common import table
 
 
@@ -54,7 +54,11 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_url_filters, op4_best_fit_packing, op5_chat_formatting, op6_topk_search, op7_sharding, op8_ngram_jaccard_join, op9_decontamination)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_url_filters, op4_best_fit_packing, op5_chat_formatting, op6_topk_search, op7_sharding, op8_ngram_jaccard_join, op9_decontamination, op10_lm_scoring)}
 
 _WORDS = r"list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda t: regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')), lambda t: t <> '')"
 _RUNS = "unnest(list_distinct(list_transform(range(1, greatest(2, len(ws) - 3)), lambda i: array_to_string(ws[i:i + 4], ' '))))"
