@@ -1,4 +1,347 @@
-"""The library's operators as queries over the driver's tables, and their SQL."""
+"""The library's operators as queries over the driver's tables, and the same in SQL.
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+The frame is the embeddings table: 64 features, y = 4 (x_1 + x_2) + 0.05 (label - 4.5), weights 0.5 + (vec_id mod 7) / 4 where
+weighted. Feature numbers are from 0. Doubles are rounded on both sides.
+"""
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latentspark.functions import kernels
+from latentspark.operators import fit as fits
+from latentspark.operators import inference, moments, resample, selection
+from latentspark.operators.rotation_stability import pls1_rotation_stability
+from latentspark.sources.frame import Frame, feature_frame
+
+D, SEED = 64, 20
+_Y = "4 * (CAST(embedding[{0}] AS DOUBLE) + CAST(embedding[{1}] AS DOUBLE)) + 0.05 * (label - 4.5)"
+
+
+def embeddings(spark: SparkSession, sf_dir: str, weighted: bool = False) -> Frame:
+    df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    cols = [F.col("vec_id").alias("row_id"), x.alias("x"), F.expr(_Y.format(1, 2)).alias("y"), (0.5 + F.pmod("vec_id", F.lit(7)) / 4.0).alias("w")]
+    return feature_frame(df.select(*cols), "x", "y", "row_id", "w" if weighted else None, d=D)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, and no negative zeros."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def by_feature(spark: SparkSession, **columns) -> DataFrame:
+    rows = [(j, *map(float, v)) for j, v in enumerate(zip(*columns.values(), strict=True))]
+    return rounded(spark.createDataFrame(rows, "feature int, " + ", ".join(f"{c} double" for c in columns)))
+
+
+def _total(f: Frame):
+    info = moments.validate(f)
+    return moments.total(f, info["centre"]), info
+
+
+# ---- moments and standardisation
+
+
+def standardize(spark, sf_dir):
+    p = fits.preprocess(embeddings(spark, sf_dir, True))
+    return rounded(p.rows.select("row_id", F.posexplode("x").alias("feature", "value")))
+
+
+def column_moments(spark, sf_dir):
+    f = embeddings(spark, sf_dir, True)
+    p = fits.preprocess(f)
+    return by_feature(spark, mean=p.x_mean, scale=p.x_scale)
+
+
+def kish_n_eff(spark, sf_dir):
+    f = embeddings(spark, sf_dir, True)
+    return rounded(f.rows.agg((F.sum("w") ** 2 / F.sum(F.col("w") * F.col("w"))).alias("n_eff")))
+
+
+def gram(spark, sf_dir):
+    m, _ = _total(embeddings(spark, sf_dir))
+    g = moments.standard(m).gram
+    return rounded(spark.createDataFrame([(i, j, float(g[i, j])) for i in range(D) for j in range(i, D)], "i int, j int, value double"), 5)
+
+
+def cross_moment(spark, sf_dir):
+    m, _ = _total(embeddings(spark, sf_dir, True))
+    return by_feature(spark, value=moments.standard(m).cross[:, 0])
+
+
+def lineitem_gram(spark, sf_dir):
+    """Moments of a table without a row id: one aggregation, partial in every task."""
+    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("0L AS row_id", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
+    f = feature_frame(df, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
+    m, _ = _total(f)
+    s = moments.standard(m)
+    n = s.rows
+    return rounded(spark.createDataFrame([(i, float(s.cross[i, 0] / n), float(s.gram[i, 0] / n)) for i in range(3)], "feature int, corr_y double, corr_first double"))
+
+
+# ---- fits
+
+
+def pls1_k1_coef(spark, sf_dir):
+    m = fits.pls1_fit(embeddings(spark, sf_dir))
+    return by_feature(spark, coef=m.coef, beta=m.beta)
+
+
+def pls1_k1_predict(spark, sf_dir):
+    f = embeddings(spark, sf_dir)
+    return rounded(fits.pls1_predict(fits.pls1_fit(f), f.rows).select("row_id", "prediction"))
+
+
+def pls1_k2_coef(spark, sf_dir):
+    return by_feature(spark, coef=fits.pls1_fit(embeddings(spark, sf_dir), 2).coef)
+
+
+def pls1_weighted_k1_coef(spark, sf_dir):
+    return by_feature(spark, coef=fits.pls1_fit(embeddings(spark, sf_dir, True)).coef)
+
+
+def spls1_topk(spark, sf_dir):
+    return by_feature(spark, coef=fits.spls1_fit(embeddings(spark, sf_dir), 1, 8).coef)
+
+
+def scores_k1(spark, sf_dir):
+    f = embeddings(spark, sf_dir)
+    return rounded(fits.scores(fits.pls1_fit(f), f).select("row_id", F.col("scores")[0].alias("score")))
+
+
+def deflated_y(spark, sf_dir):
+    """Responses after one component is taken out."""
+    f = embeddings(spark, sf_dir)
+    m, _ = _total(f)
+    s = moments.standard(m)
+    one = kernels.pls1(s.gram, s.cross[:, 0], 1)
+    left = selection.deflated(f.with_rows(fits.preprocess(f).rows), one, 1)
+    return rounded(left.rows.select("row_id", F.col("y")[0].alias("y")))
+
+
+def leverage_k1(spark, sf_dir):
+    return by_feature(spark, leverage=kernels.leverage(fits.pls1_fit(embeddings(spark, sf_dir)).w))
+
+
+def score_stat(spark, sf_dir):
+    m, _ = _total(embeddings(spark, sf_dir))
+    s = moments.standard(m)
+    s1, s2 = np.trace(s.gram), (s.gram**2).sum()
+    _, t = inference.score_test(m)
+    return rounded(spark.createDataFrame([(float(t), float(s2 / s1), float(s1 * s1 / s2))], "statistic double, scale double, df double"), 4)
+
+
+def bic_by_k(spark, sf_dir):
+    m, info = _total(embeddings(spark, sf_dir))
+    return rounded(spark.createDataFrame([(k, v) for k, v in selection.bic_scores(m, info["n_eff"], 2, None).items()], "k int, bic double"))
+
+
+def stable_rank(spark, sf_dir):
+    return rounded(inference.split_nb_gate(embeddings(spark, sf_dir)).to_df(spark))
+
+
+def rotate(spark, sf_dir):
+    m = fits.rotate(fits.pls1_fit(embeddings(spark, sf_dir), 3))
+    return by_feature(spark, w1=m.w[:, 0], w2=m.w[:, 1], w3=m.w[:, 2])
+
+
+# ---- resampling
+
+
+def fold_assign(spark, sf_dir):
+    f = embeddings(spark, sf_dir)
+    n = f.rows.count()
+    return resample.ranks(f.rows, SEED, "fold", 1).select("row_id", resample.fold_of(F.col("rank"), n, 5).alias("fold"))
+
+
+def split_assign(spark, sf_dir):
+    f = embeddings(spark, sf_dir)
+    n_train = kernels.split_size(f.rows.count(), 1)
+    return resample.ranks(f.rows, SEED, "split", 4).select("row_id", "b", (F.col("rank") < n_train).alias("train"))
+
+
+def permute_rows(spark, sf_dir):
+    return resample.ranks(embeddings(spark, sf_dir).rows, SEED, "perm", 2).select("row_id", "b", F.col("rank").cast("long").alias("place"))
+
+
+def subsample_assign(spark, sf_dir):
+    f = embeddings(spark, sf_dir)
+    m = int(np.ceil(f.rows.count() ** 0.7))
+    return resample.ranks(f.rows, SEED, "subsample", 3).filter(F.col("rank") < m).select("b", "row_id")
+
+
+def split_r(spark, sf_dir):
+    f = embeddings(spark, sf_dir)
+    r = inference.split_correlations(f, moments.validate(f), 1, 4, SEED, None)
+    return rounded(r.select("b", "r"))
+
+
+def mean_fisher_z(spark, sf_dir):
+    f = embeddings(spark, sf_dir)
+    r = inference.split_correlations(f, moments.validate(f), 1, 4, SEED, None)
+    return rounded(r.agg(F.avg(inference.fisher_z(F.col("r"))).alias("z")))
+
+
+def cv_r2(spark, sf_dir):
+    """R2 of one component in each fold."""
+    f = embeddings(spark, sf_dir)
+    s = selection.fold_scores(f, moments.validate(f), SEED, 5, [(1, None)])
+    return rounded(s.select("fold", "r2"))
+
+
+def cv_mean_se(spark, sf_dir):
+    f = embeddings(spark, sf_dir)
+    mean, se = selection.over_folds(selection.fold_scores(f, moments.validate(f), SEED, 5, [(1, None)]), 1)
+    return rounded(spark.createDataFrame([(mean[0], se[0])], "mean double, se double"))
+
+
+def quantile7(spark, sf_dir):
+    f = embeddings(spark, sf_dir)
+    qs = [0.025, 0.25, 0.5, 0.975]
+    y = f.rows.select(F.col("y")[0].alias("y"))
+    found = y.agg(*[F.percentile("y", q).alias(f"q{i}") for i, q in enumerate(qs)])
+    return rounded(found)
+
+
+def sign_z(spark, sf_dir):
+    """Sign agreement of features with the first covariance's sign, over 4 halves."""
+    f = embeddings(spark, sf_dir)
+    m, info = _total(f)
+    ref = moments.standard(m).cross[:, 0]
+    sets = resample.halves(f.rows, SEED, "split", 4, kernels.split_size(info["n"], 1), both=False)
+    work = lambda b, s: [(b, j, float(v)) for j, v in enumerate(moments.standard(s).cross[:, 0])]
+    each = moments.per_set(moments.set_blocks(f, sets, info["centre"]), f, work, "b int, feature int, beta double")
+    refs = spark.createDataFrame([(j, float(v)) for j, v in enumerate(ref)], "feature int, ref double")
+    agree = F.avg((F.signum("beta") == F.signum("ref")).cast("double"))
+    return rounded(each.join(F.broadcast(refs), "feature").groupBy("feature").agg(((2 * agree - 1) * F.sqrt(F.count("*"))).alias("z")))
+
+
+def perm_cross(spark, sf_dir):
+    """Covariance of the first feature with y in 20 random orders, and its exceedance p."""
+    p = resample.permuted(embeddings(spark, sf_dir), SEED, "perm", 20)
+    info = moments.validate(p)
+    c = moments.standard(moments.total(p, info["centre"])).cross[0] / info["n"]
+    over = int((c[1:] >= c[0]).sum())
+    return rounded(spark.createDataFrame([(float(c[0]), (over + 1) / 21)], "observed double, p double"))
+
+
+def pls1_perm_null(spark, sf_dir):
+    return rounded(inference.pls1_perm_null(embeddings(spark, sf_dir), 1, n_perm=100, seed=SEED).per_feature)
+
+
+def _test(method: str, **args):
+    def run(spark, sf_dir):
+        return rounded(inference.pls1_confirmatory_test(embeddings(spark, sf_dir), 1, method=method, args=args, seed=SEED).to_df(spark))
+
+    run.__name__ = f"test_{method}"
+    return run
+
+
+def confirmatory_ci(spark, sf_dir):
+    ci = inference.pls1_confirmatory_test(embeddings(spark, sf_dir), 1, method="score", ci=True, n_boot=100, seed=SEED).ci
+    return rounded(ci.per_feature)
+
+
+def find_k_optimal(spark, sf_dir):
+    r = selection.pls1_find_k_optimal(embeddings(spark, sf_dir), 4, seed=SEED)
+    return rounded(spark.createDataFrame([(k, v, r.cv_scores_se[k], k == r.k_star) for k, v in r.cv_scores.items()], "k int, r2 double, se double, chosen boolean"))
+
+
+def find_k_sequence(spark, sf_dir):
+    r = selection.pls1_find_k_sequence(embeddings(spark, sf_dir), 3, args={"n_splits": 10}, seed=SEED)
+    return rounded(spark.createDataFrame([(k, float(p), k == r.k_star) for k, p in enumerate(r.pvalues, 1)], "k int, pvalue double, chosen boolean"))
+
+
+def find_keep_optimal(spark, sf_dir):
+    r = selection.spls1_find_keep_optimal(embeddings(spark, sf_dir), 1, seed=SEED)
+    return rounded(spark.createDataFrame([(k, v, r.cv_scores_se[k], k == r.keep_star) for k, v in r.cv_scores.items()], "keep int, r2 double, se double, chosen boolean"))
+
+
+def rotation_stability(spark, sf_dir):
+    return pls1_rotation_stability(embeddings(spark, sf_dir), 2, n_boot=100, seed=SEED).to_df(spark)
+
+
+_ALL = (standardize, column_moments, kish_n_eff, gram, cross_moment, lineitem_gram, pls1_k1_coef, pls1_k1_predict, pls1_k2_coef, pls1_weighted_k1_coef, spls1_topk, scores_k1, deflated_y, leverage_k1, score_stat, bic_by_k, stable_rank, rotate, fold_assign, split_assign, permute_rows, subsample_assign, split_r, mean_fisher_z, cv_r2, cv_mean_se, quantile7, sign_z, perm_cross, pls1_perm_null, confirmatory_ci, find_k_optimal, find_k_sequence, find_keep_optimal, rotation_stability, _test("raw_perm", n_perm=50), _test("split_nb", n_splits=20), _test("split_exact", n_perm=50, n_splits=5), _test("score"), _test("e"))
+QUERIES = {f.__name__: f for f in _ALL}
+
+# ---- the same in SQL
+
+#: Long form: (row_id, feature, x), y and w of each row, standardised z with weights of mean 1.
+_LONG = f"""
+base AS (SELECT vec_id AS row_id, embedding, {_Y.format(2, 3)} AS y, 0.5 + (vec_id % 7) / 4.0 AS w FROM embeddings),
+long AS (SELECT row_id, y, WEIGHT AS w, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base),
+col AS (SELECT feature, sum(w * x) / sum(w) AS mean, sqrt(sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2) AS scale FROM long GROUP BY feature),
+resp AS (SELECT count(*) AS n, sum(WEIGHT) AS sw, sum(WEIGHT * y) / sum(WEIGHT) AS my, sqrt(sum(WEIGHT * y * y) / sum(WEIGHT) - (sum(WEIGHT * y) / sum(WEIGHT)) ** 2) AS sy FROM base),
+z AS (SELECT row_id, feature, (x - mean) / scale AS z, (y - my) / sy AS zy, w * n / sw AS w FROM long JOIN col USING (feature), resp)"""
+_PLAIN, _WEIGHTED = _LONG.replace("WEIGHT", "1.0"), _LONG.replace("WEIGHT", "w")
+_S = "s AS (SELECT feature, sum(w * z * zy) AS s FROM z GROUP BY feature)"
+_K1 = f"""{_S},
+w1 AS (SELECT feature, s / sqrt((SELECT sum(s * s) FROM s)) AS v FROM s),
+t1 AS (SELECT row_id, any_value(zy) AS zy, any_value(w) AS w, sum(z * v) AS t FROM z JOIN w1 USING (feature) GROUP BY row_id),
+q1 AS (SELECT sum(w * t * zy) / sum(w * t * t) AS q, sum(w * t * t) AS tt FROM t1)"""
+_K2 = f"""{_K1},
+p1 AS (SELECT feature, sum(z * t) / (SELECT tt FROM q1) AS p FROM z JOIN t1 USING (row_id) GROUP BY feature),
+z2 AS (SELECT row_id, feature, z - t * p AS z, z.zy - t * q AS zy FROM z JOIN t1 USING (row_id) JOIN p1 USING (feature), q1),
+s2 AS (SELECT feature, sum(z * zy) AS s FROM z2 GROUP BY feature),
+w2 AS (SELECT feature, s / sqrt((SELECT sum(s * s) FROM s2)) AS v FROM s2),
+t2 AS (SELECT row_id, any_value(zy) AS zy, sum(z * v) AS t FROM z2 JOIN w2 USING (feature) GROUP BY row_id),
+q2 AS (SELECT sum(t * zy) / sum(t * t) AS q FROM t2),
+pw AS (SELECT sum(p1.p * w2.v) AS c FROM p1 JOIN w2 USING (feature)),
+coef2 AS (SELECT feature, w1.v * (q1.q - c * q2.q) + w2.v * q2.q AS coef FROM w1 JOIN w2 USING (feature), q1, q2, pw)"""
+_R = lambda e, name, digits=6: f"round({e}, {digits}) + 0.0 AS {name}"
+
+
+def _ranked(label: str, draws: int) -> str:
+    return f"""drawn AS (SELECT vec_id AS row_id, b, row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws(':', '{SEED}', '{label}', b, vec_id)), vec_id) - 1 AS rank
+FROM embeddings, (SELECT CAST(unnest(range(0, {draws})) AS INTEGER) AS b))"""
+
+
+_N = "(SELECT count(*) FROM embeddings)"
+_HALF = f"least(greatest({_N} // 2, 3), {_N} - 3)"
+#: k = 1 on the training rows of each draw, seen on the others; `inside` tells them apart.
+_HALVES = """
+long AS (SELECT b, inside, base.row_id, y, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base JOIN member USING (row_id)),
+col AS (SELECT b, feature, avg(x) AS mean, stddev_pop(x) AS scale FROM long WHERE inside GROUP BY b, feature),
+resp AS (SELECT b, avg(y) AS my, stddev_pop(y) AS sy FROM base JOIN member USING (row_id) WHERE inside GROUP BY b),
+z AS (SELECT b, inside, row_id, feature, (x - mean) / scale AS z, (y - my) / sy AS zy FROM long JOIN col USING (b, feature) JOIN resp USING (b)),
+s AS (SELECT b, feature, sum(z * zy) AS s FROM z WHERE inside GROUP BY b, feature),
+t AS (SELECT b, inside, row_id, any_value(zy) AS zy, sum(z * s) AS t FROM z JOIN s USING (b, feature) GROUP BY b, inside, row_id)"""
+_BASE = f"base AS (SELECT vec_id AS row_id, embedding, {_Y.format(2, 3)} AS y FROM embeddings)"
+_SPLIT = f"WITH {_BASE}, {_ranked('split', 4)}, member AS (SELECT row_id, b, rank < {_HALF} AS inside FROM drawn), {_HALVES}"
+_FOLD = "CASE WHEN rank < (n % 5) * (n // 5 + 1) THEN rank // (n // 5 + 1) ELSE n % 5 + (rank - (n % 5) * (n // 5 + 1)) // (n // 5) END"
+_FOLDS = f"""WITH {_BASE}, {_ranked('fold', 1)}, cut AS (SELECT row_id, CAST({_FOLD} AS INTEGER) AS fold FROM drawn, (SELECT count(*) AS n FROM embeddings)),
+member AS (SELECT row_id, f AS b, fold <> f AS inside FROM cut, (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS f)), {_HALVES},
+q AS (SELECT b, sum(t * zy) / sum(t * t) AS q FROM t WHERE inside GROUP BY b),
+r AS (SELECT b AS fold, 1 - sum((zy - t * q) ** 2) / (count(*) * var_pop(zy)) AS r2 FROM t JOIN q USING (b) WHERE NOT inside GROUP BY b)"""
+
+ORACLES = {
+    "standardize": f"WITH {_WEIGHTED} SELECT row_id, CAST(feature AS INTEGER) AS feature, {_R('z', 'value')} FROM z",
+    "column_moments": f"WITH {_WEIGHTED} SELECT CAST(feature AS INTEGER) AS feature, {_R('mean', 'mean')}, {_R('scale', 'scale')} FROM col",
+    "kish_n_eff": f"SELECT {_R('sum(w) ** 2 / sum(w * w)', 'n_eff')} FROM (SELECT 0.5 + (vec_id % 7) / 4.0 AS w FROM embeddings)",
+    "gram": f"WITH {_PLAIN} SELECT CAST(a.feature AS INTEGER) AS i, CAST(b.feature AS INTEGER) AS j, {_R('sum(a.z * b.z)', 'value', 5)} FROM z a JOIN z b ON a.row_id = b.row_id AND a.feature <= b.feature GROUP BY 1, 2",
+    "cross_moment": f"WITH {_WEIGHTED}, {_S} SELECT CAST(feature AS INTEGER) AS feature, {_R('s', 'value')} FROM s",
+    "lineitem_gram": "WITH l AS (SELECT CAST(l_quantity AS DOUBLE) AS q, CAST(l_discount AS DOUBLE) AS d, CAST(l_tax AS DOUBLE) AS t, CAST(l_extendedprice AS DOUBLE) AS p FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT {i} AS feature, {_R(f'corr({c}, p)', 'corr_y')}, {_R(f'corr({c}, q)', 'corr_first')} FROM l" for i, c in enumerate("qdt")),
+    "pls1_k1_coef": f"WITH {_PLAIN}, {_K1} SELECT CAST(feature AS INTEGER) AS feature, {_R('v * q', 'coef')}, {_R('v * q * sy / scale', 'beta')} FROM w1 JOIN col USING (feature), q1, resp",
+    "pls1_k1_predict": f"WITH {_PLAIN}, {_K1} SELECT row_id, {_R('my + sy * q * t', 'prediction')} FROM t1, q1, resp",
+    "pls1_k2_coef": f"WITH {_PLAIN}, {_K2} SELECT CAST(feature AS INTEGER) AS feature, {_R('coef', 'coef')} FROM coef2",
+    "pls1_weighted_k1_coef": f"WITH {_WEIGHTED}, {_K1} SELECT CAST(feature AS INTEGER) AS feature, {_R('v * q', 'coef')} FROM w1, q1",
+    "spls1_topk": f"WITH {_PLAIN}, {_S.replace('s AS', 's0 AS', 1)}, s AS (SELECT feature, CASE WHEN row_number() OVER (ORDER BY abs(s) DESC, feature) <= 8 THEN s ELSE 0 END AS s FROM s0), {_K1.removeprefix(_S + ',')} SELECT CAST(feature AS INTEGER) AS feature, {_R('v * q', 'coef')} FROM w1, q1",
+    "scores_k1": f"WITH {_PLAIN}, {_K1} SELECT row_id, {_R('t', 'score')} FROM t1",
+    "deflated_y": f"WITH {_PLAIN}, {_K1} SELECT row_id, {_R('zy - t * q', 'y')} FROM t1, q1",
+    "leverage_k1": f"WITH {_PLAIN}, {_K1} SELECT CAST(feature AS INTEGER) AS feature, {_R('v * v', 'leverage')} FROM w1",
+    "score_stat": f"WITH {_PLAIN}, {_S}, g AS (SELECT sum(a.z * b.z) AS g, a.feature AS i, b.feature AS j FROM z a JOIN z b USING (row_id) GROUP BY 2, 3), l AS (SELECT sum(CASE WHEN i = j THEN g ELSE 0 END) AS s1, sum(g * g) AS s2 FROM g) SELECT {_R('(SELECT sum(s * s) FROM s)', 'statistic', 4)}, {_R('s2 / s1', 'scale', 4)}, {_R('s1 * s1 / s2', 'df', 4)} FROM l",
+    "bic_by_k": f"WITH {_PLAIN}, {_K2}, ssr AS (SELECT 1 AS k, sum((zy - t * q) ** 2) AS ssr, count(*) AS n FROM t1, q1 UNION ALL SELECT 2, sum((t2.zy - t2.t * q2.q) ** 2), count(*) FROM t2, q2) SELECT k, {_R('n * ln(ssr / n) + k * ln(n)', 'bic')} FROM ssr",
+    "fold_assign": f"WITH {_ranked('fold', 1)} SELECT row_id, CAST({_FOLD} AS INTEGER) AS fold FROM drawn, (SELECT count(*) AS n FROM embeddings)",
+    "split_assign": f"WITH {_ranked('split', 4)} SELECT row_id, b, rank < {_HALF} AS train FROM drawn",
+    "permute_rows": f"WITH {_ranked('perm', 2)} SELECT row_id, b, CAST(rank AS BIGINT) AS place FROM drawn",
+    "subsample_assign": f"WITH {_ranked('subsample', 3)} SELECT b, row_id FROM drawn WHERE rank < ceil({_N} ** 0.7)",
+    "split_r": f"{_SPLIT} SELECT b, {_R('corr(t, zy)', 'r')} FROM t WHERE NOT inside GROUP BY b",
+    "mean_fisher_z": f"{_SPLIT}, r AS (SELECT b, greatest(least(corr(t, zy), 0.9999), -0.9999) AS r FROM t WHERE NOT inside GROUP BY b) SELECT {_R('avg(atanh(r))', 'z')} FROM r",
+    "cv_r2": f"{_FOLDS} SELECT fold, {_R('r2', 'r2')} FROM r",
+    "cv_mean_se": f"{_FOLDS} SELECT {_R('avg(r2)', 'mean')}, {_R('stddev_samp(r2) / sqrt(count(*))', 'se')} FROM r",
+    "quantile7": f"WITH {_BASE} SELECT " + ", ".join(_R(f"quantile_cont(y, {q})", f"q{i}") for i, q in enumerate((0.025, 0.25, 0.5, 0.975))) + " FROM base",
+    "sign_z": f"{_SPLIT}, whole AS (SELECT y, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base), ref AS (SELECT feature, covar_pop(x, y) AS r FROM whole GROUP BY feature) SELECT CAST(feature AS INTEGER) AS feature, {_R('(2 * avg(CASE WHEN sign(s) = sign(r) THEN 1.0 ELSE 0.0 END) - 1) * sqrt(count(*))', 'z')} FROM s JOIN ref USING (feature) GROUP BY feature",
+    "perm_cross": f"WITH {_BASE}, {_ranked('perm', 20)}, home AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', 'perm-base', 0, vec_id)), vec_id) - 1 AS rank FROM embeddings), moved AS (SELECT home.row_id, b, base.y FROM drawn JOIN base USING (row_id) JOIN home USING (rank)), c AS (SELECT b, corr(CAST(embedding[1] AS DOUBLE), moved.y) AS c FROM moved JOIN base USING (row_id) GROUP BY b), o AS (SELECT corr(CAST(embedding[1] AS DOUBLE), y) AS c FROM base) SELECT {_R('any_value(o.c)', 'observed')}, {_R('(sum(CASE WHEN c.c >= o.c THEN 1 ELSE 0 END) + 1) / 21', 'p')} FROM c, o",
+}
