@@ -2,7 +2,8 @@
 
 Documents that are linked (here: by a common group, such as equal texts) should share a shard while all shards
 have the same number of rows, give or take one. Shards start from a hash. In each round every group votes for the
-shard, of those with room, that most of its members are in, and members elsewhere move there, up to the shard's quota.
+shard, of those with room, that most of its members are in, and members of shards that hold fewer move there, up to the
+shard's quota.
 Documents without links then fill what is left.
 """
 
@@ -32,9 +33,12 @@ def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = ROUN
         room = {s: max(0, capacity - load.get(s, 0)) for s in range(shards)}
         has_room = F.col("shard").isin([s for s in room if room[s]] or [-1])
         cells = state.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        # A shard with room attracts; one without only holds the members it has.
-        vote = cells.filter(has_room).groupBy("group").agg(F.max_by("shard", F.struct("n", -F.col("shard"))).alias("target"))
-        moving = _salted_votes(state, vote).filter("shard <> target")
+        # A shard with room attracts members from shards that hold fewer of them; `held` has one entry a shard at most.
+        attracts = F.when(has_room, F.struct("n", (-F.col("shard")).alias("order")))
+        vote = cells.groupBy("group").agg(F.max(attracts).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held"))
+        vote = vote.filter("best IS NOT NULL").select("group", (-F.col("best.order")).alias("target"), F.col("best.n").alias("there"), "held")
+        here = F.element_at("held", F.col("shard"))
+        moving = _salted_votes(state, vote).filter((F.col("there") > here) | ((F.col("there") == here) & (F.col("target") < F.col("shard"))))
         quota = F.create_map(*[F.lit(x) for s in room for x in (s, room[s])])
         order = ranked(moving, ["target"], ["uid"], "_rank")
         accepted = stored(order.filter(F.col("_rank") < F.element_at(quota, F.col("target"))).select("uid", "target"))
