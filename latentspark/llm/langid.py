@@ -13,36 +13,35 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each language that the classifiers are fitted on (about; a bound on what reaches the driver).
-PER_LANGUAGE = 700
-#: Hashed n-gram cells; n-grams of one to three characters.
-CELLS, SIZES = 4096, (1, 2, 3)
-MEMO = 300_000
+PER_LANGUAGE = 500
+#: Hashed cells of n-grams of one to three characters.
+CELLS = 4096
+#: Words that a task remembers, and texts that it reads at a time.
+MEMO, AT_ONCE = 300_000, 256
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = re.compile(r"[^\w\n]|[\d_]")
+_K = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
-class NGrams(dict):
-    """N-grams to their cells."""
-
-    def __missing__(self, gram: str) -> int:
-        if len(self) > MEMO:
-            self.clear()
-        cell = self[gram] = xxhash.xxh32_intdigest(gram) % CELLS
-        return cell
-
-    def of(self, word: str) -> list[int]:
-        """Cells of the n-grams of a white-space separated word's runs of letters."""
-        out = []
-        for run in _NOT_LETTERS.sub(" ", word.lower()).split():
-            padded = f" {run} "
-            out += [self[padded[i : i + n]] for n in SIZES for i in range(len(padded) - n + 1)]
-        return out
+def n_grams(lines: str) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of the n-grams of all runs of letters, each with a space on either side, and the line that each stands in."""
+    text = f" {_NOT_LETTERS.sub(' ', lines.lower())} "
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    line = np.cumsum(points == 10)
+    letter = (points != 10) & (points != 32)
+    points = np.where(letter, points, 32).astype(np.uint32)
+    at = np.flatnonzero(letter)
+    a, b, c = points[at - 1] * _K[0], points[at] * _K[1], points[at + 1] * _K[2]
+    # A letter by itself, with the one before it, with the one after it where its run ends there, and with both.
+    ends = at[~letter[at + 1]]
+    hashes = np.concatenate([b * _K[2], (a ^ b) * _K[1] + np.uint32(1), (points[ends] * _K[0] ^ points[ends + 1] * _K[1]) * _K[1] + np.uint32(1), (a ^ b ^ c) * _K[0] + np.uint32(2)])
+    cells = (hashes ^ (hashes >> np.uint32(15))) * _K[1] >> np.uint32(20)
+    return cells.astype(np.int64), np.concatenate([line[at], line[at], line[ends], line[at]])
 
 
 def codewords(k: int, seed: int = 5) -> np.ndarray:
@@ -77,26 +76,12 @@ class LanguageModel:
         return z / z.sum(1, keepdims=True)
 
 
-def _features(texts: pd.Series, grams: NGrams) -> Iterator[tuple[list[int], list[float]]]:
-    memo: dict[str, list[int]] = {}
-    for text in texts:
-        cells: list[int] = []
-        for word in (text or "").split():
-            if (c := memo.get(word)) is None:
-                if len(memo) > MEMO:
-                    memo.clear()
-                c = memo[word] = grams.of(word)
-            cells += c
-        found, n = np.unique(np.array(cells, np.int64), return_counts=True)
-        yield found.tolist(), (n / max(1, len(cells))).tolist()
-
-
 def _featurise():
-    @F.pandas_udf("struct<cells: array<int>, shares: array<double>>")
+    @F.pandas_udf("struct<cells: binary, counts: binary>")
     def features(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        grams = NGrams()
         for texts in batches:
-            yield pd.DataFrame(list(_features(texts, grams)), columns=["cells", "shares"])
+            found = [np.unique(n_grams((t or "").replace("\n", " "))[0], return_counts=True) for t in texts]
+            yield pd.DataFrame([(c.astype(np.uint16).tobytes(), n.astype(np.uint32).tobytes()) for c, n in found], columns=["cells", "counts"])
 
     return features
 
@@ -118,7 +103,8 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     sample = rows.filter(place < share).limit(2 * per_language * len(languages)).select("lang", _featurise()("text").alias("f")).select("lang", "f.*").collect()
     x = np.zeros((len(sample), CELLS), np.float32)
     for i, r in enumerate(sample):
-        x[i, r["cells"]] = r["shares"]
+        counts = np.frombuffer(r["counts"], np.uint32)
+        x[i, np.frombuffer(r["cells"], np.uint16)] = counts / max(1, counts.sum())
     label = np.array([languages.index(r["lang"]) for r in sample], np.int64)
     codes = codewords(len(languages))
     if not len(sample):
@@ -129,11 +115,13 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     weight *= len(weight) / weight.sum()
     mean = (weight[:, None] * x).sum(0) / weight.sum()
     root = np.sqrt(weight)[:, None]
-    xc, bias = (x - mean) * root, (weight[:, None] * targets).sum(0) / weight.sum()
-    kernel = (xc @ xc.T).astype(np.float64)
-    alpha = np.linalg.solve(kernel + np.eye(len(kernel)) * (1e-2 * np.trace(kernel) / len(kernel) + 1e-12), root * (targets - bias))
-    weights = xc.T @ alpha
-    margins = (x - mean) @ weights + bias
+    bias = (weight[:, None] * targets).sum(0) / weight.sum()
+    xc = x - mean
+    xc *= root
+    kernel = xc @ xc.T
+    kernel[np.diag_indices(len(kernel))] += 1e-2 * np.trace(kernel) / len(kernel) + 1e-12
+    weights = xc.T.astype(np.float64) @ np.linalg.solve(kernel, root * (targets - bias))
+    margins = x @ weights - mean @ weights + bias
     # A classifier that is no better than chance has no say.
     right = (weight[:, None] * (margins * targets > 0)).sum(0) / weight.sum()
     model = LanguageModel(languages, codes, weights, bias - mean @ weights, np.clip(2 * right - 1, 1e-3, 1) / codes.shape[1], 1.0)
@@ -146,27 +134,41 @@ class WordMargins(dict):
 
     def __init__(self, model: LanguageModel):
         super().__init__()
-        self.model, self.grams = model, NGrams()
-        self.table = np.zeros((1024, model.weights.shape[1] + 1))
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        super().clear()
+        self.new: list[str] = []
+        self.table = np.zeros((0, self.model.weights.shape[1] + 1))
 
     def __missing__(self, word: str) -> int:
-        row = len(self)
-        if row == len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        cells = self.grams.of(word)
-        self.table[row, :-1] = self.model.weights[cells].sum(0)
-        self.table[row, -1] = len(cells)
-        self[word] = row
+        row = self[word] = len(self)
+        self.new.append(word)
         return row
 
-    def margins(self, text: str | None) -> np.ndarray | None:
-        """The margin of every bit, or None without a letter."""
-        words = (text or "").split()
+    def _settle(self) -> None:
+        """Rows of the words that are new."""
+        if self.new:
+            cells, word = n_grams("\n".join(self.new))
+            rows = np.column_stack([self.model.weights[cells], np.ones(len(cells))])
+            out = np.zeros((len(self.new), rows.shape[1]))
+            order = np.argsort(word, kind="stable")
+            word = word[order]
+            first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.empty(0, np.int64)
+            if len(first):
+                out[word[first]] = np.add.reduceat(rows[order], first)
+            self.table = np.concatenate([self.table, out])
+            self.new = []
+
+    def margins(self, texts: list[str | None]) -> list[np.ndarray | None]:
+        """The margins of every bit, text by text; None without a letter."""
         if len(self) > MEMO:
             self.clear()
-        rows = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        total = self.table[rows].sum(0)
-        return total[:-1] / total[-1] + self.model.bias if total[-1] else None
+        rows = [list(map(self.__getitem__, (t or "").split())) for t in texts]
+        self._settle()
+        totals = [self.table[r].sum(0) for r in rows]
+        return [t[:-1] / t[-1] + self.model.bias if t[-1] else None for t in totals]
 
 
 def predict(docs: DataFrame, model: LanguageModel, ambiguous_below: float = 0.2) -> DataFrame:
@@ -182,7 +184,10 @@ def predict(docs: DataFrame, model: LanguageModel, ambiguous_below: float = 0.2)
         m = shared.value
         words = WordMargins(m)
         for texts in batches:
-            found = [words.margins(t) if m.languages else None for t in texts]
+            found = []
+            for at in range(0, len(texts), AT_ONCE):
+                part = texts.iloc[at : at + AT_ONCE].to_list()
+                found += words.margins(part) if m.languages else [None] * len(part)
             have = [i for i, f in enumerate(found) if f is not None]
             chances = m.chances(np.array([found[i] for i in have])) if have else np.zeros((0, 1))
             order = np.argsort(-chances, axis=1, kind="stable")
