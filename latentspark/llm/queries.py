@@ -63,8 +63,36 @@ QUERIES = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_url_fi
 _WORDS = r"list_filter(list_transform(regexp_split_to_array(lower(text), '\s+'), lambda t: regexp_replace(t, '[^\p{L}\p{N}]', '', 'g')), lambda t: t <> '')"
 _RUNS = "unnest(list_distinct(list_transform(range(1, greatest(2, len(ws) - 3)), lambda i: array_to_string(ws[i:i + 4], ' '))))"
 
-#: The rows of these need no method to be defined: the exact best, and exact containment.
+_ESCAPED = r"regexp_replace(text, '(\\|### |</turn>|<\|)', '\\\1', 'g')"
+
+#: The rows of these need no method to be defined: digests of what was put in, exact similarity, the exact best, exact containment.
 ORACLES = {
+    "op5_chat_formatting": f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('### ' || role || ': ' || {_ESCAPED} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+""",
+    "op8_ngram_jaccard_join": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS ws FROM documents),
+     s AS (SELECT doc_id, {_RUNS} AS s FROM d WHERE len(ws) > 0),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+     near AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c) - 1e-9),
+     link AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+     reach AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
+     class AS (SELECT a AS doc_id, least(a, min(b)) AS class_id FROM reach GROUP BY a),
+     degree AS (SELECT a AS doc_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT doc_id, md5(text) AS text_key, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM d LEFT JOIN class USING (doc_id) LEFT JOIN degree USING (doc_id)
+""",
     "op9_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL),
      b AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE text IS NOT NULL),
