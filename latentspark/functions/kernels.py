@@ -21,6 +21,8 @@ class Fit:
     q: np.ndarray
     coef: np.ndarray
     k_used: int
+    #: The smallest variance of a component's scores, as a share of the data's: near 0, covariance form loses digits.
+    least: float = 1.0
 
 
 def top_keep(s: np.ndarray, keep: int | None) -> np.ndarray:
@@ -37,7 +39,7 @@ def pls1(gram: np.ndarray, cross: np.ndarray, k: int, keep: int | None = None) -
     """PLS1 in covariance form: gram = X'X and cross = X'y of standardised data."""
     s, c = gram.copy(), cross.copy()
     norm0, trace0 = np.linalg.norm(cross), np.trace(gram)
-    ws, ps, qs = [], [], []
+    ws, ps, qs, least = [], [], [], 1.0
     for _ in range(k):
         if not np.linalg.norm(c) > max(1e-14, STOP * norm0):
             break
@@ -47,6 +49,7 @@ def pls1(gram: np.ndarray, cross: np.ndarray, k: int, keep: int | None = None) -
         tau = float(w @ sw)
         if not tau > max(1e-14, STOP * trace0):
             break
+        least = min(least, tau / trace0)
         p, q = sw / tau, float(c @ w) / tau
         s -= tau * np.outer(p, p)
         c = c - tau * q * p
@@ -56,7 +59,7 @@ def pls1(gram: np.ndarray, cross: np.ndarray, k: int, keep: int | None = None) -
     d = len(cross)
     w, p = (np.array(m).T.reshape(d, len(m)) for m in (ws, ps))
     q = np.array(qs)
-    return Fit(w, p, q, coef_at(w, p, q, len(qs)), len(qs))
+    return Fit(w, p, q, coef_at(w, p, q, len(qs)), len(qs), least)
 
 
 def coef_at(w: np.ndarray, p: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:

@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 from latentspark.errors import AlreadyRotated, DimensionMismatch, InvalidArgs, InvalidArgument, InvalidInput, InvalidWeights, KExceedsMax, RotationMethodNotImplemented
 from latentspark.functions import kernels
 from latentspark.operators import moments
+from latentspark.operators.rowwise import row_fit
 from latentspark.results import Pls1Model, PreprocessResult, RotateResult, RotationSpec
 from latentspark.sources.frame import WEIGHT, Frame, X, Y
 
 
+#: More features than this are fitted over rows; components whose share of the variance is below NEAR are, too.
+MANY, NEAR = 2000, 1e-8
+
+
 def check_k(info: dict, frame: Frame, k: int, keep: int | None = None, rows: float | None = None) -> None:
     """k within the features and the effective rows; keep within the features."""
     if k < 1:
@@ -61,7 +66,15 @@ def fit_moments(m: moments.Moments, centre: np.ndarray, k: int, keep: int | None
     beta = f.coef if pre_standardized else f.coef * s.y_scale[0] / s.x_scale
     x_mean = s.x_mean + centre[:d]
     intercept = 0.0 if pre_standardized else float(s.y_mean[0] + centre[d] - beta @ x_mean)
-    return Pls1Model(f.w, f.p, f.q, f.coef, beta, intercept, f.k_used, x_mean, s.x_scale, pre_standardized, keep=keep), s
+    return Pls1Model(f.w, f.p, f.q, f.coef, beta, intercept, f.k_used, x_mean, s.x_scale, pre_standardized, keep=keep, least=f.least), s
+
+
+def fit_rows(frame: Frame, k: int, keep: int | None, pre_standardized: bool) -> Pls1Model:
+    """The fit without a matrix of all pairs of features: two passes a component."""
+    f, x_mean, x_scale, y_mean, y_scale = row_fit(frame, k, keep, pre_standardized)
+    beta = f.coef if pre_standardized else f.coef * y_scale / x_scale
+    intercept = 0.0 if pre_standardized else y_mean - float(beta @ x_mean)
+    return Pls1Model(f.w, f.p, f.q, f.coef, beta, intercept, f.k_used, x_mean, x_scale, pre_standardized, keep=keep)
 
 
 def pls1_fit(frame: Frame, k=1, *, k_max: int | None = None, find_k_args: dict | None = None, pre_standardized: bool = False, seed: int | None = None, keep: int | None = None) -> Pls1Model:
@@ -74,7 +87,9 @@ def pls1_fit(frame: Frame, k=1, *, k_max: int | None = None, find_k_args: dict |
     info = moments.validate(frame)
     check_k(info, frame, k, keep)
     centre = centre_of(info, pre_standardized)
-    model, _ = fit_moments(moments.total(frame, centre), centre, k, keep, pre_standardized)
+    model = fit_rows(frame, k, keep, pre_standardized) if frame.d > MANY else fit_moments(moments.total(frame, centre), centre, k, keep, pre_standardized)[0]
+    if frame.d <= MANY and (model.least < NEAR or model.k_used < k):  # nearly collinear features: rows keep the digits that moments lose
+        model = fit_rows(frame, k, keep, pre_standardized)
     if pre_standardized and model.k_used < k:
         raise InvalidInput(f"the data hold {model.k_used} of {k} components")
     return replace(model, weighted=frame.weighted and not info["uniform"], n_eff=info["n_eff"], selection_result=selection)

@@ -218,7 +218,7 @@ def pls1_confirmatory_test(frame: Frame, k: int = 1, *, method: str, args: dict
     a = method_args(method, args)
     if ci and keep is not None:
         raise InvalidArgument("intervals are for dense fits")
-    info = moments.validate(frame)
+    info = moments.validate(frame, unique=method != "score" or ci)
     check_k(info, frame, k, keep)
     seed = resample.resolve_seed(seed)
     rank = None
@@ -313,7 +313,7 @@ def check_resamples(skipped: int, failed: int, n_boot: int, max_failure_rate: fl
 
 
 def confirmatory_ci(frame: Frame, k: int, n_boot: int, m_rate: float, level: float, max_failure_rate: float, max_skip_rate: float, pre_standardized: bool, seed: int) -> ConfirmatoryCI:
-    info = moments.validate(frame)
+    info = moments.validate(frame, unique=True)
     n, m = info["n"], subsample_size(info["n"], k, n_boot, m_rate, level, max_failure_rate, max_skip_rate)
     centre = centre_of(info, pre_standardized)
     model, _ = fit_moments(moments.total(frame, centre), centre, k, None, pre_standardized)
@@ -333,7 +333,7 @@ def pls1_perm_null(frame: Frame, k: int, *, n_perm: int = 1000, return_perm_matr
     """Coefficients (standardised scale) under random orders of y; weights keep their rows. No multiplicity correction."""
     if n_perm < 100:
         raise InvalidArgument("n_perm must be 100 at least")
-    info = moments.validate(frame)
+    info = moments.validate(frame, unique=True)
     check_k(info, frame, k)
     seed, d = resample.resolve_seed(seed), frame.d
     perms = resample.permuted(frame, seed, "null", n_perm)

@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.errors import DimensionMismatch, InvalidWeights, NonFiniteInput
+from latentspark.errors import DimensionMismatch, InvalidArgument, InvalidWeights, NonFiniteInput
 from latentspark.functions.kernels import FLAT
+from latentspark.operators.rowwise import column_means
 from latentspark.sources.frame import ID, WEIGHT, Frame, X, Y
 
 BLOCK = "label int, block array<double>"
@@ -201,8 +202,10 @@ def per_set(blocks: DataFrame, frame: Frame, work: Callable[[int, Moments], list
     return blocks.mapInPandas(run, schema)
 
 
-def validate(frame: Frame) -> dict:
-    """One aggregation over the frame: rows, finite values, lengths, weights, distinct ids, column means (the centre)."""
+def validate(frame: Frame, unique: bool = False) -> dict:
+    """One aggregation over the frame: rows, finite values, lengths, weights, column means (the centre).
+
+    unique: also that no two rows have one id, which everything that draws rows relies on."""
     bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
     arrays = [X, Y]
     wrong = F.greatest(*[F.max(F.coalesce((F.col(c).isNull() | F.exists(c, bad)).cast("int"), F.lit(1))) for c in arrays])
@@ -225,8 +228,10 @@ def validate(frame: Frame) -> dict:
             raise InvalidWeights("negative weights", "negative")
         if r["w_max"] == 0:
             raise InvalidWeights("all weights are zero", "all_zero")
+    if unique and frame.rows.select(ID).distinct().count() < r["n"]:
+        raise InvalidArgument("row ids are not unique")
     mean = lambda c, n: np.array([r.get(f"{c}{j}", 0.0) for j in range(n)])
-    r["centre"] = np.concatenate([mean("x", frame.d), mean("y", frame.q)])
+    r["centre"] = np.concatenate([mean("x", frame.d), mean("y", frame.q)]) if max(frame.d, frame.q) <= 200 else column_means(frame)
     r["n_eff"] = r["sw"] ** 2 / r["sw2"] if frame.weighted else float(r["n"])
     r["uniform"] = not frame.weighted or max(abs(r["w_max"] * r["n"] / r["sw"] - 1), abs(r["w_min"] * r["n"] / r["sw"] - 1)) < 1e-12
     return r

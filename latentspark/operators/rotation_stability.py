@@ -23,7 +23,7 @@ def pls1_rotation_stability(frame: Frame, k: int, *, method: str = "varimax", ro
     if not 2 <= k <= 7:
         raise InvalidArgument("k must be from 2 to 7")
     a = varimax_args(rotation_args)
-    info = moments.validate(frame)
+    info = moments.validate(frame, unique=True)
     check_k(info, frame, k)
     seed, n = resample.resolve_seed(seed), info["n"]
     m = subsample_size(n, k, n_boot, m_rate, level, max_skip_rate)

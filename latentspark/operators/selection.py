@@ -108,7 +108,7 @@ def pls1_find_k_optimal(frame: Frame, k_max: int, *, selector: str = "r2_se", di
     n_folds = args.get("n_folds", 5)
     if n_folds < 2:
         raise InvalidArgument("n_folds must be 2 at least")
-    info = moments.validate(frame)
+    info = moments.validate(frame, unique=True)
     check_k(info, frame, k_max, keep)
     seed, n = resample.resolve_seed(seed), info["n"]
     cv = se = bic = pvalues = rank = None
@@ -131,7 +131,7 @@ def pls1_find_k_sequence(frame: Frame, k_max: int, *, test_method: str = "split_
     """Tests component after component on what the earlier ones leave, up to the first that is not significant."""
     if not 0 < alpha < 1:
         raise InvalidArgument("alpha must lie between 0 and 1")
-    info = moments.validate(frame)
+    info = moments.validate(frame, unique=True)
     check_k(info, frame, k_max, keep)
     seed = resample.resolve_seed(seed)
     pvalues, rank = _sequence(frame, info, k_max, test_method, args, alpha, seed, keep, stop=True)
@@ -186,7 +186,7 @@ def spls1_find_keep_optimal(frame: Frame, k: int, *, args: dict | None = None, s
     """The fewest features a component within one standard error of the best cross-validated R2."""
     if unknown := set(args or {}) - {"n_folds"}:
         raise InvalidArgs(f"unknown arguments: {sorted(unknown)}")
-    info = moments.validate(frame)
+    info = moments.validate(frame, unique=True)
     check_k(info, frame, k)
     seed, n = resample.resolve_seed(seed), info["n"]
     n_folds = (args or {}).get("n_folds", 5)

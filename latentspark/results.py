@@ -83,6 +83,8 @@ class Pls1Model(Record):
     keep: int | None = None
     rotation_spec: RotationSpec | None = None
     selection_result: object = None
+    #: The smallest share of the data's variance that a component has.
+    least: float = 1.0
 
 
 @dataclass

@@ -8,7 +8,7 @@ from rowform import pls1, standardise
 import latentspark as ls
 from latentspark import errors
 from latentspark.functions import kernels, special
-from latentspark.operators import moments, resample
+from latentspark.operators import fit, moments, resample
 from latentspark.operators.inference import split_correlations
 from latentspark.streaming.moments import stream_totals
 
@@ -39,6 +39,33 @@ def test_fit_equals_row_form(spark, k, keep, weighted):
     assert m.weighted == weighted
 
 
+@pytest.mark.parametrize("k,keep,weighted", [(1, None, False), (3, None, True), (2, 3, True)])
+def test_row_fit_equals_moment_fit(spark, monkeypatch, k, keep, weighted):
+    x, y, w = data()
+    f = frame(spark, x, y, w if weighted else None)
+    want = ls.pls1_fit(f, k, keep=keep)
+    monkeypatch.setattr(fit, "MANY", 1)
+    got = ls.pls1_fit(f, k, keep=keep)
+    for name in ("coef", "beta", "w", "p", "q", "x_mean", "x_scale"):
+        np.testing.assert_allclose(getattr(got, name), getattr(want, name), atol=1e-9)
+    assert got.intercept == pytest.approx(want.intercept, abs=1e-8)
+
+
+def test_nearly_collinear_features_fit_over_rows(spark):
+    x, y, _ = data()
+    x = np.column_stack([x, x + np.random.default_rng(8).normal(size=x.shape) * 1e-6])
+    _, beta, b0, *_ = pls1(x, y, 8)
+    m = ls.pls1_fit(frame(spark, x, y), 8)
+    assert m.k_used == 8
+    np.testing.assert_allclose(x @ m.beta + m.intercept, x @ beta + b0, atol=1e-3)
+
+
+def test_many_features(spark):
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(20, 300)) + 50, rng.normal(size=20)
+    np.testing.assert_allclose(ls.pls1_fit(frame(spark, x, y), 2).coef, pls1(x, y, 2)[0], atol=1e-9)
+
+
 def test_full_rank_fit_is_weighted_least_squares(spark):
     x, y, w = data(30, 4)
     m = ls.pls1_fit(frame(spark, x, y, w), 4)
@@ -204,6 +231,8 @@ def test_interval_perm_null_and_stability(spark):
 def test_error_codes(spark):
     x, y, w = data(20, 3)
     cases = [(lambda: ls.pls1_fit(frame(spark, x, y), 4), "k_exceeds_max"), (lambda: ls.pls1_fit(frame(spark, x, np.where(np.arange(20) == 3, np.nan, y)), 1), "non_finite_input"), (lambda: ls.pls1_fit(frame(spark, x, y, -w), 1), "invalid_weights"), (lambda: ls.pls1_fit(frame(spark, x, y, np.eye(20)[0]), 1), "invalid_weights"), (lambda: ls.pls1_confirmatory_test(frame(spark, x, y), 1, method="score", args={"n_perm": 3}), "invalid_args"), (lambda: ls.pls1_confirmatory_test(frame(spark, x, y), 1, method="none"), "invalid_argument"), (lambda: ls.rotate(x, method="quartimax"), "rotation_method_not_implemented"), (lambda: ls.spls1_fit(frame(spark, x, y), 1, 9), "invalid_argument"), (lambda: ls.feature_frame(spark.range(3), ["a"], None, "id"), "dimension_mismatch")]
+    doubled = ls.feature_frame(spark.createDataFrame([(1, 2.0, 3.0)] * 9, "id long, a double, b double"), ["a"], "b", "id")
+    cases.append((lambda: ls.pls1_find_k_optimal(doubled, 1), "invalid_argument"))
     for call, code in cases:
         try:
             call()
