@@ -46,3 +46,17 @@ def ranked(df: DataFrame, keys: list[str], order: list, name: str, buckets: int
     starts = sizes.select(*keys, "_bucket", before.alias("_start"))
     local = dealt.withColumn("_local", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(*order)) - 1)
     return local.join(starts, [*keys, "_bucket"]).withColumn(name, F.col("_start") + F.col("_local")).drop("_bucket", "_start", "_local")
+
+
+def most_frequent(counts: DataFrame, size: int, n: str = "n") -> DataFrame:
+    """The rows of counts with the largest n, `size` at most: all from some n on.
+
+    That n comes from a histogram of some hundred classes of n, so no task sends its own best rows to the driver."""
+    level = F.floor(F.log2(F.col(n)) * 16).cast("int")
+    seen, least = 0, None
+    for r in counts.filter(F.col(n) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.min(n).alias("least")).orderBy(F.desc("level")).collect():
+        seen += r["rows"]
+        if seen > size:
+            break
+        least = r["least"]
+    return counts.filter(F.col(n) >= least) if least is not None else counts.limit(0)

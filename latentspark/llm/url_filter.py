@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import stored
+from latentspark.llm.common import most_frequent, stored
 
 #: (verdict, host, path) of the production rules.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -51,10 +51,9 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
 def learn_words(titles: DataFrame, size: int = WORDS) -> dict[str, int]:
     """The most frequent words of a string column named `title`, over all rows, with their counts."""
     words = titles.select(F.explode(F.regexp_extract_all(F.lower("title"), F.lit(r"(\p{L}{2,20})"))).alias("word"))
-    counts = words.groupBy("word").count()
+    counts = stored(words.groupBy("word").agg(F.count("*").alias("n")))
     # Single sightings tell no word from a chance chain of words.
-    top = counts.filter("count > 1").orderBy(F.desc("count"), "word").limit(size)
-    return {r["word"]: r["count"] for r in top.collect()}
+    return {r["word"]: r["n"] for r in most_frequent(counts.filter("n > 1"), size).collect()}
 
 
 class Segmenter(dict):
