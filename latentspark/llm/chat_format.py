@@ -127,7 +127,7 @@ def format_conversations(turns: DataFrame, loss_roles: tuple[str, ...] = ("assis
     return placed.select("conv_id", "turn", "role", "segment", "attachments", "expanded_tokens", start.alias("char_start"), "char_end", F.when(learns, start + F.col("body_start")).alias("loss_start"), F.when(learns, start + F.col("body_end")).alias("loss_end"))
 
 
-_DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+_DIGEST = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
 class _Digest:
@@ -155,8 +155,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns, now = [c.split()[0] for c in _DIGEST.split(", ")], None
     for batch in batches:
         done = []
-        for conv_id, segment, start, a, b in zip(batch.conv_id.astype("Int64"), batch.segment, batch.char_start, batch.loss_start, batch.loss_end, strict=True):
-            conv_id = None if conv_id is pd.NA else int(conv_id)
+        for conv_id, segment, start, a, b in zip(batch.conv_id, batch.segment, batch.char_start, batch.loss_start, batch.loss_end, strict=True):
             if now is None or now.conv_id != conv_id:
                 done += [now.row()] if now else []
                 now = _Digest(conv_id)
@@ -168,7 +167,7 @@ def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns).astype({"conv_id": "Int64"})
+    return pd.DataFrame(rows, columns=columns)
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
@@ -177,4 +176,6 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
     A conversation's turns stream through one task in order; only hashes and counts are held."""
     columns = ["conv_id", "segment", "char_start", "loss_start", "loss_end"]
-    return formatted.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "char_start").mapInPandas(_digests, _DIGEST)
+    dealt = formatted.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "char_start")
+    # Ids pass through Python as text: there, numbers with nulls among them would lose digits.
+    return dealt.withColumn("conv_id", F.col("conv_id").cast("string")).mapInPandas(_digests, _DIGEST).withColumn("conv_id", F.col("conv_id").cast("long"))

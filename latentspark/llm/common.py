@@ -34,12 +34,13 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def ranked(df: DataFrame, keys: list[str], order: list, name: str, buckets: int = 256) -> DataFrame:
+def ranked(df: DataFrame, keys: list[str], order: list, name: str, buckets: int | None = None) -> DataFrame:
     """Adds the 0-based rank of a row in its group, gapless in each group.
 
-    A group is dealt over `buckets` by a hash of the order columns, ranked in each bucket, and the
+    A group is dealt over `buckets` (by default four for each shuffle partition, 256 at least) by a hash of the order columns, ranked in each bucket, and the
     buckets' sizes give each bucket its first rank; no task holds a whole group. Rows equal in all
     order columns are interchangeable. The order within a group is by (bucket, order)."""
+    buckets = buckets or max(256, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")

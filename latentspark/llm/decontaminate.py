@@ -21,7 +21,7 @@ from latentspark.llm.shingles import WordHashes, shingles
 
 #: Items of one index, which is sent to the executors (some 20 MB at most for items of 100 words); more items make more indexes.
 ITEMS = 20_000
-MATCHES = "doc_id long, item_id long, n_item long, n_shared long, containment double"
+MATCHES = "doc_id string, item_id long, n_item long, n_shared long, containment double"
 
 
 class ItemIndex:
@@ -100,15 +100,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = 5, threshold: floa
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = WordHashes()
             for batch in batches:
-                ids = batch.doc_id.astype("Int64")
-                out = [(d, i, n, k, k / n) for d, text in zip(ids, batch.text, strict=True) for i, n, k in index.value.matches(words.of(text))]
+                out = [(d, i, n, k, k / n) for d, text in zip(batch.doc_id, batch.text, strict=True) for i, n, k in index.value.matches(words.of(text))]
                 frame = pd.DataFrame(out, columns=["doc_id", "item_id", "n_item", "n_shared", "containment"])
-                yield frame.astype({"doc_id": "Int64", "item_id": "Int64"})
+                yield frame.astype({"item_id": "Int64"})
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(probe, MATCHES)
+        # Ids pass through Python as text: there, numbers with nulls among them would lose digits.
+        return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(probe, MATCHES)
 
     found = [one_pass(index) for index in _indexes(items, size, threshold)]
-    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], MATCHES)
+    every = reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], MATCHES)
+    return every.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:

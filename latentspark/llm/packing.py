@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from latentspark.llm.common import ranked, stored
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long"
 
 
 class CapacityTree:
@@ -99,7 +99,7 @@ def _encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
 
 
 def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[str, int], end_id: int, size: int) -> DataFrame:
-    """One row a piece (PIECES): the token ids of each text and end_id, cut into pieces of at most `size`, the first
+    """One row a piece (doc_id, piece, start, length, ids_crc32): the token ids of each text and end_id, cut into pieces of at most `size`, the first
     piece being the shorter one. Special strings become their ids, as the tokenizer does by default."""
 
     def ids_of(enc: tiktoken.Encoding, text: str) -> np.ndarray:
@@ -113,18 +113,19 @@ def token_pieces(docs: DataFrame, ranks_path: str, pattern: str, special: dict[s
         enc = _encoding(ranks_path, pattern)
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch.doc_id.astype("Int64"), batch.text, strict=True):
+            for doc_id, text in zip(batch.doc_id, batch.text, strict=True):
                 ids = np.append(ids_of(enc, text or ""), np.uint32(end_id)).astype("<u4")
                 first = len(ids) % size or size
                 edges = [0, *range(first, len(ids) + 1, size)]
                 out += [(doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))]
-            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(cut, PIECES)
+    # Ids pass through Python as text: there, numbers with nulls among them would lose digits.
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(cut, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def pack(pieces: DataFrame, size: int) -> DataFrame:
-    """pieces (PIECES) with sequence_id and offset: best-fit decreasing into sequences of at most `size` tokens."""
+    """pieces, as `token_pieces` gives them, with sequence_id and offset: best-fit decreasing into sequences of at most `size` tokens."""
     pieces = stored(pieces)
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `size` rows
     runs = pieces.sparkSession.createDataFrame(best_fit_runs(histogram, size), "length long, from_rank long, to_rank long, first_bin long, per_bin long, base long")

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from latentspark.llm import packing, token_counts
+from latentspark.llm import decontaminate, jaccard_join, lm_score, packing, token_counts
 from latentspark.llm.queries import pack_whole
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -101,3 +101,14 @@ def test_special_strings(spark, text):
     got = pack_whole(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
     ids = [*library.encode(text, add_special_tokens=False).ids, 2]
     assert got["length"] == len(ids) and got["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
+
+
+def test_large_ids_stay_beside_nulls(spark):
+    big = (1 << 62) + 1
+    docs = spark.createDataFrame([(big, "five words are one shingle"), (None, "x"), (big + 2, "five words are one shingle")], "doc_id long, text string").coalesce(1)
+    ids = {big, None, big + 2}
+    assert {r["doc_id"] for r in pack_whole(docs).collect()} == ids
+    near = jaccard_join.near_duplicates(docs).collect()
+    assert {r["doc_id"] for r in near} == ids and {r["class_id"] for r in near} == {big, None}
+    assert {r["doc_id"] for r in decontaminate.find_leaks(docs, docs.selectExpr("1L AS item_id", "text")).collect()} == ids
+    assert {r["doc_id"] for r in lm_score.score_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()} == ids
