@@ -310,11 +310,28 @@ t AS (SELECT b, inside, row_id, any_value(zy) AS zy, sum(z * s) AS t FROM z JOIN
 _BASE = f"base AS (SELECT vec_id AS row_id, embedding, {_Y.format(2, 3)} AS y FROM embeddings)"
 _SPLIT = f"WITH {_BASE}, {_ranked('split', 4)}, member AS (SELECT row_id, b, rank < {_HALF} AS inside FROM drawn), {_HALVES}"
 _FOLD = "CASE WHEN rank < (n % 5) * (n // 5 + 1) THEN rank // (n // 5 + 1) ELSE n % 5 + (rank - (n % 5) * (n // 5 + 1)) // (n // 5) END"
-_FOLDS = f"""WITH {_BASE}, {_ranked('fold', 1)}, cut AS (SELECT row_id, CAST({_FOLD} AS INTEGER) AS fold FROM drawn, (SELECT count(*) AS n FROM embeddings)),
-member AS (SELECT row_id, f AS b, fold <> f AS inside FROM cut, (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS f)), {_HALVES},
+_FOLD_HALVES = f"""WITH {_BASE}, {_ranked('fold', 1)}, cut AS (SELECT row_id, CAST({_FOLD} AS INTEGER) AS fold FROM drawn, (SELECT count(*) AS n FROM embeddings)),
+member AS (SELECT row_id, f AS b, fold <> f AS inside FROM cut, (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS f)), {_HALVES}"""
+_FOLDS = f"""{_FOLD_HALVES},
 q AS (SELECT b, sum(t * zy) / sum(t * t) AS q FROM t WHERE inside GROUP BY b),
 r AS (SELECT b AS fold, 1 - sum((zy - t * q) ** 2) / (count(*) * var_pop(zy)) AS r2 FROM t JOIN q USING (b) WHERE NOT inside GROUP BY b)"""
 
+#: k = 1 on the training rows of each set f, for y (b = -1) and y in 50 random orders, seen on the other rows.
+_PERMUTED = f"""WITH {_BASE}, MEMBER,
+perm AS (SELECT vec_id AS row_id, b, row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws(':', '{SEED}', 'perm', b, vec_id)), vec_id) - 1 AS rank FROM embeddings, (SELECT CAST(unnest(range(0, 50)) AS INTEGER) AS b)),
+home AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', 'perm-base', 0, vec_id)), vec_id) - 1 AS rank FROM embeddings),
+moved AS (SELECT b, home.row_id, base.y FROM perm JOIN base USING (row_id) JOIN home USING (rank) UNION ALL SELECT -1, row_id, y FROM base),
+long AS (SELECT f, inside, base.row_id, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base JOIN member USING (row_id)),
+col AS (SELECT f, feature, avg(x) AS mean, stddev_pop(x) AS scale FROM long WHERE inside GROUP BY f, feature),
+z AS (SELECT f, inside, row_id, feature, (x - mean) / scale AS z FROM long JOIN col USING (f, feature)),
+resp AS (SELECT f, b, avg(y) AS my, stddev_pop(y) AS sy FROM moved JOIN member USING (row_id) WHERE inside GROUP BY f, b),
+zy AS (SELECT f, b, row_id, inside, (y - my) / sy AS zy FROM moved JOIN member USING (row_id) JOIN resp USING (f, b)),
+s AS (SELECT f, b, feature, sum(z * zy) AS s FROM z JOIN zy USING (f, row_id) WHERE zy.inside GROUP BY f, b, feature),
+t AS (SELECT f, b, row_id, sum(z * s) AS t FROM z JOIN s USING (f, feature) GROUP BY f, b, row_id),
+q AS (SELECT f, b, sum(t * zy) / sum(t * t) AS q FROM t JOIN zy USING (f, b, row_id) WHERE inside GROUP BY f, b)"""
+_IN_FOLDS = f"{_ranked('fold', 1)}, cut AS (SELECT row_id, CAST({_FOLD} AS INTEGER) AS fold FROM drawn, (SELECT count(*) AS n FROM embeddings)), member AS (SELECT row_id, f, fold <> f AS inside FROM cut, (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS f))"
+_IN_SPLITS = f"{_ranked('split', 5)}, member AS (SELECT row_id, b AS f, rank < {_HALF} AS inside FROM drawn)"
+
 ORACLES = {
     "standardize": f"WITH {_WEIGHTED} SELECT row_id, CAST(feature AS INTEGER) AS feature, {_R('z', 'value')} FROM z",
     "column_moments": f"WITH {_WEIGHTED} SELECT CAST(feature AS INTEGER) AS feature, {_R('mean', 'mean')}, {_R('scale', 'scale')} FROM col",
@@ -344,4 +361,55 @@ ORACLES = {
     "quantile7": f"WITH {_BASE} SELECT " + ", ".join(_R(f"quantile_cont(y, {q})", f"q{i}") for i, q in enumerate((0.025, 0.25, 0.5, 0.975))) + " FROM base",
     "sign_z": f"{_SPLIT}, whole AS (SELECT y, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base), ref AS (SELECT feature, covar_pop(x, y) AS r FROM whole GROUP BY feature) SELECT CAST(feature AS INTEGER) AS feature, {_R('(2 * avg(CASE WHEN sign(s) = sign(r) THEN 1.0 ELSE 0.0 END) - 1) * sqrt(count(*))', 'z')} FROM s JOIN ref USING (feature) GROUP BY feature",
     "perm_cross": f"WITH {_BASE}, {_ranked('perm', 20)}, home AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', 'perm-base', 0, vec_id)), vec_id) - 1 AS rank FROM embeddings), moved AS (SELECT home.row_id, b, base.y FROM drawn JOIN base USING (row_id) JOIN home USING (rank)), c AS (SELECT b, corr(CAST(embedding[1] AS DOUBLE), moved.y) AS c FROM moved JOIN base USING (row_id) GROUP BY b), o AS (SELECT corr(CAST(embedding[1] AS DOUBLE), y) AS c FROM base) SELECT {_R('any_value(o.c)', 'observed')}, {_R('(sum(CASE WHEN c.c >= o.c THEN 1 ELSE 0 END) + 1) / 21', 'p')} FROM c, o",
+    "pls1_perm_null": f"""WITH {_PLAIN}, {_ranked('null', 100)},
+home AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', 'null-base', 0, vec_id)), vec_id) - 1 AS rank FROM embeddings),
+ys AS (SELECT DISTINCT row_id, zy FROM z),
+moved AS (SELECT b, home.row_id, ys.zy FROM drawn JOIN ys USING (row_id) JOIN home USING (rank) UNION ALL SELECT -1, row_id, zy FROM ys),
+s AS (SELECT b, feature, sum(z.z * moved.zy) AS s FROM moved JOIN z USING (row_id) GROUP BY b, feature),
+t AS (SELECT b, row_id, sum(z.z * s) AS t FROM z JOIN s USING (feature) GROUP BY b, row_id),
+q AS (SELECT b, sum(t * zy) / sum(t * t) AS q FROM t JOIN moved USING (b, row_id) GROUP BY b),
+c AS (SELECT b, feature, s * q AS coef FROM s JOIN q USING (b)),
+n AS (SELECT feature, max(CASE WHEN b < 0 THEN coef END) AS ref, avg(coef) FILTER (b >= 0) AS mean, stddev_samp(coef) FILTER (b >= 0) AS sd FROM c GROUP BY feature)
+SELECT CAST(feature AS INTEGER) AS feature, {_R('ref', 'beta_ref')}, {_R('mean', 'beta_perm_mean')}, {_R('sd', 'beta_perm_sd')}, {_R('ref / sd', 'beta_perm_z')} FROM n""",
+    "confirmatory_ci": f"""WITH {_BASE}, {_ranked('subsample', 100)}, m AS (SELECT ceil({_N} ** 0.7) AS m, {_N} AS n),
+member AS (SELECT row_id, b, rank < m AS inside FROM drawn, m UNION ALL SELECT vec_id, -1, true FROM embeddings), {_HALVES},
+q AS (SELECT b, sum(t * zy) / sum(t * t) AS q FROM t WHERE inside GROUP BY b),
+size AS (SELECT b, sum(s * s) AS ss FROM s GROUP BY b),
+f AS (SELECT b, feature, s * q * sy / scale AS beta, s * s / ss AS lev FROM s JOIN q USING (b) JOIN size USING (b) JOIN col USING (b, feature) JOIN resp USING (b)),
+ref AS (SELECT feature, beta AS rb, lev AS rl FROM f WHERE b < 0),
+a AS (SELECT feature, rb, rl, count(*) AS n, sum(CASE WHEN sign(beta) = sign(rb) THEN 1.0 ELSE 0.0 END) / count(*) AS agree,
+  quantile_cont(beta - rb, 0.025) AS b0, quantile_cont(beta - rb, 0.975) AS b1, stddev_samp(beta - rb) AS bs,
+  quantile_cont(lev - rl, 0.025) AS l0, quantile_cont(lev - rl, 0.975) AS l1, stddev_samp(lev - rl) AS ls
+  FROM f JOIN ref USING (feature) WHERE b >= 0 GROUP BY feature, rb, rl),
+k AS (SELECT a.*, sqrt(m.m / m.n) AS c, (2 * agree - 1) * sqrt(a.n) AS z FROM a, m)
+SELECT CAST(feature AS INTEGER) AS feature, {_R('rb', 'beta_ref')}, {_R('rl', 'leverage_ref')}, {_R('z', 'beta_sign_z')}, {_R('sign(rb) * abs(z)', 'beta_sign_z_signed')},
+  {_R('rl - c * l1', 'leverage_ci_lower')}, {_R('rl - c * l0', 'leverage_ci_upper')}, {_R('c * ls', 'leverage_ci_se')}, {_R('rb - c * b1', 'beta_ci_lower')}, {_R('rb - c * b0', 'beta_ci_upper')}, {_R('c * bs', 'beta_ci_se')} FROM k""",
+    "find_keep_optimal": f"""{_FOLD_HALVES},
+grid AS (SELECT unnest([1, 2, 4, 8, 16, 32, 64]) AS keep),
+sk AS (SELECT b, feature, keep, CASE WHEN row_number() OVER (PARTITION BY b, keep ORDER BY abs(s) DESC, feature) <= keep THEN s ELSE 0 END AS s FROM s, grid),
+tk AS (SELECT b, inside, row_id, keep, any_value(zy) AS zy, sum(z * sk.s) AS t FROM z JOIN sk USING (b, feature) GROUP BY b, inside, row_id, keep),
+q AS (SELECT b, keep, sum(t * zy) / sum(t * t) AS q FROM tk WHERE inside GROUP BY b, keep),
+r AS (SELECT b, keep, 1 - sum((zy - t * q) ** 2) / (count(*) * var_pop(zy)) AS r2 FROM tk JOIN q USING (b, keep) WHERE NOT inside GROUP BY b, keep),
+f AS (SELECT keep, avg(r2) AS r2, stddev_samp(r2) / sqrt(count(*)) AS se FROM r GROUP BY keep),
+best AS (SELECT r2 - se AS least FROM f ORDER BY r2 DESC, keep DESC LIMIT 1)
+SELECT CAST(keep AS INTEGER) AS keep, {_R('r2', 'r2')}, {_R('se', 'se')}, keep = (SELECT min(keep) FROM f, best WHERE r2 >= least) AS chosen FROM f""",
+    "test_raw_perm": f"""{_PERMUTED.replace('MEMBER', _IN_FOLDS)},
+v AS (SELECT f, b, sum((zy - t * q) ** 2) AS res, count(*) * var_pop(zy) AS tot FROM t JOIN zy USING (f, b, row_id) JOIN q USING (f, b) WHERE NOT inside GROUP BY f, b),
+r AS (SELECT b, 1 - sum(res) / sum(tot) AS r2 FROM v GROUP BY b),
+o AS (SELECT r2 AS o FROM r WHERE b < 0)
+SELECT {_R('(sum(CASE WHEN r2 >= o THEN 1 ELSE 0 END) + 1) / 51', 'pvalue')}, {_R('any_value(o)', 'statistic')}, 'raw_perm' AS method, CAST(1 AS BIGINT) AS k, CAST(50 AS BIGINT) AS n_perm,
+  CAST(NULL AS VARCHAR) AS n_splits, CAST({SEED} AS BIGINT) AS seed, CAST(NULL AS VARCHAR) AS rho_hat, CAST(NULL AS VARCHAR) AS stable_rank, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM r, o WHERE b >= 0""",
+    "test_split_exact": f"""{_PERMUTED.replace('MEMBER', _IN_SPLITS)},
+r AS (SELECT f, b, greatest(least(corr(t, zy), 0.9999), -0.9999) AS r FROM t JOIN zy USING (f, b, row_id) WHERE NOT inside GROUP BY f, b),
+m AS (SELECT b, avg(atanh(r)) AS z FROM r GROUP BY b),
+o AS (SELECT z AS o FROM m WHERE b < 0)
+SELECT {_R('(sum(CASE WHEN z >= o THEN 1 ELSE 0 END) + 1) / 51', 'pvalue')}, {_R('tanh(any_value(o))', 'statistic')}, 'split_exact' AS method, CAST(1 AS BIGINT) AS k, CAST(50 AS BIGINT) AS n_perm,
+  CAST(5 AS BIGINT) AS n_splits, CAST({SEED} AS BIGINT) AS seed, CAST(NULL AS VARCHAR) AS rho_hat, CAST(NULL AS VARCHAR) AS stable_rank, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM m, o WHERE b >= 0""",
+    "test_e": f"""WITH {_BASE}, {_ranked('split', 1)}, member AS (SELECT row_id, b, rank < {_HALF} AS inside FROM drawn), {_HALVES},
+q AS (SELECT sum(t * zy) / sum(t * t) AS q FROM t WHERE inside),
+alt AS (SELECT sum((zy - t * q) ** 2) / count(*) AS var FROM t, q WHERE inside),
+te AS (SELECT count(*) AS n, sum((zy - t * q) ** 2) AS res, var_pop(zy) AS null_var FROM t, q WHERE NOT inside),
+e AS (SELECT (-0.5 * n * ln(2 * pi() * var) - 0.5 * res / var) - (-0.5 * n * ln(2 * pi() * null_var) - 0.5 * n) AS e FROM te, alt)
+SELECT {_R('least(1, exp(-greatest(e, 0)))', 'pvalue')}, {_R('e', 'statistic')}, 'e' AS method, CAST(1 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS n_perm, CAST(NULL AS VARCHAR) AS n_splits, CAST({SEED} AS BIGINT) AS seed,
+  CAST(NULL AS VARCHAR) AS rho_hat, CAST(NULL AS VARCHAR) AS stable_rank, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM e""",
 }
