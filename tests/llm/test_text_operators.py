@@ -68,6 +68,15 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small, block, sha
     assert got == expected(texts)
 
 
+def test_near_duplicates_without_ids(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join(words[:30] + ["other"] + words[31:])
+    docs = spark.createDataFrame([(None, " ".join(words)), (9, " ".join(words)), (7, near), (None, "alone")], "doc_id long, text string")
+    got = sorted((r["class_id"] or 0, r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect())
+    assert got == [(0, 0), (7, 2), (7, 2), (7, 2)]
+    assert sorted(r["doc_id"] or 0 for r in jaccard_join.deduplicate(docs).collect()) == [0, 7]
+
+
 def test_deduplicate_keeps_one_and_all_columns(spark):
     rows = [(2, "a b c d e f", "x"), (1, "a b c d e f!", "y"), (3, None, "z"), (4, None, None), (None, "other words", "n"), (5, "twice the same", "t"), (5, "twice the same", "t")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, _key string")
