@@ -111,9 +111,10 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     table = np.column_stack([_matrix([r["v"] for r in chosen], dim), np.zeros(len(chosen))]) if chosen else np.zeros((0, dim + 1))
     table[:, -1] = np.sqrt(np.maximum(longest - (table * table).sum(1), 0))
 
-    block = lambda c, n: F.pmod(F.xxhash64(c, F.lit(7)), F.lit(max(1, n))).cast("int")
-    side_c = cand.select(block("vec_id", blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(max(0, q_blocks - 1)))).alias("qb"), F.col("vec_id").alias("id"), "v", F.lit(0).alias("side"))
-    side_q = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("cb"), block("query_id", q_blocks).alias("qb"), F.col("query_id").alias("id"), F.col("q").alias("v"), F.lit(1).alias("side"))
+    # By id and vector: rows that share an id are dealt out, too.
+    block = lambda c, v, n: F.pmod(F.xxhash64(c, v, F.lit(7)), F.lit(max(1, n))).cast("int")
+    side_c = cand.select(block("vec_id", "v", blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(max(0, q_blocks - 1)))).alias("qb"), F.col("vec_id").alias("id"), "v", F.lit(0).alias("side"))
+    side_q = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("cb"), block("query_id", "q", q_blocks).alias("qb"), F.col("query_id").alias("id"), F.col("q").alias("v"), F.lit(1).alias("side"))
 
     def pair(pdf: pd.DataFrame) -> pd.DataFrame:
         c, q = pdf[pdf.side == 0], pdf[pdf.side == 1]
