@@ -49,6 +49,12 @@ def test_windows_score_each_token_once(lengths):
     np.testing.assert_array_equal(seen, tokens)
 
 
+def test_later_windows_see_eight_tokens_and_the_network_has_a_feed_forward_layer():
+    win = next(net.windows(np.arange(200), np.array([200]), 0))
+    assert win.scored[1:].any() and not win.scored[1:, :8].any()
+    assert {"up", "up_b", "down"} <= set(net.initial(np.ones(net.VOCAB)))
+
+
 def test_subwords_in_one_call():
     enc = lm_score._encoding(PATH, public_tokenizers.PATTERN)
     words = ["the", "don't", "\xa0", "a\xa0", "中文", "!!", "　x", "é"]
