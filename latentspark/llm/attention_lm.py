@@ -12,36 +12,61 @@ import numpy as np
 
 #: Tokens of a window, and how many of them only serve as context after a text's first window.
 WINDOW, OVERLAP = 32, 8
-#: Width of the model, clusters, tokens of a cluster.
-DIM, CLUSTERS, EACH = 16, 16, 32
-VOCAB = CLUSTERS * EACH
+#: Width of the model.
+DIM = 16
+#: Clusters of tokens in the order of their frequency: tokens of a cluster, up to which number. The last one goes on.
+SIZES = ((32, 512), (128, 4096), (1024, 1 << 16))
+#: A small vocabulary; `initial` takes any.
+VOCAB = 512
 BATCH = 512
-#: Windows that training sees in all, where there are fewer.
+#: Tokens that a share learns from at a time.
+HELD = 1 << 19
+#: Windows that the first fit sees in all, where there are fewer.
 ENOUGH = 60_000
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
-SHAPES = {"embed": (VOCAB, DIM), "place": (WINDOW, DIM), "qkv": (DIM, 3 * DIM), "up": (DIM, 2 * DIM), "up_b": (2 * DIM,), "down": (2 * DIM, DIM), "cluster": (DIM, CLUSTERS), "cluster_b": (CLUSTERS,), "inner": (CLUSTERS, DIM, EACH), "inner_b": (CLUSTERS, EACH)}
+
+def edges(vocab: int) -> np.ndarray:
+    """First token of each cluster, and the end of the last one."""
+    out, at = [0], 0
+    for size, last in SIZES:
+        while at < min(vocab, last):
+            at = min(at + size, vocab)
+            out.append(at)
+    return np.array(out)
+
+
+def clusters(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of the clusters, and the cluster of each token."""
+    e = edges(len(w["embed"]))
+    return e, np.repeat(np.arange(len(e) - 1, dtype=np.uint8), np.diff(e))
+
+
+def shapes(vocab: int) -> dict[str, tuple[int, ...]]:
+    n = len(edges(vocab)) - 1
+    return {"embed": (vocab, DIM), "place": (WINDOW, DIM), "qkv": (DIM, 3 * DIM), "up": (DIM, 2 * DIM), "up_b": (2 * DIM,), "down": (2 * DIM, DIM), "cluster": (DIM, n), "cluster_b": (n,), "inner": (vocab, DIM), "inner_b": (vocab,)}
 
 
 def initial(counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
-    """Weights before training; the softmax starts from how often each of the VOCAB tokens occurs."""
+    """Weights before training; the softmax starts from how often each token occurs. Tokens are numbered by frequency."""
     rng = np.random.default_rng(seed)
-    w = {k: rng.normal(0, 0.3 if k == "embed" else 0.1 if k == "place" else 1 / np.sqrt(s[-2]), s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for k, s in SHAPES.items()}
-    share = (counts.reshape(CLUSTERS, EACH) + 0.5) / (counts.sum() + 0.5 * VOCAB)
-    w["cluster_b"] = np.log(share.sum(1)).astype(np.float32)
-    w["inner_b"] = np.log(share / share.sum(1, keepdims=True)).astype(np.float32)
-    for k in ("cluster", "inner"):
-        w[k] *= 0.3
+    scale = {"embed": 0.3, "place": 0.1, "cluster": 0.3 / np.sqrt(DIM), "inner": 0.3 / np.sqrt(DIM)}
+    w = {k: rng.normal(0, scale.get(k, 1 / np.sqrt(s[0])), s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for k, s in shapes(len(counts)).items()}
+    share = (counts + 0.5) / (counts.sum() + 0.5 * len(counts))
+    e, of = clusters(w)
+    whole = np.add.reduceat(share, e[:-1])
+    w["cluster_b"] = np.log(whole).astype(np.float32)
+    w["inner_b"] = np.log(share / whole[of]).astype(np.float32)
     return w
 
 
 def flat(w: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([w[k].ravel() for k in SHAPES])
+    return np.concatenate([v.ravel() for v in w.values()])
 
 
-def unflat(v: np.ndarray) -> dict[str, np.ndarray]:
+def unflat(v: np.ndarray, vocab: int) -> dict[str, np.ndarray]:
     out, at = {}, 0
-    for k, s in SHAPES.items():
+    for k, s in shapes(vocab).items():
         n = int(np.prod(s))
         out[k], at = v[at : at + n].reshape(s), at + n
     return out
@@ -121,82 +146,140 @@ def log_chances(w: dict, tokens: np.ndarray, lengths: np.ndarray, start: int) ->
 
 
 def _head(w: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    order = np.argsort(target.astype(np.int16), kind="stable")
+    e, of = clusters(w)
+    order = np.argsort(of[target], kind="stable")
     h, target = h[order], target[order]
-    cluster = target // EACH
+    cluster = of[target]
     total = _chosen(h @ w["cluster"] + w["cluster_b"], cluster)
-    edges = np.searchsorted(cluster, np.arange(CLUSTERS + 1))
-    for c in range(CLUSTERS):
-        rows = slice(edges[c], edges[c + 1])
-        if edges[c] < edges[c + 1]:
-            total[rows] += _chosen(h[rows] @ w["inner"][c] + w["inner_b"][c], target[rows] - c * EACH)
+    ends = np.searchsorted(cluster, np.arange(len(e)))
+    for c in np.flatnonzero(np.diff(ends)):
+        rows, own = slice(ends[c], ends[c + 1]), slice(e[c], e[c + 1])
+        total[rows] += _chosen(h[rows] @ w["inner"][own].T + w["inner_b"][own], target[rows] - e[c])
     out = np.empty_like(total)
     out[order] = total
     return out
 
 
+def _log_softmax_gradient(z: np.ndarray, target: np.ndarray, n: int) -> float:
+    """Sum of the negative log softmax at the targets; z becomes the gradient of that sum over n."""
+    at = np.arange(len(z))
+    z -= z.max(-1, keepdims=True)
+    own = z[at, target]
+    np.exp(z, out=z)
+    total = z.sum(-1, keepdims=True)
+    z /= total * n
+    z[at, target] -= 1 / n
+    return float(np.log(total).sum() - own.sum())
+
+
 def gradient(w: dict, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[dict, float]:
     """Gradient of the mean negative log chance, and that mean."""
     x, q, k, v, a, total, h, r, z = _attend(w, inputs)
     a /= total
     g = {}
-    hz, t = z[scored], targets[scored]
-    n, cluster = max(1, len(t)), t // EACH
-    lc = _log_softmax(hz @ w["cluster"] + w["cluster_b"])
-    loss = -lc[np.arange(len(t)), cluster].sum()
-    d = np.exp(lc)
-    d[np.arange(len(t)), cluster] -= 1
-    d /= n
+    e, of = clusters(w)
+    at = np.flatnonzero(scored)
+    at = at[np.argsort(of[targets.ravel()[at]], kind="stable")]
+    two = lambda m: m.reshape(-1, m.shape[-1])
+    hz, t = two(z)[at], targets.ravel()[at]
+    n, cluster = max(1, len(t)), of[t]
+    d = hz @ w["cluster"] + w["cluster_b"]
+    loss = _log_softmax_gradient(d, cluster, n)
     g["cluster"], g["cluster_b"] = hz.T @ d, d.sum(0)
     dh = d @ w["cluster"].T
     g["inner"], g["inner_b"] = np.zeros_like(w["inner"]), np.zeros_like(w["inner_b"])
-    for c in np.unique(cluster):
-        rows = np.flatnonzero(cluster == c)
-        li = _log_softmax(hz[rows] @ w["inner"][c] + w["inner_b"][c])
-        loss -= li[np.arange(len(rows)), t[rows] % EACH].sum()
-        d = np.exp(li)
-        d[np.arange(len(rows)), t[rows] % EACH] -= 1
-        d /= n
-        g["inner"][c], g["inner_b"][c] = hz[rows].T @ d, d.sum(0)
-        dh[rows] += d @ w["inner"][c].T
+    ends = np.searchsorted(cluster, np.arange(len(e)))
+    for c in np.flatnonzero(np.diff(ends)):
+        rows, own = slice(ends[c], ends[c + 1]), slice(e[c], e[c + 1])
+        d = hz[rows] @ w["inner"][own].T + w["inner_b"][own]
+        loss += _log_softmax_gradient(d, t[rows] - e[c], n)
+        g["inner"][own], g["inner_b"][own] = d.T @ hz[rows], d.sum(0)
+        dh[rows] += d @ w["inner"][own]
     dz = np.zeros_like(z)
-    dz[scored] = dh
-    two = lambda m: m.reshape(-1, m.shape[-1])
+    two(dz)[at] = dh
     g["down"] = two(r).T @ two(dz)
     du = (dz @ w["down"].T) * (r > 0)
     g["up"], g["up_b"] = two(h).T @ two(du), two(du).sum(0)
-    dh = dz + du @ w["up"].T
-    dy = dh
+    dy = dz + du @ w["up"].T
     dv = np.matmul(a.transpose(0, 2, 1), dy)
     da = np.matmul(dy, v.transpose(0, 2, 1))
     ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(1 / np.sqrt(DIM))
     dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], -1)
     g["qkv"] = two(x).T @ two(dqkv)
-    dx = dh + dqkv @ w["qkv"].T
+    dx = dy + dqkv @ w["qkv"].T
     g["place"] = dx.sum(0)
     g["embed"] = np.zeros_like(w["embed"])
-    np.add.at(g["embed"], inputs.ravel(), two(dx))
+    order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
+    met = inputs.ravel()[order]
+    first = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
+    g["embed"][met[first]] = np.add.reduceat(two(dx)[order], first)
     return g, float(loss) / n
 
 
+class Adam:
+    """Weights that learn; `squares` sums the squared gradients that each weight met."""
+
+    def __init__(self, w: dict):
+        self.vocab, self.v, self.i = len(w["embed"]), flat(w), 0
+        self.w = unflat(self.v, self.vocab)
+        self.m, self.s, self.squares, self.work = (np.zeros_like(self.v) for _ in range(4))
+
+    def step(self, win: Windows, rate: float) -> None:
+        g, _ = gradient(self.w, win.inputs, win.targets, win.scored)
+        grad, self.i = flat({k: g[k] for k in self.w}), self.i + 1
+        now, work = np.float32(rate * min(1, self.i / 50)), self.work
+        self.m *= np.float32(0.9)
+        self.m += np.multiply(grad, np.float32(0.1), out=work)
+        grad *= grad
+        self.squares += grad
+        self.s *= np.float32(0.99)
+        self.s += np.multiply(grad, np.float32(0.01), out=work)
+        np.multiply(self.s, np.float32(1 / (1 - 0.99**self.i)), out=work)
+        np.sqrt(work, out=work)
+        work += np.float32(1e-8)
+        np.divide(self.m, work, out=work)
+        work *= now / np.float32(1 - 0.9**self.i)
+        self.v -= work
+
+
 def train(w: dict, tokens: np.ndarray, lengths: np.ndarray, start: int, rate: float = 0.01, seed: int = 0, batch: int = 64) -> dict:
     """Adam over the windows, in an order drawn from the seed; few windows are seen up to 8 times."""
     if not len(tokens):
         return w
     win = next(windows(tokens, lengths, start, part=1 << 60))
-    w = {k: v.copy() for k, v in w.items()}
-    m, s = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    adam = Adam(w)
     epochs = max(1, min(8, round(ENOUGH / len(win.inputs))))
-    rng, i, steps = np.random.default_rng(seed), 0, epochs * -(-len(win.inputs) // batch)
+    rng, steps = np.random.default_rng(seed), epochs * -(-len(win.inputs) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(win.inputs))
         for at in range(0, len(order), batch):
             rows = order[at : at + batch]
-            g, _ = gradient(w, win.inputs[rows], win.targets[rows], win.scored[rows])
-            i += 1
-            now = rate * min(1, i / 50) * (1 - 0.9 * i / steps)
-            for k in w:
-                m[k] += 0.1 * (g[k] - m[k])
-                s[k] += 0.01 * (g[k] ** 2 - s[k])
-                w[k] -= np.float32(now) * (m[k] / (1 - 0.9**i)) / (np.sqrt(s[k] / (1 - 0.99**i)) + np.float32(1e-8))
-    return w
+            adam.step(Windows(win.inputs[rows], win.targets[rows], win.scored[rows]), rate * (1 - 0.9 * (adam.i + 1) / steps))
+    return adam.w
+
+
+class Share:
+    """Weights that learn from one share of the documents, a batch of documents at a time."""
+
+    def __init__(self, w: dict, start: int, documents: float, rate: float = 0.003):
+        self.adam, self.start, self.documents, self.rate = Adam(w), start, documents, rate
+        self.held, self.tokens, self.done, self.rng = [], 0, 0, np.random.default_rng(0)
+
+    def add(self, tokens: np.ndarray) -> None:
+        self.held.append(tokens)
+        self.tokens += len(tokens)
+        if self.tokens >= HELD:
+            self.learn()
+
+    def learn(self) -> None:
+        if not self.held:
+            return
+        flat_, lengths = np.concatenate(self.held), np.array([len(x) for x in self.held])
+        self.done += len(self.held)
+        self.held, self.tokens = [], 0
+        rate = self.rate * max(0.1, 1 - 0.9 * self.done / self.documents)
+        for win in windows(flat_, lengths, self.start):
+            order = self.rng.permutation(len(win.inputs))
+            for at in range(0, len(order), BATCH):
+                rows = order[at : at + BATCH]
+                self.adam.step(Windows(win.inputs[rows], win.targets[rows], win.scored[rows]), rate)

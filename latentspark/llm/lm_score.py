@@ -2,8 +2,9 @@
 
 A word's chance is the mean of two: that of its subword ids under the causal self-attention model, which sees the
 tokens before it, and its smoothed share of all words of the training documents. Word and subword counts are gathered
-from all training documents; they also give the network its output biases and the chances of rare ids. The
-network's weights are fitted on a bounded sample of them.
+from all training documents; they also give the network its output biases. The network knows all ids of the tokenizer.
+Its weights start from a fit on some documents; then each share of all training documents goes on from there, and
+the shares' weights are averaged, each by the squared gradients that it met in the share.
 
 The most frequent words' counts (a bounded number) go to the executors; occurrences of the others meet their counts in
 a join.
@@ -25,8 +26,10 @@ from latentspark.llm import attention_lm as net
 from latentspark.llm.common import most_frequent, stored
 from latentspark.llm.langid import remainder
 
-#: Documents (about) that the network is fitted on; words whose counts are sent to the executors; words that a task remembers.
-TRAIN_DOCS, HEAD, MEMO = 1500, 1 << 17, 300_000
+#: Documents (about) that the network's first fit sees, and those of a share, which goes on from there; words whose counts are sent to the executors; words that a task remembers.
+TRAIN_DOCS, SHARE_DOCS, HEAD, MEMO = 1500, 4096, 1 << 17, 300_000
+#: Weights of a row while shares are averaged.
+CHUNK = 1 << 15
 #: Share of the network in a word's chance, and the smoothing of the word counts.
 SHARE, ADD = 0.5, 0.1
 #: Bytes of text that are scored at a time.
@@ -150,24 +153,22 @@ def id_counts_of(counts: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return counts.mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def numbered(id_counts: np.ndarray) -> np.ndarray:
+    """Of each id its number in the network: by frequency."""
+    known = np.empty(len(id_counts), np.int64)
+    known[np.argsort(-id_counts, kind="stable")] = np.arange(len(id_counts))
+    return known
+
+
 class Scorer:
-    """What a task needs: the network, which ids it knows, and the frequent words' counts."""
+    """What a task needs: the network, its numbers of the ids, and the frequent words' counts."""
 
     def __init__(self, weights: dict, id_counts: np.ndarray, head: tuple[np.ndarray, np.ndarray], total: int, distinct: int):
         self.weights = weights
-        self.known, self.rare = self.kept(id_counts)
+        self.known = numbered(id_counts)
         self.head_hash, self.head_count = head
         self.scale = total + ADD * (distinct + 1)
 
-    @staticmethod
-    def kept(id_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each id its number in the network's vocabulary (the last one: rare) and the natural log of its share of the rare ones."""
-        order = np.argsort(-id_counts, kind="stable")
-        known = np.full(len(id_counts), net.VOCAB - 1)
-        known[order[: net.VOCAB - 1]] = np.arange(net.VOCAB - 1)
-        rest = np.where(known == net.VOCAB - 1, id_counts + 0.5, 0)
-        return known, np.where(rest > 0, np.log(np.maximum(rest, 1e-9) / rest.sum()), 0)
-
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of frequent words; -1 of others."""
         if not len(self.head_hash):
@@ -181,16 +182,61 @@ class Scorer:
         size = words.size[numbers]
         ends = np.cumsum(size)
         lengths = np.diff(np.concatenate([[0], ends[np.cumsum(per_text) - 1]]))
-        chances = net.log_chances(self.weights, self.known[raw], lengths, int(self.known[words.end])).astype(np.float64) + self.rare[raw]
+        chances = net.log_chances(self.weights, self.known[raw], lengths, int(self.known[words.end])).astype(np.float64)
         return np.add.reduceat(chances, ends - size)
 
 
 def _fit(sample: list[np.ndarray], id_counts: np.ndarray, end: int) -> dict:
-    known, _ = Scorer.kept(id_counts)
-    counts = np.bincount(known, id_counts, minlength=net.VOCAB)
+    known = numbered(id_counts)
     tokens = [known[x] for x in sample]
     flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-    return net.train(net.initial(counts), flat, np.array([len(t) for t in tokens], np.int64), int(known[end]))
+    return net.train(net.initial(-np.sort(-id_counts)), flat, np.array([len(t) for t in tokens], np.int64), int(known[end]), batch=128)
+
+
+def fit_shares(encoded: DataFrame, w: dict, known: np.ndarray, end: int, documents: int) -> dict:
+    """The weights after all documents (order, ids: subword ids as 16-bit numbers) have been learnt from, `documents` in all.
+
+    Documents are dealt over shares by their order, a hash; tasks learn one share after the other, each from w."""
+    shares = -(-documents // SHARE_DOCS)
+    if not shares:
+        return w
+    spark, vocab = encoded.sparkSession, len(known)
+    shared = spark.sparkContext.broadcast((w, known))
+
+    def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w, known = shared.value
+        before, now, state = net.flat(w), None, None
+
+        def done() -> pd.DataFrame:
+            state.learn()
+            top, weight = (state.adam.v - before) * state.adam.squares, state.adam.squares
+            cut = range(0, len(before), CHUNK)
+            return pd.DataFrame({"chunk": range(len(cut)), "top": [top[i : i + CHUNK].tobytes() for i in cut], "weight": [weight[i : i + CHUNK].tobytes() for i in cut]})
+
+        for batch in batches:
+            for share, ids in zip(batch.share, batch.ids, strict=True):
+                if share != now:
+                    if state:
+                        yield done()
+                    now, state = share, net.Share(w, int(known[end]), documents / shares)
+                state.add(known[np.frombuffer(ids, np.uint16)])
+        if state:
+            yield done()
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, top, weight in zip(batch.chunk, batch.top, batch.weight, strict=True):
+                both = np.stack([np.frombuffer(top, np.float32), np.frombuffer(weight, np.float32)]).astype(np.float64)
+                total[chunk] = total[chunk] + both if chunk in total else both
+        if total:
+            moved = [np.where(t[1] > 0, t[0] / np.where(t[1] > 0, t[1], 1), 0).astype(np.float32).tobytes() for t in total.values()]
+            yield pd.DataFrame({"chunk": list(total), "moved": moved})
+
+    dealt = encoded.withColumn("share", F.pmod("order", F.lit(shares))).repartition(shares, "share").sortWithinPartitions("share", "order", "ids")
+    learnt = stored(dealt.select("share", "ids").mapInPandas(learn, "chunk int, top binary, weight binary"))
+    moved = learnt.repartition("chunk").sortWithinPartitions("chunk", F.xxhash64("top")).mapInPandas(add, "chunk int, moved binary").collect()  # as many numbers as the network has
+    return net.unflat(net.flat(w) + np.concatenate([np.frombuffer(bytes(r["moved"]), np.float32) for r in sorted(moved, key=lambda r: r["chunk"])]), vocab)
 
 
 _SCORED = "uid long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, score double, hashes array<long>, chances array<float>"
@@ -213,7 +259,7 @@ def score_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame
     id_counts[own.id.to_numpy()] = own.n.to_numpy()
     head = most_frequent(counts.select("hash", "n"), HEAD).toPandas().sort_values("hash")
 
-    # About TRAIN_DOCS training documents; their subword ids are what reaches the driver.
+    # About TRAIN_DOCS training documents for the first fit; their subword ids are what reaches the driver.
     n_docs = training.count()
     chosen = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, TRAIN_DOCS / max(1, n_docs)))).limit(2 * TRAIN_DOCS)
 
@@ -222,10 +268,14 @@ def score_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame
         for batch in batches:
             rows = [w.read([t])[0] for t in batch.text]
             w.settle()
-            yield pd.DataFrame({"ids": [b"".join([w.pieces[n] for n in r]) for r in rows]})
-
-    sample = [np.frombuffer(bytes(r["ids"]), np.uint16) for r in chosen.select("text").mapInPandas(encode, "ids binary").collect()]
-    scorer = Scorer(_fit(sample, id_counts, vocab.end), id_counts, (head.hash.to_numpy(), head.n.to_numpy()), total, distinct)
+            yield pd.DataFrame({"order": batch.order, "ids": [b"".join([w.pieces[n] for n in r]) for r in rows]})
+            if len(w) > MEMO:
+                w.clear()
+
+    ids_of = lambda rows: rows.select(F.xxhash64("doc_id", "text").alias("order"), "text").mapInPandas(encode, "order long, ids binary")
+    sample = [np.frombuffer(bytes(r["ids"]), np.uint16) for r in ids_of(chosen).collect()]
+    weights = fit_shares(ids_of(training), _fit(sample, id_counts, vocab.end), numbered(id_counts), vocab.end, n_docs)
+    scorer = Scorer(weights, id_counts, (head.hash.to_numpy(), head.n.to_numpy()), total, distinct)
     shared = spark.sparkContext.broadcast(scorer)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -93,6 +93,23 @@ def test_scores_of_no_rows(spark):
     assert lm_score.score_documents(docs, PATH, public_tokenizers.PATTERN).count() == 0
 
 
+def test_network_learns_from_all_documents_and_knows_all_ids(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "TRAIN_DOCS", 1)
+    monkeypatch.setattr(lm_score, "SHARE_DOCS", 50)
+    seen = []
+    own = lm_score.fit_shares
+    monkeypatch.setattr(lm_score, "fit_shares", lambda e, w, *rest: seen.append((w, own(e, w, *rest), e.count(), rest)) or seen[-1][1])
+    encoding = lm_score._encoding(PATH, public_tokenizers.PATTERN)
+    whole = [i for i in range(600, 5000) if encoding.decode([i])[:1] == " " and encoding.decode([i])[1:].isalpha() and encoding.decode([i]).islower()][:300]
+    texts = [(i, "the cat" + encoding.decode([t]) * 3) for i, t in enumerate(whole)]  # each document has an id of its own
+    lm_score.score_documents(spark.createDataFrame(texts, "doc_id long, text string"), PATH, public_tokenizers.PATTERN).collect()
+    (first, last, rows, (known, _, n)), = seen
+    assert rows == n > 200 and len(last["embed"]) == encoding.n_vocab + 1
+    taught = known[[t for i, t in enumerate(whole) if zlib.crc32(str(i).encode()) % 10]]
+    for k in ("embed", "inner"):
+        assert (first[k][taught] != last[k][taught]).any(1).all()
+
+
 def test_ranks_are_gapless(spark):
     df = spark.createDataFrame([(i % 3, i // 2, "x") for i in range(200)], "g int, v int, rank string")
     got = ranked(df.drop("rank"), ["g"], ["v"], "rank", buckets=4).collect()
