@@ -19,16 +19,15 @@ from latentspark.llm.common import stored
 #: Rows of a block of candidates and of queries; a task holds one of each at a time.
 BLOCK, QUERIES = 8192, 512
 PIVOTS = 24
-#: Components beyond this magnitude are held to it, so that 64-bit scores cannot overflow (dimensions up to 8192).
-BIGGEST = 1 << 24
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
     """vec_id, v (array of long: floor(scale * x), x as double), for vectors that are neither null nor hold a null or
-    non-finite component; an empty vector is all zeros."""
+    non-finite component; an empty vector is all zeros. A component whose floor does not fit 64 bits is an error."""
     x = F.col(embedding)
     whole = x.isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    held = lambda c: F.greatest(F.lit(float(-BIGGEST)), F.least(F.lit(float(BIGGEST)), F.floor(c.cast("double") * scale).cast("double"))).cast("long")
+    scaled = lambda c: c.cast("double") * scale
+    held = lambda c: F.when(F.abs(scaled(c)) < float(1 << 63), F.floor(scaled(c)).cast("long")).otherwise(F.raise_error(F.lit("component beyond 64 bits")).cast("long"))
     return vectors.filter(F.col(vec_id).isNotNull() & whole).select(F.col(vec_id).alias("vec_id"), F.transform(x, held).alias("v"))
 
 
@@ -41,9 +40,14 @@ def _matrix(rows, dim: int) -> np.ndarray:
 
 
 def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products: in floating point where every sum stays below 2**53, else in 64 bits."""
-    if np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2**52:
+    """Integer inner products: in floating point where every sum stays below 2**53, in 64 bits where none can pass them, else
+    in whole numbers of any size; a product beyond 64 bits is an error."""
+    most = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
+    if most < 2**52:
         return np.rint(a @ b.T).astype(np.int64)
+    if most >= 2**62:
+        whole = lambda x: np.array([[int(v) for v in row] for row in x], object).reshape(x.shape)
+        return (whole(a) @ whole(b).T).astype(np.int64)
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
@@ -76,9 +80,8 @@ def search_block(qid, q, cid, c, pivots: np.ndarray, longest: float, k: int) ->
                 break  # no later bound reaches the k-th score
             part = order[at : at + step]
             evaluated += len(part)
-            s = _dots(c[part], q[i : i + 1])[:, 0]
-            keep = cid[part] != qid[i]
-            ids, scores = np.concatenate([ids, cid[part][keep]]), np.concatenate([scores, s[keep]])
+            part = part[cid[part] != qid[i]]
+            ids, scores = np.concatenate([ids, cid[part]]), np.concatenate([scores, _dots(c[part], q[i : i + 1])[:, 0]])
             best = np.lexsort((ids, -scores))[:k]
             ids, scores, at, step = ids[best], scores[best], at + step, step * 2
         out_q.append(np.full(len(ids), qid[i]))

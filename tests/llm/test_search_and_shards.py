@@ -31,6 +31,17 @@ def test_exact_top_k(spark, monkeypatch, block, queries):
     assert got == brute(rows, 10)
 
 
+def test_large_components_are_exact(spark):
+    rows = [(0, [1e6, 1.0, -2.0]), (1, [3.0, 1e6, 0.5]), (2, [5e5, 2.0, 1e6]), (3, [-1e6, 7.0, 1.0]), (100, [4e6, 0.25, 3.0])]  # 100 by itself is beyond 64 bits, and no score
+    v = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = {tuple(r) for r in topk_search.top_k(v, v.filter("vec_id % 100 = 0")).collect()}
+    assert got == brute(rows, 10)
+    for big in ([(0, [4e6]), (1, [4e6])], [(0, [1e30]), (1, [1.0])]):
+        v = topk_search.quantised(spark.createDataFrame(big, "vec_id long, embedding array<float>"))
+        with pytest.raises(Exception, match="(?i)too large|beyond 64 bits"):
+            topk_search.top_k(v, v).collect()
+
+
 def test_few_vectors(spark):
     v = topk_search.quantised(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>"))
     assert [tuple(r) for r in topk_search.top_k(v, v.filter("vec_id = 0")).collect()] == [(0, 1, 1, 1024 * 1024)]
