@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -11,6 +12,7 @@ from latentspark.llm import decontaminate, jaccard_join, lm_score, packing, toke
 from latentspark.llm.queries import pack_whole
 
 WORD = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(WORD)
 BYTE = public_tokenizers.path("byte_bpe_50k.json")
 pieces = st.sampled_from(["the", " ", "isn't", "'LL", "\n", "é", "É", "é", "Σ", "ς", "中文", "12", "½", "<|endoftext|>", "<|startoftext|>", "?!", "\x1c", "\xa0", "　", "İ", "ß", "👍🏽", "x" * 40])
 
@@ -18,8 +20,7 @@ pieces = st.sampled_from(["the", " ", "isn't", "'LL", "\n", "é", "É", "é", "
 @settings(max_examples=300, deadline=None)
 @given(st.lists(pieces | st.text(max_size=3), max_size=25).map("".join))
 def test_transducer_counts_as_the_library(text):
-    library = test_transducer_counts_as_the_library.__dict__.setdefault("library", Tokenizer.from_file(WORD))
-    assert token_counts.counter(WORD).count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    assert token_counts.counter(WORD).count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
 
 
 def test_chunks_compose(monkeypatch):
@@ -32,9 +33,60 @@ def test_chunks_compose(monkeypatch):
 
 def test_memory_limit_changes_nothing(monkeypatch):
     monkeypatch.setattr(token_counts, "MEMO", 3)
-    library = Tokenizer.from_file(WORD)
     text = "many different words, some of them twice: many different words"
-    assert token_counts.counter(WORD).count(text) == len(library.encode(text, add_special_tokens=False).ids)
+    for _ in range(3):
+        assert token_counts.counter(WORD).count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
+
+
+def test_all_code_points_in_pairs():
+    rng = random.Random(7)
+    often = [*range(0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x1FC00), *range(0xE0000, 0xE0200)]
+    points = often + [i for i in range(0x110000) if i % 37 == 0 and not 0xD800 <= i < 0xE000]
+    points = [chr(p) for p in points]
+    rng.shuffle(points)
+    texts = [a + b for a, b in zip(points, points[1:], strict=False)] + [p + rng.choice(["a", "1", "!", "'", "'s", "\u0301", " "]) + rng.choice(points) for p in points]
+    assert token_counts.counter(WORD).counts(texts) == [len(e.ids) for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
+@pytest.mark.parametrize("text", ["=" * 40_000 + "!" + "=" * 40_000, "ab" * 60_001, "!?" * 70_000, "é" * 50_001, "lo" * 100 + "the" * 40_000])
+def test_long_runs(text):
+    assert token_counts.counter(WORD).count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
+
+
+def test_a_run_of_a_million_letters_takes_few_rounds(monkeypatch):
+    rng, rounds = random.Random(1), []
+    block = "".join(rng.choice("etaoinshrdlu") for _ in range(50_021))
+    text = block * 20
+    own = token_counts.Transducer.run
+    monkeypatch.setattr(token_counts.Transducer, "run", lambda self, *a: rounds.append(len(a[1])) or own(self, *a))
+    assert token_counts.counter(WORD).count(text) == len(LIBRARY.encode(text, add_special_tokens=False).ids)
+    assert len(rounds) < 12 and sum(rounds[2:]) < 3 * len(text) / token_counts.CHUNK
+
+
+def test_pairs_stay_as_the_merges_leave_them():
+    t, rng = token_counts.counter(WORD).transducer, random.Random(3)
+    tokens = sorted(t.tokens)
+    inner = [x for x in tokens if not x.endswith(token_counts.END)]
+
+    def merged(symbols):
+        while len(symbols) > 1:
+            rank, i = min((t.merges.get(p, 1 << 60), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+            if rank == 1 << 60:
+                break
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        return symbols
+
+    for _ in range(3000):
+        left, right = rng.choice(inner), rng.choice(tokens)
+        last = -2 if right.endswith(token_counts.END) else -1
+        assert t.stay(left, right) == (t.makes(left) and merged([*left, *right[:last], right[last:]]) == [left, right])
+
+
+def test_texts_are_cut_at_white_space(monkeypatch):
+    texts = ["a b\nc" * 50, "", "x" * 90 + " y", "isn't it " * 9, "<|endoftext|>" * 3 + "é b" * 20]
+    whole = token_counts.counter(WORD).counts(texts)
+    monkeypatch.setattr(token_counts, "AT_ONCE", 16)
+    assert token_counts.counter(WORD).counts(texts) == whole == [len(e.ids) for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_count_columns(spark):
@@ -84,7 +136,7 @@ def test_packing_query(spark):
     for r in got:
         seen[r["sequence_id"]].append((r["offset"], r["length"]))
         if r["doc_id"] is not None:
-            ids = [*library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
+            ids = [*LIBRARY.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids, 2]
             part = ids[r["start"] : r["start"] + r["length"]]
             assert zlib.crc32(b"".join(i.to_bytes(4, "little") for i in part)) == r["ids_crc32"]
             assert r["length"] == 1024 or (r["piece"] == 0 and r["length"] == (len(ids) % 1024 or 1024))
@@ -99,7 +151,7 @@ def test_packing_query(spark):
 def test_special_strings(spark, text):
     library = Tokenizer.from_file(BYTE)
     got = pack_whole(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
-    ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+    ids = [*LIBRARY.encode(text, add_special_tokens=False).ids, 2]
     assert got["length"] == len(ids) and got["ids_crc32"] == zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids))
 
 
