@@ -39,7 +39,7 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk_search.quantised(table(spark, sf_dir, "embeddings"))
-    return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+    return topk_search.top_k(vectors, F.col("vec_id") % 100 == 0)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,15 +105,15 @@ GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """,
     "op6_topk_search": """
 WITH whole AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  SELECT vec_id, row_number() OVER () AS uid, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.uid AS query_uid, q.vec_id AS query_id, c.uid AS uid, c.vec_id AS vec_id,
          CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+  FROM whole q JOIN whole c ON q.vec_id % 100 = 0 AND c.uid <> q.uid
 ), ordered AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_uid ORDER BY score DESC, vec_id, uid) AS INTEGER) AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ordered WHERE rank <= 10
 """,

@@ -1,24 +1,28 @@
 """Exact top-k by inner product with a pivot table.
 
 All vectors are lifted by one coordinate to a common length, so that a larger inner product is a smaller
-distance. Distances to pivots, computed once, bound each distance from below by the triangle inequality; the
-largest of these bounds over the pivots orders a block's candidates, and evaluation stops where no bound
-can reach the k-th score any more. Scores are integers; bounds have a margin above their rounding errors.
+distance. The table of distances to the pivots is computed once and stored; the largest of the differences of
+two rows of it bounds a distance from below, so a score from above. Candidates are dealt to blocks by their nearest pivot.
+A first bounded block gives each query a k-th score; then a block goes only to queries that its
+ranges of distances let reach that score, there the bounds order its candidates, and evaluation stops where none can reach
+the k-th score any more. Scores are integers; bounds have a margin above their rounding errors.
 """
 
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from latentspark.llm.common import stored
 
-#: Rows of a block of candidates and of queries; a task holds one of each at a time.
-BLOCK, QUERIES = 8192, 512
-PIVOTS = 24
+#: Rows of a block of candidates and of queries; candidate blocks and query blocks whose bounds a task compares at a time.
+BLOCK, QUERIES, RANGES, GROUP = 8192, 512, 4096, 16
+#: Pivots, and the rows that they are chosen from.
+PIVOTS, POOL = 24, 512
+_FLOATS = np.dtype("<f8")
 
 
 def quantised(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", scale: int = 1024) -> DataFrame:
@@ -51,80 +55,178 @@ def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) @ b.astype(np.int64).T
 
 
-def search_block(qid, q, cid, c, pivots: np.ndarray, longest: float, k: int) -> tuple:
-    """The k best of a block's candidates for each query: query ids, candidate ids, scores, and how many were evaluated."""
-    def lifted(x: np.ndarray) -> np.ndarray:
-        rest = np.sqrt(np.maximum(longest - (x * x).sum(1), 0))
-        return np.column_stack([x, rest])
-
-    def to_pivots(x: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        square = norms[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * x @ pivots.T
-        return np.sqrt(np.maximum(square, 0))
-
-    lift_c = lifted(c)
-    far_c = to_pivots(lift_c, (lift_c * lift_c).sum(1))
-    lift_q = np.column_stack([q, np.zeros(len(q))])
-    norm_q = (q * q).sum(1)
-    far_q = to_pivots(lift_q, norm_q)
-    out_q, out_c, out_s, evaluated = [], [], [], 0
-    for i in range(len(q)):
-        low = np.abs(far_c[:, 0] - far_q[i, 0])
-        for p in range(1, len(pivots)):
-            np.maximum(low, np.abs(far_c[:, p] - far_q[i, p]), out=low)
-        high = (norm_q[i] + longest - low * low) / 2
-        high += 1e-6 * (norm_q[i] + longest) + 1  # above the rounding of the distances
-        order = np.argsort(-high)
-        ids, scores, at, step = np.empty(0, np.int64), np.empty(0, np.int64), 0, 256
-        while at < len(order):
-            if len(scores) == k and high[order[at]] < scores[-1]:
-                break  # no later bound reaches the k-th score
-            part = order[at : at + step]
-            evaluated += len(part)
-            part = part[cid[part] != qid[i]]
-            ids, scores = np.concatenate([ids, cid[part]]), np.concatenate([scores, _dots(c[part], q[i : i + 1])[:, 0]])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores, at, step = ids[best], scores[best], at + step, step * 2
-        out_q.append(np.full(len(ids), qid[i]))
-        out_c.append(ids)
-        out_s.append(scores)
-    cat = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-    return cat(out_q), cat(out_c), cat(out_s), evaluated
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query its k highest integer inner products among all vectors but
-    those with its own id; ties go to the smaller vec_id.
-
-    Both tables hold vec_id and v as `quantised` gives them; further columns are left out. Vectors of unequal length are
-    compared over what both have. Repeated rows of one id count once (equal vectors) or each (different ones); fewer
-    than k others give fewer rows, empty tables none.
-
-    Blocks of candidates meet blocks of queries: the pairs of blocks are rows of one table, so tasks hold two bounded
-    blocks each, and a block of queries is copied once for each block of candidates, never sent as a whole to all."""
-    cand = stored(vectors.select("vec_id", "v").distinct())
-    spark = cand.sparkSession
+def chosen_pivots(pool: np.ndarray, longest: float, n: int) -> np.ndarray:
+    """n lifted rows of the pool, each the farthest from those before it."""
+    lifted = np.column_stack([pool, np.sqrt(np.maximum(longest - (pool * pool).sum(1), 0))])
+    far, out = np.full(len(pool), np.inf), []
+    for _ in range(min(n, len(pool))):
+        out.append(int(far.argmax()))
+        far = np.minimum(far, ((lifted - lifted[out[-1]]) ** 2).sum(1))
+    return lifted[out]
+
+
+def distances(x: np.ndarray, pivots: np.ndarray, longest: float, query: bool) -> np.ndarray:
+    """Rows of the pivot table: from lifted vectors to the pivots; a query's last coordinate is 0."""
+    norm = (x * x).sum(1)
+    rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(longest - norm, 0))
+    lift = np.column_stack([x, rest])
+    square = (lift * lift).sum(1)[:, None] + (pivots * pivots).sum(1)[None, :] - 2 * lift @ pivots.T
+    return np.sqrt(np.maximum(square, 0))
+
+
+def highest(low: np.ndarray, norm: float, longest: float) -> np.ndarray:
+    """The highest scores that distances of at least `low` allow, above all rounding."""
+    return (norm + longest - low * low) / 2 + 1e-6 * (norm + longest) + 1
+
+
+def search_block(query: np.ndarray, far_q: np.ndarray, own: int, least: float, c: np.ndarray, far_c: np.ndarray, uid: np.ndarray, vec_id: np.ndarray, longest: float, k: int) -> tuple:
+    """The k best candidates of a block for one query, of those with scores of at least `least` and another uid than `own`:
+    uids, ids, scores, and how many were evaluated."""
+    low = np.abs(far_c - far_q[None, :]).max(1, initial=0)
+    high = highest(low, float((query * query).sum()), longest)
+    order = np.flatnonzero(high >= least)
+    order = order[np.argsort(-high[order])]
+    best, scores, at, step, evaluated = np.empty(0, np.int64), np.empty(0, np.int64), 0, 256, 0
+    while at < len(order):
+        if len(scores) == k and high[order[at]] < scores[-1]:
+            break  # no later bound reaches the k-th score
+        part = order[at : at + step]
+        evaluated += len(part)
+        part = part[uid[part] != own]
+        found = _dots(c[part], query[None, :])[:, 0]
+        part, found = part[found >= least], found[found >= least]
+        best, scores = np.concatenate([best, part]), np.concatenate([scores, found])
+        first = np.lexsort((uid[best], vec_id[best], -scores))[:k]
+        best, scores, at, step = best[first], scores[first], at + step, step * 2
+    return uid[best], vec_id[best], scores, evaluated
+
+
+_TABLE = "uid long, vec_id long, query boolean, near int, v array<long>, far binary, far_query binary"
+_FOUND = "query_uid long, query_id long, uid long, vec_id long, score long"
+
+
+def _stack(column: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(column), _FLOATS).reshape(len(column), -1)
+
+
+def pivot_table(vectors: DataFrame, pivots: np.ndarray, longest: float) -> DataFrame:
+    """vectors (uid, vec_id, query, v) with their distances to the pivots (of queries also unlifted) and the nearest one."""
+    dim = pivots.shape[1] - 1
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = _matrix(batch.v.to_list(), dim)
+            far = distances(x, pivots, longest, False)
+            asked = batch["query"].to_numpy()
+            unlifted = iter(distances(x[asked], pivots, longest, True))
+            yield batch.assign(near=far.argmin(1), far=[r.tobytes() for r in far], far_query=[next(unlifted).tobytes() if q else None for q in asked])
+
+    return vectors.mapInPandas(rows, _TABLE)
+
+
+def _dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, dict[int, int]]:
+    """rows with the number of their block: rows of one nearest pivot, some `size` of them; and each pivot's first block."""
+    first, at = {}, 0
+    starts, counts = F.lit(0), F.lit(1)
+    for r in rows.groupBy("near").count().orderBy("near").collect():  # as many rows as pivots
+        n = -(-r["count"] // size)
+        starts, counts = F.when(F.col("near") == r["near"], at).otherwise(starts), F.when(F.col("near") == r["near"], n).otherwise(counts)
+        first[r["near"]] = at
+        at += n
+    return rows.withColumn(name, (starts + F.pmod(F.xxhash64("uid"), counts)).cast("int")), first
+
+
+def _reachable(asked: DataFrame, cand: DataFrame, longest: float) -> DataFrame:
+    """qb, cb: blocks of queries (qb, v, far_query, least), and the candidate blocks that some query of theirs may need."""
+
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            far = _stack(batch.far)
+            for cb, rows in batch.groupby("cb").indices.items():
+                new = np.stack([far[rows].min(0), far[rows].max(0)])
+                held[cb] = np.stack([np.minimum(held[cb][0], new[0]), np.maximum(held[cb][1], new[1])]) if cb in held else new
+        yield pd.DataFrame({"cb": list(held), "low": [x[0].tobytes() for x in held.values()], "high": [x[1].tobytes() for x in held.values()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cb": pdf.cb[:1], "low": [_stack(pdf.low).min(0).tobytes()], "high": [_stack(pdf.high).max(0).tobytes()]})
+
+    shape = "cb int, low binary, high binary"
+    blocks = stored(cand.select("cb", "far").mapInPandas(ranges, shape).groupBy("cb").applyInPandas(merge, shape))
+    parts = max(1, -(-blocks.count() // RANGES))
+    asked = asked.withColumn("group", F.floor(F.col("qb") / GROUP).cast("int"))
+    groups = max(1, -(-asked.agg(F.max("qb") + 1).first()[0] // GROUP))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
-    n, dim, longest = cand.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(norm), F.lit(0.0))).first()
-    wanted = queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).distinct()
-    n_queries = wanted.count()
-    result = "query_id long, vec_id long, score long"
-    blocks, q_blocks = -(-n // BLOCK), -(-n_queries // QUERIES)
-    # Pivots: vectors of any ids; a bounded number, whatever the table's size.
-    chosen = cand.orderBy(F.xxhash64("vec_id"), "v").limit(pivots).collect()
-    table = np.column_stack([_matrix([r["v"] for r in chosen], dim), np.zeros(len(chosen))]) if chosen else np.zeros((0, dim + 1))
-    table[:, -1] = np.sqrt(np.maximum(longest - (table * table).sum(1), 0))
-
-    # By id and vector: rows that share an id are dealt out, too.
-    block = lambda c, v, n: F.pmod(F.xxhash64(c, v, F.lit(7)), F.lit(max(1, n))).cast("int")
-    side_c = cand.select(block("vec_id", "v", blocks).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(max(0, q_blocks - 1)))).alias("qb"), F.col("vec_id").alias("id"), "v", F.lit(0).alias("side"))
-    side_q = wanted.select(F.explode(F.sequence(F.lit(0), F.lit(max(0, blocks - 1)))).alias("cb"), block("query_id", "q", q_blocks).alias("qb"), F.col("query_id").alias("id"), F.col("q").alias("v"), F.lit(1).alias("side"))
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        c, q = pdf[pdf.side == 0], pdf[pdf.side == 1]
-        found = search_block(q.id.to_numpy(), _matrix(q.v.to_list(), dim), c.id.to_numpy(), _matrix(c.v.to_list(), dim), table, longest, k)
-        return pd.DataFrame({"query_id": found[0], "vec_id": found[1], "score": found[2]})
-
-    near = side_c.unionByName(side_q).groupBy("cb", "qb").applyInPandas(pair, result) if n and n_queries else spark.createDataFrame([], result)
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    best = near.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    return best.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    # Bounded parts of the ranges meet bounded groups of queries in tasks of their own.
+    side_c = blocks.select(F.pmod("cb", F.lit(parts)).alias("part"), every(groups).alias("group"), "cb", "low", "high")
+    side_q = asked.select("group", every(parts).alias("part"), "qb", "far_query", "least", norm.alias("norm"))
+
+    def compare(queries: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(blocks):
+            return pd.DataFrame({"qb": [], "cb": []})
+        low, high, cb = _stack(blocks.low), _stack(blocks.high), blocks.cb.to_numpy()
+        out = []
+        for qb, mine in queries.groupby("qb"):
+            need = np.zeros(len(blocks), bool)
+            for far, least, norm in zip(_stack(mine.far_query), mine.least, mine.norm, strict=True):
+                gap = np.maximum(low - far, far - high).max(1, initial=0)
+                need |= highest(gap, norm, longest) >= least
+            out.append(pd.DataFrame({"qb": qb, "cb": cb[need]}))
+        return pd.concat(out)
+
+    by = ["group", "part"]
+    return side_q.groupBy(*by).cogroup(side_c.groupBy(*by)).applyInPandas(compare, "qb int, cb int")
+
+
+def _search(pairs: DataFrame, cand: DataFrame, asked: DataFrame, dim: int, longest: float, k: int) -> DataFrame:
+    """The best candidates of each pair (qb, cb) of blocks for each query of the block: a task holds two bounded blocks."""
+
+    def pair(queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        c, far_c = _matrix(block.v.to_list(), dim), _stack(block.far)
+        q, far_q = _matrix(queries.v.to_list(), dim), _stack(queries.far_query)
+        uid, vec_id, out = block.uid.to_numpy(), block.vec_id.to_numpy(), []
+        for i, (own, query_id, least) in enumerate(zip(queries.uid, queries.vec_id, queries.least, strict=True)):
+            found = search_block(q[i], far_q[i], own, least, c, far_c, uid, vec_id, longest, k)
+            out.append(np.stack([np.full(len(found[0]), own), np.full(len(found[0]), query_id), *found[:3]], 1))
+        whole = np.concatenate(out) if out else np.empty((0, 5), np.int64)
+        return pd.DataFrame(whole.astype(np.int64), columns=["query_uid", "query_id", "uid", "vec_id", "score"])
+
+    side_q = pairs.join(asked, "qb").select("qb", "cb", "uid", "vec_id", "v", "far_query", "least")
+    side_c = pairs.join(cand, "cb").select(F.col("qb").alias("to"), F.col("cb").alias("of"), "uid", "vec_id", "v", "far")
+    return side_q.groupBy("qb", "cb").cogroup(side_c.groupBy("to", "of")).applyInPandas(pair, _FOUND)
+
+
+def top_k(vectors: DataFrame, query: Column, k: int = 10, pivots: int = PIVOTS) -> DataFrame:
+    """query_id, rank, vec_id, score: for each row that the condition `query` selects, the k highest integer inner products among
+    all other rows; ties go to the smaller vec_id.
+
+    vectors holds vec_id and v as `quantised` gives them; further columns serve the condition and are left out. Vectors of unequal
+    length are compared over what both have. Rows that repeat an id, or a whole row, are rows of their own: each is a
+    candidate of all others, and each that is selected gets its own k rows. Fewer than k others give fewer rows, empty tables
+    none. A score beyond 64 bits is an error."""
+    spark = vectors.sparkSession
+    rows = stored(vectors.select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(query, F.lit(False)).alias("query"), "v"))
+    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
+    n, asked, dim, longest = rows.agg(F.count("*"), F.count_if("query"), F.coalesce(F.max(F.size("v")), F.lit(0)), F.coalesce(F.max(norm), F.lit(0.0))).first()
+    if not asked or n < 2:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    # Pivots come from a bounded number of rows, whatever the table's size.
+    pool = rows.orderBy(F.xxhash64("vec_id"), "uid").limit(POOL).collect()
+    table = stored(pivot_table(rows, chosen_pivots(_matrix([r["v"] for r in pool], dim), longest, pivots), longest))
+    cand, first = _dealt(table, BLOCK, "cb")
+    asked, _ = _dealt(table.filter("query"), QUERIES, "qb")
+    asked = stored(asked)
+
+    # The first block of the queries' own pivot sets the score to reach.
+    home = F.lit(0)
+    for near, cb in first.items():
+        home = F.when(F.col("near") == near, cb).otherwise(home)
+    homes = asked.groupBy("qb").agg(F.min(home).cast("int").alias("cb"))
+    start = stored(_search(homes, cand, asked.withColumn("least", F.lit(-float("inf"))), dim, longest, k))
+    reached = start.groupBy("query_uid").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("reached")).filter(F.col("n") >= k)
+    bounded = stored(asked.join(reached.select(F.col("query_uid").alias("uid"), "reached"), "uid", "left").withColumn("least", F.coalesce("reached", F.lit(-float("inf")))))
+    pairs = stored(_reachable(bounded, cand, longest).join(homes, ["qb", "cb"], "left_anti"))
+    found = start.unionByName(_search(pairs, cand, bounded, dim, longest, k))
+    rank = F.row_number().over(W.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -1,61 +1,80 @@
+import math
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from latentspark.llm import sharding, topk_search
 
 
 def brute(rows, k):
-    ok = {i: np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
-    out = set()
-    for q in ok:
+    """Sorted (query_id, rank, vec_id, score) by comparing each row with each other row."""
+    whole = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    out = []
+    for at, (q, x) in enumerate(whole):
         if q % 100 == 0:
-            best = sorted((-int(ok[q] @ ok[c]), c) for c in ok if c != q)[:k]
-            out |= {(q, i + 1, c, -s) for i, (s, c) in enumerate(best)}
-    return out
+            best = sorted((-sum(a * b for a, b in zip(x, y)), c) for other, (c, y) in enumerate(whole) if other != at)[:k]
+            out += [(q, i + 1, c, -s) for i, (s, c) in enumerate(best)]
+    return sorted(out)
 
 
-@pytest.mark.parametrize("block,queries", [(8192, 512), (40, 2)])
-def test_exact_top_k(spark, monkeypatch, block, queries):
-    monkeypatch.setattr(topk_search, "BLOCK", block)
-    monkeypatch.setattr(topk_search, "QUERIES", queries)
+def searched(df, k=10):
+    return sorted(map(tuple, topk_search.top_k(topk_search.quantised(df), F.col("vec_id") % 100 == 0, k).collect()))
+
+
+@pytest.mark.parametrize("block,queries,ranges,group", [(8192, 512, 4096, 16), (40, 2, 3, 2)])
+def test_exact_top_k(spark, monkeypatch, block, queries, ranges, group):
+    for name, value in (("BLOCK", block), ("QUERIES", queries), ("RANGES", ranges), ("GROUP", group)):
+        monkeypatch.setattr(topk_search, name, value)
     rng = np.random.default_rng(0)
     rows = [(int(i), rng.normal(size=8).tolist()) for i in range(400)]
     rows += [(int(i), rows[7][1]) for i in range(400, 520)]  # ties
     rows += [(600, None), (601, [float("nan")] * 8), (602, [None] * 8), (603, [float("inf")] * 8), (700, [0.0] * 8), (None, [1.0] * 8)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS v", "1 AS score")
-    v = topk_search.quantised(df)
-    got = {tuple(r) for r in topk_search.top_k(v, v.filter("vec_id % 100 = 0"), 10).collect()}
-    assert got == brute(rows, 10)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "'x' AS v", "1 AS score", "2 AS uid")
+    assert searched(df) == brute(rows, 10)
+
+
+@pytest.mark.parametrize("block", [8192, 5])
+def test_rows_of_one_id_are_candidates_each(spark, monkeypatch, block):
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    rows = [(0, [1.0, 0.5])] + [(5, [9.0, float(i % 4)]) for i in range(12)] + [(i, [8.0 - i / 8, 1.0]) for i in range(10, 38)] + [(100, [1.0, 1.0])] * 3
+    got = searched(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert got == brute(rows, 10) and [r[2] for r in got if r[0] == 0] == [5] * 10 and len(got) == 40
 
 
 def test_large_components_are_exact(spark):
-    rows = [(0, [1e6, 1.0, -2.0]), (1, [3.0, 1e6, 0.5]), (2, [5e5, 2.0, 1e6]), (3, [-1e6, 7.0, 1.0]), (100, [4e6, 0.25, 3.0])]  # 100 by itself is beyond 64 bits, and no score
-    v = topk_search.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-    got = {tuple(r) for r in topk_search.top_k(v, v.filter("vec_id % 100 = 0")).collect()}
-    assert got == brute(rows, 10)
+    rows = [(0, [1e6, 1.0, -2.0]), (1, [3.0, 1e6, 0.5]), (2, [5e5, 2.0, 1e6]), (3, [-1e6, 7.0, 1.0]), (4, [20000.0, 1.0, 0.0]), (5, [30000.0, 1.0, 0.0]), (100, [4e6, 0.25, 3.0])]  # 100 by itself is beyond 64 bits, and no score
+    assert searched(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == brute(rows, 10)
     for big in ([(0, [4e6]), (1, [4e6])], [(0, [1e30]), (1, [1.0])]):
-        v = topk_search.quantised(spark.createDataFrame(big, "vec_id long, embedding array<float>"))
         with pytest.raises(Exception, match="(?i)too large|beyond 64 bits"):
-            topk_search.top_k(v, v).collect()
+            searched(spark.createDataFrame(big, "vec_id long, embedding array<float>"))
 
 
 def test_few_vectors(spark):
-    v = topk_search.quantised(spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>"))
-    assert [tuple(r) for r in topk_search.top_k(v, v.filter("vec_id = 0")).collect()] == [(0, 1, 1, 1024 * 1024)]
-    assert topk_search.top_k(v.limit(0), v.limit(0)).count() == 0
+    df = spark.createDataFrame([(0, [1.0, 2.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [])], "vec_id long, embedding array<float>")
+    assert searched(df) == [(0, 1, 1, 1024 * 1024), (0, 2, 1, 1024 * 1024), (0, 3, 2, 0)]
+    assert searched(df.limit(0)) == [] and searched(df.filter("vec_id = 0")) == []
 
 
-def test_pivots_save_work():
+def test_blocks_and_bounds_save_work(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    centres = rng.normal(size=(20, 8)) * 1000
-    c = np.rint(centres[rng.integers(0, 20, 4000)] + rng.normal(size=(4000, 8)) * 20)
+    centres = rng.normal(size=(20, 8))
+    rows = [(i, (centres[rng.integers(0, 20)] + rng.normal(size=8) / 50).tolist()) for i in range(4000)]
+    met = []
+    own = topk_search._reachable
+    monkeypatch.setattr(topk_search, "BLOCK", 100)
+    monkeypatch.setattr(topk_search, "QUERIES", 4)
+    monkeypatch.setattr(topk_search, "_reachable", lambda asked, cand, longest: met.append((asked.select("qb").distinct().count() * cand.select("cb").distinct().count(), own(asked, cand, longest).count())) or own(asked, cand, longest))
+    assert searched(spark.createDataFrame(rows, "vec_id long, embedding array<float>")) == brute(rows, 10)
+    assert met[0][1] < met[0][0] / 2
+    c = np.array([[math.floor(1024 * x) for x in v] for _, v in rows], float)
     longest = float((c * c).sum(1).max())
-    lift = np.column_stack([c, np.sqrt(longest - (c * c).sum(1))])
-    *_, evaluated = topk_search.search_block(np.arange(5), c[:5], np.arange(4000), c, lift[rng.permutation(4000)[:24]], longest, 10)
-    assert evaluated < 5 * 4000 / 2
+    pivots = topk_search.chosen_pivots(c[:500], longest, 24)
+    far, mine = topk_search.distances(c, pivots, longest, False), topk_search.distances(c[:5], pivots, longest, True)
+    ids = np.arange(4000)
+    assert sum(topk_search.search_block(c[i], mine[i], i, -np.inf, c, far, ids, ids, longest, 10)[3] for i in range(5)) < 5 * 4000 / 2
 
 
 def test_shards(spark):
