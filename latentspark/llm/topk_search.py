@@ -18,8 +18,10 @@ from pyspark.sql import Window as W
 
 from latentspark.llm.common import stored
 
-#: Rows of a block of candidates and of queries; candidate blocks and query blocks whose bounds a task compares at a time.
-BLOCK, QUERIES, RANGES, GROUP = 8192, 512, 4096, 16
+#: Rows of a block of candidates and of queries (about); candidate blocks and query blocks whose bounds a task compares at a time.
+BLOCK, QUERIES, RANGES, GROUP = 8192, 1024, 4096, 8
+#: So many pairs of blocks are searched at once, without a first block.
+PAIRS = 4
 #: Pivots, and the rows that they are chosen from.
 PIVOTS, POOL = 24, 512
 _FLOATS = np.dtype("<f8")
@@ -124,16 +126,18 @@ def pivot_table(vectors: DataFrame, pivots: np.ndarray, longest: float) -> DataF
     return vectors.mapInPandas(rows, _TABLE)
 
 
-def _dealt(rows: DataFrame, size: int, name: str) -> tuple[DataFrame, dict[int, int]]:
-    """rows with the number of their block: rows of one nearest pivot, some `size` of them; and each pivot's first block."""
-    first, at = {}, 0
-    starts, counts = F.lit(0), F.lit(1)
-    for r in rows.groupBy("near").count().orderBy("near").collect():  # as many rows as pivots
-        n = -(-r["count"] // size)
-        starts, counts = F.when(F.col("near") == r["near"], at).otherwise(starts), F.when(F.col("near") == r["near"], n).otherwise(counts)
-        first[r["near"]] = at
-        at += n
-    return rows.withColumn(name, (starts + F.pmod(F.xxhash64("uid"), counts)).cast("int")), first
+def _dealt(counts: dict[int, int], size: int) -> tuple[Column, dict[int, int], int]:
+    """The block of a row (uid, near): some `size` rows a block, rows of one nearest pivot in blocks that follow each other. And the
+    first block of each pivot, and how many blocks there are. counts: rows by nearest pivot."""
+    total = max(1, sum(counts.values()))
+    blocks = -(-total // size)
+    first, at, place = {}, 0, F.lit(0)
+    for near, n in counts.items():
+        if n:
+            place = F.when(F.col("near") == near, F.lit(at) + F.pmod(F.xxhash64("uid"), F.lit(n))).otherwise(place)
+            first[near] = at * blocks // total
+            at += n
+    return F.floor(place * F.lit(blocks) / F.lit(total)).cast("int"), first, blocks
 
 
 def _reachable(asked: DataFrame, cand: DataFrame, longest: float) -> DataFrame:
@@ -193,7 +197,7 @@ def _search(pairs: DataFrame, cand: DataFrame, asked: DataFrame, dim: int, longe
         return pd.DataFrame(whole.astype(np.int64), columns=["query_uid", "query_id", "uid", "vec_id", "score"])
 
     side_q = pairs.join(asked, "qb").select("qb", "cb", "uid", "vec_id", "v", "far_query", "least")
-    side_c = pairs.join(cand, "cb").select(F.col("qb").alias("to"), F.col("cb").alias("of"), "uid", "vec_id", "v", "far")
+    side_c = pairs.join(cand, "cb").select(*[F.col(a).alias(b) for a, b in (("qb", "to"), ("cb", "of"), ("uid", "uid"), ("vec_id", "vec_id"), ("v", "v"), ("far", "far"))])
     return side_q.groupBy("qb", "cb").cogroup(side_c.groupBy("to", "of")).applyInPandas(pair, _FOUND)
 
 
@@ -214,19 +218,25 @@ def top_k(vectors: DataFrame, query: Column, k: int = 10, pivots: int = PIVOTS)
     # Pivots come from a bounded number of rows, whatever the table's size.
     pool = rows.orderBy(F.xxhash64("vec_id"), "uid").limit(POOL).collect()
     table = stored(pivot_table(rows, chosen_pivots(_matrix([r["v"] for r in pool], dim), longest, pivots), longest))
-    cand, first = _dealt(table, BLOCK, "cb")
-    asked, _ = _dealt(table.filter("query"), QUERIES, "qb")
-    asked = stored(asked)
-
-    # The first block of the queries' own pivot sets the score to reach.
-    home = F.lit(0)
-    for near, cb in first.items():
-        home = F.when(F.col("near") == near, cb).otherwise(home)
-    homes = asked.groupBy("qb").agg(F.min(home).cast("int").alias("cb"))
-    start = stored(_search(homes, cand, asked.withColumn("least", F.lit(-float("inf"))), dim, longest, k))
-    reached = start.groupBy("query_uid").agg(F.count("*").alias("n"), F.min("score").cast("double").alias("reached")).filter(F.col("n") >= k)
-    bounded = stored(asked.join(reached.select(F.col("query_uid").alias("uid"), "reached"), "uid", "left").withColumn("least", F.coalesce("reached", F.lit(-float("inf")))))
-    pairs = stored(_reachable(bounded, cand, longest).join(homes, ["qb", "cb"], "left_anti"))
-    found = start.unionByName(_search(pairs, cand, bounded, dim, longest, k))
+    near = table.groupBy("near").agg(F.count("*").alias("n"), F.count_if("query").alias("asked")).orderBy("near").collect()  # as many rows as pivots
+    cb, first, blocks = _dealt({r["near"]: r["n"] for r in near}, BLOCK)
+    qb, _, q_blocks = _dealt({r["near"]: r["asked"] for r in near}, QUERIES)
+    cand = table.withColumn("cb", cb)
+    asked = table.filter("query").withColumn("qb", qb)
+    anything = asked.withColumn("least", F.lit(-float("inf")))
+    if blocks * q_blocks <= PAIRS:
+        every = spark.createDataFrame([(i, j) for i in range(q_blocks) for j in range(blocks)], "qb int, cb int")
+        found = _search(every, cand, anything, dim, longest, k)
+    else:
+        # The first block of a pivot that is the nearest to some queries of a block sets the score to reach.
+        home = F.lit(0)
+        for pivot, block in first.items():
+            home = F.when(F.col("near") == pivot, block).otherwise(home)
+        homes = stored(asked.groupBy("qb").agg(F.min(home).cast("int").alias("cb")))
+        start = stored(_search(homes, cand, anything, dim, longest, k))
+        reached = start.groupBy(F.col("query_uid").alias("uid")).agg(F.count("*").alias("n"), F.min("score").cast("double").alias("least")).filter(F.col("n") >= k)
+        bounded = stored(asked.join(reached.select("uid", "least"), "uid", "left").withColumn("least", F.coalesce("least", F.lit(-float("inf")))))
+        pairs = stored(_reachable(bounded, cand, longest).join(homes, ["qb", "cb"], "left_anti"))
+        found = start.unionByName(_search(pairs, cand, bounded, dim, longest, k))
     rank = F.row_number().over(W.partitionBy("query_uid").orderBy(F.desc("score"), "vec_id", "uid"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
