@@ -2,7 +2,8 @@
 
 Each token is predicted from the tokens before it in its window: embeddings with positions, one masked
 attention layer, a feed-forward layer, and a softmax in two steps (first the cluster of the next token,
-then the token in it). Everything runs on batches of windows.
+then the token in it). A cluster's tokens either all begin a word or all go on with one, so the first step also gives
+the chance that a word ends. Everything runs on batches of windows.
 """
 
 from collections.abc import Iterator
@@ -14,10 +15,8 @@ import numpy as np
 WINDOW, OVERLAP = 32, 8
 #: Width of the model.
 DIM = 16
-#: Clusters of tokens in the order of their frequency: tokens of a cluster, up to which number. The last one goes on.
-SIZES = ((32, 512), (128, 4096), (1024, 1 << 16))
-#: A small vocabulary; `initial` takes any.
-VOCAB = 512
+#: Clusters of the tokens of a kind, in the order of their frequency: tokens of a cluster, up to which number.
+SIZES = ((32, 256), (128, 2048), (1024, 1 << 16))
 BATCH = 512
 #: Tokens that a share learns from at a time.
 HELD = 1 << 19
@@ -26,50 +25,64 @@ ENOUGH = 60_000
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
-def edges(vocab: int) -> np.ndarray:
-    """First token of each cluster, and the end of the last one."""
-    out, at = [0], 0
-    for size, last in SIZES:
-        while at < min(vocab, last):
-            at = min(at + size, vocab)
-            out.append(at)
-    return np.array(out)
+class Weights(dict):
+    """Arrays by name. Tokens below `begin` begin a word, the others go on with one; each of the two kinds is numbered by
+    frequency and has clusters of its own, so the clusters also tell whether a word ends."""
 
+    def __init__(self, begin: int, arrays: dict):
+        super().__init__(arrays)
+        self.begin = begin
 
-def clusters(w: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of the clusters, and the cluster of each token."""
-    e = edges(len(w["embed"]))
-    return e, np.repeat(np.arange(len(e) - 1, dtype=np.uint8), np.diff(e))
+    def __reduce__(self):
+        return Weights, (self.begin, dict(self))
 
 
-def shapes(vocab: int) -> dict[str, tuple[int, ...]]:
-    n = len(edges(vocab)) - 1
+def edges(begin: int, vocab: int) -> tuple[np.ndarray, int]:
+    """First token of each cluster, and the end of the last one; and how many clusters hold tokens that begin a word."""
+    out, at, kinds = [0], 0, []
+    for first, end in ((0, begin), (begin, vocab)):
+        for size, last in SIZES:
+            while at < min(end, first + last):
+                at = min(at + size, end)
+                out.append(at)
+        kinds.append(len(out) - 1)
+    return np.array(out), kinds[0]
+
+
+def clusters(w: Weights) -> tuple[np.ndarray, np.ndarray, int]:
+    """Edges of the clusters, the cluster of each token, and the number of clusters that begin words."""
+    e, first = edges(w.begin, len(w["embed"]))
+    return e, np.repeat(np.arange(len(e) - 1, dtype=np.uint8), np.diff(e)), first
+
+
+def shapes(begin: int, vocab: int) -> dict[str, tuple[int, ...]]:
+    n = len(edges(begin, vocab)[0]) - 1
     return {"embed": (vocab, DIM), "place": (WINDOW, DIM), "qkv": (DIM, 3 * DIM), "up": (DIM, 2 * DIM), "up_b": (2 * DIM,), "down": (2 * DIM, DIM), "cluster": (DIM, n), "cluster_b": (n,), "inner": (vocab, DIM), "inner_b": (vocab,)}
 
 
-def initial(counts: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]:
-    """Weights before training; the softmax starts from how often each token occurs. Tokens are numbered by frequency."""
+def initial(counts: np.ndarray, begin: int, seed: int = 3) -> Weights:
+    """Weights before training; the softmax starts from how often each token occurs."""
     rng = np.random.default_rng(seed)
     scale = {"embed": 0.3, "place": 0.1, "cluster": 0.3 / np.sqrt(DIM), "inner": 0.3 / np.sqrt(DIM)}
-    w = {k: rng.normal(0, scale.get(k, 1 / np.sqrt(s[0])), s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for k, s in shapes(len(counts)).items()}
+    w = Weights(begin, {k: rng.normal(0, scale.get(k, 1 / np.sqrt(s[0])), s).astype(np.float32) if len(s) > 1 else np.zeros(s, np.float32) for k, s in shapes(begin, len(counts)).items()})
     share = (counts + 0.5) / (counts.sum() + 0.5 * len(counts))
-    e, of = clusters(w)
+    e, of, _ = clusters(w)
     whole = np.add.reduceat(share, e[:-1])
     w["cluster_b"] = np.log(whole).astype(np.float32)
     w["inner_b"] = np.log(share / whole[of]).astype(np.float32)
     return w
 
 
-def flat(w: dict[str, np.ndarray]) -> np.ndarray:
+def flat(w: dict) -> np.ndarray:
     return np.concatenate([v.ravel() for v in w.values()])
 
 
-def unflat(v: np.ndarray, vocab: int) -> dict[str, np.ndarray]:
+def unflat(v: np.ndarray, begin: int, vocab: int) -> Weights:
     out, at = {}, 0
-    for k, s in shapes(vocab).items():
+    for k, s in shapes(begin, vocab).items():
         n = int(np.prod(s))
         out[k], at = v[at : at + n].reshape(s), at + n
-    return out
+    return Weights(begin, out)
 
 
 @dataclass
@@ -97,7 +110,7 @@ def windows(tokens: np.ndarray, lengths: np.ndarray, start: int, part: int = 1 <
         yield Windows(np.where(inside, before, start), tokens[at], scored)
 
 
-def _attend(w: dict, inputs: np.ndarray, fast: np.ndarray | None = None):
+def _attend(w: Weights, inputs: np.ndarray, fast: np.ndarray | None = None):
     """fast: `_table(w)`, which saves the projections of single tokens."""
     if fast is None:
         x = w["embed"][inputs] + w["place"]
@@ -121,11 +134,6 @@ def _table(w: dict) -> np.ndarray:
     return np.concatenate([w["embed"], w["embed"] @ w["qkv"]], -1)
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
-
-
 def _chosen(z: np.ndarray, target: np.ndarray) -> np.ndarray:
     """The log softmax of each row of z at one column."""
     np.minimum(z, 80, out=z)
@@ -134,29 +142,40 @@ def _chosen(z: np.ndarray, target: np.ndarray) -> np.ndarray:
     return own - np.log((z @ np.ones(z.shape[1], z.dtype)) + np.float32(1e-30))
 
 
-def log_chances(w: dict, tokens: np.ndarray, lengths: np.ndarray, start: int) -> np.ndarray:
-    """Natural log chance of every token of texts that follow each other in `tokens`."""
-    out, fast = [np.empty(0, np.float32)], _table(w)
+def log_chances(w: Weights, tokens: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Natural log chances of every token of texts that follow each other in `tokens`: that a token of its kind comes, and that it is
+    this one of its kind. Their sum is the token's chance."""
+    kind, rest, fast = [np.empty(0, np.float32)], [np.empty(0, np.float32)], _table(w)
     for win in windows(tokens, lengths, start):
         for at in range(0, len(win.inputs), BATCH):
             part = slice(at, at + BATCH)
             scored = win.scored[part]
-            out.append(_head(w, _attend(w, win.inputs[part], fast)[-1][scored], win.targets[part][scored]))
-    return np.concatenate(out)
+            found = _head(w, _attend(w, win.inputs[part], fast)[-1][scored], win.targets[part][scored])
+            kind.append(found[0])
+            rest.append(found[1])
+    return np.concatenate(kind), np.concatenate(rest)
 
 
-def _head(w: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    e, of = clusters(w)
+def _head(w: Weights, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    e, of, first = clusters(w)
     order = np.argsort(of[target], kind="stable")
     h, target = h[order], target[order]
     cluster = of[target]
-    total = _chosen(h @ w["cluster"] + w["cluster_b"], cluster)
+    z = h @ w["cluster"] + w["cluster_b"]
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), cluster]
+    np.exp(z, out=z)
+    kinds = np.zeros((z.shape[1], 2), z.dtype)
+    kinds[:first, 0] = kinds[first:, 1] = 1
+    mass = z @ kinds + np.float32(1e-30)
+    mine = mass[np.arange(len(z)), (target >= w.begin).astype(np.int64)]
+    kind, rest = np.log(mine / mass.sum(1)), own - np.log(mine)
     ends = np.searchsorted(cluster, np.arange(len(e)))
     for c in np.flatnonzero(np.diff(ends)):
-        rows, own = slice(ends[c], ends[c + 1]), slice(e[c], e[c + 1])
-        total[rows] += _chosen(h[rows] @ w["inner"][own].T + w["inner_b"][own], target[rows] - e[c])
-    out = np.empty_like(total)
-    out[order] = total
+        rows, inner = slice(ends[c], ends[c + 1]), slice(e[c], e[c + 1])
+        rest[rows] += _chosen(h[rows] @ w["inner"][inner].T + w["inner_b"][inner], target[rows] - e[c])
+    out = np.empty_like(kind), np.empty_like(rest)
+    out[0][order], out[1][order] = kind, rest
     return out
 
 
@@ -172,12 +191,12 @@ def _log_softmax_gradient(z: np.ndarray, target: np.ndarray, n: int) -> float:
     return float(np.log(total).sum() - own.sum())
 
 
-def gradient(w: dict, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[dict, float]:
+def gradient(w: Weights, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[dict, float]:
     """Gradient of the mean negative log chance, and that mean."""
     x, q, k, v, a, total, h, r, z = _attend(w, inputs)
     a /= total
     g = {}
-    e, of = clusters(w)
+    e, of, _ = clusters(w)
     at = np.flatnonzero(scored)
     at = at[np.argsort(of[targets.ravel()[at]], kind="stable")]
     two = lambda m: m.reshape(-1, m.shape[-1])
@@ -219,9 +238,9 @@ def gradient(w: dict, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarra
 class Adam:
     """Weights that learn; `squares` sums the squared gradients that each weight met."""
 
-    def __init__(self, w: dict):
-        self.vocab, self.v, self.i = len(w["embed"]), flat(w), 0
-        self.w = unflat(self.v, self.vocab)
+    def __init__(self, w: Weights):
+        self.v, self.i = flat(w), 0
+        self.w = unflat(self.v, w.begin, len(w["embed"]))
         self.m, self.s, self.squares, self.work = (np.zeros_like(self.v) for _ in range(4))
 
     def step(self, win: Windows, rate: float) -> None:
@@ -242,7 +261,7 @@ class Adam:
         self.v -= work
 
 
-def train(w: dict, tokens: np.ndarray, lengths: np.ndarray, start: int, rate: float = 0.01, seed: int = 0, batch: int = 64) -> dict:
+def train(w: Weights, tokens: np.ndarray, lengths: np.ndarray, start: int, rate: float = 0.01, seed: int = 0, batch: int = 64) -> Weights:
     """Adam over the windows, in an order drawn from the seed; few windows are seen up to 8 times."""
     if not len(tokens):
         return w
@@ -261,7 +280,7 @@ def train(w: dict, tokens: np.ndarray, lengths: np.ndarray, start: int, rate: fl
 class Share:
     """Weights that learn from one share of the documents, a batch of documents at a time."""
 
-    def __init__(self, w: dict, start: int, documents: float, rate: float = 0.003):
+    def __init__(self, w: Weights, start: int, documents: float, rate: float = 0.003):
         self.adam, self.start, self.documents, self.rate = Adam(w), start, documents, rate
         self.held, self.tokens, self.done, self.rng = [], 0, 0, np.random.default_rng(0)
 

@@ -14,20 +14,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The application's folder below spark.checkpoint.dir; one of our own only where none is set."""
+    """The application's folder below spark.checkpoint.dir. Where none is set, a local session gets a temporary folder; elsewhere
+    that is an error, as executors would not share it."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="latentspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="latentspark-"))
     return sc.getCheckpointDir()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows written once as Parquet to the shared folder and read again: lineage ends here,
+def stored(df: DataFrame, *partitions: str) -> DataFrame:
+    """The rows written once as Parquet to the shared folder (in folders by `partitions`) and read again: lineage ends here,
     and a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stored/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(_nullable(df.schema)).parquet(path)
+    df.write.partitionBy(*partitions).parquet(path)
+    out = spark.read.schema(_nullable(df.schema)).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes tables that `stored` gave, once nothing reads them any more."""
+    for df in frames:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def _nullable(schema: T.StructType) -> T.StructType:
@@ -50,14 +63,17 @@ def ranked(df: DataFrame, keys: list[str], order: list, name: str, buckets: int
 
 
 def most_frequent(counts: DataFrame, size: int, n: str = "n") -> DataFrame:
-    """The rows of counts with the largest n, `size` at most: all from some n on.
+    """Rows of counts with the largest n, `size` at most.
 
-    That n comes from a histogram of some hundred classes of n, so no task sends its own best rows to the driver."""
+    Rows fall into some hundred classes of n; classes are taken whole while they fit, and of the next one as many
+    as there is room for, by a hash of the row. A histogram decides that, so no task sends its own best rows to the driver."""
     level = F.floor(F.log2(F.col(n)) * 16).cast("int")
-    seen, least = 0, None
-    for r in counts.filter(F.col(n) > 0).groupBy(level.alias("level")).agg(F.count("*").alias("rows"), F.min(n).alias("least")).orderBy(F.desc("level")).collect():
-        seen += r["rows"]
-        if seen > size:
-            break
-        least = r["least"]
-    return counts.filter(F.col(n) >= least) if least is not None else counts.limit(0)
+    place = F.pmod(F.xxhash64(*counts.columns), F.lit(1 << 30))
+    whole, room = F.lit(False), size
+    for r in counts.filter(F.col(n) > 0).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        here = (F.col(n) > 0) & (level == r["level"])
+        if r["count"] > room:
+            rest = counts.filter(here & (place < int((1 << 30) * room / r["count"]))).limit(room)
+            return counts.filter(whole).unionAll(rest)
+        whole, room = whole | here, room - r["count"]
+    return counts.filter(whole)

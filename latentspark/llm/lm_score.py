@@ -1,39 +1,45 @@
 """Language-model scores of whole texts.
 
-A word's chance is the mean of two: that of its subword ids under the causal self-attention model, which sees the
-tokens before it, and its smoothed share of all words of the training documents. Word and subword counts are gathered
-from all training documents; they also give the network its output biases. The network knows all ids of the tokenizer.
-Its weights start from a fit on some documents; then each share of all training documents goes on from there, and
-the shares' weights are averaged, each by the squared gradients that it met in the share.
-
-The most frequent words' counts (a bounded number) go to the executors; occurrences of the others meet their counts in
-a join.
+A word's chance is the mean of two distributions over words: its share of all words of the training documents, and
+its chance under the causal self-attention model, which sees the tokens before it and gives the word's subword
+ids one after the other and then that the word ends. Both sum to one over all words, so their mean does, and the score
+is the log of a probability. Word and subword counts are gathered from all training documents; they also give the network
+its first output biases. The network knows all ids of the tokenizer. Its weights start from a fit on some
+documents; then each share of all training documents goes on from there, and the shares' weights are averaged,
+each by the squared gradients that it met in the share.
+
+Texts are tokenised once, to a table of ids, with the counts of words. Words are told apart by 64-bit hashes of their
+ids. The most frequent words' counts (a bounded number) go to the executors; occurrences of the others meet their counts
+in a join.
 """
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import tiktoken
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.llm import attention_lm as net
-from latentspark.llm.common import most_frequent, stored
+from latentspark.llm.common import drop, most_frequent, stored
 from latentspark.llm.langid import remainder
-
-#: Documents (about) that the network's first fit sees, and those of a share, which goes on from there; words whose counts are sent to the executors; words that a task remembers.
-TRAIN_DOCS, SHARE_DOCS, HEAD, MEMO = 1500, 4096, 1 << 17, 300_000
+from latentspark.llm.shingles import mixed
+
+#: Documents (about) that the network's first fit sees, and those of a share, which goes on from there.
+TRAIN_DOCS, SHARE_DOCS = 1500, 4096
+#: Words whose counts are sent to the executors, and places of their table.
+HEAD, PLACES = 1 << 17, 1 << 20
+#: Words that a task counts and texts that it remembers before it passes them on.
+MEMO = 300_000
 #: Weights of a row while shares are averaged.
 CHUNK = 1 << 15
-#: Share of the network in a word's chance, and the smoothing of the word counts.
+#: Share of the network in a word's chance, and the smoothing of the base score's counts.
 SHARE, ADD = 0.5, 0.1
-#: Bytes of text that are scored at a time.
-AT_ONCE = 1 << 20
+#: Subword ids that are scored at a time, as long as a text ends there.
+AT_ONCE = 1 << 19
 
 
 @lru_cache(maxsize=2)
@@ -43,157 +49,171 @@ def _encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=2)
+def begins(ranks_path: str, pattern: str) -> np.ndarray:
+    """Which ids begin a word: those whose bytes begin with a space, and the end of a text, which is the last id."""
+    encoding = _encoding(ranks_path, pattern)
+    return np.array([encoding.decode_single_token_bytes(i).startswith(b" ") for i in range(encoding.n_vocab)] + [True])
+
+
 def split_words(text: str | None) -> list[bytes]:
     """Runs without ASCII white space, A-Z lower-cased."""
     return (text or "").encode().lower().split()
 
 
-def word_hash(word: bytes) -> int:
-    """As Spark's xxhash64 of a binary column."""
-    h = xxhash.xxh64_intdigest(word, 42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def subwords(encoding: tiktoken.Encoding, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words, each with a space before it, and how many each word has; found in one call, as every word begins
-    at the only spaces there are."""
-    if not words:
-        return np.empty(0, np.uint16), np.empty(0, np.int64)
-    ids = encoding.encode_to_numpy(" " + b" ".join(words).decode())
-    starts = np.flatnonzero(_begins(encoding)[ids])
-    if len(starts) != len(words):  # unusual white space was drawn over a border
-        parts = [encoding.encode_ordinary(" " + w.decode()) for w in words]
-        return np.array([i for p in parts for i in p], np.uint16), np.array([len(p) for p in parts])
-    return ids.astype(np.uint16), np.diff(np.append(starts, len(ids)))
-
-
-@lru_cache(maxsize=2)
-def _begins(encoding: tiktoken.Encoding) -> np.ndarray:
-    """Which ids begin with a space."""
-    return np.array([encoding.decode_single_token_bytes(i).startswith(b" ") for i in range(encoding.n_vocab)])
-
-
-class Words(dict):
-    """Words met so far, numbered; `settle` finds the hash and subword ids of new ones. Number 0 is the end of a text."""
+class Subwords(dict):
+    """Words met so far, with their ids as bytes; each word is encoded with a space before it."""
 
     def __init__(self, ranks_path: str, pattern: str):
         super().__init__()
-        self.encoding = _encoding(ranks_path, pattern)
-        self.end = self.encoding.n_vocab
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self[b""] = 0
-        self.pieces = [np.array([self.end], np.uint16).tobytes()]
-        self.size = np.ones(1, np.int64)
-        self.hashes = np.array([word_hash(b"")])
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.new.append(word)
-        return number
-
-    def settle(self) -> np.ndarray:
-        """The new words' hashes."""
-        new, self.new = self.new, []
-        ids, size = subwords(self.encoding, new)
-        raw, ends = ids.tobytes(), (2 * np.cumsum(size)).tolist()
-        self.pieces += [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        self.size = np.concatenate([self.size, size])
-        hashes = np.fromiter(map(word_hash, new), np.int64, len(new))
-        self.hashes = np.concatenate([self.hashes, hashes])
-        return hashes
-
-    def read(self, texts) -> tuple[list[int], np.ndarray]:
-        """The numbers of all texts' words, each text followed by its end, and how many these are for each text."""
-        flat: list[int] = []
-        ends = []
-        for text in texts:
-            flat.extend(map(self.__getitem__, split_words(text)))
-            flat.append(0)
-            ends.append(len(flat))
-        return flat, np.diff(np.array([0, *ends]))
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word (binary; the empty one is the end of a text), n: how often each occurs in a column of texts."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in batch.text:
-                seen.update(split_words(text))
-                seen[b""] += 1
-            if len(seen) > MEMO:
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen = Counter()
-        if seen:
-            yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-
-    return texts.select("text").mapInPandas(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+        self.encoding, self.begins = _encoding(ranks_path, pattern), begins(ranks_path, pattern)
+        self.end = np.array([self.encoding.n_vocab], np.uint16).tobytes()
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word, found in one call, as every word begins at the only spaces there are."""
+        ids = self.encoding.encode_to_numpy(" " + b" ".join(words).decode()).astype(np.uint16)
+        starts = np.flatnonzero(self.begins[ids])
+        if len(starts) != len(words):  # unusual white space was drawn over a border
+            return [np.array(self.encoding.encode_ordinary(" " + w.decode()), np.uint16).tobytes() for w in words]
+        raw, cuts = ids.tobytes(), (2 * np.append(starts, len(ids))).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def of(self, texts) -> list[bytes]:
+        """The ids of each text as 16-bit numbers, its end last."""
+        words = [split_words(t) for t in texts]
+        if len(self) > MEMO:
+            self.clear()
+        new = list({w for text in words for w in text}.difference(self))
+        if new:
+            self.update(zip(new, self.encode(new), strict=True))
+        return [b"".join(map(self.__getitem__, text)) + self.end for text in words]
+
+
+def word_hashes(ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the ids of each word; starts: where words begin in `ids`."""
+    if not len(starts):
+        return np.empty(0, np.int64)
+    place = np.arange(len(ids)) - np.repeat(starts, np.diff(np.append(starts, len(ids)))) + 1
+    return mixed(np.add.reduceat(mixed(ids.astype(np.uint64) + (place.astype(np.uint64) << np.uint64(16))), starts)).view(np.int64)
+
+
+#: Kinds of rows of the one pass over the texts.
+TEXT, WORD, ID = 0, 1, 2
+_READ = "kind int, key long, n long, doc_id string, held_out boolean, ids binary"
+
+
+def read_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """Of docs (uid, order, doc_id, held_out, text): a TEXT row each (uid, order, ids), and partial counts n of words by hash
+    and of ids, from the texts that are not held out."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        words, first = Subwords(ranks_path, pattern), begins(ranks_path, pattern)
+        ids_seen = np.zeros(len(first), np.int64)
+        hashes, counts, due = [], [], 0
+
+        def rows(kind: int, key: np.ndarray, n: np.ndarray) -> pd.DataFrame:
+            return pd.DataFrame({"kind": kind, "key": key, "n": n, "doc_id": None, "held_out": None, "ids": None})
+
+        def fold() -> None:
+            value, at = np.unique(np.concatenate(hashes), return_inverse=True)
+            total = np.bincount(at, np.concatenate(counts), minlength=len(value)).astype(np.int64)
+            hashes[:], counts[:] = [value], [total]
 
-
-def id_counts_of(counts: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """id, n: how often each subword id occurs, from the words' counts."""
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = _encoding(ranks_path, pattern)
-        total = np.zeros(1 << 16)
         for batch in batches:
-            words, n = batch.word.to_list(), batch.n.to_numpy(float)
-            real = np.array([bool(w) for w in words], bool)
-            ids, size = subwords(encoding, [bytes(w) for w in words if w])
-            total += np.bincount(ids, np.repeat(n[real], size), minlength=len(total))
-            total[encoding.n_vocab] += n[~real].sum()
-        own = np.flatnonzero(total)
-        yield pd.DataFrame({"id": own, "n": total[own].astype(np.int64)})
-
-    return counts.mapInPandas(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-
-
-def numbered(id_counts: np.ndarray) -> np.ndarray:
-    """Of each id its number in the network: by frequency."""
+            # Texts of some size at a time, whatever the batch.
+            cuts = np.flatnonzero(np.diff(np.cumsum([len(t or "") for t in batch.text]) // (2 * AT_ONCE))) + 1
+            for part in np.split(np.arange(len(batch)), cuts):
+                mine = batch.iloc[part]
+                ids = words.of(mine.text)
+                yield pd.DataFrame({"kind": TEXT, "key": mine.uid.array, "n": mine.order.array, "doc_id": mine.doc_id.array, "held_out": mine.held_out.array, "ids": ids})
+                flat = np.frombuffer(b"".join(i for i, held in zip(ids, mine.held_out, strict=True) if not held), np.uint16)
+                if not len(flat):
+                    continue
+                ids_seen += np.bincount(flat, minlength=len(first))
+                value, n = np.unique(word_hashes(flat, np.flatnonzero(first[flat])), return_counts=True)
+                hashes.append(value)
+                counts.append(n)
+                due += len(value)
+                if due > MEMO:
+                    fold()
+                    due = len(hashes[0])
+                    if due > MEMO:
+                        yield rows(WORD, hashes[0], counts[0])
+                        hashes, counts, due = [], [], 0
+        if hashes:
+            fold()
+            yield rows(WORD, hashes[0], counts[0])
+        own = np.flatnonzero(ids_seen)
+        yield rows(ID, own, ids_seen[own])
+
+    return docs.select("uid", "order", "doc_id", "held_out", "text").mapInPandas(read, _READ)
+
+
+def numbered(id_counts: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each id its number in the network: those that begin words come first, each kind by frequency."""
     known = np.empty(len(id_counts), np.int64)
-    known[np.argsort(-id_counts, kind="stable")] = np.arange(len(id_counts))
+    known[np.lexsort((-id_counts, ~first))] = np.arange(len(id_counts))
     return known
 
 
+def untrained(id_counts: np.ndarray, first: np.ndarray) -> net.Weights:
+    by_number = np.empty_like(id_counts)
+    by_number[numbered(id_counts, first)] = id_counts
+    return net.initial(by_number, int(first.sum()))
+
+
 class Scorer:
     """What a task needs: the network, its numbers of the ids, and the frequent words' counts."""
 
-    def __init__(self, weights: dict, id_counts: np.ndarray, head: tuple[np.ndarray, np.ndarray], total: int, distinct: int):
-        self.weights = weights
-        self.known = numbered(id_counts)
-        self.head_hash, self.head_count = head
+    def __init__(self, weights: net.Weights, known: np.ndarray, first: np.ndarray, head: tuple[np.ndarray, np.ndarray], total: int, distinct: int):
+        self.weights, self.known, self.first, self.total = weights, known, first, total
         self.scale = total + ADD * (distinct + 1)
+        # One word a place; words that meet at a place but for the last are joined like rare ones.
+        self.hashes, self.counts = np.zeros(PLACES, np.int64), np.full(PLACES, -1.0)
+        at = head[0] & (PLACES - 1)
+        self.hashes[at], self.counts[at] = head
 
-    def counts(self, hashes: np.ndarray) -> np.ndarray:
+    def frequent(self, hashes: np.ndarray) -> np.ndarray:
         """Counts of frequent words; -1 of others."""
-        if not len(self.head_hash):
-            return np.full(len(hashes), -1.0)
-        at = np.minimum(np.searchsorted(self.head_hash, hashes), len(self.head_hash) - 1)
-        return np.where(self.head_hash[at] == hashes, self.head_count[at], -1.0)
-
-    def word_chances(self, words: Words, flat: list[int], numbers: np.ndarray, per_text: np.ndarray) -> np.ndarray:
-        """Natural log of the network's chance of every word of the texts, one text after the other."""
-        raw = np.frombuffer(b"".join([words.pieces[n] for n in flat]), np.uint16)
-        size = words.size[numbers]
-        ends = np.cumsum(size)
-        lengths = np.diff(np.concatenate([[0], ends[np.cumsum(per_text) - 1]]))
-        chances = net.log_chances(self.weights, self.known[raw], lengths, int(self.known[words.end])).astype(np.float64)
-        return np.add.reduceat(chances, ends - size)
-
-
-def _fit(sample: list[np.ndarray], id_counts: np.ndarray, end: int) -> dict:
-    known = numbered(id_counts)
-    tokens = [known[x] for x in sample]
-    flat = np.concatenate(tokens) if tokens else np.empty(0, np.int64)
-    return net.train(net.initial(-np.sort(-id_counts)), flat, np.array([len(t) for t in tokens], np.int64), int(known[end]), batch=128)
-
-
-def fit_shares(encoded: DataFrame, w: dict, known: np.ndarray, end: int, documents: int) -> dict:
+        at = hashes & (PLACES - 1)
+        return np.where(self.hashes[at] == hashes, self.counts[at], -1.0)
+
+    def word_chances(self, ids: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Natural log of the network's chance of every word of the texts, one text after the other: its ids, the first
+        one among those that begin words, and then that the word ends. A text's end is a word and needs no other."""
+        kind, rest = net.log_chances(self.weights, self.known[ids], lengths, int(self.known[-1]))
+        kind = kind.astype(np.float64)
+        inside = np.add.reduceat(kind + rest, starts) - kind[starts]
+        after = np.append(kind[starts[1:]], 0)
+        after[np.searchsorted(starts, np.cumsum(lengths) - 1)] = 0
+        return inside + after
+
+    def score(self, batch: pd.DataFrame) -> pd.DataFrame:
+        """Per text its sums over frequent words, and the hashes and network's chances of the others."""
+        lengths = np.array([len(i) // 2 for i in batch.ids], np.int64)
+        ids = np.frombuffer(b"".join(batch.ids), np.uint16)
+        starts = np.flatnonzero(self.first[ids])
+        chance = self.word_chances(ids, lengths, starts)
+        hashes = word_hashes(ids, starts)
+        count = self.frequent(hashes)
+        rare = count < 0
+        begin = np.searchsorted(starts, np.cumsum(lengths) - lengths)
+        sums = lambda x: np.add.reduceat(np.where(rare, 0, x), begin)
+        seen = np.maximum(count, 0)
+        both = np.log10(SHARE * np.exp(chance) + ((1 - SHARE) / max(1, self.total)) * seen + 1e-300)
+        cuts = np.append(0, np.cumsum(rare))[np.append(begin, len(starts))]
+        cut = lambda x: [x[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        new = {"n_tokens": np.diff(np.append(begin, len(starts))), "n_known": sums((count > 0).astype(np.int64)), "base": sums(np.log10(seen + ADD)), "score": sums(both), "hashes": cut(hashes[rare]), "chances": cut(chance[rare].astype(np.float32))}
+        return pd.DataFrame({"uid": batch.key.to_numpy(), "doc_id": batch.doc_id.array, "held_out": batch.held_out.to_numpy()} | new)
+
+
+def first_fit(sample: list[np.ndarray], id_counts: np.ndarray, first: np.ndarray) -> net.Weights:
+    known = numbered(id_counts, first)
+    flat = known[np.concatenate(sample)] if sample else np.empty(0, np.int64)
+    return net.train(untrained(id_counts, first), flat, np.array([len(t) for t in sample], np.int64), int(known[-1]), batch=128)
+
+
+def fit_shares(encoded: DataFrame, w: net.Weights, known: np.ndarray, documents: int) -> net.Weights:
     """The weights after all documents (order, ids: subword ids as 16-bit numbers) have been learnt from, `documents` in all.
 
     Documents are dealt over shares by their order, a hash; tasks learn one share after the other, each from w."""
@@ -218,7 +238,7 @@ def fit_shares(encoded: DataFrame, w: dict, known: np.ndarray, end: int, documen
                 if share != now:
                     if state:
                         yield done()
-                    now, state = share, net.Share(w, int(known[end]), documents / shares)
+                    now, state = share, net.Share(w, int(known[-1]), documents / shares)
                 state.add(known[np.frombuffer(ids, np.uint16)])
         if state:
             yield done()
@@ -236,7 +256,8 @@ def fit_shares(encoded: DataFrame, w: dict, known: np.ndarray, end: int, documen
     dealt = encoded.withColumn("share", F.pmod("order", F.lit(shares))).repartition(shares, "share").sortWithinPartitions("share", "order", "ids")
     learnt = stored(dealt.select("share", "ids").mapInPandas(learn, "chunk int, top binary, weight binary"))
     moved = learnt.repartition("chunk").sortWithinPartitions("chunk", F.xxhash64("top")).mapInPandas(add, "chunk int, moved binary").collect()  # as many numbers as the network has
-    return net.unflat(net.flat(w) + np.concatenate([np.frombuffer(bytes(r["moved"]), np.float32) for r in sorted(moved, key=lambda r: r["chunk"])]), vocab)
+    drop(learnt)
+    return net.unflat(net.flat(w) + np.concatenate([np.frombuffer(bytes(r["moved"]), np.float32) for r in sorted(moved, key=lambda r: r["chunk"])]), w.begin, vocab)
 
 
 _SCORED = "uid long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, score double, hashes array<long>, chances array<float>"
@@ -244,99 +265,63 @@ _SCORED = "uid long, doc_id string, held_out boolean, n_tokens long, n_known lon
 
 def score_documents(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """Per document: doc_id, held_out (crc32(doc_id) mod 10 is 0; those teach nothing), n_tokens (words and one end), n_known (seen in
-    training), train_tokens, base_score (smoothed word shares, log10) and score (the model's log10 probability of the whole text).
-
-    Needs doc_id and text; further columns are left out. Null and empty texts are one end. Repeated rows repeat; without any training
-    document every count is 0 and the chances are even; no rows give none. Words are told apart by 64-bit hashes."""
-    spark = docs.sparkSession
-    split = docs.select(F.col("doc_id").cast("long"), "text", (remainder("doc_id", 10) == 0).alias("held_out"))
-    training = split.filter("NOT held_out")
-    counts = stored(word_counts(training).withColumn("hash", F.xxhash64("word")))
+    training), train_tokens, base_score (smoothed word shares, log10) and score (the model's log10 probability of the whole text,
+    as its words and the end).
+
+    Needs doc_id and text; further columns are left out, whatever they are called. Null and empty texts are one end. Repeated rows
+    repeat; without any training document every count is 0 and the network is as it starts; no rows give none."""
+    spark, first = docs.sparkSession, begins(ranks_path, pattern)
+    split = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (remainder("doc_id", 10) == 0).alias("held_out"))
+    # Ids pass through Python as text: there, numbers with nulls among them would lose digits.
+    rows = split.select(F.monotonically_increasing_id().alias("uid"), F.xxhash64("doc_id", "text").alias("order"), F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text")
+    read = stored(read_texts(rows, ranks_path, pattern), "kind")
+    texts = read.filter(F.col("kind") == TEXT)
+    counts = stored(read.filter(F.col("kind") == WORD).groupBy(F.col("key").alias("hash")).agg(F.sum("n").alias("n")))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    vocab = Words(ranks_path, pattern)
-    id_counts = np.zeros(vocab.end + 1)
-    own = id_counts_of(counts.select("word", "n"), ranks_path, pattern).toPandas()  # at most as many rows as the tokenizer has ids
-    id_counts[own.id.to_numpy()] = own.n.to_numpy()
-    head = most_frequent(counts.select("hash", "n"), HEAD).toPandas().sort_values("hash")
+    id_counts = np.zeros(len(first))
+    for r in read.filter(F.col("kind") == ID).groupBy("key").agg(F.sum("n").alias("n")).collect():  # at most as many rows as the tokenizer has ids
+        id_counts[r["key"]] = r["n"]
+    head = most_frequent(counts, HEAD).toPandas()
 
     # About TRAIN_DOCS training documents for the first fit; their subword ids are what reaches the driver.
+    training = texts.filter("NOT held_out").select(F.col("n").alias("order"), "ids")
     n_docs = training.count()
-    chosen = training.filter(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, TRAIN_DOCS / max(1, n_docs)))).limit(2 * TRAIN_DOCS)
-
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = Words(ranks_path, pattern)
-        for batch in batches:
-            rows = [w.read([t])[0] for t in batch.text]
-            w.settle()
-            yield pd.DataFrame({"order": batch.order, "ids": [b"".join([w.pieces[n] for n in r]) for r in rows]})
-            if len(w) > MEMO:
-                w.clear()
-
-    ids_of = lambda rows: rows.select(F.xxhash64("doc_id", "text").alias("order"), "text").mapInPandas(encode, "order long, ids binary")
-    sample = [np.frombuffer(bytes(r["ids"]), np.uint16) for r in ids_of(chosen).collect()]
-    weights = fit_shares(ids_of(training), _fit(sample, id_counts, vocab.end), numbered(id_counts), vocab.end, n_docs)
-    scorer = Scorer(weights, id_counts, (head.hash.to_numpy(), head.n.to_numpy()), total, distinct)
-    shared = spark.sparkContext.broadcast(scorer)
+    place = F.pmod(F.xxhash64("order", F.lit(13)), F.lit(1 << 30))
+    chosen = training.filter(place < int((1 << 30) * min(1.0, TRAIN_DOCS / max(1, n_docs)))).limit(2 * TRAIN_DOCS)
+    sample = [np.frombuffer(bytes(r["ids"]), np.uint16) for r in chosen.collect()]
+    known = numbered(id_counts, first)
+    weights = fit_shares(training, first_fit(sample, id_counts, first), known, n_docs)
+    shared = spark.sparkContext.broadcast(Scorer(weights, known, first, (head["hash"].to_numpy(np.int64), head["n"].to_numpy(float)), total, distinct))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        s, words = shared.value, Known(shared.value, ranks_path, pattern)
         for batch in batches:
-            at = 0
-            bounds = np.cumsum([len(t or "") for t in batch.text]) // AT_ONCE
-            for end in [*(np.flatnonzero(np.diff(bounds)) + 1).tolist(), len(batch)]:
-                part = batch.iloc[at:end]
-                at = end
+            cuts = np.flatnonzero(np.diff(np.cumsum([len(i) // 2 for i in batch.ids]) // AT_ONCE)) + 1
+            for part in np.split(np.arange(len(batch)), cuts):
                 if len(part):
-                    yield _scored(s, words, part)
-
-    # Ids pass through Python as text: there, numbers with nulls among them would lose digits.
-    rows = split.withColumn("uid", F.monotonically_increasing_id()).select("uid", F.col("doc_id").cast("string").alias("doc_id"), "held_out", "text")
-    scored = stored(rows.mapInPandas(score, _SCORED).withColumn("doc_id", F.col("doc_id").cast("long")))
+                    yield shared.value.score(batch.iloc[part])
 
-    scale = float(scorer.scale)
+    scored = stored(texts.select("key", "doc_id", "held_out", "ids").mapInPandas(score, _SCORED).withColumn("doc_id", F.col("doc_id").cast("long")))
+    drop(read)
+    scale = float(total + ADD * (distinct + 1))
     rare = scored.select("uid", F.explode(F.arrays_zip("hashes", "chances")).alias("w")).select("uid", F.col("w.hashes").alias("hash"), F.col("w.chances").cast("double").alias("chance"))
-    seen = F.coalesce(F.col("n"), F.lit(0))
-    share = (seen + ADD) / scale
-    # Frequent words took their counts along; the others' occurrences are spread over many keys.
-    met = rare.join(counts.select("hash", "n"), "hash", "left").groupBy("uid").agg(F.sum((seen > 0).cast("long")).alias("more_known"), F.sum(F.log10(seen + ADD)).alias("more_base"), F.sum(F.log10(SHARE * F.exp("chance") + (1 - SHARE) * share)).alias("more_score"))
-    both = scored.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(met, "uid", "left")
+    met = joined_counts(rare, counts)
+    share = F.col("n") / float(max(1, total))
+    both = F.when(F.col("n") > 0, F.log10(SHARE * F.exp("chance") + (1 - SHARE) * share)).otherwise(F.col("chance") * float(np.log10(np.e)) + float(np.log10(SHARE)))
+    met = met.groupBy("uid").agg(F.sum((F.col("n") > 0).cast("long")).alias("more_known"), F.sum(F.log10(F.col("n") + ADD)).alias("more_base"), F.sum(both).alias("more_score"))
+    whole = scored.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "base", "score").join(met, "uid", "left")
     add = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     base = add("base", "more_base") - F.col("n_tokens") * float(np.log10(scale))
-    return both.select("doc_id", "held_out", "n_tokens", add("n_known", "more_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), add("score", "more_score").alias("score"))
-
-
-class Known(Words):
-    """Words with the scorer's counts: of frequent ones log10 of the smoothed count and the share of all words, else NaN."""
-
-    def __init__(self, scorer: Scorer, ranks_path: str, pattern: str):
-        self.scorer = scorer
-        super().__init__(ranks_path, pattern)
-
-    def clear(self) -> None:
-        super().clear()
-        self.count = self.scorer.counts(self.hashes)
-
-    def settle(self) -> np.ndarray:
-        hashes = super().settle()
-        self.count = np.concatenate([self.count, self.scorer.counts(hashes)])
-        return hashes
-
-
-def _scored(s: Scorer, words: Known, part: pd.DataFrame) -> pd.DataFrame:
-    if len(words) > MEMO:
-        words.clear()
-    flat, per_text = words.read(part.text)
-    words.settle()
-    numbers = np.array(flat)
-    chance = s.word_chances(words, flat, numbers, per_text)
-    count = words.count[numbers]
-    head = count >= 0
-    seen = np.where(head, count, 0) + ADD
-    log_count = np.where(head, np.log10(seen), 0)
-    mixed = np.where(head, np.log10(SHARE * np.exp(chance) + (1 - SHARE) / s.scale * seen), 0)
-    starts = np.concatenate([[0], np.cumsum(per_text)])
-    sums = lambda x: np.add.reduceat(x, starts[:-1])
-    tail_at = np.concatenate([[0], np.cumsum(~head)])[starts]
-    tail_hash, tail_chance = words.hashes[numbers[~head]], chance[~head].astype(np.float32)
-    cut = lambda x: [x[a:b] for a, b in zip(tail_at, tail_at[1:], strict=False)]
-    return pd.DataFrame({"uid": part.uid.to_numpy(), "doc_id": part.doc_id.array, "held_out": part.held_out.to_numpy(), "n_tokens": per_text, "n_known": sums((count > 0).astype(np.int64)), "base": sums(log_count), "score": sums(mixed), "hashes": cut(tail_hash), "chances": cut(tail_chance)})
+    return whole.select("doc_id", "held_out", "n_tokens", add("n_known", "more_known").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), add("score", "more_score").alias("score"))
+
+
+def joined_counts(rare: DataFrame, counts: DataFrame) -> DataFrame:
+    """rare (uid, hash, chance) with the count n of each hash, 0 where training has none.
+
+    A word that only held-out texts have may still be frequent there: hashes that make up a thousandth of `rare` each, a thousand at
+    most, meet their counts by a broadcast; the others are spread over many keys."""
+    n = rare.count()
+    often = rare.groupBy("hash").count().filter(F.col("count") * 1000 > n).select("hash")
+    hot = stored(often.join(counts, "hash", "left").select("hash", F.coalesce("n", F.lit(0)).alias("n")))
+    few = F.broadcast(hot)
+    cold = rare.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(counts, "hash", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rare.join(few, "hash").unionByName(cold) if not hot.isEmpty() else cold
