@@ -69,11 +69,10 @@ def most_frequent(counts: DataFrame, size: int, n: str = "n") -> DataFrame:
     as there is room for, by a hash of the row. A histogram decides that, so no task sends its own best rows to the driver."""
     level = F.floor(F.log2(F.col(n)) * 16).cast("int")
     place = F.pmod(F.xxhash64(*counts.columns), F.lit(1 << 30))
-    whole, room = F.lit(False), size
+    least, room = None, size
     for r in counts.filter(F.col(n) > 0).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
-        here = (F.col(n) > 0) & (level == r["level"])
         if r["count"] > room:
-            rest = counts.filter(here & (place < int((1 << 30) * room / r["count"]))).limit(room)
-            return counts.filter(whole).unionAll(rest)
-        whole, room = whole | here, room - r["count"]
-    return counts.filter(whole)
+            whole = counts.filter((F.col(n) > 0) & (level > r["level"]))
+            return whole.unionAll(counts.filter((F.col(n) > 0) & (level == r["level"]) & (place < int((1 << 30) * room / r["count"]))).limit(room))
+        least, room = r["level"], room - r["count"]
+    return counts.limit(0) if least is None else counts.filter((F.col(n) > 0) & (level >= least))

@@ -253,7 +253,7 @@ def fit_shares(encoded: DataFrame, w: net.Weights, known: np.ndarray, documents:
             moved = [np.where(t[1] > 0, t[0] / np.where(t[1] > 0, t[1], 1), 0).astype(np.float32).tobytes() for t in total.values()]
             yield pd.DataFrame({"chunk": list(total), "moved": moved})
 
-    dealt = encoded.withColumn("share", F.pmod("order", F.lit(shares))).repartition(shares, "share").sortWithinPartitions("share", "order", "ids")
+    dealt = encoded.withColumn("share", F.pmod("order", F.lit(shares))).repartitionByRange(shares, "share").sortWithinPartitions("share", "order", "ids")
     learnt = stored(dealt.select("share", "ids").mapInPandas(learn, "chunk int, top binary, weight binary"))
     moved = learnt.repartition("chunk").sortWithinPartitions("chunk", F.xxhash64("top")).mapInPandas(add, "chunk int, moved binary").collect()  # as many numbers as the network has
     drop(learnt)
