@@ -62,6 +62,31 @@ def ranked(df: DataFrame, keys: list[str], order: list, name: str, buckets: int
     return local.join(starts, [*keys, "_bucket"]).withColumn(name, F.col("_start") + F.col("_local")).drop("_bucket", "_start", "_local")
 
 
+#: 64-bit words of the bitmap that `maybe_in` broadcasts: some 2 MB, whatever the tables' size.
+BITMAP = 1 << 17
+
+
+def maybe_in(rows: DataFrame, members: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """rows split in two without a shuffle: those whose keys may be among the members', and those whose keys are not. Null keys equal
+    each other. The more members there are for the bitmap, the more rows may be among them."""
+    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in keys])
+    word, bit = F.pmod(F.shiftright(h, 6), F.lit(BITMAP)).cast("int"), F.pmod(h, F.lit(64)).cast("int")
+    bits = members.select(word.alias("_word"), bit.alias("_bit")).distinct()
+    words = stored(bits.groupBy("_word").agg(F.expr("bit_or(shiftleft(1L, _bit))").alias("_bits")))
+    tested = rows.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(words), "_word", "left")
+    there = F.coalesce(F.expr("shiftrightunsigned(_bits, _bit) & 1L") == 1, F.lit(False))
+    return tuple(tested.filter(side).select(*rows.columns) for side in (there, ~there))
+
+
+def hot_join(rows: DataFrame, ones: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined with their one row of `ones`, which holds `key` and how many rows share it. Keys of more than a thousandth of
+    all rows, a thousand at most, are broadcast; the others are spread by a shuffle."""
+    hot = F.col(weight) * 1000 > total
+    often = F.broadcast(ones.filter(hot))
+    cold = rows.join(F.broadcast(ones.filter(hot).select(key)), key, "left_anti").join(ones.filter(~hot), key)
+    return rows.join(often, key).unionByName(cold)
+
+
 def most_frequent(counts: DataFrame, size: int, n: str = "n") -> DataFrame:
     """Rows of counts with the largest n, `size` at most.
 

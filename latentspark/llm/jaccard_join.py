@@ -6,8 +6,10 @@ its sets are compared by sketches. Sets whose sketches come near the threshold a
 which exact Jaccard similarity of all shingles decides every pair. Runs are repeated until a pair at the threshold is
 missed with less than `1 - recall` even at the deepest level.
 
-Documents with the same shingle set are one class from the start, with its size as weight; a large bucket is dealt
-out and clustered around leaders, and large candidate groups are compared block by block.
+Documents with the same shingle set are one class from the start, with its size as weight. A bucket that is still large
+at the deepest level (many documents share a passage or are near copies) is compared whole, by leaders: a set near
+a leader stands for its neighbourhood, and only where that leaves a pair open are sketches compared one by one. Beyond
+a task's size it is dealt into shares, and each share meets each, so no pair of a bucket is left out.
 """
 
 import itertools
@@ -20,13 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import ranked, stored
+from latentspark.llm.common import hot_join, maybe_in, ranked, stored
 from latentspark.llm.components import components
 from latentspark.llm.shingles import WordHashes, shingles
 
 #: Levels of a path; sketch positions; sets of a small bucket; sets of a
 #: task's share of a large one; sets of a block; shares that a large bucket's sets are joined in.
 DEPTH, SKETCH, SMALL, SHARE, BLOCK, SALTS = 3, 64, 128, 4096, 128, 32
+#: Sketches that agree with a leader's in this share leave the comparison to it.
+NEAR = 0.8
 #: Sketches of sets at the threshold fall this many standard deviations short of it with a chance of some 1 in 10,000.
 SLACK = 3.7
 _ODD = np.random.default_rng(11).integers(1, 2**63, 2 * SKETCH, dtype=np.uint64) | np.uint64(1)
@@ -86,17 +90,25 @@ def _agree(sketch: np.ndarray, others: np.ndarray) -> np.ndarray:
 
 
 def _bucket_edges(nodes: np.ndarray, sketches: np.ndarray, least: float) -> list[tuple[int, int]]:
-    """Candidate links of a bucket: all pairs of a small one, else leaders and those near them."""
+    """Edges that connect all sets of a bucket whose sketches agree in a share of at least `least`, directly or by others.
+
+    In a large bucket, sets that agree with a leader to NEAR or more are its own. A set that agrees to `least` with one of them
+    agrees with the leader to least + NEAR - 1 or more; it is compared with all of the leader's own only if it falls below `least`."""
     if len(nodes) <= SMALL:
         return _spanning(nodes, _agree(sketches[:, None, :], sketches[None, :, :]) >= least)
-    edges, left = [], np.arange(len(nodes))
+    label, left = np.arange(len(nodes)), np.arange(len(nodes))
     while len(left):
-        near = _agree(sketches[left[0]], sketches[left]) >= least
-        # Those near a leader still meet each other in other runs, with other leaders.
-        edges += [(int(nodes[i]), int(nodes[left[0]])) for i in left[near][1:]]
-        near[0] = True
-        left = left[~near]
-    return edges
+        agree = _agree(sketches[left[0]], sketches)
+        own = left[agree[left] >= max(NEAR, least)]
+        near = agree >= least
+        for i in np.flatnonzero(~near & (agree >= least + NEAR - 1)) if len(own) > 1 else ():
+            near[i] = (_agree(sketches[i], sketches[own]) >= least).any()
+        # All labels that meet here become the smallest of them.
+        met = np.unique(label[near])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+        left = left[agree[left] < max(NEAR, least)]
+    return [(int(nodes[i]), int(nodes[j])) for i, j in enumerate(label) if i != j]
 
 
 def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -131,7 +143,7 @@ def candidate_edges(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
     for level in range(1, DEPTH + 1):
         here = open_.withColumn("bucket", F.element_at("path", level))
         sizes = stored(here.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-        small = here.join(sizes.filter(F.col("n") <= SMALL), "bucket").select("node", "bucket", F.lit(0).alias("share"))
+        small = here.join(sizes.filter(F.col("n") <= SMALL), "bucket").select("node", "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"))
         leaves.append(small)
         # Copies of a large bucket's size meet shares of its sets, so that no task gets all of them.
         copies = sizes.filter(F.col("n") > SMALL).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -139,8 +151,11 @@ def candidate_edges(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
         if level < DEPTH:
             open_ = stored(large.select("node", "path"))
         else:
-            share = F.pmod(F.xxhash64("node", "bucket"), F.ceil(F.col("n") / SHARE)).cast("int")
-            leaves.append(large.select("node", "bucket", share.alias("share")))
+            shares = F.ceil(F.col("n") / SHARE).cast("int")
+            mine = large.select("node", "bucket", shares.alias("shares"), F.pmod(F.xxhash64("node", "bucket"), shares).cast("int").alias("mine"))
+            # Each share meets each; most large buckets are one.
+            meets = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
+            leaves.append(meets.select("node", "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")))
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)
@@ -155,9 +170,9 @@ def candidate_edges(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
                 batch, last = batch if held is None else pd.concat([held, batch], ignore_index=True), False
             if batch is None or not len(batch):
                 continue
-            bucket, share, nodes = (batch[c].to_numpy() for c in ("bucket", "share", "node"))
+            bucket, first, second, nodes = (batch[c].to_numpy() for c in ("bucket", "i", "j", "node"))
             sketches = np.frombuffer(b"".join(batch.sketch), np.uint8).reshape(len(batch), SKETCH)
-            starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (share[1:] != share[:-1])))
+            starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1])))
             ends = np.append(starts[1:], len(batch))
             if not last:  # the last bucket may go on in the next batch
                 held, starts, ends = batch.iloc[starts[-1] :], starts[:-1], ends[:-1]
@@ -171,7 +186,7 @@ def candidate_edges(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
                     edges += _bucket_edges(nodes[order], sketches[order], least)
             yield pd.DataFrame(edges, columns=["a", "b"])
 
-    dealt = lit.repartition("bucket", "share").sortWithinPartitions("bucket", "share", "node")
+    dealt = lit.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     return dealt.mapInPandas(link, "a long, b long")
 
 
@@ -197,6 +212,7 @@ def verified(groups: DataFrame, docs: DataFrame, size: int, threshold: float) ->
     """node, root, links from candidate groups (node, group, doc_id, text_key, weight, blocks): in each block the exact links, as
     the summed weight of a node's similar nodes, and the smallest node of those that it is linked with there."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"), "text")
+    rows, _ = maybe_in(rows, groups, ["doc_id", "text_key"])  # texts outside of all groups stay where they are
     same = groups["doc_id"].eqNullSafe(rows["doc_id"]) & (groups["text_key"] == rows["text_key"])
     texts = groups.join(rows, same).select("node", "group", "weight", "blocks", "text")
 
@@ -248,27 +264,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
 
     near = components(candidate_edges(reps, runs_for(recall, threshold), threshold)).withColumnRenamed("label", "group")
     blocks = near.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    groups = near.join(blocks, "group").join(reps.select("node", "doc_id", "text_key", "weight"), "node")
+    groups = stored(near.join(blocks, "group").join(reps.select("node", "doc_id", "text_key", "weight"), "node"))
     links = stored(verified(groups, docs, size, threshold))
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
     label = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     labelled = stored(reps.select("node", "set_key", "doc_id", "weight").join(label, "node", "left").join(total, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    known = stored(labelled.join(smallest, "label").select("set_key", "class_id", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("sets"))
+    known = stored(hot_join(labelled, smallest, "label", "sets", labelled.count()).select("set_key", "class_id", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
     # Null keys stay aside: they match nothing and would meet in one task.
-    with_words = read.filter("set_key IS NOT NULL").select("doc_id", "text_key", "set_key").join(known, "set_key").select("doc_id", "text_key", "class_id", "n_links")
+    worded = read.filter("set_key IS NOT NULL").select("doc_id", "text_key", "set_key")
+    with_words = hot_join(worded, known, "set_key", "weight", worded.count()).select("doc_id", "text_key", "class_id", "n_links")
     without = read.filter("set_key IS NULL").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     return with_words.unionByName(without)
 
 
 def deduplicate(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs, all columns, with one document of each class: the one with the smallest doc_id."""
-    found = near_duplicates(docs, size, threshold).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    kept = stored(found.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")))
+    found = stored(near_duplicates(docs, size, threshold).select("doc_id", "text_key", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
+    gone = found.filter("NOT kept").select("doc_id", "text_key", F.lit(False).alias("again"))
+    # Rows of one id and text are one document.
+    again = found.filter("kept").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key", F.lit(True).alias("again"))
+    special = stored(gone.unionByName(again).distinct())
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"))
-    same = (packed["doc_id"].eqNullSafe(kept["doc_id"])) & (packed["text_key"] == kept["text_key"])
-    left = packed.join(kept, same, "left_semi")
-    # Rows of one id and text are one document; they meet only where there are any.
-    once = left if kept.filter("n > 1").isEmpty() else left.dropDuplicates(["doc_id", "text_key"])
-    return once.select("row.*")
+    # Only rows that may go or come again are shuffled; the others stay where they are.
+    asked, plain = maybe_in(packed, special, ["doc_id", "text_key"])
+    same = asked["doc_id"].eqNullSafe(special["doc_id"]) & (asked["text_key"] == special["text_key"])
+    judged = asked.join(special, same, "left").select("row", asked["doc_id"], asked["text_key"], "again")
+    out = plain.select("row.*").unionByName(judged.filter("again IS NULL").select("row.*"))
+    if special.filter("again").isEmpty():
+        return out
+    return out.unionByName(judged.filter("again").dropDuplicates(["doc_id", "text_key"]).select("row.*"))

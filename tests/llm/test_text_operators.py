@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from latentspark.llm import decontaminate, jaccard_join, langid
+from latentspark.llm import common, decontaminate, jaccard_join, langid
 from latentspark.llm.components import components
 from latentspark.llm.shingles import WordHashes, shingles
 
@@ -68,6 +68,49 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, small, block, sha
     assert got == expected(texts)
 
 
+@pytest.mark.parametrize("small", [0, 10, 500])
+def test_large_buckets_connect_what_all_pairs_connect(monkeypatch, small):
+    """Sets around a common passage, near copies in a chain, and others; leaders against all pairs."""
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    rng = np.random.default_rng(5)
+    least, width = 0.62, jaccard_join.SKETCH
+    common = rng.integers(0, 256, width, dtype=np.uint8)
+    rows = []
+    for _ in range(250):
+        row = rng.integers(0, 256, width, dtype=np.uint8)
+        share = rng.random(width) < rng.choice([0.5, 0.75])
+        row[share] = common[share]
+        rows.append(row)
+    for _ in range(150):  # each a copy of an earlier one, some of it new
+        row = rows[rng.integers(0, len(rows))].copy()
+        new = rng.random(width) < 0.25
+        row[new] = rng.integers(0, 256, new.sum(), dtype=np.uint8)
+        rows.append(row)
+    sketches, nodes = np.array(rows), rng.permutation(1000)[: len(rows)]
+
+    def parts(edges):
+        label = {int(n): int(n) for n in nodes}
+        for _ in range(len(nodes)):
+            old = dict(label)
+            for a, b in edges:
+                label[a] = label[b] = min(label[a], label[b])
+            if label == old:
+                return label
+
+    agree = (sketches[:, None] == sketches[None]).mean(2) >= least
+    assert parts(jaccard_join._bucket_edges(nodes, sketches, least)) == parts([(int(nodes[i]), int(nodes[j])) for i, j in zip(*np.nonzero(agree), strict=True)])
+
+
+def test_bitmap_loses_no_member(spark, monkeypatch):
+    monkeypatch.setattr(common, "BITMAP", 2)
+    rows = spark.createDataFrame([(None if i == 7 else i, f"t{i % 5}", "x") for i in range(300)], "a long, b string, _word string")
+    members = rows.filter("a % 50 = 3 OR a IS NULL")
+    asked, plain = common.maybe_in(rows, members, ["a", "b"])
+    got = [r["a"] for r in asked.collect()]
+    assert {None, 3, 53, 103, 153, 203, 253} <= set(got) and asked.columns == plain.columns == rows.columns
+    assert len(got) + plain.count() == 300 and plain.count() > 100
+
+
 def test_near_duplicates_without_ids(spark):
     words = [f"w{i}" for i in range(60)]
     near = " ".join(words[:30] + ["other"] + words[31:])
