@@ -7,24 +7,27 @@ it makes the text ambiguous.
 """
 
 import itertools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows of each language that the classifiers are fitted on (about; a bound on what reaches the driver).
-PER_LANGUAGE = 500
+#: Labelled rows that the classifiers are fitted on (about; bounds of what reaches the driver): of each language, and in all,
+#: so that with many languages each has fewer.
+PER_LANGUAGE, IN_ALL = 500, 12_000
 #: Hashed cells of n-grams of one to three characters.
 CELLS = 4096
+#: Rows up to which the fit solves rows x rows equations, beyond it cells x cells.
+ROWS_FORM = CELLS
 #: Words that a task remembers, and texts that it reads at a time.
 MEMO, AT_ONCE = 300_000, 256
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[^\w\n]|[\d_]")
+_NOT_LETTERS = regex.compile(r"[^\p{L}\n]")
 _K = np.array([0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35], np.uint32)
 
 
@@ -87,20 +90,23 @@ def _featurise():
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fits on about `per_language` rows of each language of labelled (doc_id, text, lang; null langs take no part).
+    """Fits on about `per_language` rows of each language of labelled (doc_id, text, lang; null langs take no part), fewer of each where
+    they would be more than IN_ALL together.
 
     The rows are chosen by a hash of id and text; their n-gram shares, at most CELLS numbers a row, are what
     reaches the driver. Texts without a letter teach nothing."""
-    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL").filter(F.col("text").rlike(r"\p{L}"))
+    rows = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return LanguageModel([], np.zeros((0, 1)), np.zeros((CELLS, 1)), np.zeros(1), np.ones(1), 1.0)
+    per_language = min(per_language, max(1, IN_ALL // len(languages)))
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(per_language / n)).otherwise(share)
     place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
-    sample = rows.filter(place < share).limit(2 * per_language * len(languages)).select("lang", _featurise()("text").alias("f")).select("lang", "f.*").collect()
+    sample = rows.filter(place < share).limit(2 * per_language * len(languages)).select("lang", _featurise()("text").alias("f")).select("lang", "f.*").filter(F.length("cells") > 0).collect()
+    languages = sorted({r["lang"] for r in sample}) or languages
     x = np.zeros((len(sample), CELLS), np.float32)
     for i, r in enumerate(sample):
         counts = np.frombuffer(r["counts"], np.uint32)
@@ -116,11 +122,14 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
     mean = (weight[:, None] * x).sum(0) / weight.sum()
     root = np.sqrt(weight)[:, None]
     bias = (weight[:, None] * targets).sum(0) / weight.sum()
-    xc = x - mean
+    xc = x - mean.astype(np.float32)
     xc *= root
-    kernel = xc @ xc.T
-    kernel[np.diag_indices(len(kernel))] += 1e-2 * np.trace(kernel) / len(kernel) + 1e-12
-    weights = xc.T.astype(np.float64) @ np.linalg.solve(kernel, root * (targets - bias))
+    aim = root * (targets - bias)
+    # The smaller of the two forms of the normal equations: cells x cells, or rows x rows.
+    few = len(xc) <= ROWS_FORM
+    gram = (xc @ xc.T if few else xc.T @ xc).astype(np.float64)
+    gram[np.diag_indices(len(gram))] += 1e-2 * np.trace(gram) / len(xc) + 1e-12
+    weights = xc.T.astype(np.float64) @ np.linalg.solve(gram, aim) if few else np.linalg.solve(gram, xc.T.astype(np.float64) @ aim)
     margins = x @ weights - mean @ weights + bias
     # A classifier that is no better than chance has no say.
     right = (weight[:, None] * (margins * targets > 0)).sum(0) / weight.sum()
@@ -175,8 +184,8 @@ def predict(docs: DataFrame, model: LanguageModel, ambiguous_below: float = 0.2)
     """docs with lang_pred, score (the chosen codeword's chance, 0 to 1), runner_up and ambiguous (the two chances lie less
     than `ambiguous_below` apart).
 
-    Reads whole texts and nothing but the texts. Null texts and texts without a letter are `und` with score 0; so are all
-    where nothing could be learnt. Columns called as the new ones are replaced, others stay. No shuffle."""
+    Reads whole texts, however long, and nothing but the texts. Null texts and texts without a letter (Unicode's classes L; digits,
+    fractions and numerals are none) are `und` with score 0; so are all where nothing could be learnt. Columns called as the new ones are replaced, others stay. No shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, score: double, runner_up: string, ambiguous: boolean>")

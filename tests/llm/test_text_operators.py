@@ -1,9 +1,11 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 
 from latentspark.llm import common, decontaminate, jaccard_join, langid
 from latentspark.llm.components import components
@@ -201,6 +203,56 @@ def test_language_id(spark):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+K = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
+
+
+def plain_cells(text):
+    """Every n-gram of every run of letters, one at a time."""
+    out, low = [], (1 << 32) - 1
+    for run in regex.findall(r"\p{L}+", text.lower()):
+        p = [32, *map(ord, run), 32]
+        for i in range(1, len(p) - 1):
+            a, b, c = p[i - 1] * K[0] & low, p[i] * K[1] & low, p[i + 1] * K[2] & low
+            out += [b * K[2], (a ^ b) * K[1] + 1, (a ^ b ^ c) * K[0] + 2]
+        out.append(((p[-2] * K[0] & low) ^ (p[-1] * K[1] & low)) * K[1] + 1)
+    return [((h ^ (h >> 15)) * K[1] & low) >> 20 for h in (x & low for x in out)]
+
+
+def plain_judgement(model, text):
+    cells = plain_cells(text or "")
+    if not cells:
+        return "und", 0.0, None, True
+    margins = [sum(model.weights[c][b] for c in cells) / len(cells) + model.bias[b] for b in range(len(model.bias))]
+    losses = [sum(r * math.exp(-max(-3, min(3, m)) * bit) for r, m, bit in zip(model.reliability, margins, code, strict=True)) for code in model.codes]
+    odds = [math.exp(-model.sharpness * x) for x in losses]
+    order = sorted(range(len(odds)), key=lambda i: losses[i])
+    chances = [odds[i] / sum(odds) for i in order]
+    return model.languages[order[0]], chances[0], model.languages[order[1]], chances[0] - chances[1] < 0.2
+
+
+def test_language_id_equals_plain_decoding(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.fit(docs.filter(langid.remainder("doc_id", 4) != 2))
+    odd = spark.createDataFrame([(-1, "½ ①"), (-2, "² Ⅷ"), (-3, "_ 12 \u0301"), (-4, "中文 ǅ ª x1y"), (-5, "le the der el"), (-6, "İ x\ny " * 20_000), (-7, None)], "doc_id long, text string")
+    rows = docs.select("doc_id", "text").limit(60).unionByName(odd)
+    got = langid.predict(rows, model).collect()
+    assert len(got) == 67
+    for r in got:
+        lang, score, second, ambiguous = plain_judgement(model, r["text"])
+        assert (r["lang_pred"], r["runner_up"], r["ambiguous"]) == (lang, second, ambiguous) and r["score"] == pytest.approx(score, rel=1e-6)
+    assert {r["lang_pred"] for r in got if r["doc_id"] in (-1, -2, -3, -7)} == {"und"}
+
+
+def test_both_forms_of_the_fit_agree(spark, monkeypatch):
+    """By rows and by cells: the weights of the ridge regression are the same."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few = langid.fit(docs)
+    monkeypatch.setattr(langid, "ROWS_FORM", 10)
+    np.testing.assert_allclose(langid.fit(docs).weights, few.weights, atol=2e-3 * np.abs(few.weights).max())
+    monkeypatch.setattr(langid, "IN_ALL", 40)
+    assert len(langid.fit(docs).languages) == 4
+
+
 def test_language_id_edges(spark):
     rows = [(i, t, lang, "x") for i, (t, lang) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 20)] + [(100, None, "en", "x"), (101, "", None, "x"), (102, "123 !?", "fr", "x"), (None, "the dog", None, "x"), (103, "the cat " * 5000, None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
