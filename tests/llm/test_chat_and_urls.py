@@ -1,7 +1,14 @@
 import hashlib
+import math
+import re
+from collections import Counter
 
+import pytest
+import regex
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from latentspark.llm import chat_format as chat
 from latentspark.llm import url_filter as urls
@@ -70,15 +77,65 @@ def test_rules(spark):
 
 def test_viterbi_equals_brute_force():
     words = {"red": 50, "fox": 40, "re": 5, "d": 3, "box": 30, "o": 2, "redf": 1}
-    seg = urls.Segmenter(words)
+    seg = urls.Segmenter(words, sum(words.values()))
 
     def every(label):
         return [[label]] + [[label[:i], *rest] for i in range(1, len(label)) for rest in every(label[i:])]
 
     cost = lambda parts: sum(seg.cost.get(p, seg.unknown[len(p)]) for p in parts)
     for label in ("redfox", "redbox", "oxred", "zzred", "foxd"):
-        assert abs(cost(seg[label]) - min(map(cost, every(label)))) < 1e-9
-    assert seg["redfox"] == ("red", "fox")
+        assert abs(cost(seg.split(label)) - min(map(cost, every(label)))) < 1e-9
+    assert seg.split("redfox") == ["red", "fox"] and seg.split("") == []
+
+
+def test_title_words_are_whole(spark):
+    html = ["<TITLE lang='de'>Donaudampfschifffahrtsgesellschaft a</title >", "<html><title>\nRed\nfox</title><title>no</title>", "<titles>none</titles>", None, "x"]
+    titles = spark.createDataFrame([(h,) for h in html], "html string").select(urls.title_of(F.col("html")).alias("title"))
+    assert {r["word"]: r["n"] for r in urls.word_counts(titles).collect()} == {"donaudampfschifffahrtsgesellschaft": 1, "a": 1, "red": 1, "fox": 1}
+
+
+def plain_p_block(pages, cells):
+    """Counts, segmentation and naive Bayes url by url."""
+    words = Counter(w for _, _, html in pages for t in re.findall(r"(?is)<title(?:\s[^>]*)?>(.*?)</title\s*>", html or "")[:1] for w in regex.findall(r"\p{L}+", t.lower()))
+    seg = urls.Segmenter({w: n for w, n in words.items() if len(w) <= urls.LONGEST}, sum(words.values()))
+
+    def cells_of(host, path):
+        out = [f"t:{host.split('.')[-1]}"] if host else []
+        for kind, text in (("h", ".".join(host.split(".")[:-1])), ("p", path.lower())):
+            for run in regex.findall(r"\p{L}+|\p{Nd}+", text):
+                out += [f"{kind}:{len(run)}#"] if run[0].isdigit() else [f"{kind}:{w}" for w in seg.split(run)]
+        return [(xxhash.xxh64_intdigest(t, 42) ^ (1 << 63)) - (1 << 63) for t in out]
+
+    seen, classes, parts = {"block": Counter(), "allow": Counter()}, Counter(), {}
+    for page_id, url, _ in pages:
+        m = re.match(r"(?s)^.*?://([^/?#]*)([^?#]*)", url or "")
+        host, path = ("".join(c.lower() if c.isascii() else c for c in m[1]), m[2]) if m else ("", "")
+        fits = [(len(h + p), v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        parts[page_id] = (max(fits)[1] if fits else None, [c % cells for c in cells_of(host, path)])
+        if fits:
+            classes[max(fits)[1]] += 1
+            seen[max(fits)[1]].update(parts[page_id][1])
+    out = {}
+    for page_id, (rule, own) in parts.items():
+        odds = math.log((classes["block"] + 1) / (classes["allow"] + 1))
+        for c in own:
+            odds += math.log((seen["block"][c] + 1) / (seen["block"].total() + cells)) - math.log((seen["allow"][c] + 1) / (seen["allow"].total() + cells))
+        out[page_id] = None if rule else 1 / (1 + math.exp(-odds))
+    return out
+
+
+@pytest.mark.parametrize("words,cells", [(50_000, 1 << 16), (0, 97)])
+def test_naive_bayes_equals_plain_counts(spark, words, cells):
+    pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    pages += [(9001, "http://" + "redfox" * 60 + ".net/" + "a" * 300 + "/12/É", None), (9002, None, "<title>x y</title>"), (9003, "http://redfox.net/x", "<title>red red fox</title>"), (9004, "://", ""), (9004, "://", "")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "1 AS uid", "'x' AS unit", "2 AS n")
+    got = urls.filter_urls(df, cells=cells, max_words=words).collect()
+    want = plain_p_block(pages, cells)
+    assert len(got) == len(pages) and any(p is not None for p in want.values())
+    for r in got:
+        p = want[r["page_id"]]
+        assert r["p_block"] == (p if p is None else pytest.approx(p, rel=1e-6))
+        assert p is None or r["verdict"] == ("block" if p > 0.5 else "allow")
 
 
 def test_naive_bayes_learns_from_rules(spark):
