@@ -19,18 +19,18 @@ from pyspark.sql import functions as F
 
 from latentspark.llm.shingles import WordHashes, shingles
 
-#: Items of one index, which is sent to the executors (some 20 MB at most for items of 100 words); more items make more indexes.
-ITEMS = 20_000
-MATCHES = "doc_id string, item_id long, n_item long, n_shared long, containment double"
+#: Items of one index and bytes of their texts, about; an index is sent to the executors, and beyond either there are more of them.
+ITEMS, BYTES = 20_000, 1 << 24
+MATCHES = "doc_id string, item_id string, n_item long, n_shared long, containment double"
 
 
 class ItemIndex:
     """Sketches and shingle sets of up to ITEMS test items."""
 
-    def __init__(self, items: list[tuple[int, str | None]], size: int, threshold: float, miss: float = 1e-9):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int, threshold: float, miss: float = 1e-9):
         words = WordHashes()
         self.size, self.threshold = size, threshold
-        self.ids: list[int] = []
+        self.ids: list[str | None] = []
         self.sets: list[np.ndarray] = []
         #: The run length of each item: an item of fewer words than `size` is one run of all its words.
         self.runs: list[int] = []
@@ -61,7 +61,7 @@ class ItemIndex:
             return 1
         return min(largest, math.ceil(math.log(miss) / math.log(max(lacking / largest, 0.01))))
 
-    def matches(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    def matches(self, words: np.ndarray) -> Iterator[tuple[str | None, int, int]]:
         """item id, its number of shingles and how many of them the document holds, where enough."""
         hashes = {run: shingles(words, run) for run in set(self.runs) if run <= len(words)}
         for run, h in hashes.items():
@@ -78,11 +78,12 @@ class ItemIndex:
 
 
 def _indexes(items: DataFrame, size: int, threshold: float) -> list:
-    """The items as broadcast indexes of some ITEMS items each."""
-    parts = -(-items.count() // ITEMS)
-    out = []
+    """The items, their ids as text, as broadcast indexes of some ITEMS items and some BYTES bytes each; each item lies in one."""
+    n, volume = items.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(-(-n // ITEMS), -(-volume // BYTES))
+    rows, out = items.select(F.col("item_id").cast("string").alias("item_id"), "text"), []
     for part in range(parts):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).select("item_id", "text").collect()
+        mine = rows.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part).collect()
         out.append(items.sparkSession.sparkContext.broadcast(ItemIndex([tuple(r) for r in mine], size, threshold)))
     return out
 
@@ -93,23 +94,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, size: int = 5, threshold: floa
 
     Needs doc_id and text, item_id and text; further columns are left out. Words are runs between white space, lower-cased,
     letters and digits only. Items without words, documents without words and nulls match nothing; items of fewer than `size`
-    words match documents that hold all of them in a row. Repeated documents and items repeat their rows. One pass over the
-    documents for each ITEMS items, no shuffle."""
+    words match documents that hold all of them in a row. Repeated documents and items repeat their rows. Ids are of any type that text
+    holds. One pass over the documents for each index, no shuffle; an item is whole in one index, however long."""
 
     def one_pass(index) -> DataFrame:
         def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = WordHashes()
             for batch in batches:
                 out = [(d, i, n, k, k / n) for d, text in zip(batch.doc_id, batch.text, strict=True) for i, n, k in index.value.matches(words.of(text))]
-                frame = pd.DataFrame(out, columns=["doc_id", "item_id", "n_item", "n_shared", "containment"])
-                yield frame.astype({"item_id": "Int64"})
+                yield pd.DataFrame(out, columns=["doc_id", "item_id", "n_item", "n_shared", "containment"])
 
         # Ids pass through Python as text: there, numbers with nulls among them would lose digits.
         return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(probe, MATCHES)
 
     found = [one_pass(index) for index in _indexes(items, size, threshold)]
     every = reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], MATCHES)
-    return every.withColumn("doc_id", F.col("doc_id").cast("long"))
+    return every.withColumns({"doc_id": F.col("doc_id").cast(docs.schema["doc_id"].dataType), "item_id": F.col("item_id").cast(items.schema["item_id"].dataType)})
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
