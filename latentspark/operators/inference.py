@@ -323,6 +323,8 @@ def confirmatory_ci(frame: Frame, k: int, n_boot: int, m_rate: float, level: flo
     ok = fits.filter("status = 'ok'")
     r = [x["r"] for x in ok.select("r").collect()]  # n_boot numbers
     table = feature_intervals(ok, model.beta, kernels.leverage(model.w), n, m, level)
+    table = table.sparkSession.createDataFrame(table.collect(), table.schema)  # one row a feature
+    fits.unpersist()
     return ConfirmatoryCI(n_boot, m, m_rate, level, wald_interval(r, n, m, level), seen.get("ok", 0), sum(not math.isnan(v) for v in r), table)
 
 

@@ -10,15 +10,18 @@ from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.errors import DimensionMismatch, InvalidArgument, InvalidWeights, NonFiniteInput
 from latentspark.functions.kernels import FLAT
-from latentspark.operators.rowwise import column_means
+from latentspark.operators.rowwise import FAN_IN, column_means, matrix
 from latentspark.sources.frame import ID, WEIGHT, Frame, X, Y
 
 BLOCK = "label int, block array<double>"
+#: Bytes of blocks that a task holds.
+HELD = 1 << 28
 
 
 @dataclass
@@ -139,12 +142,6 @@ def standard(m: Moments, pre_standardized: bool = False) -> Standard:
     return Standard(x_mean, x_scale, y_mean, y_scale, gram, cross, y_square, m.rows)
 
 
-def _batch(pdf: pd.DataFrame, d: int, q: int, weighted: bool, centre: np.ndarray):
-    x = np.array(pdf[X].to_list(), float).reshape(len(pdf), d) - centre[:d]
-    y = np.array(pdf[Y].to_list(), float).reshape(len(pdf), q) - centre[d:]
-    return x, y, pdf[WEIGHT].to_numpy(float) if weighted else None
-
-
 def _summed(blocks: DataFrame, d: int, q: int) -> DataFrame:
     """Adds the tasks' blocks of each label; they stream through in order, one label at a time in memory."""
 
@@ -160,28 +157,56 @@ def _summed(blocks: DataFrame, d: int, q: int) -> DataFrame:
         if total is not None:
             yield pd.DataFrame({"label": [label], "block": [total.flat()]})
 
+    if blocks.sparkSession.sparkContext.defaultParallelism > FAN_IN:
+        # Blocks of FAN_IN tasks each are added first, so that no task gets those of all tasks.
+        near = blocks.withColumn("near", F.floor(F.spark_partition_id() / FAN_IN))
+        blocks = near.repartition("label", "near").sortWithinPartitions("label").select("label", "block").mapInPandas(add, BLOCK)
     return blocks.repartition("label").sortWithinPartitions("label").mapInPandas(add, BLOCK)
 
 
-def set_blocks(frame: Frame, sets: DataFrame | None, centre: np.ndarray) -> DataFrame:
-    """label, block: moments of overlapping row sets. sets: row_id and labels array<int>; None: one set, 0, of all rows."""
+def set_blocks(frame: Frame, sets: DataFrame | Column | None, centre: np.ndarray) -> DataFrame:
+    """label, block: moments of overlapping row sets. sets: row_id and labels array<int>, or labels as a column over the frame's rows;
+    None: one set, 0, of all rows.
+
+    A task holds up to HELD bytes of blocks and passes them on when there are more."""
     d, q, weighted = frame.d, frame.q, frame.weighted
-    rows = frame.rows.withColumn("labels", F.array(F.lit(0))) if sets is None else frame.rows.join(sets, ID)
+    if isinstance(sets, DataFrame):
+        rows = frame.rows.join(sets, ID)
+    else:
+        rows = frame.rows.withColumn("labels", F.array(F.lit(0)) if sets is None else sets)
+    most = max(1, HELD // (8 * sum(int(np.prod(s)) for s in Moments.shapes(d, q).values())))
+
+    def passed(totals: dict[int, Moments]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([m.flat() for m in totals.values()], pa.list_(pa.float64()))], ["label", "block"])
 
-    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, Moments] = {}
         for batch in batches:
-            x, y, w = _batch(batch, d, q, weighted, centre)
-            member = np.repeat(np.arange(len(batch)), [len(s) for s in batch.labels])
-            labels = np.concatenate([np.asarray(s, np.int64) for s in batch.labels]) if len(batch) else np.empty(0, np.int64)
-            for label in np.unique(labels):
-                own = member[labels == label]
-                totals.setdefault(int(label), Moments.empty(d, q)).add(Moments.of(x[own], y[own], None if w is None else w[own]))
+            x, y = matrix(batch, X, d) - centre[:d], matrix(batch, Y, q) - centre[d:]
+            w = batch.column(WEIGHT).to_numpy(zero_copy_only=False) if weighted else None
+            lists = batch.column("labels")
+            member = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            labels = lists.flatten().to_numpy(zero_copy_only=False)
+            # The rows of each label lie together after one sort.
+            order = np.argsort(labels, kind="stable")
+            labels, member = labels[order], member[order]
+            cuts = np.flatnonzero(np.append(True, labels[1:] != labels[:-1])) if len(labels) else np.empty(0, np.int64)
+            for at, end in zip(cuts, np.append(cuts[1:], len(labels)), strict=True):
+                own, label = member[at:end], int(labels[at])
+                whole = len(own) == len(x)
+                part = Moments.of(x, y, w) if whole else Moments.of(x[own], y[own], None if w is None else w[own])
+                if label in totals:
+                    totals[label].add(part)
+                else:
+                    if len(totals) >= most:
+                        yield passed(totals)
+                        totals = {}
+                    totals[label] = part
         if totals:
-            yield pd.DataFrame({"label": list(totals), "block": [m.flat() for m in totals.values()]})
+            yield passed(totals)
 
     columns = [X, Y, *([WEIGHT] if weighted else []), "labels"]
-    return _summed(rows.select(*columns).mapInPandas(gather, BLOCK), d, q)
+    return _summed(rows.select(*columns).mapInArrow(gather, BLOCK), d, q)
 
 
 def collected(blocks: DataFrame, d: int, q: int) -> dict[int, Moments]:

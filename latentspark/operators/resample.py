@@ -1,9 +1,12 @@
 """Row sets by counter-based keys: folds, splits, subsamples and permutations.
 
 The key of a row in resample b is md5(seed:label:b:id), so draws do not depend on how rows are partitioned. Ranks
-are taken in 256 ranges of keys whose sizes give each range its first rank; no task sorts a whole resample.
+are taken in 256 ranges of keys whose sizes give each range its first rank; no task sorts a whole resample. Where only
+the side of a cut matters (halves, folds), the key at the cut is found once for each draw, and each row then
+tells by its own keys which sets it is in, without a shuffle.
 """
 
+import itertools
 import secrets
 
 from pyspark.sql import Column, DataFrame
@@ -32,17 +35,35 @@ def ranks(rows: DataFrame, seed: int, label: str, draws: int) -> DataFrame:
     return local.join(first, ["b", "range"]).select(ID, "b", (F.col("first") + F.col("local")).alias("rank"))
 
 
-def labelled(drawn: DataFrame, labels: Column) -> DataFrame:
-    """row_id, labels: the sets that a row is in; `labels` is an array of them for each draw."""
-    return drawn.select(ID, F.explode(labels).alias("label")).groupBy(ID).agg(F.collect_list("label").alias("labels"))
+def cut_keys(rows: DataFrame, seed: int, label: str, draws: int, places: list[int]) -> list[list[str]]:
+    """The keys of the rows with ranks `places` in each draw; beyond all keys where there is no such rank.
+
+    Counts of 4096 ranges of keys tell which range holds the rank; only the rows of those ranges are shuffled and sorted."""
+    keyed = rows.select(F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"), F.col(ID)).select("b", key(seed, label, F.col("b"), F.col(ID)).alias("key"))
+    keyed = keyed.withColumn("range", F.substring("key", 1, 3))
+    sizes = keyed.groupBy("b", "range").agg(F.count("*").alias("n"))
+    first = sizes.withColumn("first", F.sum("n").over(W.partitionBy("b").orderBy("range")) - F.col("n"))
+    wanted = first.withColumn("place", F.explode(F.array(*map(F.lit, places)))).filter((F.col("place") >= F.col("first")) & (F.col("place") < F.col("first") + F.col("n")))
+    held = wanted.groupBy("b", "range", "first").agg(F.collect_list("place").alias("places"))  # a row a draw and place
+    there = keyed.join(F.broadcast(held), ["b", "range"])
+    ranked = there.withColumn("rank", F.col("first") + F.row_number().over(W.partitionBy("b", "range").orderBy("key")) - 1)
+    found = {(r["b"], r["rank"]): r["key"] for r in ranked.filter(F.array_contains("places", F.col("rank"))).select("b", "rank", "key").collect()}  # as many rows
+    return [[found.get((b, place), "~") for place in places] for b in range(draws)]
+
+
+def halves(rows: DataFrame, seed: int, label: str, draws: int, n_in: int, both: bool = True) -> Column:
+    """The sets of a row as an array: 2b (it is among the first n_in rows of draw b) or 2b + 1 (among the others; left out without `both`)."""
+    cuts = F.array(*[F.lit(c[0]) for c in cut_keys(rows, seed, label, draws, [n_in])])
+    every = F.sequence(F.lit(0), F.lit(draws - 1))
+    inside = lambda b: key(seed, label, b, F.col(ID)) < F.get(cuts, b)
+    if not both:
+        return F.transform(F.filter(every, inside), lambda b: 2 * b)
+    return F.transform(every, lambda b: F.when(inside(b), 2 * b).otherwise(2 * b + 1))
 
 
-def halves(rows: DataFrame, seed: int, label: str, draws: int, n_in: int, both: bool = True) -> DataFrame:
-    """Sets 2b (the first n_in rows of draw b) and 2b + 1 (the others)."""
-    drawn = ranks(rows, seed, label, draws)
-    inside = F.col("rank") < n_in
-    side = F.array(F.when(inside, 2 * F.col("b")).otherwise(2 * F.col("b") + 1))
-    return labelled(drawn if both else drawn.filter(inside), side)
+def subsets(rows: DataFrame, seed: int, label: str, draws: int, n_in: int) -> Column:
+    """The draws as an array in which a row is among the first n_in."""
+    return F.transform(halves(rows, seed, label, draws, n_in, both=False), lambda s: F.floor(s / 2).cast("int"))
 
 
 def fold_of(rank: Column, n: int, folds: int) -> Column:
@@ -53,12 +74,14 @@ def fold_of(rank: Column, n: int, folds: int) -> Column:
     return F.when(rank < cut, F.floor(rank / (base + 1))).otherwise(small).cast("int")
 
 
-def folds(rows: DataFrame, seed: int, n: int, n_folds: int, label: str = "fold") -> DataFrame:
-    """Sets 2f + 1 (fold f) and 2f (all rows but it)."""
-    assert sum(fold_sizes(n, n_folds)) == n
-    mine = fold_of(F.col("rank"), n, n_folds)
+def folds(rows: DataFrame, seed: int, n: int, n_folds: int, label: str = "fold") -> Column:
+    """The sets of a row as an array: 2f + 1 (it is in fold f) or 2f (it is not), for each fold."""
+    ends = list(itertools.accumulate(fold_sizes(n, n_folds)))[:-1]
+    cuts = cut_keys(rows, seed, label, 1, ends)[0] if ends else []
+    mine = key(seed, label, F.lit(0), F.col(ID))
+    fold = sum(((mine >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
     every = F.sequence(F.lit(0), F.lit(n_folds - 1))
-    return labelled(ranks(rows, seed, label, 1), F.transform(every, lambda f: F.when(f == mine, 2 * f + 1).otherwise(2 * f)))
+    return F.transform(every, lambda f: F.when(f == fold, 2 * f + 1).otherwise(2 * f))
 
 
 def permuted(frame: Frame, seed: int, label: str, draws: int) -> Frame:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from latentspark.functions.kernels import FLAT, Fit, coef_at, top_keep
@@ -19,21 +20,25 @@ STOP, FLAT_SCORES = 1e-13, 1e-22
 FAN_IN = 64
 
 
+def matrix(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
+    """An array column, each row `width` long, as a matrix; no Python object is made of a row."""
+    return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+
+
 def row_sums(frame: Frame, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], combine=np.add) -> np.ndarray:
     """Combines a vector of `size` numbers over all rows; work: x, y, w of a batch to such a vector.
 
     Tasks combine their batches, some tasks combine those of FAN_IN others each, the driver the few that are left."""
-    weighted, d = frame.weighted, frame.d
+    weighted, d, q = frame.weighted, frame.d, frame.q
 
-    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
-            if len(b):
-                x, y = np.array(b[X].to_list(), float).reshape(len(b), d), np.array(b[Y].to_list(), float).reshape(len(b), -1)
-                v = work(x, y, b[WEIGHT].to_numpy(float) if weighted else np.ones(len(b)))
+            if b.num_rows:
+                v = work(matrix(b, X, d), matrix(b, Y, q), b.column(WEIGHT).to_numpy(zero_copy_only=False) if weighted else np.ones(b.num_rows))
                 total = v if total is None else combine(total, v)
         if total is not None:
-            yield pd.DataFrame({"v": [total]})
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
@@ -44,8 +49,8 @@ def row_sums(frame: Frame, size: int, work: Callable[[np.ndarray, np.ndarray, np
             yield pd.DataFrame({"v": [total]})
 
     columns = [X, Y, *([WEIGHT] if weighted else [])]
-    parts = frame.rows.select(*columns).mapInPandas(local, "v array<double>")
-    few = parts.withColumn("p", F.spark_partition_id()).repartition(max(1, frame.rows.sparkSession.sparkContext.defaultParallelism // FAN_IN), "p").select("v").mapInPandas(merge, "v array<double>")
+    parts = frame.rows.select(*columns).mapInArrow(local, "v array<double>")
+    few = parts.withColumn("p", F.floor(F.spark_partition_id() / FAN_IN)).repartition("p").select("v").mapInPandas(merge, "v array<double>")
     out = None
     for r in few.collect():
         v = np.array(r["v"])
