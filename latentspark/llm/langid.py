@@ -23,8 +23,8 @@ PER_LANGUAGE, IN_ALL = 500, 12_000
 CELLS = 4096
 #: Rows up to which the fit solves rows x rows equations, beyond it cells x cells.
 ROWS_FORM = CELLS
-#: Words that a task remembers, and texts that it reads at a time.
-MEMO, AT_ONCE = 300_000, 256
+#: Words that a task remembers, texts that it reads at a time, and new words whose n-grams it weighs at a time.
+MEMO, AT_ONCE, WORDS_AT_ONCE = 200_000, 128, 8192
 UNKNOWN = "und"
 
 _NOT_LETTERS = regex.compile(r"[^\p{L}\n]")
@@ -157,18 +157,20 @@ class WordMargins(dict):
         return row
 
     def _settle(self) -> None:
-        """Rows of the words that are new."""
-        if self.new:
-            cells, word = n_grams("\n".join(self.new))
-            rows = np.column_stack([self.model.weights[cells], np.ones(len(cells))])
-            out = np.zeros((len(self.new), rows.shape[1]))
+        """Rows of the words that are new, some words at a time."""
+        found = [self.table]
+        for at in range(0, len(self.new), WORDS_AT_ONCE):
+            part = self.new[at : at + WORDS_AT_ONCE]
+            cells, word = n_grams("\n".join(part))
             order = np.argsort(word, kind="stable")
-            word = word[order]
+            cells, word = cells[order], word[order]
+            out = np.zeros((len(part), self.table.shape[1]))
             first = np.flatnonzero(np.append(True, word[1:] != word[:-1])) if len(word) else np.empty(0, np.int64)
             if len(first):
-                out[word[first]] = np.add.reduceat(rows[order], first)
-            self.table = np.concatenate([self.table, out])
-            self.new = []
+                out[word[first], :-1] = np.add.reduceat(self.model.weights[cells], first)
+                out[word[first], -1] = np.diff(np.append(first, len(word)))
+            found.append(out)
+        self.table, self.new = np.concatenate(found), []
 
     def margins(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """The margins of every bit, text by text; None without a letter."""
