@@ -2,9 +2,9 @@
 
 Documents that are linked (here: by a common group, such as equal texts) should share a shard while all shards
 have the same number of rows, give or take one. Shards start from a hash. In each round every group votes for the
-shard, of those with room, that most of its members are in, and members of shards that hold fewer move there, up to the
-shard's quota.
-Documents without links then fill what is left.
+shard that most of its members are in, and its other members ask to move there. Between two shards equal
+numbers may swap, whatever their room; beyond that, a shard takes as many as it has room for. Rounds go on until nothing
+moves. Documents without links then fill what is left.
 """
 
 import math
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from latentspark.llm.common import ranked, stored
+from latentspark.llm.common import drop, ranked, stored
 
-ROUNDS = 8
+ROUNDS = 12
 SALTS = 32
 
 
@@ -25,26 +25,56 @@ def _salted_votes(members: DataFrame, votes: DataFrame) -> DataFrame:
     return members.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(copies, ["group", "_salt"]).drop("_salt")
 
 
+def quotas(flow: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """How many of those that ask may move from one shard to another: as many as come back the other way, and as far as there is
+    room, which the shards that ask for it share in proportion."""
+    out = {(s, t): min(n, flow.get((t, s), 0)) for (s, t), n in flow.items()}
+    for t, free in room.items():
+        asks = {s: n - out[s, u] for (s, u), n in sorted(flow.items()) if u == t and n > out[s, u]}
+        total = sum(asks.values())
+        for s, n in asks.items():
+            given = min(n, -(-free * n // total)) if total else 0
+            out[s, t] += given
+            free, total = free - given, total - n
+    return out
+
+
 def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
     """members (uid, group) with shard: linked rows together as far as `capacity` rows a shard allow."""
     state = stored(members.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")))
-    for _ in range(rounds):
+    for turn in range(rounds):
         load = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}  # as many rows as shards
+        cells = state.groupBy("group", "shard").agg(F.count("*").alias("n"))
         room = {s: max(0, capacity - load.get(s, 0)) for s in range(shards)}
+        # Of shards with equally many members a hash decides, another one each round, so that as many ask one way as the other. A group that no shard can hold
+        # whole gathers where there is room, in shards that have more of it than the one that is left.
         has_room = F.col("shard").isin([s for s in room if room[s]] or [-1])
-        cells = state.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        # A shard with room attracts members from shards that hold fewer of them; `held` has one entry a shard at most.
-        attracts = F.when(has_room, F.struct("n", (-F.col("shard")).alias("order")))
-        vote = cells.groupBy("group").agg(F.max(attracts).alias("best"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held"))
-        vote = vote.filter("best IS NOT NULL").select("group", (-F.col("best.order")).alias("target"), F.col("best.n").alias("there"), "held")
-        here = F.element_at("held", F.col("shard"))
-        moving = _salted_votes(state, vote).filter((F.col("there") > here) | ((F.col("there") == here) & (F.col("target") < F.col("shard"))))
-        quota = F.create_map(*[F.lit(x) for s in room for x in (s, room[s])])
-        order = ranked(moving, ["target"], ["uid"], "_rank")
-        accepted = stored(order.filter(F.col("_rank") < F.element_at(quota, F.col("target"))).select("uid", "target"))
-        if accepted.isEmpty():
+        place = F.struct("n", F.xxhash64("group", "shard", F.lit(turn)).alias("tie"), "shard")
+        vote = cells.groupBy("group").agg(F.max(place).alias("best"), F.max(F.when(has_room, place)).alias("open"), (F.sum("n") > capacity).alias("big"), F.map_from_entries(F.collect_list(F.struct("shard", place))).alias("held"))
+        vote = vote.select("group", "big", F.when(F.col("big"), F.col("open")).otherwise(F.col("best")).alias("goal"), "held")
+        moving = _salted_votes(state, vote).filter(F.col("goal") > F.element_at("held", F.col("shard")))
+        moving = stored(moving.select("uid", "big", "shard", F.col("goal.shard").alias("target")))
+        flow: dict[bool, dict[tuple[int, int], int]] = {False: {}, True: {}}
+        for r in moving.groupBy("big", "shard", "target").count().collect():  # pairs of shards
+            flow[r["big"]][r["shard"], r["target"]] = r["count"]
+        # Groups that no shard can hold whole take what the others leave.
+        allowed = []
+        for big in (False, True):
+            given = quotas(flow[big], room)
+            allowed += [(big, s, t, n) for (s, t), n in given.items() if n]
+            for (s, t), n in given.items():
+                room[t] -= n
+                room[s] += n
+        if not allowed:
+            drop(moving)
             break
-        state = stored(state.join(accepted, "uid", "left").select("uid", "group", F.coalesce("target", "shard").alias("shard")))
+        quota = members.sparkSession.createDataFrame(allowed, "big boolean, shard int, target int, quota long")
+        way = ["big", "shard", "target"]
+        order = ranked(moving.join(F.broadcast(quota), way), way, ["uid"], "_rank", buckets=16)
+        accepted = order.filter(F.col("_rank") < F.col("quota")).select("uid", "target")
+        new = stored(state.join(accepted, "uid", "left").select("uid", "group", F.coalesce("target", "shard").alias("shard")))
+        drop(state, moving)
+        state = new
     return state
 
 

@@ -1,3 +1,4 @@
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -95,6 +96,40 @@ def test_shards(spark):
     assert len(at["same"]) == 2 and max(at["same"].values()) >= 20  # 30 don't fit one shard of 25
 
 
+def test_pairs_meet_where_no_shard_has_room(spark):
+    """Every text occurs twice and shards are full: without swaps next to nothing could move. The optimum keeps all pairs."""
+    docs = spark.createDataFrame([(i, f"text {i // 2}") for i in range(800)], "doc_id long, text string")
+    got = sharding.shard_documents(docs, shards=8).collect()
+    at = defaultdict(set)
+    for r in got:
+        at[r["doc_id"] // 2].add(r["shard"])
+    assert sorted(Counter(r["shard"] for r in got).values()) == [100] * 8
+    assert sum(len(s) == 1 for s in at.values()) > 0.85 * 400
+
+
+def test_quotas_keep_capacity():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        flow = {(s, t): int(rng.integers(0, 20)) for s in range(5) for t in range(5) if s != t and rng.random() < 0.7}
+        room = {s: int(rng.integers(0, 15)) for s in range(5)}
+        got = sharding.quotas(flow, room)
+        assert all(0 <= n <= flow[p] for p, n in got.items())
+        for s in range(5):
+            into, out = (sum(n for p, n in got.items() if p[i] == s) for i in (1, 0))
+            assert into - out <= room[s]
+
+
+def test_small_tables_against_the_best_placement(spark):
+    """All placements of 8 rows over 2 shards of 4, by brute force: propagation, a heuristic, keeps half of the links that can be kept, or more."""
+    for seed in range(3):
+        texts = np.random.default_rng(seed).integers(0, 3, 8).tolist()
+        kept = lambda place: sum(texts[i] == texts[j] and place[i] == place[j] for i, j in itertools.combinations(range(8), 2))
+        best = max(kept([int(i in c) for i in range(8)]) for c in itertools.combinations(range(8), 4))
+        docs = spark.createDataFrame([(i, f"t{t}") for i, t in enumerate(texts)], "doc_id long, text string")
+        got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(docs, shards=2).collect()}
+        assert sorted(Counter(got.values()).values()) == [4, 4] and kept(got) >= best / 2
+
+
 def test_shards_of_repeated_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "a")] * 7 + [(None, "b")] * 2, "doc_id long, text string")
     got = sharding.shard_documents(docs, shards=4).collect()
