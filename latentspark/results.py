@@ -1,6 +1,8 @@
 """Results: small records, and DataFrames where there is a row for each feature, candidate or resample."""
 
 from dataclasses import asdict, dataclass, field, fields, is_dataclass
+from types import UnionType
+from typing import get_args, get_origin, get_type_hints
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +23,22 @@ class Record:
 
     @classmethod
     def from_dict(cls, values: dict):
-        """The record again; missing fields take their defaults."""
-        known = {f.name for f in fields(cls)}
-        return cls(**{k: np.array(v) if isinstance(v, list) else v for k, v in values.items() if k in known})
+        """The record again, records inside it too; missing fields take their defaults, unknown names are left out."""
+        kinds = get_type_hints(cls)
+        return cls(**{f.name: _typed(values[f.name], kinds[f.name]) for f in fields(cls) if f.name in values})
+
+
+def _typed(v, kind):
+    """A plain value as the field's type has it: arrays, records and lists of records; all else stays."""
+    options = get_args(kind) if isinstance(kind, UnionType) else (kind,)
+    for option in options:
+        if isinstance(v, dict) and isinstance(option, type) and issubclass(option, Record):
+            return option.from_dict(v)
+        if isinstance(v, list) and option is np.ndarray:
+            return np.array(v, float)
+        if isinstance(v, list) and get_origin(option) is list:
+            return [_typed(x, get_args(option)[0]) for x in v]
+    return v
 
 
 def _plain(v):
@@ -188,7 +203,7 @@ class RotationStabilityResult(Record):
     level: float
     seed: int
     variance_ratio: CIScalar
-    variance_ratio_per_axis: list
+    variance_ratio_per_axis: list[CIScalar]
     variance_unrot: float
     variance_rot: float
     variance_unrot_per_axis: list

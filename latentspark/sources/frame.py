@@ -28,6 +28,8 @@ class Frame:
 
 
 def _array(df: DataFrame, columns: list[str], size: int | None) -> tuple[Column, int]:
+    if not columns:
+        return F.array().cast("array<double>"), 0
     kinds = [df.schema[c].dataType for c in columns]
     if len(columns) == 1 and isinstance(kinds[0], T.ArrayType):
         if size is None:
@@ -40,7 +42,8 @@ def _array(df: DataFrame, columns: list[str], size: int | None) -> tuple[Column,
 
 
 def feature_frame(df: DataFrame, features: list[str] | str, y: list[str] | str | None = None, row_id: str = "row_id", weights: str | None = None, d: int | None = None) -> Frame:
-    """features: numeric columns, or one array column with its length d. y: response columns; none: no response.
+    """features: numeric columns, or one array column with its length d; none: responses alone, for `preprocess`. y: response columns;
+    none: no response.
 
     Values are cast to double. row_id must be unique for everything that resamples."""
     features = [features] if isinstance(features, str) else features

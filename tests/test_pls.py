@@ -6,7 +6,9 @@ import pytest
 from rowform import pls1, standardise
 
 import latentspark as ls
-from latentspark import errors
+from latentspark import errors, results
+from latentspark.operators.fit import preprocess
+from latentspark.sources.frame import feature_frame
 from latentspark.functions import kernels, special
 from latentspark.operators import fit, moments, resample
 from latentspark.operators.inference import split_correlations
@@ -251,3 +253,28 @@ def test_streamed_moments_equal_batch(spark, tmp_path):
     want = moments.total(f, np.zeros(4))
     np.testing.assert_allclose(got.xx1, want.xx1)
     assert got.rows == 50
+
+
+def test_responses_alone_are_standardised(spark):
+    y = np.array([1.0, 2.0, 4.0, 9.0])
+    df = spark.createDataFrame([(i, float(v), 1.0 + i) for i, v in enumerate(y)], "row_id long, y double, w double")
+    p = preprocess(feature_frame(df, [], "y", weights="w"))
+    w = np.arange(1.0, 5.0)
+    mean = (w @ y) / w.sum()
+    scale = np.sqrt(w @ (y - mean) ** 2 / w.sum())
+    assert len(p.x_mean) == 0 and p.y_mean[0] == pytest.approx(mean) and p.y_scale[0] == pytest.approx(scale)
+    got = {r["row_id"]: r["y"][0] for r in p.rows.collect()}
+    assert [got[i] for i in range(4)] == pytest.approx(((y - mean) / scale).tolist())
+
+
+def test_records_come_back():
+    ci = results.CIScalar(0.5, 0.1, 0.9, 0.2)
+    stability = results.RotationStabilityResult("varimax", 100, 20, 0.7, 0.95, 3, ci, [ci, results.CIScalar(1.0, 0.0, 2.0, 0.5)], 1.0, 2.0, [1.0, 0.5], [2.0, 1.5], False, 99, 40.0)
+    assert results.RotationStabilityResult.from_dict(stability.to_dict() | {"unknown": 1}) == stability
+    rotated = results.RotateResult(np.eye(2), results.RotationSpec("varimax", {"max_sweeps": 5}, np.array([[0.6, -0.8], [0.8, 0.6]]), 4, 1e-9, False))
+    back = results.RotateResult.from_dict(rotated.to_dict())
+    assert isinstance(back.spec, results.RotationSpec) and back.spec.args == {"max_sweeps": 5} and back.spec.sweeps == 4
+    np.testing.assert_array_equal(back.spec.r, rotated.spec.r)
+    np.testing.assert_array_equal(back.w_rot, rotated.w_rot)
+    gate = results.SplitNbGateResult(True, 2.5, 30.0)
+    assert results.SplitNbGateResult.from_dict(gate.to_dict()) == gate
