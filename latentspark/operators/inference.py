@@ -296,13 +296,34 @@ def feature_intervals(fits: DataFrame, beta: np.ndarray, lev: np.ndarray, n: int
     long = fits.select(F.posexplode(F.arrays_zip("beta", "leverage")).alias("feature", "v")).select("feature", "v.beta", "v.leverage")
     delta = long.join(F.broadcast(points), "feature").withColumns({"db": F.col("beta") - F.col("beta_ref"), "dl": F.col("leverage") - F.col("leverage_ref")})
     tails = [(1 - level) / 2, 1 - (1 - level) / 2]
-    stats = delta.groupBy("feature", "beta_ref", "leverage_ref").agg(F.count("*").alias("n"), F.count_if(F.col("beta") > 0).alias("pos"), F.count_if(F.col("beta") < 0).alias("neg"), F.percentile("db", F.array(*map(F.lit, tails))).alias("qb"), F.percentile("dl", F.array(*map(F.lit, tails))).alias("ql"), F.coalesce(F.stddev_samp("db"), F.lit(0.0)).alias("sb"), F.coalesce(F.stddev_samp("dl"), F.lit(0.0)).alias("sl"))
+    quantiles = F.array(*map(F.lit, tails))
+    stats = delta.groupBy("feature", "beta_ref", "leverage_ref").agg(
+        F.count("*").alias("n"),
+        F.count_if(F.col("beta") > 0).alias("pos"),
+        F.count_if(F.col("beta") < 0).alias("neg"),
+        F.percentile("db", quantiles).alias("qb"),
+        F.percentile("dl", quantiles).alias("ql"),
+        F.coalesce(F.stddev_samp("db"), F.lit(0.0)).alias("sb"),
+        F.coalesce(F.stddev_samp("dl"), F.lit(0.0)).alias("sl"),
+    )
     shrink = math.sqrt(m / n)
     agree = F.when(F.col("beta_ref") > 0, F.col("pos")).when(F.col("beta_ref") < 0, F.col("neg")).otherwise(F.greatest("pos", "neg")) / F.col("n")
     z = (2 * agree - 1) * F.sqrt("n")
     signed = F.when(F.col("beta_ref") > 0, F.abs(z)).when(F.col("beta_ref") < 0, -F.abs(z)).otherwise(z)
     bound = lambda p, q, i: F.col(p) - shrink * F.get(F.col(q), F.lit(i))
-    return stats.select("feature", "beta_ref", "leverage_ref", z.alias("beta_sign_z"), signed.alias("beta_sign_z_signed"), bound("leverage_ref", "ql", 1).alias("leverage_ci_lower"), bound("leverage_ref", "ql", 0).alias("leverage_ci_upper"), (shrink * F.col("sl")).alias("leverage_ci_se"), bound("beta_ref", "qb", 1).alias("beta_ci_lower"), bound("beta_ref", "qb", 0).alias("beta_ci_upper"), (shrink * F.col("sb")).alias("beta_ci_se"))
+    return stats.select(
+        "feature",
+        "beta_ref",
+        "leverage_ref",
+        z.alias("beta_sign_z"),
+        signed.alias("beta_sign_z_signed"),
+        bound("leverage_ref", "ql", 1).alias("leverage_ci_lower"),
+        bound("leverage_ref", "ql", 0).alias("leverage_ci_upper"),
+        (shrink * F.col("sl")).alias("leverage_ci_se"),
+        bound("beta_ref", "qb", 1).alias("beta_ci_lower"),
+        bound("beta_ref", "qb", 0).alias("beta_ci_upper"),
+        (shrink * F.col("sb")).alias("beta_ci_se"),
+    )
 
 
 def check_resamples(skipped: int, failed: int, n_boot: int, max_failure_rate: float, max_skip_rate: float) -> None:

@@ -106,7 +106,23 @@ class Moments:
         move2 = lambda s, xs, n: s - np.outer(xs, cx) - np.outer(cx, xs) + n * np.outer(cx, cx)
         cross = lambda s, xs, ys, n: s - np.outer(xs, cy) - np.outer(cx, ys) + n * np.outer(cx, cy)
         n1, nw, nr, _ = self.n
-        return Moments(self.n, self.x1 - n1 * cx, self.xr - nr * cx, self.xw - nw * cx, self.y1 - n1 * cy, self.yr - nr * cy, self.yw - nw * cy, move2(self.xx1, self.x1, n1), move2(self.xxw, self.xw, nw), cross(self.xy1, self.x1, self.y1, n1), cross(self.xyw, self.xw, self.yw, nw), self.yy1 - 2 * cy * self.y1 + n1 * cy**2, self.yyw - 2 * cy * self.yw + nw * cy**2, self.low - centre, self.high - centre)
+        return Moments(
+            n=self.n,
+            x1=self.x1 - n1 * cx,
+            xr=self.xr - nr * cx,
+            xw=self.xw - nw * cx,
+            y1=self.y1 - n1 * cy,
+            yr=self.yr - nr * cy,
+            yw=self.yw - nw * cy,
+            xx1=move2(self.xx1, self.x1, n1),
+            xxw=move2(self.xxw, self.xw, nw),
+            xy1=cross(self.xy1, self.x1, self.y1, n1),
+            xyw=cross(self.xyw, self.xw, self.yw, nw),
+            yy1=self.yy1 - 2 * cy * self.y1 + n1 * cy**2,
+            yyw=self.yyw - 2 * cy * self.yw + nw * cy**2,
+            low=self.low - centre,
+            high=self.high - centre,
+        )
 
 
 @dataclass
