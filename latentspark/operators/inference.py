@@ -9,7 +9,7 @@ import warnings
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.errors import InvalidArgs, InvalidArgument, PermNullDegenerate, ResampleFailureRateExceeded, ResamplingDegenerate
@@ -40,9 +40,14 @@ def method_args(method: str, args: dict | None) -> dict:
 # ---- pairs of row sets
 
 
+def pair_blocks(frame: Frame, sets: Column, centre: np.ndarray, pairs: int) -> DataFrame:
+    """Blocks of sets 0 to 2 pairs - 1, with 2b and 2b + 1 in one partition."""
+    return moments.set_blocks(frame, sets, centre, 2 * pairs, (F.expr("label div 2"),))
+
+
 def per_pair(blocks: DataFrame, frame: Frame, work, schema: str) -> DataFrame:
-    """Runs work(b, sets 2b, sets 2b + 1) where both blocks meet."""
-    d, q = frame.d, frame.q
+    """Runs work(b, sets 2b, sets 2b + 1) where both blocks meet: blocks as `pair_blocks` gives them."""
+    d, q, weighted = frame.d, frame.q, frame.weighted
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
@@ -51,13 +56,13 @@ def per_pair(blocks: DataFrame, frame: Frame, work, schema: str) -> DataFrame:
             rows = []
             for label, block in zip(batch.label, batch.block, strict=True):
                 b, side = divmod(int(label), 2)
-                held.setdefault(b, {})[side] = Moments.unflat(block, d, q)
+                held.setdefault(b, {})[side] = Moments.unflat(block, d, q, weighted)
                 if len(held[b]) == 2:
                     both = held.pop(b)
                     rows += work(b, both[0], both[1])
             yield pd.DataFrame(rows, columns=names)
 
-    return blocks.repartition(F.expr("label div 2")).sortWithinPartitions("label").mapInPandas(run, schema)
+    return blocks.mapInPandas(run, schema)
 
 
 def correlation(g: np.ndarray, mean: np.ndarray, b: Moments, y: int, flat: float, none: float) -> float:
@@ -97,7 +102,7 @@ def split_correlations(frame: Frame, info: dict, k: int, n_splits: int, seed: in
             out.append((b, j, correlation(f.coef / s.x_scale, s.x_mean, test, j, 1e-15, 0.0) if f.k_used else 0.0))
         return out
 
-    return per_pair(moments.set_blocks(frame, sets, centre), frame, work, "b int, response int, r double")
+    return per_pair(pair_blocks(frame, sets, centre, n_splits), frame, work, "b int, response int, r double")
 
 
 def fisher_z(r):
@@ -138,7 +143,7 @@ def _raw_perm(frame: Frame, info: dict, k: int, a: dict, seed: int, keep: int |
             out.append((j, *residuals(v, s, f.coef, j)))
         return out
 
-    blocks = moments.set_blocks(perms, resample.folds(frame.rows, seed, info["n"], n_folds), centre)
+    blocks = pair_blocks(perms, resample.folds(frame.rows, seed, info["n"], n_folds), centre, n_folds)
     sums = per_pair(blocks, perms, work, "response int, ss_res double, ss_tot double").groupBy("response").agg(F.sum("ss_res").alias("res"), F.sum("ss_tot").alias("tot"))
     r2 = sums.select("response", F.when(F.col("tot") > 0, 1 - F.try_divide("res", "tot")).otherwise(0.0).alias("r2")).persist()
     observed = r2.filter("response = 0").first()["r2"]
@@ -195,7 +200,7 @@ def _e(frame: Frame, info: dict, k: int, seed: int, keep: int | None) -> tuple:
     if n < k + 5:
         raise InvalidArgument(f"{n} rows are too few for k={k} in split halves")
     sets = resample.halves(frame.rows, seed, "split", 1, kernels.split_size(n, k))
-    both = moments.collected(moments.set_blocks(frame, sets, info["centre"]), d, frame.q)
+    both = moments.collected(pair_blocks(frame, sets, info["centre"], 1), frame)
     train, test = both[0], both[1]
     s = moments.standard(train)
     f = kernels.pls1(s.gram, s.cross[:, 0], k, keep)
@@ -256,7 +261,7 @@ def subsample_size(n: int, k: int, n_boot: int, m_rate: float, level: float, *ra
 def subsample_fits(frame: Frame, info: dict, k: int, m: int, n_boot: int, pre_standardized: bool, seed: int) -> DataFrame:
     """b, status (ok, skipped: too few effective rows, failed: fewer components), r (held-out correlation), beta, leverage."""
     centre = centre_of(info, pre_standardized)
-    blocks = moments.set_blocks(frame, resample.halves(frame.rows, seed, "subsample", n_boot, m), centre)
+    blocks = pair_blocks(frame, resample.halves(frame.rows, seed, "subsample", n_boot, m), centre, n_boot)
 
     def work(b: int, sample: Moments, rest: Moments) -> list[tuple]:
         if sample.n_eff < k + 1 or sample.n[1] <= 0:

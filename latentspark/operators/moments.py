@@ -1,12 +1,14 @@
 """Moment blocks: what fits and tests need of any set of rows, as additive sums.
 
-One scan makes the block of a whole frame; one more makes the blocks of many overlapping row sets at a time. Sums are
-taken around a common centre. Tasks accumulate their rows in NumPy and emit one row for each set, so what is shuffled does
-not depend on the number of rows.
+One scan makes the block of a whole frame; one more makes the blocks of many overlapping row sets at a time, or, where they are too
+many for a task's memory, of a range of them. Sums are taken around a common centre. Tasks accumulate their rows in NumPy and emit one block
+for each set; they are some for each core, so what is shuffled does not depend on the number of rows. Blocks are packed: a triangle of each
+symmetric matrix, and of frames without weights the plain sums alone.
 """
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -16,14 +18,19 @@ from pyspark.sql import functions as F
 
 from latentspark.errors import DimensionMismatch, InvalidArgument, InvalidWeights, NonFiniteInput
 from latentspark.functions.kernels import FLAT
-from latentspark.operators.rowwise import FAN_IN, column_means, matrix
+from latentspark.operators.rowwise import column_means, few, matrix, merged, segments
 from latentspark.sources.frame import ID, WEIGHT, Frame, X, Y
 
 BLOCK = "label int, block array<double>"
-#: Bytes of blocks that a task holds.
+#: Bytes of blocks that a task holds; more sets are summed in ranges, a scan each.
 HELD = 1 << 28
 
 
+@lru_cache(maxsize=4)
+def _triangle(d: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(d)
+
+
 @dataclass
 class Moments:
     """Sums over a set of rows: plain ones (suffix 1), with weights (w) and with root weights (r), around a centre."""
@@ -48,13 +55,6 @@ class Moments:
     def shapes(d: int, q: int) -> dict[str, tuple]:
         return {"n": (4,), "x1": (d,), "xr": (d,), "xw": (d,), "y1": (q,), "yr": (q,), "yw": (q,), "xx1": (d, d), "xxw": (d, d), "xy1": (d, q), "xyw": (d, q), "yy1": (q,), "yyw": (q,), "low": (d + q,), "high": (d + q,)}
 
-    @classmethod
-    def empty(cls, d: int, q: int) -> "Moments":
-        at = {k: np.zeros(s) for k, s in cls.shapes(d, q).items()}
-        at["low"] += np.inf
-        at["high"] -= np.inf
-        return cls(**at)
-
     @classmethod
     def of(cls, x: np.ndarray, y: np.ndarray, w: np.ndarray | None) -> "Moments":
         v = np.column_stack([x, y])
@@ -66,24 +66,36 @@ class Moments:
         n = np.array([len(w), w.sum(), r.sum(), (w * w).sum()])
         return cls(n, x1, r @ x, wx.sum(0), y1, r @ y, w @ y, xx, wx.T @ x, xy, wx.T @ y, yy, w @ (y * y), low, high)
 
-    def add(self, other: "Moments") -> None:
-        for f in fields(self):
-            if f.name == "low":
-                self.low = np.minimum(self.low, other.low)
-            elif f.name == "high":
-                self.high = np.maximum(self.high, other.high)
-            else:
-                setattr(self, f.name, getattr(self, f.name) + getattr(other, f.name))
+    @classmethod
+    def packed(cls, d: int, q: int, weighted: bool) -> list[tuple[str, tuple]]:
+        """Names and shapes in a block, in order; without weights the sums with weights are the plain ones."""
+        shapes = cls.shapes(d, q)
+        left_out = () if weighted else ("xr", "xw", "yr", "yw", "xxw", "xyw", "yyw")
+        return [(f.name, shapes[f.name]) for f in fields(cls) if f.name not in left_out]
+
+    @classmethod
+    def size(cls, d: int, q: int, weighted: bool) -> int:
+        """Numbers in a block."""
+        return sum(d * (d + 1) // 2 if k.startswith("xx") else int(np.prod(s)) for k, s in cls.packed(d, q, weighted))
 
-    def flat(self) -> np.ndarray:
-        return np.concatenate([getattr(self, f.name).ravel() for f in fields(self)])
+    def flat(self, weighted: bool = True) -> np.ndarray:
+        d, q = len(self.x1), len(self.y1)
+        return np.concatenate([getattr(self, k)[_triangle(d)] if k.startswith("xx") else getattr(self, k).ravel() for k, _ in self.packed(d, q, weighted)])
 
     @classmethod
-    def unflat(cls, v: np.ndarray, d: int, q: int) -> "Moments":
+    def unflat(cls, v: np.ndarray, d: int, q: int, weighted: bool = True) -> "Moments":
         out, at = {}, 0
-        for k, s in cls.shapes(d, q).items():
-            n = int(np.prod(s))
-            out[k], at = np.asarray(v[at : at + n], float).reshape(s), at + n
+        for k, s in cls.packed(d, q, weighted):
+            if k.startswith("xx"):
+                n, half = d * (d + 1) // 2, np.zeros((d, d))
+                half[_triangle(d)] = v[at : at + n]
+                out[k] = half + half.T - np.diag(np.diag(half))
+            else:
+                n = int(np.prod(s))
+                out[k] = np.asarray(v[at : at + n], float).reshape(s)
+            at += n
+        if not weighted:
+            out |= {"xr": out["x1"], "xw": out["x1"], "yr": out["y1"], "yw": out["y1"], "xxw": out["xx1"], "xyw": out["xy1"], "yyw": out["yy1"]}
         return cls(**out)
 
     @property
@@ -158,86 +170,65 @@ def standard(m: Moments, pre_standardized: bool = False) -> Standard:
     return Standard(x_mean, x_scale, y_mean, y_scale, gram, cross, y_square, m.rows)
 
 
-def _summed(blocks: DataFrame, d: int, q: int) -> DataFrame:
-    """Adds the tasks' blocks of each label; they stream through in order, one label at a time in memory."""
+def adding(ends: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Combines two blocks whose last 2 * ends numbers are least and largest values."""
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label, total = None, None
-        for batch in batches:
-            for new, block in zip(batch.label, batch.block, strict=True):
-                if new != label:
-                    if total is not None:
-                        yield pd.DataFrame({"label": [label], "block": [total.flat()]})
-                    label, total = new, Moments.empty(d, q)
-                total.add(Moments.unflat(block, d, q))
-        if total is not None:
-            yield pd.DataFrame({"label": [label], "block": [total.flat()]})
-
-    if blocks.sparkSession.sparkContext.defaultParallelism > FAN_IN:
-        # Blocks of FAN_IN tasks each are added first, so that no task gets those of all tasks.
-        near = blocks.withColumn("near", F.floor(F.spark_partition_id() / FAN_IN))
-        blocks = near.repartition("label", "near").sortWithinPartitions("label").select("label", "block").mapInPandas(add, BLOCK)
-    return blocks.repartition("label").sortWithinPartitions("label").mapInPandas(add, BLOCK)
-
-
-def set_blocks(frame: Frame, sets: DataFrame | Column | None, centre: np.ndarray) -> DataFrame:
-    """label, block: moments of overlapping row sets. sets: row_id and labels array<int>, or labels as a column over the frame's rows;
-    None: one set, 0, of all rows.
-
-    A task holds up to HELD bytes of blocks and passes them on when there are more."""
-    d, q, weighted = frame.d, frame.q, frame.weighted
-    if isinstance(sets, DataFrame):
-        rows = frame.rows.join(sets, ID)
-    else:
-        rows = frame.rows.withColumn("labels", F.array(F.lit(0)) if sets is None else sets)
-    most = max(1, HELD // (8 * sum(int(np.prod(s)) for s in Moments.shapes(d, q).values())))
+    def add(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = a + b
+        np.minimum(a[-2 * ends : -ends], b[-2 * ends : -ends], out=out[-2 * ends : -ends])
+        np.maximum(a[-ends:], b[-ends:], out=out[-ends:])
+        return out
+
+    return add
 
-    def passed(totals: dict[int, Moments]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([m.flat() for m in totals.values()], pa.list_(pa.float64()))], ["label", "block"])
+
+def set_blocks(frame: Frame, sets: Column | None, centre: np.ndarray, n_sets: int = 1, by: tuple = ("label",)) -> DataFrame:
+    """label, block: moments of overlapping row sets. sets: labels from 0 to n_sets - 1 of a row as an array column over the frame's rows; None: one
+    set, 0, of all rows. Sets with the same `by` end in one partition, in order.
+
+    A task holds HELD bytes of blocks at most: where all sets are more, each scan sums a range of them. What is shuffled is a block for each set and
+    task."""
+    d, q, weighted = frame.d, frame.q, frame.weighted
+    rows = frame.rows.withColumn("labels", F.array(F.lit(0)) if sets is None else sets)
+    most = max(1, HELD // (8 * Moments.size(d, q, weighted)))
+    add = adding(d + q)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[int, Moments] = {}
+        totals: dict[int, np.ndarray] = {}
         for batch in batches:
             x, y = matrix(batch, X, d) - centre[:d], matrix(batch, Y, q) - centre[d:]
             w = batch.column(WEIGHT).to_numpy(zero_copy_only=False) if weighted else None
-            lists = batch.column("labels")
-            member = np.repeat(np.arange(batch.num_rows), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            labels = lists.flatten().to_numpy(zero_copy_only=False)
-            # The rows of each label lie together after one sort.
-            order = np.argsort(labels, kind="stable")
-            labels, member = labels[order], member[order]
-            cuts = np.flatnonzero(np.append(True, labels[1:] != labels[:-1])) if len(labels) else np.empty(0, np.int64)
-            for at, end in zip(cuts, np.append(cuts[1:], len(labels)), strict=True):
-                own, label = member[at:end], int(labels[at])
+            for label, own in segments(batch.column("labels")):
                 whole = len(own) == len(x)
                 part = Moments.of(x, y, w) if whole else Moments.of(x[own], y[own], None if w is None else w[own])
-                if label in totals:
-                    totals[label].add(part)
-                else:
-                    if len(totals) >= most:
-                        yield passed(totals)
-                        totals = {}
-                    totals[label] = part
-        if totals:
-            yield passed(totals)
+                flat = part.flat(weighted)
+                totals[label] = add(totals[label], flat) if label in totals else flat
+        for label, block in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([block], pa.list_(pa.float64()))], ["label", "block"])
 
     columns = [X, Y, *([WEIGHT] if weighted else []), "labels"]
-    return _summed(rows.select(*columns).mapInArrow(gather, BLOCK), d, q)
+    parts = []
+    for low in range(0, n_sets, most):
+        mine = rows
+        if n_sets > most:
+            mine = rows.withColumn("labels", F.expr(f"filter(labels, s -> s >= {low} AND s < {low + most})")).filter(F.size("labels") > 0)
+        parts.append(few(mine.select(*columns)).mapInArrow(gather, BLOCK))
+    return merged(reduce(DataFrame.unionAll, parts), add, by)
 
 
-def collected(blocks: DataFrame, d: int, q: int) -> dict[int, Moments]:
+def collected(blocks: DataFrame, frame: Frame) -> dict[int, Moments]:
     """Blocks of a few sets (folds, halves) on the driver."""
-    return {r["label"]: Moments.unflat(np.array(r["block"]), d, q) for r in blocks.collect()}
+    return {r["label"]: Moments.unflat(np.array(r["block"]), frame.d, frame.q, frame.weighted) for r in blocks.collect()}
 
 
 def per_set(blocks: DataFrame, frame: Frame, work: Callable[[int, Moments], list[tuple]], schema: str) -> DataFrame:
     """Runs small algebra on each set's moments where they are; work returns rows of the schema."""
-    d, q = frame.d, frame.q
+    d, q, weighted = frame.d, frame.q, frame.weighted
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [r for label, block in zip(batch.label, batch.block, strict=True) for r in work(int(label), Moments.unflat(block, d, q))]
+            rows = [r for label, block in zip(batch.label, batch.block, strict=True) for r in work(int(label), Moments.unflat(block, d, q, weighted))]
             yield pd.DataFrame(rows, columns=names)
 
     return blocks.mapInPandas(run, schema)
@@ -279,4 +270,4 @@ def validate(frame: Frame, unique: bool = False) -> dict:
 
 
 def total(frame: Frame, centre: np.ndarray) -> Moments:
-    return collected(set_blocks(frame, None, centre), frame.d, frame.q)[0]
+    return collected(set_blocks(frame, None, centre), frame)[0]

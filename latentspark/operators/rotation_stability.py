@@ -55,7 +55,7 @@ def pls1_rotation_stability(frame: Frame, k: int, *, method: str = "varimax", ro
         return [(b, squares(fit.w, plain), squares(turn(near), rotated))]
 
     # One set a draw: the subsample.
-    blocks = moments.set_blocks(frame, resample.subsets(frame.rows, seed, "stability", n_boot, m), centre)
+    blocks = moments.set_blocks(frame, resample.subsets(frame.rows, seed, "stability", n_boot, m), centre, n_boot)
     rows = moments.per_set(blocks, frame, work, "b int, unrot array<double>, rot array<double>").orderBy("b").collect()  # 2k numbers a draw
     u, v = (np.array([r[c] for r in rows], float).reshape(len(rows), k) for c in ("unrot", "rot"))
     fine = np.isfinite(u).all(1) & np.isfinite(v).all(1)

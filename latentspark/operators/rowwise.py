@@ -4,11 +4,13 @@ Each component takes two passes that sum one vector of d numbers; the rows stay
 n x n is made. It also serves where covariance form loses digits (nearly collinear features).
 """
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentspark.functions.kernels import FLAT, Fit, coef_at, top_keep
@@ -16,7 +18,7 @@ from latentspark.sources.frame import WEIGHT, Frame, X, Y
 
 #: Shares of the start's covariance and variance below which a component is noise; rows carry more digits than moments.
 STOP, FLAT_SCORES = 1e-13, 1e-22
-#: Vectors that are summed in one task before the rest.
+#: Blocks of one label that a task combines, at most.
 FAN_IN = 64
 
 
@@ -25,10 +27,58 @@ def matrix(batch: pa.RecordBatch, column: str, width: int) -> np.ndarray:
     return batch.column(column).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
 
 
-def row_sums(frame: Frame, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], combine=np.add) -> np.ndarray:
-    """Combines a vector of `size` numbers over all rows; work: x, y, w of a batch to such a vector.
+def segments(lists: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Each label of an array column, with the places of its rows: after one sort they lie together."""
+    member = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    labels = lists.flatten().to_numpy(zero_copy_only=False)
+    order = np.argsort(labels, kind="stable")
+    labels, member = labels[order], member[order]
+    cuts = np.flatnonzero(np.append(True, labels[1:] != labels[:-1])) if len(labels) else np.empty(0, np.int64)
+    for at, end in zip(cuts, np.append(cuts[1:], len(labels)), strict=True):
+        yield int(labels[at]), member[at:end]
+
+
+def width(spark: SparkSession) -> int:
+    """Tasks that sum rows, at most: some for each core, not one for each piece of the input."""
+    return max(FAN_IN, 2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """rows in `width` partitions at most, without a shuffle: what tasks emit grows with the cores, not with the rows."""
+    return rows.coalesce(width(rows.sparkSession))
+
+
+def merged(parts: DataFrame, combine: Callable[[np.ndarray, np.ndarray], np.ndarray], by=("label",)) -> DataFrame:
+    """label, block: the blocks (label, block) of up to `width` tasks, combined for each label. Tasks combine those of FAN_IN others
+    each, level by level, until no more than FAN_IN are left; blocks stream through in order, one label's in memory. Labels with the same `by` end in one
+    partition, in order."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, None
+        for batch in batches:
+            for label, near, block in zip(batch.label, batch.near, batch.block, strict=True):
+                if (label, near) == key:
+                    total = combine(total, block)
+                    continue
+                if key is not None:
+                    yield pd.DataFrame({"label": [key[0]], "near": [key[1]], "block": [total]})
+                key, total = (label, near), np.array(block)
+        if key is not None:
+            yield pd.DataFrame({"label": [key[0]], "near": [key[1]], "block": [total]})
+
+    kind = "label int, near int, block array<double>"
+    left = width(parts.sparkSession)
+    parts = parts.withColumn("near", F.spark_partition_id())
+    while left > FAN_IN:
+        parts = parts.withColumn("near", F.floor(F.col("near") / FAN_IN).cast("int")).select("label", "near", "block")
+        parts = parts.repartition("label", "near").sortWithinPartitions("label", "near").mapInPandas(add, kind)
+        left = math.ceil(left / FAN_IN)
+    parts = parts.select("label", F.lit(0).alias("near"), "block").repartition(*by).sortWithinPartitions("label")
+    return parts.mapInPandas(add, kind).select("label", "block")
+
 
-    Tasks combine their batches, some tasks combine those of FAN_IN others each, the driver the few that are left."""
+def row_sums(frame: Frame, size: int, work: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], combine=np.add) -> np.ndarray:
+    """Combines a vector of `size` numbers over all rows; work: x, y, w of a batch to such a vector."""
     weighted, d, q = frame.weighted, frame.d, frame.q
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,24 +88,12 @@ def row_sums(frame: Frame, size: int, work: Callable[[np.ndarray, np.ndarray, np
                 v = work(matrix(b, X, d), matrix(b, Y, q), b.column(WEIGHT).to_numpy(zero_copy_only=False) if weighted else np.ones(b.num_rows))
                 total = v if total is None else combine(total, v)
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for b in batches:
-            for v in b.v:
-                total = v if total is None else combine(total, v)
-        if total is not None:
-            yield pd.DataFrame({"v": [total]})
+            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([total], pa.list_(pa.float64()))], ["label", "block"])
 
     columns = [X, Y, *([WEIGHT] if weighted else [])]
-    parts = frame.rows.select(*columns).mapInArrow(local, "v array<double>")
-    few = parts.withColumn("p", F.floor(F.spark_partition_id() / FAN_IN)).repartition("p").select("v").mapInPandas(merge, "v array<double>")
-    out = None
-    for r in few.collect():
-        v = np.array(r["v"])
-        out = v if out is None else combine(out, v)
-    return np.zeros(size) if out is None else out
+    parts = few(frame.rows.select(*columns)).mapInArrow(local, "label int, block array<double>")
+    r = merged(parts, combine).first()
+    return np.zeros(size) if r is None else np.array(r["block"])
 
 
 def column_means(frame: Frame) -> np.ndarray:

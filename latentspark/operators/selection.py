@@ -10,7 +10,7 @@ from latentspark.errors import InvalidArgs, InvalidArgument, SequenceNoRejection
 from latentspark.functions import kernels
 from latentspark.operators import moments, resample
 from latentspark.operators.fit import check_k, preprocess
-from latentspark.operators.inference import METHODS, SplitNbGateResult, gate_of, method_args, per_pair, pls1_confirmatory_test, residuals
+from latentspark.operators.inference import METHODS, SplitNbGateResult, gate_of, method_args, pair_blocks, per_pair, pls1_confirmatory_test, residuals
 from latentspark.results import FindKeepOptimalResult, FindKOptimalResult, FindKSequenceResult
 from latentspark.sources.frame import WEIGHT, Frame, X, Y
 
@@ -55,7 +55,7 @@ def fold_scores(frame: Frame, info: dict, seed: int, n_folds: int, candidates: l
                 out.append((b, i, 1 - res / tot if tot > 0 else 0.0))
         return out
 
-    blocks = moments.set_blocks(frame, resample.folds(frame.rows, seed, info["n"], n_folds), centre)
+    blocks = pair_blocks(frame, resample.folds(frame.rows, seed, info["n"], n_folds), centre, n_folds)
     return per_pair(blocks, frame, work, "fold int, candidate int, r2 double")
 
 

@@ -211,7 +211,7 @@ def sign_z(spark, sf_dir):
     ref = moments.standard(m).cross[:, 0]
     sets = resample.halves(f.rows, SEED, "split", 4, kernels.split_size(info["n"], 1), both=False)
     work = lambda b, s: [(b, j, float(v)) for j, v in enumerate(moments.standard(s).cross[:, 0])]
-    each = moments.per_set(moments.set_blocks(f, sets, info["centre"]), f, work, "b int, feature int, beta double")
+    each = moments.per_set(moments.set_blocks(f, sets, info["centre"], 8), f, work, "b int, feature int, beta double")
     refs = spark.createDataFrame([(j, float(v)) for j, v in enumerate(ref)], "feature int, ref double")
     agree = F.avg((F.signum("beta") == F.signum("ref")).cast("double"))
     return rounded(each.join(F.broadcast(refs), "feature").groupBy("feature").agg(((2 * agree - 1) * F.sqrt(F.count("*"))).alias("z")))

@@ -5,7 +5,8 @@ Blocks are written once for each batch id; a batch that is run again after a fai
 
 import numpy as np
 
-from latentspark.operators.moments import Moments, set_blocks
+from latentspark.errors import DimensionMismatch
+from latentspark.operators.moments import Moments, adding, set_blocks
 from latentspark.sources.frame import Frame
 
 
@@ -21,7 +22,10 @@ def stream_totals(frame: Frame, blocks: str, checkpoint: str) -> Moments:
     spark = frame.rows.sparkSession
     query = frame.rows.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    total = Moments.empty(frame.d, frame.q)
+    add, total = adding(frame.d + frame.q), None
     for row in spark.read.parquet(blocks).select("block").toLocalIterator():
-        total.add(Moments.unflat(np.array(row["block"]), frame.d, frame.q))
-    return total
+        block = np.array(row["block"])
+        total = block if total is None else add(total, block)
+    if total is None:
+        raise DimensionMismatch("no rows")
+    return Moments.unflat(total, frame.d, frame.q, frame.weighted)
