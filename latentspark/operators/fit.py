@@ -3,14 +3,14 @@
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.errors import AlreadyRotated, DimensionMismatch, InvalidArgs, InvalidArgument, InvalidInput, InvalidWeights, KExceedsMax, RotationMethodNotImplemented
 from latentspark.functions import kernels
-from latentspark.operators import moments
-from latentspark.operators.rowwise import row_fit
+from latentspark.operators import moments, wide
+from latentspark.operators.rowwise import matrix, row_fit
 from latentspark.results import Pls1Model, PreprocessResult, RotateResult, RotationSpec
 from latentspark.sources.frame import WEIGHT, Frame, X, Y
 
@@ -41,13 +41,17 @@ def preprocess(frame: Frame) -> PreprocessResult:
 
     Two scans: one validates and finds the centre, one sums; the rows themselves are a lazy projection."""
     info = moments.validate(frame)
-    s = moments.standard(moments.total(frame, info["centre"]))
-    mean = np.concatenate([s.x_mean, s.y_mean]) + info["centre"]
-    x_mean, y_mean = mean[: frame.d], mean[frame.d :]
-    rows = frame.rows.withColumns({X: _scaled(X, x_mean, s.x_scale), Y: _scaled(Y, y_mean, s.y_scale)})
+    if frame.d > MANY:
+        s = wide.standards(frame, None, [0], range(frame.q))[0]
+        x_mean, y_mean, x_scale, y_scale = s.mean, s.y_mean, s.scale, s.y_scale
+    else:
+        s = moments.standard(moments.total(frame, info["centre"]))
+        mean = np.concatenate([s.x_mean, s.y_mean]) + info["centre"]
+        x_mean, y_mean, x_scale, y_scale = mean[: frame.d], mean[frame.d :], s.x_scale, s.y_scale
+    rows = frame.rows.withColumns({X: _scaled(X, x_mean, x_scale), Y: _scaled(Y, y_mean, y_scale)})
     if frame.weighted:
         rows = rows.withColumn(WEIGHT, F.col(WEIGHT) * (info["n"] / info["sw"]))
-    return PreprocessResult(rows, x_mean, s.x_scale, y_mean, s.y_scale, info["n_eff"] if frame.weighted else None)
+    return PreprocessResult(rows, x_mean, x_scale, y_mean, y_scale, info["n_eff"] if frame.weighted else None)
 
 
 def _array(values: np.ndarray) -> Column:
@@ -77,6 +81,21 @@ def fit_rows(frame: Frame, k: int, keep: int | None, pre_standardized: bool) ->
     return Pls1Model(f.w, f.p, f.q, f.coef, beta, intercept, f.k_used, x_mean, x_scale, pre_standardized, keep=keep)
 
 
+def near(f, k: int) -> bool:
+    """Nearly collinear features, or too few components: rows keep the digits that moments lose."""
+    return f.least < NEAR or f.k_used < k
+
+
+def fitted(frame: Frame, info: dict, k: int, keep: int | None = None, pre_standardized: bool = False) -> Pls1Model:
+    """The fit by moments, or over rows where features are many or nearly collinear."""
+    if frame.d <= MANY:
+        centre = centre_of(info, pre_standardized)
+        model, _ = fit_moments(moments.total(frame, centre), centre, k, keep, pre_standardized)
+        if not near(model, k):
+            return model
+    return fit_rows(frame, k, keep, pre_standardized)
+
+
 def pls1_fit(frame: Frame, k=1, *, k_max: int | None = None, find_k_args: dict | None = None, pre_standardized: bool = False, seed: int | None = None, keep: int | None = None) -> Pls1Model:
     """k: a number of components, or "optimal" or "sequence" to have it found (k_max, find_k_args, seed)."""
     selection = None
@@ -86,10 +105,7 @@ def pls1_fit(frame: Frame, k=1, *, k_max: int | None = None, find_k_args: dict |
         k, selection = resolve_k(frame, k, k_max, find_k_args, seed, keep)
     info = moments.validate(frame)
     check_k(info, frame, k, keep)
-    centre = centre_of(info, pre_standardized)
-    model = fit_rows(frame, k, keep, pre_standardized) if frame.d > MANY else fit_moments(moments.total(frame, centre), centre, k, keep, pre_standardized)[0]
-    if frame.d <= MANY and (model.least < NEAR or model.k_used < k):  # nearly collinear features: rows keep the digits that moments lose
-        model = fit_rows(frame, k, keep, pre_standardized)
+    model = fitted(frame, info, k, keep, pre_standardized)
     if pre_standardized and model.k_used < k:
         raise InvalidInput(f"the data hold {model.k_used} of {k} components")
     return replace(model, weighted=frame.weighted and not info["uniform"], n_eff=info["n_eff"], selection_result=selection)
@@ -118,11 +134,12 @@ def project(frame: Frame, mean: np.ndarray, scale: np.ndarray, weights: np.ndarr
 
     def run(batches):
         for b in batches:
-            x = (np.array(b[X].to_list(), float).reshape(len(b), len(mean)) - mean) / scale
-            yield pd.DataFrame({"row_id": b.row_id, name: list(x @ weights)})
+            t = ((matrix(b, X, len(mean)) - mean) / scale) @ weights
+            ends = pa.array(np.arange(len(t) + 1) * t.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column("row_id"), pa.ListArray.from_arrays(ends, pa.array(t.ravel()))], ["row_id", name])
 
     kind = frame.rows.schema["row_id"].dataType.simpleString()
-    return frame.rows.select("row_id", X).mapInPandas(run, f"row_id {kind}, {name} array<double>")
+    return frame.rows.select("row_id", X).mapInArrow(run, f"row_id {kind}, {name} array<double>")
 
 
 def scores(model: Pls1Model, frame: Frame) -> DataFrame:

@@ -6,6 +6,7 @@ hold the blocks.
 
 import math
 import warnings
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -14,11 +15,12 @@ from pyspark.sql import functions as F
 
 from latentspark.errors import InvalidArgs, InvalidArgument, PermNullDegenerate, ResampleFailureRateExceeded, ResamplingDegenerate
 from latentspark.functions import kernels, special
-from latentspark.operators import moments, resample
-from latentspark.operators.fit import centre_of, check_k, fit_moments
+from latentspark.operators import fit as fits
+from latentspark.operators import moments, resample, wide
+from latentspark.operators.fit import centre_of, check_k
 from latentspark.operators.moments import Moments
 from latentspark.results import CIScalar, ConfirmatoryCI, ConfirmatoryTestResult, PermNullResult, SplitNbGateResult
-from latentspark.sources.frame import Frame
+from latentspark.sources.frame import Frame, Y
 
 #: Arguments of each method, with their defaults.
 METHODS = {"raw_perm": {"n_perm": 1000, "n_folds": 5}, "split_nb": {"n_splits": 50, "force": False}, "split_exact": {"n_perm": 1000, "n_splits": 50}, "score": {}, "e": {}}
@@ -87,22 +89,50 @@ def raw_y(m: Moments, centre: np.ndarray, d: int) -> Moments:
 
 
 def split_correlations(frame: Frame, info: dict, k: int, n_splits: int, seed: int, keep: int | None) -> DataFrame:
-    """b, response, r: correlation in the held-out half, for each split and response column."""
+    """b, response, r: correlation in the held-out half, for each split and response column.
+
+    From moments; over rows for many features, and for the splits whose fits lose digits by moments."""
     n, d, q = info["n"], frame.d, frame.q
     if n < k + 5:
         raise InvalidArgument(f"{n} rows are too few for k={k} in split halves")
-    centre = np.concatenate([info["centre"][:d], np.repeat(info["centre"][d], q)])
     sets = resample.halves(frame.rows, seed, "split", n_splits, kernels.split_size(n, k))
+    if d > fits.MANY:
+        return split_rows(frame, info, sets, list(range(n_splits)), k, keep)
+    centre = np.concatenate([info["centre"][:d], np.repeat(info["centre"][d], q)])
 
     def work(b: int, train: Moments, test: Moments) -> list[tuple]:
         s, test = moments.standard(train), raw_y(test, centre, d)
         out = []
         for j in range(q):
             f = kernels.pls1(s.gram, s.cross[:, j], k, keep)
-            out.append((b, j, correlation(f.coef / s.x_scale, s.x_mean, test, j, 1e-15, 0.0) if f.k_used else 0.0))
+            out.append((b, j, correlation(f.coef / s.x_scale, s.x_mean, test, j, 1e-15, 0.0) if f.k_used else 0.0, fits.near(f, k)))
         return out
 
-    return per_pair(pair_blocks(frame, sets, centre, n_splits), frame, work, "b int, response int, r double")
+    r = per_pair(pair_blocks(frame, sets, centre, n_splits), frame, work, "b int, response int, r double, near boolean").persist()
+    again = sorted(x["b"] for x in r.filter("near").select("b").distinct().collect())  # splits
+    r_moments = r.drop("near")
+    return r_moments.filter(~F.col("b").isin(again)).unionAll(split_rows(frame, info, sets, again, k, keep)) if again else r_moments
+
+
+def split_rows(frame: Frame, info: dict, sets: Column, splits: list[int], k: int, keep: int | None) -> DataFrame:
+    """`split_correlations` over rows, for some splits: by tiles of rows with rows where that takes fewer products."""
+    n_train = kernels.split_size(info["n"], k)
+    found: list[pd.DataFrame] = []
+    if k == 1 and (keep is None or keep == frame.d) and frame.d > fits.MANY and wide.kernel_is_cheaper(n_train, info["n"] - n_train, frame.d, frame.q):
+        for b, r in wide.split_tiles(frame, sets, len(splits)).items():
+            found.append(pd.DataFrame({"b": b, "response": range(frame.q), "r": r}))
+    else:
+        for some in wide.fit_sets(frame, sets, [2 * b for b in splits], k, keep):
+            scorers = {}
+            for s, f in some.items():
+                columns = np.arange(len(f.responses))
+                scorers[s + 1] = wide.scorer(f, np.column_stack([f.coef(j) for j in columns]), columns, standardised=False)
+            for s, v in wide.score_sets(frame, sets, scorers).items():
+                f = some[s - 1]
+                r = np.where(f.k_used > 0, v.correlations(1e-15, 0.0), 0.0)
+                found.append(pd.DataFrame({"b": (s - 1) // 2, "response": np.array(f.responses), "r": r}))
+    every = pd.concat(found) if found else pd.DataFrame({"b": [], "response": [], "r": []})  # splits x responses numbers
+    return frame.rows.sparkSession.createDataFrame(every, "b int, response int, r double")
 
 
 def fisher_z(r):
@@ -125,14 +155,24 @@ def gate_of(m: Moments, n_eff: float) -> SplitNbGateResult:
     return SplitNbGateResult(bool(len(m.x1) <= 4 or n_eff < 25 or rank < 3), rank, n_eff)
 
 
+def gate(frame: Frame, info: dict) -> SplitNbGateResult:
+    """The gate of a frame; with many features the largest eigenvalue is found over rows."""
+    if frame.d <= fits.MANY:
+        return gate_of(moments.total(frame, info["centre"]), info["n_eff"])
+    rank = wide.stable_rank(frame, wide.standards(frame, None, [0], range(0))[0])
+    return SplitNbGateResult(bool(frame.d <= 4 or info["n_eff"] < 25 or rank < 3), rank, info["n_eff"])
+
+
 def split_nb_gate(frame: Frame) -> SplitNbGateResult:
-    info = moments.validate(frame)
-    return gate_of(moments.total(frame, info["centre"]), info["n_eff"])
+    return gate(frame, moments.validate(frame))
 
 
 def _raw_perm(frame: Frame, info: dict, k: int, a: dict, seed: int, keep: int | None) -> tuple:
     perms = resample.permuted(frame, seed, "perm", a["n_perm"])
     d, q, n_folds = frame.d, perms.q, min(a["n_folds"], info["n"])
+    sets = resample.folds(frame.rows, seed, info["n"], n_folds)
+    if d > fits.MANY:
+        return raw_perm_p(*fold_rows(perms, sets, list(range(n_folds)), k, keep), a["n_perm"])
     centre = np.concatenate([info["centre"][:d], np.repeat(info["centre"][d], q)])
 
     def work(b: int, train: Moments, val: Moments) -> list[tuple]:
@@ -140,18 +180,39 @@ def _raw_perm(frame: Frame, info: dict, k: int, a: dict, seed: int, keep: int |
         out = []
         for j in range(q):
             f = kernels.pls1(s.gram, s.cross[:, j], k, keep)
-            out.append((j, *residuals(v, s, f.coef, j)))
+            out.append((b, j, *residuals(v, s, f.coef, j), fits.near(f, k)))
         return out
 
-    blocks = pair_blocks(perms, resample.folds(frame.rows, seed, info["n"], n_folds), centre, n_folds)
-    sums = per_pair(blocks, perms, work, "response int, ss_res double, ss_tot double").groupBy("response").agg(F.sum("ss_res").alias("res"), F.sum("ss_tot").alias("tot"))
-    r2 = sums.select("response", F.when(F.col("tot") > 0, 1 - F.try_divide("res", "tot")).otherwise(0.0).alias("r2")).persist()
-    observed = r2.filter("response = 0").first()["r2"]
-    p, nan = exceedance(r2.filter("response > 0"), "r2", observed)
-    r2.unpersist()
-    if 2 * nan > a["n_perm"]:
-        raise PermNullDegenerate(f"{nan} of {a['n_perm']} permutations failed")
-    return p, observed, None
+    sums = per_pair(pair_blocks(perms, sets, centre, n_folds), perms, work, "b int, response int, ss_res double, ss_tot double, near boolean").persist()
+    again = sorted(x["b"] for x in sums.filter("near").select("b").distinct().collect())  # folds
+    fine = sums.filter(~F.col("b").isin(again)).groupBy("response").agg(F.sum("ss_res").alias("res"), F.sum("ss_tot").alias("tot")).collect()  # n_perm + 1 rows
+    sums.unpersist()
+    res, tot = fold_rows(perms, sets, again, k, keep) if again else (np.zeros(q), np.zeros(q))
+    for r in fine:
+        res[r["response"]] += r["res"]
+        tot[r["response"]] += r["tot"]
+    return raw_perm_p(res, tot, a["n_perm"])
+
+
+def fold_rows(frame: Frame, sets: Column, folds: list[int], k: int, keep: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Residual and total sums of squares of each response over the held-out rows of some folds, fitted and summed over rows."""
+    res, tot = np.zeros(frame.q), np.zeros(frame.q)
+    for some in wide.fit_sets(frame, sets, [2 * b for b in folds], k, keep):
+        scorers = {s + 1: wide.scorer(f, np.column_stack([f.coef(j) for j in range(len(f.responses))]), np.arange(len(f.responses)), True, plain=True) for s, f in some.items()}
+        for s, v in wide.score_sets(frame, sets, scorers).items():
+            columns = some[s - 1].responses
+            more = v.residuals()
+            res[columns.start : columns.stop] += more[0]
+            tot[columns.start : columns.stop] += more[1]
+    return res, tot
+
+
+def raw_perm_p(res: np.ndarray, tot: np.ndarray, n_perm: int) -> tuple:
+    r2 = np.where(tot > 0, 1 - res / np.where(tot > 0, tot, 1), 0.0)
+    nan = int(np.isnan(r2[1:]).sum())
+    if 2 * nan > n_perm:
+        raise PermNullDegenerate(f"{nan} of {n_perm} permutations failed")
+    return (int((np.isnan(r2[1:]) | (r2[1:] >= r2[0])).sum()) + 1) / (n_perm + 1), float(r2[0]), None
 
 
 def residuals(v: Moments, s: moments.Standard, coef: np.ndarray, j: int) -> tuple[float, float]:
@@ -189,7 +250,18 @@ def _split_exact(frame: Frame, info: dict, k: int, a: dict, seed: int, keep: int
 def score_test(m: Moments, pre_standardized: bool = False) -> tuple[float, float]:
     """p and T = ||X'y||^2, with T / scale as chi-square of df matched in mean and variance; no fit."""
     s = moments.standard(m, pre_standardized)
-    t, s1, s2 = float(s.cross[:, 0] @ s.cross[:, 0]), float(np.trace(s.gram)), float((s.gram**2).sum())
+    return matched(float(s.cross[:, 0] @ s.cross[:, 0]), float(np.trace(s.gram)), float((s.gram**2).sum()))
+
+
+def score_rows(frame: Frame, pre_standardized: bool = False) -> tuple[float, float]:
+    """`score_test` without a matrix of features x features."""
+    f = wide.standards(frame, None, [0], range(1), pre_standardized)[0]
+    c, trace = wide.covariance(frame, f)
+    return matched(float(c @ c), trace, wide.square_norm(frame, f))
+
+
+def matched(t: float, s1: float, s2: float) -> tuple[float, float]:
+    """p of T and T, from the sum of the eigenvalues and of their squares."""
     if abs(s1) < 1e-15 or s2 < 1e-30:
         return 1.0, t
     return special.chi2_sf(t * s1 / s2, s1 * s1 / s2), t
@@ -200,16 +272,27 @@ def _e(frame: Frame, info: dict, k: int, seed: int, keep: int | None) -> tuple:
     if n < k + 5:
         raise InvalidArgument(f"{n} rows are too few for k={k} in split halves")
     sets = resample.halves(frame.rows, seed, "split", 1, kernels.split_size(n, k))
-    both = moments.collected(pair_blocks(frame, sets, info["centre"], 1), frame)
-    train, test = both[0], both[1]
-    s = moments.standard(train)
-    f = kernels.pls1(s.gram, s.cross[:, 0], k, keep)
-    alt = residuals(train, s, f.coef, 0)[0] / train.n[0]
+    by_moments = d <= fits.MANY
+    if by_moments:
+        both = moments.collected(pair_blocks(frame, sets, info["centre"], 1), frame)
+        train, test = both[0], both[1]
+        s = moments.standard(train)
+        f = kernels.pls1(s.gram, s.cross[:, 0], k, keep)
+        by_moments = not fits.near(f, k)
     # The null model is the mean of root-weighted y in the test half.
-    n_te, sw = test.n[0], test.n[1] if test.n[1] > 0 else 1.0
-    res, _ = residuals(test, s, f.coef, 0)
-    square = (n_te / sw) * (test.yyw[0] - 2 * s.y_mean[0] * test.yw[0] + sw * s.y_mean[0] ** 2) / s.y_scale[0] ** 2
-    first = math.sqrt(n_te / sw) * (test.yr[0] - s.y_mean[0] * test.n[2]) / s.y_scale[0]
+    if by_moments:
+        alt = residuals(train, s, f.coef, 0)[0] / train.n[0]
+        n_te, sw = test.n[0], test.n[1] if test.n[1] > 0 else 1.0
+        res, _ = residuals(test, s, f.coef, 0)
+        square = (n_te / sw) * (test.yyw[0] - 2 * s.y_mean[0] * test.yw[0] + sw * s.y_mean[0] ** 2) / s.y_scale[0] ** 2
+        first = math.sqrt(n_te / sw) * (test.yr[0] - s.y_mean[0] * test.n[2]) / s.y_scale[0]
+    else:
+        f = next(wide.fit_sets(frame, sets, [0], k, keep))[0]
+        one = wide.scorer(f, f.coef(0)[:, None], np.zeros(1, int), True)
+        seen = wide.score_sets(frame, sets, {0: one, 1: one})
+        alt = float(seen[0].residuals()[0][0]) / seen[0].n
+        n_te, unit = seen[1].n, seen[1].n / seen[1].sw if seen[1].sw > 0 else 0.0
+        res, square, first = float(seen[1].residuals()[0][0]), unit * float(seen[1].wyy[0]), math.sqrt(unit) * float(seen[1].ry[0])
     null_ss = square - first * first / n_te
     ll = lambda var, ss: -0.5 * n_te * math.log(2 * math.pi * max(var, 1e-30)) - 0.5 * ss / max(var, 1e-30)
     log_e = ll(alt, res) - ll(null_ss / n_te, null_ss)
@@ -228,14 +311,16 @@ def pls1_confirmatory_test(frame: Frame, k: int = 1, *, method: str, args: dict
     seed = resample.resolve_seed(seed)
     rank = None
     if method == "split_nb":
-        gate = _gate or gate_of(moments.total(frame, info["centre"]), info["n_eff"])
-        rank = gate.stable_rank
-        if gate.fires and not a["force"]:
+        found = _gate or gate(frame, info)
+        rank = found.stable_rank
+        if found.fires and not a["force"]:
             warnings.warn(f"split_nb is unsafe here (stable rank {rank:.2f}, {frame.d} features, {info['n_eff']:.3g} rows): split_exact runs", stacklevel=2)
             method, a = "split_exact", {"n_perm": 1000, "n_splits": a["n_splits"]}
     if method == "score":
-        centre = centre_of(info, pre_standardized)
-        p, statistic = score_test(moments.total(frame, centre), pre_standardized)
+        if frame.d > fits.MANY:
+            p, statistic = score_rows(frame, pre_standardized)
+        else:
+            p, statistic = score_test(moments.total(frame, centre_of(info, pre_standardized)), pre_standardized)
         rho = None
     elif method == "e":
         p, statistic, rho = _e(frame, info, k, seed, keep)
@@ -258,22 +343,50 @@ def subsample_size(n: int, k: int, n_boot: int, m_rate: float, level: float, *ra
     return m
 
 
+FITS = "b int, status string, r double, beta array<double>, leverage array<double>"
+
+
 def subsample_fits(frame: Frame, info: dict, k: int, m: int, n_boot: int, pre_standardized: bool, seed: int) -> DataFrame:
-    """b, status (ok, skipped: too few effective rows, failed: fewer components), r (held-out correlation), beta, leverage."""
+    """b, status (ok, skipped: too few effective rows, failed: fewer components), r (held-out correlation), beta, leverage.
+
+    From moments; over rows for many features, and for the subsamples whose fits lose digits by moments."""
+    sets = resample.halves(frame.rows, seed, "subsample", n_boot, m)
+    if frame.d > fits.MANY:
+        return subsample_rows(frame, sets, list(range(n_boot)), k, pre_standardized)
     centre = centre_of(info, pre_standardized)
-    blocks = pair_blocks(frame, resample.halves(frame.rows, seed, "subsample", n_boot, m), centre, n_boot)
 
     def work(b: int, sample: Moments, rest: Moments) -> list[tuple]:
         if sample.n_eff < k + 1 or sample.n[1] <= 0:
             return [(b, "skipped", math.nan, [], [])]
         s = moments.standard(sample, pre_standardized)
         f = kernels.pls1(s.gram, s.cross[:, 0], k)
-        if f.k_used < k:
-            return [(b, "failed", math.nan, [], [])]
+        if fits.near(f, k):
+            return [(b, "near", math.nan, [], [])]
         r = correlation(f.coef / s.x_scale, s.x_mean, rest.unweighted(), 0, 1e-30, math.nan)
         return [(b, "ok", r, (f.coef * s.y_scale[0] / s.x_scale).tolist(), kernels.leverage(f.w).tolist())]
 
-    return per_pair(blocks, frame, work, "b int, status string, r double, beta array<double>, leverage array<double>")
+    found = per_pair(pair_blocks(frame, sets, centre, n_boot), frame, work, FITS).persist()
+    again = sorted(x["b"] for x in found.filter("status = 'near'").select("b").collect())  # subsamples
+    return found.filter("status <> 'near'").unionAll(subsample_rows(frame, sets, again, k, pre_standardized)) if again else found
+
+
+def subsample_rows(frame: Frame, sets: Column, draws: list[int], k: int, pre_standardized: bool) -> DataFrame:
+    """`subsample_fits` over rows, for some subsamples: a range of them at a time on the driver, RANGE bytes."""
+    spark, parts = frame.rows.sparkSession, []
+    for some in wide.fit_sets(frame, sets, [2 * b for b in draws], k, pre_standardized=pre_standardized):
+        rows, scorers = [], {}
+        for s, f in some.items():
+            if f.n_eff < k + 1 or f.sw <= 0:
+                rows.append((s // 2, "skipped", math.nan, [], []))
+            elif f.k_used[0] < k:
+                rows.append((s // 2, "failed", math.nan, [], []))
+            else:
+                scorers[s + 1] = wide.scorer(f, f.coef(0)[:, None], np.zeros(1, int), True, plain=True)
+        for s, v in wide.score_sets(frame, sets, scorers).items() if scorers else ():
+            f = some[s - 1]
+            rows.append((s // 2, "ok", float(v.correlations(1e-30, math.nan)[0]), (f.coef(0) * f.y_scale[0] / f.scale).tolist(), kernels.leverage(f.weights(0)).tolist()))
+        parts.append(spark.createDataFrame(rows, FITS))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def scaled_interval(point: float, low: float, high: float, sd: float | None, shrink: float) -> CIScalar:
@@ -294,11 +407,11 @@ def wald_interval(r: list[float], n: int, m: int, level: float) -> CIScalar:
     return CIScalar(point, math.tanh(math.atanh(point) - half), math.tanh(math.atanh(point) + half), se)
 
 
-def feature_intervals(fits: DataFrame, beta: np.ndarray, lev: np.ndarray, n: int, m: int, level: float) -> DataFrame:
+def feature_intervals(found: DataFrame, beta: np.ndarray, lev: np.ndarray, n: int, m: int, level: float) -> DataFrame:
     """One row a feature, from the resamples' rows: quantiles, deviations and sign counts, aggregated by Spark."""
-    spark = fits.sparkSession
+    spark = found.sparkSession
     points = spark.createDataFrame([(i, float(b), float(v)) for i, (b, v) in enumerate(zip(beta, lev, strict=True))], "feature int, beta_ref double, leverage_ref double")
-    long = fits.select(F.posexplode(F.arrays_zip("beta", "leverage")).alias("feature", "v")).select("feature", "v.beta", "v.leverage")
+    long = found.select(F.posexplode(F.arrays_zip("beta", "leverage")).alias("feature", "v")).select("feature", "v.beta", "v.leverage")
     delta = long.join(F.broadcast(points), "feature").withColumns({"db": F.col("beta") - F.col("beta_ref"), "dl": F.col("leverage") - F.col("leverage_ref")})
     tails = [(1 - level) / 2, 1 - (1 - level) / 2]
     quantiles = F.array(*map(F.lit, tails))
@@ -341,16 +454,15 @@ def check_resamples(skipped: int, failed: int, n_boot: int, max_failure_rate: fl
 def confirmatory_ci(frame: Frame, k: int, n_boot: int, m_rate: float, level: float, max_failure_rate: float, max_skip_rate: float, pre_standardized: bool, seed: int) -> ConfirmatoryCI:
     info = moments.validate(frame, unique=True)
     n, m = info["n"], subsample_size(info["n"], k, n_boot, m_rate, level, max_failure_rate, max_skip_rate)
-    centre = centre_of(info, pre_standardized)
-    model, _ = fit_moments(moments.total(frame, centre), centre, k, None, pre_standardized)
-    fits = subsample_fits(frame, info, k, m, n_boot, pre_standardized, seed).persist()
-    seen = {r["status"]: r["count"] for r in fits.groupBy("status").count().collect()}
+    model = fits.fitted(frame, info, k, None, pre_standardized)
+    found = subsample_fits(frame, info, k, m, n_boot, pre_standardized, seed).persist()
+    seen = {r["status"]: r["count"] for r in found.groupBy("status").count().collect()}
     check_resamples(seen.get("skipped", 0), seen.get("failed", 0), n_boot, max_failure_rate, max_skip_rate)
-    ok = fits.filter("status = 'ok'")
+    ok = found.filter("status = 'ok'")
     r = [x["r"] for x in ok.select("r").collect()]  # n_boot numbers
     table = feature_intervals(ok, model.beta, kernels.leverage(model.w), n, m, level)
     table = table.sparkSession.createDataFrame(table.collect(), table.schema)  # one row a feature
-    fits.unpersist()
+    found.unpersist()
     return ConfirmatoryCI(n_boot, m, m_rate, level, wald_interval(r, n, m, level), seen.get("ok", 0), sum(not math.isnan(v) for v in r), table)
 
 
@@ -365,7 +477,23 @@ def pls1_perm_null(frame: Frame, k: int, *, n_perm: int = 1000, return_perm_matr
     check_k(info, frame, k)
     seed, d = resample.resolve_seed(seed), frame.d
     perms = resample.permuted(frame, seed, "null", n_perm)
-    centre = centre_of(info, pre_standardized)
+    null_fits = null_rows if d > fits.MANY else null_moments
+    every = null_fits(frame, perms, info, k, pre_standardized)
+    long = every.select("perm_id", F.posexplode("beta").alias("feature", "b"))
+    null, fine = F.col("perm_id") > 0, ~F.isnan("b")
+    stats = long.groupBy("feature").agg(F.max(F.when(~null, F.col("b"))).alias("beta_ref"), F.avg(F.when(null & fine, F.col("b"))).alias("mean"), F.stddev_samp(F.when(null & fine, F.col("b"))).alias("sd"))
+    sd = F.coalesce("sd", F.lit(0.0))
+    z = F.when(sd > 1.4901161193847656e-8, F.try_divide("beta_ref", sd)).otherwise(float("nan"))
+    per_feature = stats.select("feature", "beta_ref", F.coalesce("mean", F.lit(0.0)).alias("beta_perm_mean"), sd.alias("beta_perm_sd"), z.alias("beta_perm_z"))
+    return PermNullResult(n_perm, k, seed, info["n_eff"], per_feature, every.filter(null) if return_perm_matrix else None)
+
+
+NULL = "perm_id int, beta array<double>"
+
+
+def null_moments(frame: Frame, perms: Frame, info: dict, k: int, pre_standardized: bool) -> DataFrame:
+    """Coefficients of every response, from one block of moments; over rows where one of them loses digits by moments."""
+    d, centre = frame.d, centre_of(info, pre_standardized)
     m = moments.total(perms, np.concatenate([centre[:d], np.repeat(centre[d], perms.q)]))
     s = moments.standard(m, pre_standardized)
     # y is standardised once, then permuted: every column has the first one's mean and scale.
@@ -377,16 +505,25 @@ def pls1_perm_null(frame: Frame, k: int, *, n_perm: int = 1000, return_perm_matr
     def run(batches):
         gram, all_cross = shared.value
         for batch in batches:
-            fits = [kernels.pls1(gram, all_cross[:, i], k) for i in batch.id]
-            beta = [f.coef if f.k_used == k else np.full(len(gram), np.nan) for f in fits]
+            found = [kernels.pls1(gram, all_cross[:, i], k) for i in batch.id]
+            beta = [f.coef if f.k_used == k else np.full(len(gram), np.nan) for f in found]
             yield pd.DataFrame({"perm_id": batch.id.astype("int32"), "beta": beta})
 
-    parts = max(1, min(spark.sparkContext.defaultParallelism, n_perm // 50))
-    fits = spark.range(1 + n_perm).repartition(parts).mapInPandas(run, "perm_id int, beta array<double>")
-    long = fits.select("perm_id", F.posexplode("beta").alias("feature", "b"))
-    null, fine = F.col("perm_id") > 0, ~F.isnan("b")
-    stats = long.groupBy("feature").agg(F.max(F.when(~null, F.col("b"))).alias("beta_ref"), F.avg(F.when(null & fine, F.col("b"))).alias("mean"), F.stddev_samp(F.when(null & fine, F.col("b"))).alias("sd"))
-    sd = F.coalesce("sd", F.lit(0.0))
-    z = F.when(sd > 1.4901161193847656e-8, F.try_divide("beta_ref", sd)).otherwise(float("nan"))
-    per_feature = stats.select("feature", "beta_ref", F.coalesce("mean", F.lit(0.0)).alias("beta_perm_mean"), sd.alias("beta_perm_sd"), z.alias("beta_perm_z"))
-    return PermNullResult(n_perm, k, seed, info["n_eff"], per_feature, fits.filter(null) if return_perm_matrix else None)
+    if fits.near(kernels.pls1(s.gram, cross[:, 0], k), k):
+        return null_rows(frame, perms, info, k, pre_standardized)
+    parts = max(1, min(spark.sparkContext.defaultParallelism, perms.q // 50))
+    return spark.range(perms.q).repartition(parts).mapInPandas(run, NULL)
+
+
+def null_rows(frame: Frame, perms: Frame, info: dict, k: int, pre_standardized: bool) -> DataFrame:
+    """Coefficients of every response, fitted over rows, a range of them at a time on the driver."""
+    if not pre_standardized:
+        s = wide.standards(frame, None, [0], range(1))[0]
+        y_mean, y_scale = float(s.y_mean[0]), float(s.y_scale[0])
+        perms = perms.with_rows(perms.rows.withColumn(Y, F.transform(Y, lambda v: (v - y_mean) / y_scale)))
+    parts = []
+    for some in wide.fit_sets(perms, None, [0], k, pre_standardized=pre_standardized, y_as_is=True):
+        f = some[0]
+        rows = [(f.responses[j], (f.coef(j) if f.k_used[j] == k else np.full(frame.d, np.nan)).tolist()) for j in range(len(f.responses))]
+        parts.append(frame.rows.sparkSession.createDataFrame(rows, NULL))
+    return reduce(DataFrame.unionAll, parts)

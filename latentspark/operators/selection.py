@@ -3,14 +3,17 @@
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latentspark.errors import InvalidArgs, InvalidArgument, SequenceNoRejection
 from latentspark.functions import kernels
-from latentspark.operators import moments, resample
+from latentspark.operators import fit as fits
+from latentspark.operators import moments, resample, wide
 from latentspark.operators.fit import check_k, preprocess
-from latentspark.operators.inference import METHODS, SplitNbGateResult, gate_of, method_args, pair_blocks, per_pair, pls1_confirmatory_test, residuals
+from latentspark.operators.inference import METHODS, SplitNbGateResult, gate, method_args, pair_blocks, per_pair, pls1_confirmatory_test, residuals
+from latentspark.operators.rowwise import matrix
 from latentspark.results import FindKeepOptimalResult, FindKOptimalResult, FindKSequenceResult
 from latentspark.sources.frame import WEIGHT, Frame, X, Y
 
@@ -35,8 +38,12 @@ def resolve_k(frame: Frame, mode: str, k_max: int | None, args: dict | None, see
 
 def fold_scores(frame: Frame, info: dict, seed: int, n_folds: int, candidates: list[tuple[int, int | None]]) -> DataFrame:
     """fold, candidate, r2 of each (k, keep) in each fold: weighted, on rows that the fit did not see. All k of one keep
-    come from one fit; a k that the fold's data cannot reach is NaN."""
+    come from one fit; a k that the fold's data cannot reach is NaN. From moments; over rows for many features, and for the folds whose
+    fits lose digits by moments."""
     centre = info["centre"]
+    sets = resample.folds(frame.rows, seed, info["n"], n_folds)
+    if frame.d > fits.MANY:
+        return fold_score_rows(frame, sets, list(range(n_folds)), candidates)
 
     def work(b: int, train: moments.Moments, val: moments.Moments) -> list[tuple]:
         if train.n[1] <= 0:
@@ -47,16 +54,41 @@ def fold_scores(frame: Frame, info: dict, seed: int, n_folds: int, candidates: l
         for keep in dict.fromkeys(c[1] for c in candidates):
             mine = [(i, k) for i, (k, c) in enumerate(candidates) if c == keep]
             f = kernels.pls1(s.gram, s.cross[:, 0], max(k for _, k in mine), keep)
+            near = fits.near(f, max(k for _, k in mine))
             for i, k in mine:
                 if k > f.k_used:
-                    out.append((b, i, math.nan))
+                    out.append((b, i, math.nan, near))
                     continue
                 res, tot = residuals(val, s, kernels.coef_at(f.w, f.p, f.q, k), 0)
-                out.append((b, i, 1 - res / tot if tot > 0 else 0.0))
+                out.append((b, i, 1 - res / tot if tot > 0 else 0.0, near))
         return out
 
-    blocks = pair_blocks(frame, resample.folds(frame.rows, seed, info["n"], n_folds), centre, n_folds)
-    return per_pair(blocks, frame, work, "fold int, candidate int, r2 double")
+    found = per_pair(pair_blocks(frame, sets, centre, n_folds), frame, work, "fold int, candidate int, r2 double, near boolean").persist()
+    again = sorted(r["fold"] for r in found.filter("near").select("fold").distinct().collect())  # folds
+    scores = found.drop("near")
+    return scores.filter(~F.col("fold").isin(again)).unionAll(fold_score_rows(frame, sets, again, candidates)) if again else scores
+
+
+def fold_score_rows(frame: Frame, sets: Column, folds: list[int], candidates: list[tuple[int, int | None]]) -> DataFrame:
+    """`fold_scores` over rows, for some folds."""
+    out = []
+    for keep in dict.fromkeys(c[1] for c in candidates):
+        mine = [(i, k) for i, (k, c) in enumerate(candidates) if c == keep]
+        for some in wide.fit_sets(frame, sets, [2 * b for b in folds], max(k for _, k in mine), keep, fill_weights=True):
+            scorers = {}
+            for s, f in some.items():
+                g = np.column_stack([f.coef(0, k) for _, k in mine])
+                scorers[s + 1] = wide.scorer(f, g, np.zeros(len(mine), int), True)
+            seen = wide.score_sets(frame, sets, scorers)
+            empty = {s: scorers[s] for s, v in seen.items() if v.sw <= 0}
+            for c in empty.values():  # held-out rows without weight count alike
+                c.plain = True
+            seen |= wide.score_sets(frame, sets, empty) if empty else {}
+            for s, v in seen.items():
+                res, tot = v.residuals()
+                r2 = np.where(tot > 0, 1 - res / np.where(tot > 0, tot, 1), 0.0)
+                out += [((s - 1) // 2, i, float(r2[at]) if k <= some[s - 1].k_used[0] else math.nan) for at, (i, k) in enumerate(mine)]
+    return frame.rows.sparkSession.createDataFrame(out, "fold int, candidate int, r2 double")
 
 
 def over_folds(scores: DataFrame, n: int) -> tuple[list[float], list[float]]:
@@ -93,6 +125,16 @@ def bic_scores(m: moments.Moments, n_eff: float, k_max: int, keep: int | None) -
     return out
 
 
+def bic_rows(frame: Frame, n_eff: float, k_max: int, keep: int | None) -> dict[int, float]:
+    """`bic_scores` over rows: each component takes its share of y's sum of squares."""
+    f = next(wide.fit_sets(frame, None, [0], k_max, keep))[0]
+    out, ssr = {}, float(f.square[0])
+    for k in range(1, int(f.k_used[0]) + 1):
+        ssr -= float(f.q[k - 1][0] ** 2 * f.tt[k - 1][0])
+        out[k] = n_eff * math.log(max(ssr, 1e-300) / n_eff) + k * math.log(n_eff)
+    return out
+
+
 def pls1_find_k_optimal(frame: Frame, k_max: int, *, selector: str = "r2_se", diagnostic: str | None = None, args: dict | None = None, seed: int | None = None, keep: int | None = None) -> FindKOptimalResult:
     """The number of components by cross-validated R2 (r2_max, or r2_se: the smallest within one standard error) or BIC.
 
@@ -113,7 +155,7 @@ def pls1_find_k_optimal(frame: Frame, k_max: int, *, selector: str = "r2_se", di
     seed, n = resample.resolve_seed(seed), info["n"]
     cv = se = bic = pvalues = rank = None
     if selector == "bic":
-        bic = bic_scores(moments.total(frame, info["centre"]), info["n_eff"], k_max, keep)
+        bic = bic_rows(frame, info["n_eff"], k_max, keep) if frame.d > fits.MANY else bic_scores(moments.total(frame, info["centre"]), info["n_eff"], k_max, keep)
         k_star = min(bic, key=lambda k: (bic[k], k), default=1)
     else:
         folds = max(min(n_folds, n - 2), 2)
@@ -143,43 +185,43 @@ def _sequence(frame: Frame, info: dict, k_max: int, method: str, args: dict | No
     if method == "score":
         raise InvalidArgs("the score test is not for sequences")
     method_args(method, args)
-    gate: SplitNbGateResult | None = None
+    seen: SplitNbGateResult | None = None
     if method == "split_nb":  # decided once, on the data as they are
-        gate = gate_of(moments.total(frame, info["centre"]), info["n_eff"])
-    s = moments.standard(moments.total(frame, info["centre"]))
-    f = kernels.pls1(s.gram, s.cross[:, 0], k_max, keep)
+        seen = gate(frame, info)
+    f = fits.fitted(frame, info, k_max, keep)
     base = preprocess(frame)
     rows = frame.with_rows(base.rows.persist())
     out = [math.nan] * k_max
     try:
         for h in range(1, min(k_max, f.k_used + 1) + 1):
             left = deflated(rows, f, h - 1)
-            out[h - 1] = pls1_confirmatory_test(left, 1, method=method, args=args, pre_standardized=True, seed=seed + h, keep=keep, _gate=gate).pvalue
+            out[h - 1] = pls1_confirmatory_test(left, 1, method=method, args=args, pre_standardized=True, seed=seed + h, keep=keep, _gate=seen).pvalue
             if stop and not out[h - 1] < alpha:
                 break
     finally:
         base.rows.unpersist()
-    return out, gate.stable_rank if gate else None
+    return out, seen.stable_rank if seen else None
 
 
-def deflated(frame: Frame, f: kernels.Fit, components: int) -> Frame:
+def deflated(frame: Frame, f, components: int) -> Frame:
     """Standardised rows without their first components; rows of weight 0 stay as they are."""
     if components == 0:
         return frame
     w, p, q = f.w[:, :components], f.p[:, :components], f.q[:components]
     r = kernels.score_weights(w, p)
-    weighted = frame.weighted
+    weighted, d, width, names = frame.weighted, frame.d, frame.q, frame.rows.columns
 
     def run(batches):
         for b in batches:
-            x = np.array(b[X].to_list(), float)
-            y = np.array(b[Y].to_list(), float)
+            x, y = matrix(b, X, d), matrix(b, Y, width)
             t = x @ r
             if weighted:
-                t[b[WEIGHT].to_numpy() == 0] = 0
-            yield b.assign(**{X: list(x - t @ p.T), Y: list(y - (t @ q)[:, None])})
+                t[b.column(WEIGHT).to_numpy(zero_copy_only=False) == 0] = 0
+            left = {X: x - t @ p.T, Y: y - (t @ q)[:, None]}
+            columns = [b.column(c) if c not in left else pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1) * left[c].shape[1], pa.int32()), pa.array(left[c].ravel())) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
 
-    return frame.with_rows(frame.rows.mapInPandas(run, frame.rows.schema))
+    return frame.with_rows(frame.rows.mapInArrow(run, frame.rows.schema))
 
 
 def spls1_find_keep_optimal(frame: Frame, k: int, *, args: dict | None = None, seed: int | None = None) -> FindKeepOptimalResult:
