@@ -227,7 +227,7 @@ def perm_cross(spark, sf_dir):
 
 
 def pls1_perm_null(spark, sf_dir):
-    return rounded(inference.pls1_perm_null(embeddings(spark, sf_dir), 1, n_perm=100, seed=SEED).per_feature)
+    return rounded(inference.pls1_perm_null(embeddings(spark, sf_dir), 1, seed=SEED).per_feature)
 
 
 def _test(method: str, **args):
@@ -239,7 +239,7 @@ def _test(method: str, **args):
 
 
 def confirmatory_ci(spark, sf_dir):
-    ci = inference.pls1_confirmatory_test(embeddings(spark, sf_dir), 1, method="score", ci=True, n_boot=100, seed=SEED).ci
+    ci = inference.pls1_confirmatory_test(embeddings(spark, sf_dir), 1, method="score", ci=True, seed=SEED).ci
     return rounded(ci.per_feature)
 
 
@@ -249,7 +249,7 @@ def find_k_optimal(spark, sf_dir):
 
 
 def find_k_sequence(spark, sf_dir):
-    r = selection.pls1_find_k_sequence(embeddings(spark, sf_dir), 3, args={"n_splits": 10}, seed=SEED)
+    r = selection.pls1_find_k_sequence(embeddings(spark, sf_dir), 3, seed=SEED)
     return rounded(spark.createDataFrame([(k, float(p), k == r.k_star) for k, p in enumerate(r.pvalues, 1)], "k int, pvalue double, chosen boolean"))
 
 
@@ -259,10 +259,10 @@ def find_keep_optimal(spark, sf_dir):
 
 
 def rotation_stability(spark, sf_dir):
-    return pls1_rotation_stability(embeddings(spark, sf_dir), 2, n_boot=100, seed=SEED).to_df(spark)
+    return pls1_rotation_stability(embeddings(spark, sf_dir), 2, seed=SEED).to_df(spark)
 
 
-_ALL = (standardize, column_moments, kish_n_eff, gram, cross_moment, lineitem_gram, pls1_k1_coef, pls1_k1_predict, pls1_k2_coef, pls1_weighted_k1_coef, spls1_topk, scores_k1, deflated_y, leverage_k1, score_stat, bic_by_k, stable_rank, rotate, fold_assign, split_assign, permute_rows, subsample_assign, split_r, mean_fisher_z, cv_r2, cv_mean_se, quantile7, sign_z, perm_cross, pls1_perm_null, confirmatory_ci, find_k_optimal, find_k_sequence, find_keep_optimal, rotation_stability, _test("raw_perm", n_perm=50), _test("split_nb", n_splits=20), _test("split_exact", n_perm=50, n_splits=5), _test("score"), _test("e"))
+_ALL = (standardize, column_moments, kish_n_eff, gram, cross_moment, lineitem_gram, pls1_k1_coef, pls1_k1_predict, pls1_k2_coef, pls1_weighted_k1_coef, spls1_topk, scores_k1, deflated_y, leverage_k1, score_stat, bic_by_k, stable_rank, rotate, fold_assign, split_assign, permute_rows, subsample_assign, split_r, mean_fisher_z, cv_r2, cv_mean_se, quantile7, sign_z, perm_cross, pls1_perm_null, confirmatory_ci, find_k_optimal, find_k_sequence, find_keep_optimal, rotation_stability, _test("raw_perm"), _test("split_nb"), _test("split_exact"), _test("score"), _test("e"))
 QUERIES = {f.__name__: f for f in _ALL}
 
 # ---- the same in SQL
@@ -297,6 +297,26 @@ def _ranked(label: str, draws: int) -> str:
 FROM embeddings, (SELECT CAST(unnest(range(0, {draws})) AS INTEGER) AS b))"""
 
 
+def _once(source: str) -> str:
+    """One pass through the bijection's network for rows (b, r0, v, t) of source, in SQL: 8 rounds, as for more than 16 rows."""
+    q = f"SELECT b, r0, t, ks, low, mlow, mhigh, v & mlow AS lo, v >> low AS hi FROM {source} JOIN keys USING (b), bits"
+    for i in range(8):
+        src, dst, mask = ("lo", "hi", "mhigh") if i % 2 == 0 else ("hi", "lo", "mlow")
+        q = f"SELECT *, (xor({src}, ks[{i + 1}]) * {resample.MIX[0]}) & 4294967295 AS h FROM ({q})"
+        q = f"SELECT * EXCLUDE (h), (xor(h, h >> 15) * {resample.MIX[1]}) & 4294967295 AS h FROM ({q})"
+        q = f"SELECT * EXCLUDE (h, {dst}), xor({dst}, xor(h, h >> 13) & {mask}) AS {dst} FROM ({q})"
+    return f"SELECT b, r0, lo | (hi << low) AS v, t + 1 AS t FROM ({q})"
+
+
+def _moved(label: str, draws: int) -> str:
+    """perm (b, row_id, source): whose y a row gets in draw b, by a keyed bijection of the rows' ranks; needs WITH RECURSIVE."""
+    return f"""home AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', '{label}-base', 0, vec_id)), vec_id) - 1 AS rank FROM embeddings),
+bits AS (SELECT n, bits - bits // 2 AS low, (1 << (bits - bits // 2)) - 1 AS mlow, (1 << (bits // 2)) - 1 AS mhigh FROM (SELECT count(*) AS n, CAST(ceil(log2(count(*))) AS BIGINT) AS bits FROM embeddings)),
+keys AS (SELECT b, list(key ORDER BY i) AS ks FROM (SELECT b, i, CAST('0x' || md5(concat_ws(':', '{SEED}', '{label}', b, i))[1:8] AS BIGINT) AS key FROM (SELECT unnest(range(0, {draws})) AS b), (SELECT unnest(range(0, 8)) AS i)) GROUP BY b),
+walk AS (SELECT b, rank AS r0, rank AS v, CAST(0 AS BIGINT) AS t FROM home, keys UNION ALL {_once("(SELECT walk.* FROM walk, bits WHERE t = 0 OR v >= n)")}),
+perm AS (SELECT CAST(b AS INTEGER) AS b, a.row_id, c.row_id AS source FROM walk JOIN home a ON a.rank = r0 JOIN home c ON c.rank = v WHERE t > 0)"""
+
+
 _N = "(SELECT count(*) FROM embeddings)"
 _HALF = f"least(greatest({_N} // 2, 3), {_N} - 3)"
 #: k = 1 on the training rows of each draw, seen on the others; `inside` tells them apart.
@@ -316,11 +336,9 @@ _FOLDS = f"""{_FOLD_HALVES},
 q AS (SELECT b, sum(t * zy) / sum(t * t) AS q FROM t WHERE inside GROUP BY b),
 r AS (SELECT b AS fold, 1 - sum((zy - t * q) ** 2) / (count(*) * var_pop(zy)) AS r2 FROM t JOIN q USING (b) WHERE NOT inside GROUP BY b)"""
 
-#: k = 1 on the training rows of each set f, for y (b = -1) and y in 50 random orders, seen on the other rows.
-_PERMUTED = f"""WITH {_BASE}, MEMBER,
-perm AS (SELECT vec_id AS row_id, b, row_number() OVER (PARTITION BY b ORDER BY md5(concat_ws(':', '{SEED}', 'perm', b, vec_id)), vec_id) - 1 AS rank FROM embeddings, (SELECT CAST(unnest(range(0, 50)) AS INTEGER) AS b)),
-home AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', 'perm-base', 0, vec_id)), vec_id) - 1 AS rank FROM embeddings),
-moved AS (SELECT b, home.row_id, base.y FROM perm JOIN base USING (row_id) JOIN home USING (rank) UNION ALL SELECT -1, row_id, y FROM base),
+#: k = 1 on the training rows of each set f, for y (b = -1) and y in 1000 random orders, seen on the other rows.
+_PERMUTED = f"""WITH RECURSIVE {_BASE}, MEMBER, {_moved('perm', 1000)},
+moved AS (SELECT b, perm.row_id, base.y FROM perm JOIN base ON base.row_id = source UNION ALL SELECT -1, row_id, y FROM base),
 long AS (SELECT f, inside, base.row_id, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base JOIN member USING (row_id)),
 col AS (SELECT f, feature, avg(x) AS mean, stddev_pop(x) AS scale FROM long WHERE inside GROUP BY f, feature),
 z AS (SELECT f, inside, row_id, feature, (x - mean) / scale AS z FROM long JOIN col USING (f, feature)),
@@ -330,7 +348,7 @@ s AS (SELECT f, b, feature, sum(z * zy) AS s FROM z JOIN zy USING (f, row_id) WH
 t AS (SELECT f, b, row_id, sum(z * s) AS t FROM z JOIN s USING (f, feature) GROUP BY f, b, row_id),
 q AS (SELECT f, b, sum(t * zy) / sum(t * t) AS q FROM t JOIN zy USING (f, b, row_id) WHERE inside GROUP BY f, b)"""
 _IN_FOLDS = f"{_ranked('fold', 1)}, cut AS (SELECT row_id, CAST({_FOLD} AS INTEGER) AS fold FROM drawn, (SELECT count(*) AS n FROM embeddings)), member AS (SELECT row_id, f, fold <> f AS inside FROM cut, (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS f))"
-_IN_SPLITS = f"{_ranked('split', 5)}, member AS (SELECT row_id, b AS f, rank < {_HALF} AS inside FROM drawn)"
+_IN_SPLITS = f"{_ranked('split', 50)}, member AS (SELECT row_id, b AS f, rank < {_HALF} AS inside FROM drawn)"
 
 ORACLES = {
     "standardize": f"WITH {_WEIGHTED} SELECT row_id, CAST(feature AS INTEGER) AS feature, {_R('z', 'value')} FROM z",
@@ -360,18 +378,17 @@ ORACLES = {
     "cv_mean_se": f"{_FOLDS} SELECT {_R('avg(r2)', 'mean')}, {_R('stddev_samp(r2) / sqrt(count(*))', 'se')} FROM r",
     "quantile7": f"WITH {_BASE} SELECT " + ", ".join(_R(f"quantile_cont(y, {q})", f"q{i}") for i, q in enumerate((0.025, 0.25, 0.5, 0.975))) + " FROM base",
     "sign_z": f"{_SPLIT}, whole AS (SELECT y, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base), ref AS (SELECT feature, covar_pop(x, y) AS r FROM whole GROUP BY feature) SELECT CAST(feature AS INTEGER) AS feature, {_R('(2 * avg(CASE WHEN sign(s) = sign(r) THEN 1.0 ELSE 0.0 END) - 1) * sqrt(count(*))', 'z')} FROM s JOIN ref USING (feature) GROUP BY feature",
-    "perm_cross": f"WITH {_BASE}, {_ranked('perm', 20)}, home AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', 'perm-base', 0, vec_id)), vec_id) - 1 AS rank FROM embeddings), moved AS (SELECT home.row_id, b, base.y FROM drawn JOIN base USING (row_id) JOIN home USING (rank)), c AS (SELECT b, corr(CAST(embedding[1] AS DOUBLE), moved.y) AS c FROM moved JOIN base USING (row_id) GROUP BY b), o AS (SELECT corr(CAST(embedding[1] AS DOUBLE), y) AS c FROM base) SELECT {_R('any_value(o.c)', 'observed')}, {_R('(sum(CASE WHEN c.c >= o.c THEN 1 ELSE 0 END) + 1) / 21', 'p')} FROM c, o",
-    "pls1_perm_null": f"""WITH {_PLAIN}, {_ranked('null', 100)},
-home AS (SELECT vec_id AS row_id, row_number() OVER (ORDER BY md5(concat_ws(':', '{SEED}', 'null-base', 0, vec_id)), vec_id) - 1 AS rank FROM embeddings),
+    "perm_cross": f"WITH RECURSIVE {_BASE}, {_moved('perm', 20)}, moved AS (SELECT perm.row_id, b, base.y FROM perm JOIN base ON base.row_id = source), c AS (SELECT b, corr(CAST(embedding[1] AS DOUBLE), moved.y) AS c FROM moved JOIN base USING (row_id) GROUP BY b), o AS (SELECT corr(CAST(embedding[1] AS DOUBLE), y) AS c FROM base) SELECT {_R('any_value(o.c)', 'observed')}, {_R('(sum(CASE WHEN c.c >= o.c THEN 1 ELSE 0 END) + 1) / 21', 'p')} FROM c, o",
+    "pls1_perm_null": f"""WITH RECURSIVE {_PLAIN}, {_moved('null', 1000)},
 ys AS (SELECT DISTINCT row_id, zy FROM z),
-moved AS (SELECT b, home.row_id, ys.zy FROM drawn JOIN ys USING (row_id) JOIN home USING (rank) UNION ALL SELECT -1, row_id, zy FROM ys),
+moved AS (SELECT b, perm.row_id, ys.zy FROM perm JOIN ys ON ys.row_id = source UNION ALL SELECT -1, row_id, zy FROM ys),
 s AS (SELECT b, feature, sum(z.z * moved.zy) AS s FROM moved JOIN z USING (row_id) GROUP BY b, feature),
 t AS (SELECT b, row_id, sum(z.z * s) AS t FROM z JOIN s USING (feature) GROUP BY b, row_id),
 q AS (SELECT b, sum(t * zy) / sum(t * t) AS q FROM t JOIN moved USING (b, row_id) GROUP BY b),
 c AS (SELECT b, feature, s * q AS coef FROM s JOIN q USING (b)),
 n AS (SELECT feature, max(CASE WHEN b < 0 THEN coef END) AS ref, avg(coef) FILTER (b >= 0) AS mean, stddev_samp(coef) FILTER (b >= 0) AS sd FROM c GROUP BY feature)
 SELECT CAST(feature AS INTEGER) AS feature, {_R('ref', 'beta_ref')}, {_R('mean', 'beta_perm_mean')}, {_R('sd', 'beta_perm_sd')}, {_R('ref / sd', 'beta_perm_z')} FROM n""",
-    "confirmatory_ci": f"""WITH {_BASE}, {_ranked('subsample', 100)}, m AS (SELECT ceil({_N} ** 0.7) AS m, {_N} AS n),
+    "confirmatory_ci": f"""WITH {_BASE}, {_ranked('subsample', 1000)}, m AS (SELECT ceil({_N} ** 0.7) AS m, {_N} AS n),
 member AS (SELECT row_id, b, rank < m AS inside FROM drawn, m UNION ALL SELECT vec_id, -1, true FROM embeddings), {_HALVES},
 q AS (SELECT b, sum(t * zy) / sum(t * t) AS q FROM t WHERE inside GROUP BY b),
 size AS (SELECT b, sum(s * s) AS ss FROM s GROUP BY b),
@@ -397,14 +414,23 @@ SELECT CAST(keep AS INTEGER) AS keep, {_R('r2', 'r2')}, {_R('se', 'se')}, keep =
 v AS (SELECT f, b, sum((zy - t * q) ** 2) AS res, count(*) * var_pop(zy) AS tot FROM t JOIN zy USING (f, b, row_id) JOIN q USING (f, b) WHERE NOT inside GROUP BY f, b),
 r AS (SELECT b, 1 - sum(res) / sum(tot) AS r2 FROM v GROUP BY b),
 o AS (SELECT r2 AS o FROM r WHERE b < 0)
-SELECT {_R('(sum(CASE WHEN r2 >= o THEN 1 ELSE 0 END) + 1) / 51', 'pvalue')}, {_R('any_value(o)', 'statistic')}, 'raw_perm' AS method, CAST(1 AS BIGINT) AS k, CAST(50 AS BIGINT) AS n_perm,
+SELECT {_R('(sum(CASE WHEN r2 >= o THEN 1 ELSE 0 END) + 1) / 1001', 'pvalue')}, {_R('any_value(o)', 'statistic')}, 'raw_perm' AS method, CAST(1 AS BIGINT) AS k, CAST(1000 AS BIGINT) AS n_perm,
   CAST(NULL AS VARCHAR) AS n_splits, CAST({SEED} AS BIGINT) AS seed, CAST(NULL AS VARCHAR) AS rho_hat, CAST(NULL AS VARCHAR) AS stable_rank, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM r, o WHERE b >= 0""",
-    "test_split_exact": f"""{_PERMUTED.replace('MEMBER', _IN_SPLITS)},
-r AS (SELECT f, b, greatest(least(corr(t, zy), 0.9999), -0.9999) AS r FROM t JOIN zy USING (f, b, row_id) WHERE NOT inside GROUP BY f, b),
+    "test_split_exact": f"""WITH RECURSIVE {_BASE}, {_IN_SPLITS}, {_moved('perm', 1000)},
+moved AS (SELECT b, perm.row_id, base.y FROM perm JOIN base ON base.row_id = source UNION ALL SELECT -1, row_id, y FROM base),
+long AS (SELECT f, inside, base.row_id, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base JOIN member USING (row_id)),
+col AS (SELECT f, feature, avg(x) AS mean, stddev_pop(x) AS scale FROM long WHERE inside GROUP BY f, feature),
+z AS (SELECT f, inside, row_id, feature, (x - mean) / scale AS z FROM long JOIN col USING (f, feature)),
+zl AS (SELECT f, feature, list(z ORDER BY row_id) AS zs FROM z WHERE inside GROUP BY f, feature),
+yl AS (SELECT f, b, list(y ORDER BY row_id) AS ys FROM moved JOIN member USING (row_id) WHERE inside GROUP BY f, b),
+s AS (SELECT f, b, list(list_dot_product(zs, ys) ORDER BY feature) AS s FROM zl JOIN yl USING (f) GROUP BY f, b),
+xl AS (SELECT f, row_id, list(z ORDER BY feature) AS xs FROM z WHERE NOT inside GROUP BY f, row_id),
+t AS (SELECT f, b, row_id, list_dot_product(xs, s) AS t FROM xl JOIN s USING (f)),
+r AS (SELECT f, b, greatest(least(corr(t, y), 0.9999), -0.9999) AS r FROM t JOIN moved USING (b, row_id) GROUP BY f, b),
 m AS (SELECT b, avg(atanh(r)) AS z FROM r GROUP BY b),
 o AS (SELECT z AS o FROM m WHERE b < 0)
-SELECT {_R('(sum(CASE WHEN z >= o THEN 1 ELSE 0 END) + 1) / 51', 'pvalue')}, {_R('tanh(any_value(o))', 'statistic')}, 'split_exact' AS method, CAST(1 AS BIGINT) AS k, CAST(50 AS BIGINT) AS n_perm,
-  CAST(5 AS BIGINT) AS n_splits, CAST({SEED} AS BIGINT) AS seed, CAST(NULL AS VARCHAR) AS rho_hat, CAST(NULL AS VARCHAR) AS stable_rank, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM m, o WHERE b >= 0""",
+SELECT {_R('(sum(CASE WHEN z >= o THEN 1 ELSE 0 END) + 1) / 1001', 'pvalue')}, {_R('tanh(any_value(o))', 'statistic')}, 'split_exact' AS method, CAST(1 AS BIGINT) AS k, CAST(1000 AS BIGINT) AS n_perm,
+  CAST(50 AS BIGINT) AS n_splits, CAST({SEED} AS BIGINT) AS seed, CAST(NULL AS VARCHAR) AS rho_hat, CAST(NULL AS VARCHAR) AS stable_rank, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM m, o WHERE b >= 0""",
     "test_e": f"""WITH {_BASE}, {_ranked('split', 1)}, member AS (SELECT row_id, b, rank < {_HALF} AS inside FROM drawn), {_HALVES},
 q AS (SELECT sum(t * zy) / sum(t * t) AS q FROM t WHERE inside),
 alt AS (SELECT sum((zy - t * q) ** 2) / count(*) AS var FROM t, q WHERE inside),
