@@ -1,89 +1,96 @@
 """Sharding by balanced label propagation.
 
 Documents that are linked (here: by a common group, such as equal texts) should share a shard while all shards
-have the same number of rows, give or take one. Shards start from a hash. In each round every group votes for the
-shard that most of its members are in, and its other members ask to move there. Between two shards equal
-numbers may swap, whatever their room; beyond that, a shard takes as many as it has room for. Rounds go on until nothing
-moves. Documents without links then fill what is left.
+have the same number of rows, give or take one. Rows start in shards by a hash. In each round every group without a place asks for the
+shard where most of its members are, among the shards that have room for all of it; a shard's room is shared out by quotas for each size of group, and
+members of the groups within a quota move there. A group that is refused asks for its next shard in the next round. Large groups come first, octave by octave
+down to a 64th of a shard, then all smaller ones. Every round places a group at least, and rounds end when no group that is left fits any shard whole. Those groups, and
+documents without links, then fill what is left. A group larger than a shard is cut into pieces of a shard each and a rest.
 """
 
 import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from latentspark.llm.common import drop, ranked, stored
 
-ROUNDS = 12
 SALTS = 32
+#: Groups of up to a shard's rows by this are placed together, after the larger ones by octaves.
+SMALL = 64
 
 
-def _salted_votes(members: DataFrame, votes: DataFrame) -> DataFrame:
+def _salted_votes(members: DataFrame, votes: DataFrame, keys: list[str]) -> DataFrame:
     """members joined with the one row of their group; a large group's members meet copies of that row in SALTS tasks."""
     copies = votes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return members.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(copies, ["group", "_salt"]).drop("_salt")
-
-
-def quotas(flow: dict[tuple[int, int], int], room: dict[int, int]) -> dict[tuple[int, int], int]:
-    """How many of those that ask may move from one shard to another: as many as come back the other way, and as far as there is
-    room, which the shards that ask for it share in proportion."""
-    out = {(s, t): min(n, flow.get((t, s), 0)) for (s, t), n in flow.items()}
-    for t, free in room.items():
-        asks = {s: n - out[s, u] for (s, u), n in sorted(flow.items()) if u == t and n > out[s, u]}
-        total = sum(asks.values())
-        for s, n in asks.items():
-            given = min(n, -(-free * n // total)) if total else 0
-            out[s, t] += given
-            free, total = free - given, total - n
+    return members.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def quotas(asked: list[tuple[int, int, int, int]], room: dict[int, int]) -> dict[tuple[int, int], int]:
+    """asked: goal, class, number of groups, size of the largest. How many groups of each goal and class may move there: the largest classes first, as many as
+    fit whatever their sizes in the class."""
+    out, left = {}, dict(room)
+    for goal, kind, n, largest in sorted(asked, key=lambda a: (a[0], -a[1])):
+        out[goal, kind] = min(n, left[goal] // largest)
+        left[goal] -= out[goal, kind] * largest
+    return out
+
+
+def _bids(units: DataFrame, room: dict[int, int], turn: int) -> DataFrame:
+    """units with the shard each asks for: of those with room for it the one with most of its members, a hash deciding between equal ones; null where none has."""
+    shards = F.array(*[F.struct(F.lit(s).alias("shard"), F.lit(n).cast("long").alias("room")) for s, n in room.items()])
+    fits = F.filter(shards, lambda s: s["room"] >= F.col("size"))
+    score = lambda s: F.struct(F.coalesce(F.element_at("held", s["shard"]), F.lit(0)).alias("n"), F.xxhash64("group", "piece", s["shard"], F.lit(turn)).alias("tie"), s["shard"].alias("shard"))
+    # Single sizes up to 64, then 64 classes an octave.
+    kind = F.when(F.col("size") <= 64, F.col("size")).otherwise(F.floor(F.log2("size") * 64)).cast("int")
+    return units.select("group", "piece", "size", "held", kind.alias("kind"), F.array_max(F.transform(fits, score))["shard"].alias("goal"))
+
+
+def propagate(members: DataFrame, shards: int, room: dict[int, int]) -> DataFrame:
+    """uid, group, piece, shard of the members (uid, group, piece) whose piece has found a shard; `room`: rows that each shard takes."""
+    keys = ["group", "piece"]
+    start = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")
+    cells = members.groupBy(*keys, start.alias("shard")).agg(F.count("*").alias("n"))
+    units = stored(cells.groupBy(*keys).agg(F.sum("n").alias("size"), F.map_from_entries(F.collect_list(F.struct("shard", "n"))).alias("held")))
+    room, most = dict(room), max(room.values())
+    octave = F.least(F.floor(F.log2(F.lit(float(most)) / F.col("size"))), F.lit(int(math.log2(SMALL))))
+    phases = [r["o"] for r in units.select(octave.alias("o")).distinct().orderBy("o").collect()]  # seven at most
+    placed, turn = [], 0
+    for phase in phases:
+        waiting, temporary = units.filter(octave == phase), None
+        while True:
+            bids = stored(_bids(waiting, room, turn).filter("goal IS NOT NULL"))
+            if temporary is not None:
+                drop(temporary)
+            turn += 1
+            asked = [tuple(r) for r in bids.groupBy("goal", "kind").agg(F.count("*").alias("n"), F.max("size")).collect()]  # shards x classes
+            if not asked:
+                drop(bids)
+                break
+            given = [(goal, kind, n) for (goal, kind), n in quotas(asked, room).items() if n]
+            quota = members.sparkSession.createDataFrame(given, "goal int, kind int, quota long")
+            order = ranked(bids.join(F.broadcast(quota), ["goal", "kind"]), ["goal", "kind"], keys, "_rank", buckets=16)
+            won = stored(order.filter(F.col("_rank") < F.col("quota")).select(*keys, "size", "goal"))
+            placed.append(won)
+            for r in won.groupBy("goal").agg(F.sum("size").alias("n")).collect():
+                room[r["goal"]] -= r["n"]
+            waiting, temporary = bids.join(won.select(*keys), keys, "left_anti").select(*keys, "size", "held"), bids
+    if not placed:
+        return members.select("uid", *keys, F.lit(0).alias("shard")).limit(0)
+    goals = placed[0]
+    for won in placed[1:]:
+        goals = goals.unionAll(won)
+    out = stored(_salted_votes(members, goals.select(*keys, F.col("goal").alias("shard")), keys).select("uid", *keys, "shard"))
+    drop(units, *placed)
     return out
 
 
-def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = ROUNDS) -> DataFrame:
-    """members (uid, group) with shard: linked rows together as far as `capacity` rows a shard allow."""
-    state = stored(members.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int")))
-    for turn in range(rounds):
-        load = {r["shard"]: r["count"] for r in state.groupBy("shard").count().collect()}  # as many rows as shards
-        cells = state.groupBy("group", "shard").agg(F.count("*").alias("n"))
-        room = {s: max(0, capacity - load.get(s, 0)) for s in range(shards)}
-        # Of shards with equally many members a hash decides, another one each round, so that as many ask one way as the other. A group that no shard can hold
-        # whole gathers where there is room, in shards that have more of it than the one that is left.
-        has_room = F.col("shard").isin([s for s in room if room[s]] or [-1])
-        place = F.struct("n", F.xxhash64("group", "shard", F.lit(turn)).alias("tie"), "shard")
-        vote = cells.groupBy("group").agg(F.max(place).alias("best"), F.max(F.when(has_room, place)).alias("open"), (F.sum("n") > capacity).alias("big"), F.map_from_entries(F.collect_list(F.struct("shard", place))).alias("held"))
-        vote = vote.select("group", "big", F.when(F.col("big"), F.col("open")).otherwise(F.col("best")).alias("goal"), "held")
-        moving = _salted_votes(state, vote).filter(F.col("goal") > F.element_at("held", F.col("shard")))
-        moving = stored(moving.select("uid", "big", "shard", F.col("goal.shard").alias("target")))
-        flow: dict[bool, dict[tuple[int, int], int]] = {False: {}, True: {}}
-        for r in moving.groupBy("big", "shard", "target").count().collect():  # pairs of shards
-            flow[r["big"]][r["shard"], r["target"]] = r["count"]
-        # Groups that no shard can hold whole take what the others leave.
-        allowed = []
-        for big in (False, True):
-            given = quotas(flow[big], room)
-            allowed += [(big, s, t, n) for (s, t), n in given.items() if n]
-            for (s, t), n in given.items():
-                room[t] -= n
-                room[s] += n
-        if not allowed:
-            drop(moving)
-            break
-        quota = members.sparkSession.createDataFrame(allowed, "big boolean, shard int, target int, quota long")
-        way = ["big", "shard", "target"]
-        order = ranked(moving.join(F.broadcast(quota), way), way, ["uid"], "_rank", buckets=16)
-        accepted = order.filter(F.col("_rank") < F.col("quota")).select("uid", "target")
-        new = stored(state.join(accepted, "uid", "left").select("uid", "group", F.coalesce("target", "shard").alias("shard")))
-        drop(state, moving)
-        state = new
-    return state
-
-
-def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     """Per document: doc_id, size (UTF-8 bytes of the text, plus 8), text_crc32, law (`rows`: counts of shards at most one apart), shard,
     slot (gapless from 0 in each shard) and grown_shard (null under this law).
 
     Needs doc_id and text; further columns are left out. A null text has no bytes and is linked like an empty one. Equal texts
-    are linked. Every row is placed, repeated ids too; empty tables give no rows."""
+    are linked. Every row is placed, repeated ids too; empty tables give no rows. Of texts only length, checksum and digest are kept, however long they are."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("bytes"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text.cast("binary")).alias("group"))
     rows = ranked(rows, [], ["doc_id", "group"], "uid")
@@ -92,9 +99,14 @@ def shard_documents(docs: DataFrame, shards: int = 24, rounds: int = ROUNDS) ->
     base, extra = divmod(n, shards)
     target = [base + (s < extra) for s in range(shards)]
 
-    linked = rows.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1").select("group")
-    members = _salted_votes(rows.select("uid", "group"), linked)
-    placed = ranked(propagate(members, shards, math.ceil(n / shards), rounds), ["shard"], ["group", "uid"], "slot")
+    whole = max(base, 1)
+    sizes = rows.groupBy("group").agg(F.count("*").alias("n")).filter("n > 1")
+    linked = _salted_votes(rows.select("uid", "group"), sizes, ["group"])
+    # Pieces of groups that are larger than a shard, of which there are fewer than shards.
+    large = ranked(linked.filter(F.col("n") > whole).select("uid", "group"), ["group"], ["uid"], "at")
+    pieces = large.select("uid", "group", F.floor(F.col("at") / whole).cast("long").alias("piece"))
+    members = stored(pieces.unionAll(linked.filter(F.col("n") <= whole).select("uid", "group", F.lit(0).cast("long").alias("piece"))))
+    placed = ranked(propagate(members, shards, dict(enumerate(target))), ["shard"], ["group", "uid"], "slot")
     quota = F.element_at(F.create_map(*[F.lit(x) for s, t in enumerate(target) for x in (s, t)]), F.col("shard"))
     kept = stored(placed.filter(F.col("slot") < quota).select("uid", "shard", "slot"))
     load = {r["shard"]: r["count"] for r in kept.groupBy("shard").count().collect()}

@@ -110,13 +110,43 @@ def test_pairs_meet_where_no_shard_has_room(spark):
 def test_quotas_keep_capacity():
     rng = np.random.default_rng(0)
     for _ in range(200):
-        flow = {(s, t): int(rng.integers(0, 20)) for s in range(5) for t in range(5) if s != t and rng.random() < 0.7}
-        room = {s: int(rng.integers(0, 15)) for s in range(5)}
-        got = sharding.quotas(flow, room)
-        assert all(0 <= n <= flow[p] for p, n in got.items())
+        asked = [(s, kind, int(rng.integers(1, 20)), kind + int(rng.integers(0, 3))) for s in range(5) for kind in range(1, 9) if rng.random() < 0.5]
+        room = {s: int(rng.integers(0, 60)) for s in range(5)}
+        got = sharding.quotas(asked, room)
+        assert all(0 <= got[s, kind] <= n for s, kind, n, _ in asked)
         for s in range(5):
-            into, out = (sum(n for p, n in got.items() if p[i] == s) for i in (1, 0))
-            assert into - out <= room[s]
+            mine = [(kind, n, largest) for t, kind, n, largest in asked if t == s]
+            used = sum(got[s, kind] * largest for kind, _, largest in mine)
+            assert used <= room[s]
+            # What is refused would not have fitted.
+            assert all(got[s, kind] == n or largest > room[s] - sum(got[s, k] * m for k, _, m in mine if k >= kind) for kind, n, largest in mine)
+
+
+def kept_links(spark, sizes, shards):
+    """Share of linked pairs in one shard, and of groups that are whole."""
+    texts = [f"group {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    at, counts = defaultdict(Counter), Counter()
+    for r in sharding.shard_documents(docs, shards=shards).collect():
+        at[texts[r["doc_id"]]][r["shard"]] += 1
+        counts[r["shard"]] += 1
+    assert sorted(counts.values()) == sorted(len(texts) // shards + (s < len(texts) % shards) for s in range(shards))
+    pairs = lambda n: n * (n - 1) // 2
+    return sum(pairs(n) for c in at.values() for n in c.values()) / max(1, sum(map(pairs, sizes))), sum(len(c) == 1 for c in at.values()) / len(sizes)
+
+
+@pytest.mark.parametrize("sizes", [[40] * 120, [4] * 1200])
+def test_groups_that_fit_exactly_stay_whole(spark, sizes):
+    links, whole = kept_links(spark, sizes, 24)
+    assert links >= 0.99 and whole >= 0.99
+
+
+def test_mixed_groups_stay_together(spark):
+    rng = np.random.default_rng(5)
+    sizes = [900, 150, 149, *rng.integers(60, 120, 8).tolist(), *rng.integers(2, 12, 200).tolist(), *[1] * 300]  # the first is larger than three shards
+    links, whole = kept_links(spark, sizes, 12)
+    best = (sum(n * (n - 1) for n in sizes[1:]) + sum(p * (p - 1) for p in [sum(sizes) // 12] * (900 // (sum(sizes) // 12)) + [900 % (sum(sizes) // 12)])) / sum(n * (n - 1) for n in sizes)
+    assert links >= 0.97 * best and whole >= 0.98
 
 
 def test_small_tables_against_the_best_placement(spark):
