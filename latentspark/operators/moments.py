@@ -269,5 +269,38 @@ def validate(frame: Frame, unique: bool = False) -> dict:
     return r
 
 
+#: Products that are summed by Spark's own expressions; more go through NumPy.
+PLAIN = 40
+
+
 def total(frame: Frame, centre: np.ndarray) -> Moments:
+    """The moments of all rows. Of few columns they are sums of Spark's own, without Python."""
+    d, q = frame.d, frame.q
+    if d * (d + 1) // 2 + d * q + q <= PLAIN:
+        return _summed_plainly(frame, centre)
     return collected(set_blocks(frame, None, centre), frame)[0]
+
+
+def _summed_plainly(frame: Frame, centre: np.ndarray) -> Moments:
+    d, q = frame.d, frame.q
+    value = lambda c, j: F.get(X if c == "x" else Y, F.lit(j)) - F.lit(float(centre[j if c == "x" else d + j]))
+    x, y = [value("x", j) for j in range(d)], [value("y", j) for j in range(q)]
+    one = F.lit(1.0)
+    w = {"1": one, "r": F.sqrt(WEIGHT), "w": F.col(WEIGHT)} if frame.weighted else {"1": one}
+    sums = {"n0": F.count("*").cast("double")}
+    if frame.weighted:
+        sums |= {"n1": F.sum(WEIGHT), "n2": F.sum(w["r"]), "n3": F.sum(w["w"] * w["w"])}
+    for k, v in w.items():
+        sums |= {f"x{k}_{i}": F.sum(v * x[i]) for i in range(d)} | {f"y{k}_{j}": F.sum(v * y[j]) for j in range(q)}
+        if k != "r":
+            sums |= {f"xx{k}_{i}_{j}": F.sum(v * x[i] * x[j]) for i in range(d) for j in range(i, d)}
+            sums |= {f"xy{k}_{i}_{j}": F.sum(v * x[i] * y[j]) for i in range(d) for j in range(q)} | {f"yy{k}_{j}": F.sum(v * y[j] * y[j]) for j in range(q)}
+    sums |= {f"low_{i}": F.min(c) for i, c in enumerate([*x, *y])} | {f"high_{i}": F.max(c) for i, c in enumerate([*x, *y])}
+    r = frame.rows.agg(*[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in sums.items()]).first().asDict()
+    flat = [r["n0"], *([r["n1"], r["n2"], r["n3"]] if frame.weighted else [r["n0"]] * 3)]
+    for name, shape in Moments.packed(d, q, frame.weighted)[1:]:
+        if name.startswith("xx"):
+            flat += [r[f"{name}_{i}_{j}"] for i in range(d) for j in range(i, d)]
+        else:
+            flat += [r["_".join([name, *map(str, at)])] for at in np.ndindex(*shape)]
+    return Moments.unflat(np.array(flat, float), d, q, frame.weighted)

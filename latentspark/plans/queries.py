@@ -177,6 +177,33 @@ def split_r(spark, sf_dir):
     return rounded(r.select("b", "r"))
 
 
+def split_r_weighted(spark, sf_dir):
+    f = embeddings(spark, sf_dir, True)
+    return rounded(inference.split_correlations(f, moments.validate(f), 1, 20, SEED, None).select("b", "r"))
+
+
+def split_r_k2(spark, sf_dir):
+    """Two components in each half."""
+    f = embeddings(spark, sf_dir)
+    return rounded(inference.split_correlations(f, moments.validate(f), 2, 20, SEED, None).select("b", "r"))
+
+
+def split_r_sparse(spark, sf_dir):
+    """One component of eight features in each half."""
+    f = embeddings(spark, sf_dir)
+    return rounded(inference.split_correlations(f, moments.validate(f), 1, 20, SEED, 8).select("b", "r"))
+
+
+def ci_holdout(spark, sf_dir):
+    """The interval of the held-out correlation over 1000 subsamples."""
+    f = embeddings(spark, sf_dir)
+    info = moments.validate(f)
+    m = inference.subsample_size(info["n"], 1, 1000, 0.7, 0.95)
+    r = [x["r"] for x in inference.subsample_fits(f, info, 1, m, 1000, False, SEED).select("r").collect()]
+    ci = inference.wald_interval(r, info["n"], m, 0.95)
+    return rounded(spark.createDataFrame([(ci.point, ci.lower, ci.upper, ci.sd)], "point double, lower double, upper double, se double"))
+
+
 def mean_fisher_z(spark, sf_dir):
     f = embeddings(spark, sf_dir)
     r = inference.split_correlations(f, moments.validate(f), 1, 4, SEED, None)
@@ -238,6 +265,12 @@ def _test(method: str, **args):
     return run
 
 
+def test_score(spark, sf_dir):
+    """The statistic is some hundred thousand, so it is given to three digits."""
+    r = inference.pls1_confirmatory_test(embeddings(spark, sf_dir), 1, method="score", seed=SEED).to_df(spark)
+    return rounded(r).withColumn("statistic", F.round("statistic", 3))
+
+
 def confirmatory_ci(spark, sf_dir):
     ci = inference.pls1_confirmatory_test(embeddings(spark, sf_dir), 1, method="score", ci=True, seed=SEED).ci
     return rounded(ci.per_feature)
@@ -262,7 +295,7 @@ def rotation_stability(spark, sf_dir):
     return pls1_rotation_stability(embeddings(spark, sf_dir), 2, seed=SEED).to_df(spark)
 
 
-_ALL = (standardize, column_moments, kish_n_eff, gram, cross_moment, lineitem_gram, pls1_k1_coef, pls1_k1_predict, pls1_k2_coef, pls1_weighted_k1_coef, spls1_topk, scores_k1, deflated_y, leverage_k1, score_stat, bic_by_k, stable_rank, rotate, fold_assign, split_assign, permute_rows, subsample_assign, split_r, mean_fisher_z, cv_r2, cv_mean_se, quantile7, sign_z, perm_cross, pls1_perm_null, confirmatory_ci, find_k_optimal, find_k_sequence, find_keep_optimal, rotation_stability, _test("raw_perm"), _test("split_nb"), _test("split_exact"), _test("score"), _test("e"))
+_ALL = (standardize, column_moments, kish_n_eff, gram, cross_moment, lineitem_gram, pls1_k1_coef, pls1_k1_predict, pls1_k2_coef, pls1_weighted_k1_coef, spls1_topk, scores_k1, deflated_y, leverage_k1, score_stat, bic_by_k, stable_rank, rotate, fold_assign, split_assign, permute_rows, subsample_assign, split_r, mean_fisher_z, cv_r2, cv_mean_se, quantile7, sign_z, perm_cross, pls1_perm_null, confirmatory_ci, find_k_optimal, find_k_sequence, find_keep_optimal, rotation_stability, _test("raw_perm"), _test("split_nb"), _test("split_exact"), test_score, _test("e"), split_r_weighted, split_r_k2, split_r_sparse, ci_holdout)
 QUERIES = {f.__name__: f for f in _ALL}
 
 # ---- the same in SQL
@@ -350,7 +383,81 @@ q AS (SELECT f, b, sum(t * zy) / sum(t * t) AS q FROM t JOIN zy USING (f, b, row
 _IN_FOLDS = f"{_ranked('fold', 1)}, cut AS (SELECT row_id, CAST({_FOLD} AS INTEGER) AS fold FROM drawn, (SELECT count(*) AS n FROM embeddings)), member AS (SELECT row_id, f, fold <> f AS inside FROM cut, (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS f))"
 _IN_SPLITS = f"{_ranked('split', 50)}, member AS (SELECT row_id, b AS f, rank < {_HALF} AS inside FROM drawn)"
 
+def _components(z: str, k: int, by: str = "b") -> str:
+    """z1 to z{k + 1}: rows (by, inside, row_id, feature, z, zy) of z without their first components, fitted to the rows inside; q1 to qk."""
+    out = [f"z1 AS (SELECT {by}, inside, row_id, feature, z, zy FROM {z})"]
+    for a in range(1, k + 1):
+        out.append(f"""s{a} AS (SELECT {by}, feature, sum(z * zy) AS s FROM z{a} WHERE inside GROUP BY {by}, feature),
+w{a} AS (SELECT {by}, feature, s / sqrt(sum(s * s) OVER (PARTITION BY {by})) AS v FROM s{a}),
+t{a} AS (SELECT {by}, inside, row_id, any_value(zy) AS zy, sum(z * v) AS t FROM z{a} JOIN w{a} USING ({by}, feature) GROUP BY {by}, inside, row_id),
+q{a} AS (SELECT {by}, sum(t * zy) / sum(t * t) AS q, sum(t * t) AS tt FROM t{a} WHERE inside GROUP BY {by}),
+p{a} AS (SELECT {by}, feature, sum(z * t) / any_value(tt) AS p FROM z{a} JOIN t{a} USING ({by}, row_id) JOIN q{a} USING ({by}) WHERE z{a}.inside GROUP BY {by}, feature),
+z{a + 1} AS (SELECT {by}, z{a}.inside, row_id, feature, z - t * p AS z, z{a}.zy - t * q AS zy FROM z{a} JOIN t{a} USING ({by}, row_id) JOIN p{a} USING ({by}, feature) JOIN q{a} USING ({by}))""")
+    return ",\n".join(out)
+
+
+#: Trace and largest eigenvalue of the Gram matrix, by power iteration.
+_RANK = f"""{_PLAIN}, gm AS (SELECT a.feature AS i, b.feature AS j, sum(a.z * b.z) AS g FROM z a JOIN z b USING (row_id) GROUP BY 1, 2),
+gl AS (SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS r FROM gm GROUP BY i)),
+power AS (SELECT 0 AS step, list_transform(range(64), lambda e: 1 / (1.0 + e)) AS v
+  UNION ALL SELECT step + 1, list_transform(u, lambda e: e / sqrt(list_dot_product(u, u))) FROM (SELECT step, list_transform(m, lambda r: list_dot_product(r, v)) AS u FROM power, gl WHERE step < 3000)),
+rank AS (SELECT (SELECT sum(g) FROM gm WHERE i = j) / list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS stable_rank FROM power, gl WHERE step = 3000)"""
+#: p of Student's t with 49 degrees of freedom.
+_P49 = "(0.5 - (atan(t / 7) + sin(atan(t / 7)) * list_sum(list_transform(range(24), lambda j: coalesce(list_product(list_transform(range(1, j + 1), lambda i: 2.0 * i / (2 * i + 1))), 1) * cos(atan(t / 7)) ** (2 * j + 1)))) / pi())"
+
+
+def _split_nb(h: int) -> str:
+    """pv{h} (p, mean, var, n_test) of the split test with 50 splits by seed SEED + h of rows x{h} (row_id, feature, x, y)."""
+    ranked = _ranked("split", 50).replace("drawn AS", f"drawn{h} AS").replace(f"'{SEED}'", f"'{SEED + h}'")
+    return f"""{ranked}, m{h} AS (SELECT row_id, b, rank < {_HALF} AS inside FROM drawn{h}),
+c{h} AS (SELECT b, feature, avg(x) AS mean, stddev_pop(x) AS scale FROM x{h} JOIN m{h} USING (row_id) WHERE inside GROUP BY b, feature),
+n{h} AS (SELECT b, inside, row_id, feature, (x - mean) / scale AS z, y FROM x{h} JOIN m{h} USING (row_id) JOIN c{h} USING (b, feature)),
+g{h} AS (SELECT b, feature, sum(z * y) AS s FROM n{h} WHERE inside GROUP BY b, feature),
+r{h} AS (SELECT b, greatest(least(corr(t, y), 0.9999), -0.9999) AS r FROM (SELECT b, row_id, any_value(y) AS y, sum(z * s) AS t FROM n{h} JOIN g{h} USING (b, feature) WHERE NOT inside GROUP BY b, row_id) GROUP BY b),
+f{h} AS (SELECT avg(atanh(r)) AS mean, var_samp(atanh(r)) AS var, {_HALF} AS n_train, {_N} - {_HALF} AS n_test FROM r{h}),
+pv{h} AS (SELECT {_P49} AS p, mean, var, n_test FROM (SELECT *, mean / greatest(sqrt(var) * sqrt(1 / 50 + n_test / n_train), 1e-15) AS t FROM f{h}))"""
+
+
+_LONG_X = "SELECT row_id, y, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base"
+_SPLIT20 = _SPLIT.replace("range(0, 4)", "range(0, 20)")
+_BLANK = f"CAST({SEED} AS BIGINT) AS seed"
+
 ORACLES = {
+    "stable_rank": f"WITH RECURSIVE {_RANK} SELECT stable_rank < 3 OR {_N} < 25 AS fires, {_R('stable_rank', 'stable_rank')}, CAST({_N} AS DOUBLE) AS n_eff FROM rank",
+    "find_k_optimal": f"""{_FOLD_HALVES}, {_components('z', 4)},
+tot AS (SELECT b, count(*) * var_pop(zy) AS tot FROM t1 WHERE NOT inside GROUP BY b),
+r AS (""" + " UNION ALL ".join(f"SELECT {k} AS k, b, 1 - sum((t{k}.zy - t * q) ** 2) / any_value(tot) AS r2 FROM t{k} JOIN q{k} USING (b) JOIN tot USING (b) WHERE NOT inside GROUP BY b" for k in range(1, 5)) + f"""),
+f AS (SELECT k, avg(r2) AS r2, stddev_samp(r2) / sqrt(count(*)) AS se FROM r GROUP BY k),
+best AS (SELECT r2 - se AS least FROM f ORDER BY r2 DESC, k DESC LIMIT 1)
+SELECT CAST(k AS BIGINT) AS k, {_R('r2', 'r2')}, {_R('se', 'se')}, k = (SELECT min(k) FROM f, best WHERE r2 >= least) AS chosen FROM f""",
+    "find_k_sequence": f"""WITH {_PLAIN}, whole AS (SELECT 0 AS b, true AS inside, row_id, feature, z, zy FROM z), {_components('whole', 2)},
+""" + ",\n".join(f"x{h} AS (SELECT row_id, feature, z AS x, zy AS y FROM z{h}), {_split_nb(h)}" for h in (1, 2, 3)) + f""",
+p AS (""" + " UNION ALL ".join(f"SELECT {h} AS k, p FROM pv{h}" for h in (1, 2, 3)) + f"""),
+star AS (SELECT coalesce(min(k) - 1, 3) AS star FROM p WHERE p >= 0.05)
+SELECT CAST(k AS BIGINT) AS k, CASE WHEN k <= star + 1 THEN {_R('p', 'x').removesuffix(' AS x')} ELSE 'NaN'::DOUBLE END AS pvalue, k = star AS chosen FROM p, star""",
+    "test_split_nb": f"""WITH RECURSIVE {_RANK}, x0 AS (SELECT row_id, feature, x, y FROM long), {_split_nb(0)}
+SELECT {_R('p', 'pvalue')}, {_R('tanh(mean)', 'statistic')}, 'split_nb' AS method, CAST(1 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS n_perm, CAST(50 AS BIGINT) AS n_splits, {_BLANK},
+  {_R('least(greatest(1 - var * (n_test - 3), 0), 1)', 'rho_hat')}, {_R('stable_rank', 'stable_rank')}, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM pv0, rank""",
+    "test_score": f"""WITH RECURSIVE {_PLAIN}, {_S}, g AS (SELECT sum(a.z * b.z) AS g, a.feature AS i, b.feature AS j FROM z a JOIN z b USING (row_id) GROUP BY 2, 3),
+l AS (SELECT sum(CASE WHEN i = j THEN g ELSE 0 END) AS s1, sum(g * g) AS s2 FROM g),
+o AS (SELECT (SELECT sum(s * s) FROM s) AS t, s1 * s1 / s2 / 2 AS a, (SELECT sum(s * s) FROM s) * s1 / s2 / 2 AS x FROM l),
+series AS (SELECT 0 AS i, 1 / a AS term, 1 / a AS total FROM o UNION ALL SELECT i + 1, term * x / (a + i + 1), total + term * x / (a + i + 1) FROM series, o WHERE i < 5000 AND term > 0)
+SELECT {_R('greatest(0, 1 - exp(a * ln(x) - x - lgamma(a)) * total)', 'pvalue')}, round(t, 3) AS statistic, 'score' AS method, CAST(1 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS n_perm, CAST(NULL AS VARCHAR) AS n_splits, {_BLANK},
+  CAST(NULL AS VARCHAR) AS rho_hat, CAST(NULL AS VARCHAR) AS stable_rank, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM o, (SELECT max(total) AS total FROM series)""",
+    "split_r_weighted": f"""WITH base AS (SELECT vec_id AS row_id, embedding, {_Y.format(2, 3)} AS y, 0.5 + (vec_id % 7) / 4.0 AS w FROM embeddings), {_ranked('split', 20)}, member AS (SELECT row_id, b, rank < {_HALF} AS inside FROM drawn),
+long AS (SELECT b, inside, base.row_id, y, w, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base JOIN member USING (row_id)),
+col AS (SELECT b, feature, sum(w * x) / sum(w) AS mean, sqrt(sum(w * x * x) / sum(w) - (sum(w * x) / sum(w)) ** 2) AS scale FROM long WHERE inside GROUP BY b, feature),
+z AS (SELECT b, inside, row_id, feature, w, y, (x - mean) / scale AS z FROM long JOIN col USING (b, feature)),
+s AS (SELECT b, feature, sum(w * z * y) AS s FROM z WHERE inside GROUP BY b, feature),
+t AS (SELECT b, row_id, any_value(w) AS w, any_value(y) AS y, sum(z * s) AS t FROM z JOIN s USING (b, feature) WHERE NOT inside GROUP BY b, row_id)
+SELECT b, {_R('corr(sqrt(w) * t, sqrt(w) * y)', 'r')} FROM t GROUP BY b""",
+    "split_r_k2": f"{_SPLIT20}, {_components('z', 2)}, d AS (SELECT b, row_id, any_value(z1.zy) AS y, any_value(z1.zy - z3.zy) AS t FROM z1 JOIN z3 USING (b, row_id, feature) WHERE NOT z1.inside GROUP BY b, row_id) SELECT b, {_R('corr(t, y)', 'r')} FROM d GROUP BY b",
+    "split_r_sparse": _SPLIT20.replace("s AS (SELECT b, feature, sum(z * zy) AS s FROM z WHERE inside GROUP BY b, feature)", "s0 AS (SELECT b, feature, sum(z * zy) AS s FROM z WHERE inside GROUP BY b, feature), s AS (SELECT b, feature, CASE WHEN row_number() OVER (PARTITION BY b ORDER BY abs(s) DESC, feature) <= 8 THEN s ELSE 0 END AS s FROM s0)")
+    + f" SELECT b, {_R('corr(t, zy)', 'r')} FROM t WHERE NOT inside GROUP BY b",
+    "ci_holdout": f"""WITH {_BASE}, {_ranked('subsample', 1000)}, m AS (SELECT ceil({_N} ** 0.7) AS m, {_N} AS n), member AS (SELECT row_id, b, rank < m AS inside FROM drawn, m), {_HALVES},
+r AS (SELECT b, corr(t, zy) AS r FROM t WHERE NOT inside GROUP BY b),
+i AS (SELECT avg(r) AS point, sqrt((1 / count(*) + any_value((n - m) / m)) * var_samp(atanh(r))) AS se FROM r, m)
+SELECT {_R('point', 'point')}, {_R('tanh(atanh(point) - 1.959963984540054 * se)', 'lower')}, {_R('tanh(atanh(point) + 1.959963984540054 * se)', 'upper')}, {_R('se', 'se')} FROM i""",
     "standardize": f"WITH {_WEIGHTED} SELECT row_id, CAST(feature AS INTEGER) AS feature, {_R('z', 'value')} FROM z",
     "column_moments": f"WITH {_WEIGHTED} SELECT CAST(feature AS INTEGER) AS feature, {_R('mean', 'mean')}, {_R('scale', 'scale')} FROM col",
     "kish_n_eff": f"SELECT {_R('sum(w) ** 2 / sum(w * w)', 'n_eff')} FROM (SELECT 0.5 + (vec_id % 7) / 4.0 AS w FROM embeddings)",

@@ -54,3 +54,13 @@ def test_pairs_lie_together(spark, monkeypatch):
     blocks = pair_blocks(f, resample.halves(f.rows, 3, "split", 9, 25), np.zeros(4), 9)
     got = per_pair(blocks, f, lambda b, inside, rest: [(b, inside.rows, rest.rows)], "b int, n_in int, n_out int").orderBy("b").collect()
     assert [tuple(r) for r in got] == [(b, 25, 25) for b in range(9)]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_few_columns_are_summed_without_python(spark, monkeypatch, weighted):
+    x, y, w = data(50, 4)
+    f = frame(spark, x, y, w if weighted else None)
+    centre = np.arange(5.0)
+    got = moments.total(f, centre)
+    monkeypatch.setattr(moments, "PLAIN", 0)
+    np.testing.assert_allclose(got.flat(), moments.total(f, centre).flat(), rtol=1e-12)
