@@ -230,11 +230,16 @@ def residuals(v: Moments, s: moments.Standard, coef: np.ndarray, j: int) -> tupl
 def _split_nb(frame: Frame, info: dict, k: int, a: dict, seed: int, keep: int | None) -> tuple:
     r = split_correlations(frame, info, k, a["n_splits"], seed, keep).select(fisher_z(F.col("r")).alias("z"))
     row = r.agg(F.avg("z").alias("mean"), F.var_samp("z").alias("var"), F.count("*").alias("n")).first()
-    n_train = kernels.split_size(info["n"], k)
-    n_test = info["n"] - n_train
-    se = max(math.sqrt(row["var"] or 0.0) * math.sqrt(1 / row["n"] + n_test / n_train), 1e-15)
-    rho = None if frame.weighted or n_test < 4 else float(np.clip(1 - row["var"] * (n_test - 3), 0, 1))
-    return special.t_sf(row["mean"] / se, row["n"] - 1), math.tanh(row["mean"]), rho
+    return split_nb_p(row["mean"], row["var"], row["n"], info["n"], k, frame.weighted)
+
+
+def split_nb_p(mean: float, var: float | None, splits: int, n: int, k: int, weighted: bool) -> tuple:
+    """p, correlation and its reliability, from mean and variance of the splits' Fisher z."""
+    n_train = kernels.split_size(n, k)
+    n_test = n - n_train
+    se = max(math.sqrt(var or 0.0) * math.sqrt(1 / splits + n_test / n_train), 1e-15)
+    rho = None if weighted or n_test < 4 else float(np.clip(1 - var * (n_test - 3), 0, 1))
+    return special.t_sf(mean / se, splits - 1), math.tanh(mean), rho
 
 
 def _split_exact(frame: Frame, info: dict, k: int, a: dict, seed: int, keep: int | None) -> tuple:

@@ -137,6 +137,32 @@ class Moments:
         )
 
 
+def mapped(m: Moments, a: np.ndarray, b: np.ndarray, y_scale: float) -> Moments:
+    """The moments of a x and y / y_scale - b x, from those of x and one response y. Least and largest values are not known: all columns count
+    as varying."""
+    one = np.full(len(m.low), 1.0)
+    y = lambda ys, xs: ys / y_scale - b @ xs
+    cross = lambda xy, xx: a @ (xy / y_scale - (xx @ b)[:, None])
+    square = lambda yy, xy, xx: yy / y_scale**2 - 2 * (b @ xy) / y_scale + b @ xx @ b
+    return Moments(
+        n=m.n,
+        x1=a @ m.x1,
+        xr=a @ m.xr,
+        xw=a @ m.xw,
+        y1=y(m.y1, m.x1),
+        yr=y(m.yr, m.xr),
+        yw=y(m.yw, m.xw),
+        xx1=a @ m.xx1 @ a.T,
+        xxw=a @ m.xxw @ a.T,
+        xy1=cross(m.xy1, m.xx1),
+        xyw=cross(m.xyw, m.xxw),
+        yy1=square(m.yy1, m.xy1, m.xx1),
+        yyw=square(m.yyw, m.xyw, m.xxw),
+        low=-one,
+        high=one,
+    )
+
+
 @dataclass
 class Standard:
     """Weighted means and scales of a row set, and the moments of the standardised data with weights of mean 1."""

@@ -12,7 +12,7 @@ from latentspark.functions import kernels
 from latentspark.operators import fit as fits
 from latentspark.operators import moments, resample, wide
 from latentspark.operators.fit import check_k, preprocess
-from latentspark.operators.inference import METHODS, SplitNbGateResult, gate, method_args, pair_blocks, per_pair, pls1_confirmatory_test, residuals
+from latentspark.operators.inference import METHODS, SplitNbGateResult, correlation, fisher_z, gate, method_args, pair_blocks, per_pair, pls1_confirmatory_test, residuals, split_nb_p
 from latentspark.operators.rowwise import matrix
 from latentspark.results import FindKeepOptimalResult, FindKOptimalResult, FindKSequenceResult
 from latentspark.sources.frame import WEIGHT, Frame, X, Y
@@ -189,6 +189,10 @@ def _sequence(frame: Frame, info: dict, k_max: int, method: str, args: dict | No
     if method == "split_nb":  # decided once, on the data as they are
         seen = gate(frame, info)
     f = fits.fitted(frame, info, k_max, keep)
+    by_blocks = method == "split_nb" and frame.d <= fits.MANY and (method_args(method, args)["force"] or not seen.fires)
+    if by_blocks and (found := sequence_of_blocks(frame, info, f, k_max, method_args(method, args)["n_splits"], seed, keep)):
+        first = next((i for i, p in enumerate(found) if not p < alpha), len(found)) if stop else len(found)
+        return [p if i <= first else math.nan for i, p in enumerate(found + [math.nan] * (k_max - len(found)))], seen.stable_rank
     base = preprocess(frame)
     rows = frame.with_rows(base.rows.persist())
     out = [math.nan] * k_max
@@ -203,6 +207,49 @@ def _sequence(frame: Frame, info: dict, k_max: int, method: str, args: dict | No
     return out, seen.stable_rank if seen else None
 
 
+#: A column of which components leave less than this share of its variance: blocks hold too few digits of the rest.
+EXPLAINED = 1e-9
+
+
+def sequence_of_blocks(frame: Frame, info: dict, f, k_max: int, n_splits: int, seed: int, keep: int | None) -> list[float] | None:
+    """p of the split test for each component on what the earlier ones leave, from one pass of blocks for all of them.
+
+    Taking components out is linear in x and y, so each set's block is mapped instead of its rows. (Rows of weight 0, which keep what components would take, are in
+    none of the sums with weights.) None: digits are lost somewhere, and rows must be deflated."""
+    top, d, n = min(k_max, f.k_used + 1), frame.d, info["n"]
+    if n < 6:
+        raise InvalidArgument(f"{n} rows are too few for k=1 in split halves")
+    halves = lambda h: resample.halves(frame.rows, seed + h, "split", n_splits, kernels.split_size(n, 1))
+    after = lambda sets, first: F.transform(sets, lambda s: s + F.lit(first))
+    labels = [after(halves(h), 2 * n_splits * (h - 1)) for h in range(1, top + 1)]
+    s = moments.standard(moments.total(frame, info["centre"]))
+    unit = np.diag(1 / s.x_scale)
+    maps = [(unit, np.zeros(d))]
+    for h in range(1, top):
+        r = kernels.score_weights(f.w[:, :h], f.p[:, :h])
+        maps.append(((np.eye(d) - f.p[:, :h] @ r.T) @ unit, (r @ f.q[:h]) @ unit))
+    move = np.concatenate([s.x_mean, s.y_mean])
+    flat = np.diag(s.gram) <= 0
+
+    def work(b: int, train: moments.Moments, test: moments.Moments) -> list[tuple]:
+        a, c = maps[b // n_splits]
+        inside, outside = (moments.mapped(m.shifted(move), a, c, s.y_scale[0]) for m in (train, test))
+        st = moments.standard(inside)
+        sw = inside.n[1] if inside.n[1] > 0 else 1.0
+        left = np.diag(inside.xxw) / sw - (inside.xw / sw) ** 2
+        fit = kernels.pls1(st.gram, st.cross[:, 0], 1, keep)
+        r = correlation(fit.coef / st.x_scale, st.x_mean, outside, 0, 1e-15, 0.0) if fit.k_used else 0.0
+        return [(b // n_splits, r, bool((left[~flat] < EXPLAINED).any()) or fits.near(fit, 1))]
+
+    blocks = pair_blocks(frame, F.concat(*labels), info["centre"], top * n_splits)
+    found = per_pair(blocks, frame, work, "h int, r double, near boolean")
+    z = fisher_z(F.col("r"))
+    rows = found.groupBy("h").agg(F.avg(z).alias("mean"), F.var_samp(z).alias("var"), F.max("near").alias("near")).orderBy("h").collect()  # a row a component
+    if any(r["near"] for r in rows):
+        return None
+    return [split_nb_p(r["mean"], r["var"], n_splits, n, 1, frame.weighted)[0] for r in rows]
+
+
 def deflated(frame: Frame, f, components: int) -> Frame:
     """Standardised rows without their first components; rows of weight 0 stay as they are."""
     if components == 0:
