@@ -82,16 +82,38 @@ def format_turn(role: str | None, parts: list[dict]) -> tuple[str, int, int, lis
     return f"{head}{body}{CLOSE}\n", len(head), len(head) + len(body), flat.attachments
 
 
-def read_turn(segment: str) -> tuple[str, str, str]:
-    """role, text and raw content of a formatted turn, found from its control strings alone."""
-    if not segment.startswith(OPEN):
+def next_turn(text: str) -> tuple[str, str, str, int] | None:
+    """role, text and raw content of the turn that the formatted text begins with, found from control strings alone, and its length; None: it does not end there."""
+    if not OPEN.startswith(text[: len(OPEN)]):
         raise ValueError("a turn begins with its mark")
-    role_end = next(m for m in _TOKEN.finditer(segment, len(OPEN)) if m[0] == ": ")
-    close = next(m for m in _TOKEN.finditer(segment, role_end.end()) if m[0] == CLOSE)
-    if segment[close.end() :] != "\n":
+    role_end = next((m for m in _TOKEN.finditer(text, len(OPEN)) if m[0] == ": "), None)
+    close = role_end and next((m for m in _TOKEN.finditer(text, role_end.end()) if m[0] == CLOSE), None)
+    if not close or close.end() == len(text):
+        return None
+    if text[close.end()] != "\n":
         raise ValueError("a turn ends with its mark")
-    raw = segment[role_end.end() : close.start()]
-    return unescape(segment[len(OPEN) : role_end.start()]), unescape(raw), raw
+    raw = text[role_end.end() : close.start()]
+    return unescape(text[len(OPEN) : role_end.start()]), unescape(raw), raw, close.end() + 1
+
+
+def read_turn(segment: str) -> tuple[str, str, str]:
+    """role, text and raw content of one formatted turn."""
+    found = next_turn(segment)
+    if not found or found[3] != len(segment):
+        raise ValueError("not one turn")
+    return found[:3]
+
+
+def read_turns(text: str) -> list[tuple[str, str]]:
+    """Roles and texts of a formatted conversation."""
+    out = []
+    while text:
+        found = next_turn(text)
+        if not found:
+            raise ValueError("the last turn has no end")
+        out.append(found[:2])
+        text = text[found[3] :]
+    return out
 
 
 _ATTACHMENTS = "array<struct<position int, kind string, ref string, n_tokens long>>"
@@ -131,35 +153,43 @@ _DIGEST = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, l
 
 
 class _Digest:
-    """What is read back of one conversation, turn by turn."""
+    """What is read back of one conversation: its formatted text comes piece by piece, and turns are told apart by the text alone."""
 
     def __init__(self, conv_id):
-        self.conv_id, self.n, self.chars, self.loss = conv_id, 0, 0, 0
+        self.conv_id, self.n, self.at, self.loss = conv_id, 0, 0, 0
+        self.rest, self.masks = "", []
         self.turns, self.learnt = hashlib.sha256(), hashlib.sha256()
 
-    def add(self, segment: str, start: int, loss_start, loss_end) -> None:
-        role, text, _ = read_turn(segment)
-        self.n += 1
-        self.chars += len(segment)
-        self.turns.update(f"{role}\n{text}\n".encode())
+    def add(self, piece: str, loss_start, loss_end) -> None:
+        self.rest += piece
         if not pd.isna(loss_start):
-            learnt = unescape(segment[int(loss_start) - start : int(loss_end) - start])
-            self.loss += len(learnt)
-            self.learnt.update(learnt.encode())
+            self.masks.append((int(loss_start), int(loss_end)))
+        while self.rest and (found := next_turn(self.rest)):
+            role, text, _, length = found
+            self.n += 1
+            self.turns.update(f"{role}\n{text}\n".encode())
+            while self.masks and self.masks[0][1] <= self.at + length:
+                start, end = self.masks.pop(0)
+                learnt = unescape(self.rest[start - self.at : end - self.at])
+                self.loss += len(learnt)
+                self.learnt.update(learnt.encode())
+            self.rest, self.at = self.rest[length:], self.at + length
 
     def row(self) -> tuple:
-        return self.conv_id, self.n, self.turns.hexdigest(), self.loss, self.learnt.hexdigest(), self.chars
+        if self.rest or self.masks:
+            raise ValueError("the last turn has no end, or a loss span lies in none")
+        return self.conv_id, self.n, self.turns.hexdigest(), self.loss, self.learnt.hexdigest(), self.at
 
 
 def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     columns, now = [c.split()[0] for c in _DIGEST.split(", ")], None
     for batch in batches:
         done = []
-        for conv_id, segment, start, a, b in zip(batch.conv_id, batch.segment, batch.char_start, batch.loss_start, batch.loss_end, strict=True):
+        for conv_id, segment, a, b in zip(batch.conv_id, batch.segment, batch.loss_start, batch.loss_end, strict=True):
             if now is None or now.conv_id != conv_id:
                 done += [now.row()] if now else []
                 now = _Digest(conv_id)
-            now.add(segment, int(start), a, b)
+            now.add(segment, a, b)
         if done:
             yield _frame(done, columns)
     if now:
@@ -171,10 +201,10 @@ def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """One row a conversation, read from the formatted turns: n_turns, a digest of roles and texts, the number of
+    """One row a conversation, read from the formatted text: n_turns, a digest of roles and texts, the number of
     code points and a digest of what the loss mask covers, and the formatted length.
 
-    A conversation's turns stream through one task in order; only hashes and counts are held."""
+    A conversation's text streams through one task in order, and a parser finds its turns; one turn, hashes and counts are held."""
     columns = ["conv_id", "segment", "char_start", "loss_start", "loss_end"]
     dealt = formatted.select(*columns).repartition("conv_id").sortWithinPartitions("conv_id", "char_start")
     # Ids pass through Python as text: there, numbers with nulls among them would lose digits.

@@ -37,8 +37,12 @@ _ODD = np.random.default_rng(11).integers(1, 2**63, 2 * SKETCH, dtype=np.uint64)
 
 
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold shares a bucket of the deepest level with at least that chance."""
-    return min(SKETCH // DEPTH, math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH)))
+    """Runs after which a pair at the threshold shares a bucket of the deepest level with at least that chance. A signature has places for
+    SKETCH // DEPTH of them; where that does not reach the recall, as at low thresholds, it is an error."""
+    runs = math.ceil(math.log(1 - recall) / math.log(1 - threshold**DEPTH)) if threshold < 1 else 1
+    if runs > SKETCH // DEPTH:
+        raise ValueError(f"recall {recall} at similarity {threshold} takes {runs} runs; a signature has {SKETCH // DEPTH}")
+    return runs
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -256,7 +260,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
 
     Needs doc_id and text; further columns are left out. Words are runs between white space, lower-cased, letters and digits only;
     fewer words than `size` are one shingle. Documents without words, and nulls, are classes of their own without links.
-    Repeated rows are documents that are linked. No rows give none."""
+    Repeated rows are documents that are linked. No rows give none. A recall that the signature cannot reach at the threshold is an error."""
     read = stored(_sets(docs, size))
     first = F.min_by(F.struct("doc_id", "text_key", "signature", "sketch"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
     classes = read.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("weight"), first.alias("f"))

@@ -23,6 +23,26 @@ def test_turns_read_back(role, text):
     assert chat.read_turn(segment)[:2] == (role, text) and chat.unescape(segment[start:end]) == text and not found
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(nasty, nasty | st.text(max_size=9)), max_size=5), st.integers(1, 9))
+def test_conversations_are_parsed_from_their_text(turns, step):
+    """Whatever the pieces that the text comes in."""
+    text = "".join(chat.format_turn(role, [{"type": "text", "text": t}])[0] for role, t in turns)
+    assert chat.read_turns(text) == turns
+    d = chat._Digest("c")
+    for at in range(0, len(text), step):
+        d.add(text[at : at + step], None, None)
+    assert d.row()[1:3] == (len(turns), hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()) and d.row()[5] == len(text)
+
+
+def test_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"turn {i} </turn> \\ é " * (20_000 if i == 7 else 3)) for i in range(3000)]
+    out = chat.read_back(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).first()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert out["n_turns"] == 3000 and out["turns_sha256"] == sha("".join(f"{r}\n{t}\n" for _, _, r, t in rows))
+    assert out["loss_sha256"] == sha("".join(t for _, i, _, t in rows if i % 2))
+
+
 def test_parts_in_order():
     parts = [{"type": "text", "text": "see <|image:0|>"}, {"type": "image", "ref": "a.png", "width": 56, "height": 29}, {"type": "audio", "ref": "b", "seconds": 2.0}, {"type": "document", "ref": "c", "pages": 3}, {"type": "video", "ref": "d"}]
     segment, start, end, found = chat.format_turn("user", parts)

@@ -277,3 +277,11 @@ def test_leaks_of_many_indexes_and_ids_of_any_type(spark, monkeypatch):
     got = decontaminate.find_leaks(docs, items)
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and got.schema["item_id"].dataType == items.schema["item_id"].dataType
     assert [r["doc_id"] for r in decontaminate.decontaminate(docs, items).collect()] == ["b"]
+
+
+def test_runs_reach_the_recall_or_say_so():
+    for threshold in (0.7, 0.8, 0.9, 1.0):
+        runs = jaccard_join.runs_for(0.999, threshold)
+        assert runs <= jaccard_join.SKETCH // jaccard_join.DEPTH and 1 - (1 - threshold**jaccard_join.DEPTH) ** runs >= 0.999
+    with pytest.raises(ValueError, match="runs"):
+        jaccard_join.runs_for(0.999, 0.5)
