@@ -33,7 +33,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: Fitted classifiers, tokenizers and packing have no SQL form; the tests hold the rows against a brute-force pipeline.
+#: Fitted classifiers, tokenizers and packing have no SQL form; the tests hold each stage's operator against a plain version, and the pipeline against its stages.
 ORACLE_SQL = None
 
 
