@@ -332,7 +332,7 @@ def pls1_confirmatory_test(frame: Frame, k: int = 1, *, method: str, args: dict
     else:
         run = {"raw_perm": _raw_perm, "split_nb": _split_nb, "split_exact": _split_exact}[method]
         p, statistic, rho = run(frame, info, k, a, seed, keep)
-    bundle = confirmatory_ci(frame, k, n_boot, m_rate, level, max_failure_rate, max_skip_rate, pre_standardized, seed) if ci else None
+    bundle = confirmatory_ci(frame, k, n_boot, m_rate, level, max_failure_rate, max_skip_rate, pre_standardized, seed, info) if ci else None
     return ConfirmatoryTestResult(p, statistic, method, k, a.get("n_perm"), a.get("n_splits"), seed, rho, rank, info["n_eff"], bundle)
 
 
@@ -456,8 +456,9 @@ def check_resamples(skipped: int, failed: int, n_boot: int, max_failure_rate: fl
         raise ResampleFailureRateExceeded(f"{skipped + failed} of {n_boot} resamples failed")
 
 
-def confirmatory_ci(frame: Frame, k: int, n_boot: int, m_rate: float, level: float, max_failure_rate: float, max_skip_rate: float, pre_standardized: bool, seed: int) -> ConfirmatoryCI:
-    info = moments.validate(frame, unique=True)
+def confirmatory_ci(frame: Frame, k: int, n_boot: int, m_rate: float, level: float, max_failure_rate: float, max_skip_rate: float, pre_standardized: bool, seed: int, info: dict | None = None) -> ConfirmatoryCI:
+    """info: what `validate` found with unique=True, where that has been done."""
+    info = info or moments.validate(frame, unique=True)
     n, m = info["n"], subsample_size(info["n"], k, n_boot, m_rate, level, max_failure_rate, max_skip_rate)
     model = fits.fitted(frame, info, k, None, pre_standardized)
     found = subsample_fits(frame, info, k, m, n_boot, pre_standardized, seed).persist()
@@ -497,7 +498,7 @@ NULL = "perm_id int, beta array<double>"
 
 
 def null_moments(frame: Frame, perms: Frame, info: dict, k: int, pre_standardized: bool) -> DataFrame:
-    """Coefficients of every response, from one block of moments; over rows where one of them loses digits by moments."""
+    """Coefficients of every response, from one block of moments; over rows where the observed one loses digits by moments."""
     d, centre = frame.d, centre_of(info, pre_standardized)
     m = moments.total(perms, np.concatenate([centre[:d], np.repeat(centre[d], perms.q)]))
     s = moments.standard(m, pre_standardized)
