@@ -6,7 +6,8 @@ ids one after the other and then that the word ends. Both sum to one over all wo
 is the log of a probability. Word and subword counts are gathered from all training documents; they also give the network
 its first output biases. The network knows all ids of the tokenizer. Its weights start from a fit on some
 documents; then each share of all training documents goes on from there, and the shares' weights are averaged,
-each by the squared gradients that it met in the share.
+each by the squared gradients that it met in the share. They are averaged once, so more documents make the average surer but take
+the network no further than one share's walk; word and subword counts go on growing with the documents.
 
 Texts are tokenised once, to a table of ids, with the counts of words. Words are told apart by 64-bit hashes of their
 ids. The most frequent words' counts (a bounded number) go to the executors; occurrences of the others meet their counts
@@ -34,8 +35,8 @@ TRAIN_DOCS, SHARE_DOCS = 1500, 4096
 HEAD, PLACES = 1 << 17, 1 << 20
 #: Words that a task counts and texts that it remembers before it passes them on.
 MEMO = 300_000
-#: Weights of a row while shares are averaged.
-CHUNK = 1 << 15
+#: Weights of a row while shares are averaged; shares that a task learns at most, once every core has one; tasks' sums that are added at a time.
+CHUNK, SHARES_A_TASK, FAN_IN = 1 << 15, 16, 64
 #: Share of the network in a word's chance, and the smoothing of the base score's counts.
 SHARE, ADD = 0.5, 0.1
 #: Subword ids that are scored at a time, as long as a text ends there.
@@ -213,51 +214,79 @@ def first_fit(sample: list[np.ndarray], id_counts: np.ndarray, first: np.ndarray
     return net.train(untrained(id_counts, first), flat, np.array([len(t) for t in sample], np.int64), int(known[-1]), batch=128)
 
 
+def added(sums: DataFrame) -> DataFrame:
+    """Rows (task, chunk, top, weight) added up by task and chunk. Rows of one pair follow each other, so a task holds one sum."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, None
+        row = lambda: pd.DataFrame([(*now, *[t.astype(np.float32).tobytes() for t in total])], columns=["task", "chunk", "top", "weight"])
+        for batch in batches:
+            for task, chunk, top, weight in zip(batch.task, batch.chunk, batch.top, batch.weight, strict=True):
+                both = np.stack([np.frombuffer(top, np.float32), np.frombuffer(weight, np.float32)]).astype(np.float64)
+                if (task, chunk) == now:
+                    total += both
+                else:
+                    if now:
+                        yield row()
+                    now, total = (task, chunk), both
+        if now:
+            yield row()
+
+    dealt = sums.repartition("task", "chunk").sortWithinPartitions("task", "chunk", F.xxhash64("top", "weight"))
+    return dealt.mapInPandas(add, "task int, chunk int, top binary, weight binary")
+
+
 def fit_shares(encoded: DataFrame, w: net.Weights, known: np.ndarray, documents: int) -> net.Weights:
     """The weights after all documents (order, ids: subword ids as 16-bit numbers) have been learnt from, `documents` in all.
 
-    Documents are dealt over shares by their order, a hash; tasks learn one share after the other, each from w."""
+    Documents are dealt over shares by their order, a hash. A task learns some shares one after the other, each from w, and passes on one sum;
+    sums are added FAN_IN at a time, level by level."""
     shares = -(-documents // SHARE_DOCS)
     if not shares:
         return w
     spark, vocab = encoded.sparkSession, len(known)
     shared = spark.sparkContext.broadcast((w, known))
+    tasks = min(shares, max(spark.sparkContext.defaultParallelism, -(-shares // SHARES_A_TASK)))
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, known = shared.value
-        before, now, state = net.flat(w), None, None
+        before, now, state, task = net.flat(w), None, None, None
+        top, weight = np.zeros(len(before)), np.zeros(len(before))
 
-        def done() -> pd.DataFrame:
+        def done() -> None:
+            nonlocal top, weight
             state.learn()
-            top, weight = (state.adam.v - before) * state.adam.squares, state.adam.squares
-            cut = range(0, len(before), CHUNK)
-            return pd.DataFrame({"chunk": range(len(cut)), "top": [top[i : i + CHUNK].tobytes() for i in cut], "weight": [weight[i : i + CHUNK].tobytes() for i in cut]})
+            top += (state.adam.v - before) * state.adam.squares
+            weight += state.adam.squares
 
         for batch in batches:
-            for share, ids in zip(batch.share, batch.ids, strict=True):
+            for task, share, ids in zip(batch.task, batch.share, batch.ids, strict=True):  # noqa: B007
                 if share != now:
                     if state:
-                        yield done()
+                        done()
                     now, state = share, net.Share(w, int(known[-1]), documents / shares)
                 state.add(known[np.frombuffer(ids, np.uint16)])
         if state:
-            yield done()
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, top, weight in zip(batch.chunk, batch.top, batch.weight, strict=True):
-                both = np.stack([np.frombuffer(top, np.float32), np.frombuffer(weight, np.float32)]).astype(np.float64)
-                total[chunk] = total[chunk] + both if chunk in total else both
-        if total:
-            moved = [np.where(t[1] > 0, t[0] / np.where(t[1] > 0, t[1], 1), 0).astype(np.float32).tobytes() for t in total.values()]
-            yield pd.DataFrame({"chunk": list(total), "moved": moved})
-
-    dealt = encoded.withColumn("share", F.pmod("order", F.lit(shares))).repartitionByRange(shares, "share").sortWithinPartitions("share", "order", "ids")
-    learnt = stored(dealt.select("share", "ids").mapInPandas(learn, "chunk int, top binary, weight binary"))
-    moved = learnt.repartition("chunk").sortWithinPartitions("chunk", F.xxhash64("top")).mapInPandas(add, "chunk int, moved binary").collect()  # as many numbers as the network has
-    drop(learnt)
-    return net.unflat(net.flat(w) + np.concatenate([np.frombuffer(bytes(r["moved"]), np.float32) for r in sorted(moved, key=lambda r: r["chunk"])]), w.begin, vocab)
+            done()
+            cut = range(0, len(before), CHUNK)
+            parts = lambda x: [x[i : i + CHUNK].astype(np.float32).tobytes() for i in cut]
+            yield pd.DataFrame({"task": task, "chunk": range(len(cut)), "top": parts(top), "weight": parts(weight)})
+
+    share = F.pmod("order", F.lit(shares))
+    dealt = encoded.withColumn("share", share).withColumn("task", F.pmod("share", F.lit(tasks)).cast("int"))
+    dealt = dealt.repartitionByRange(tasks, "task").sortWithinPartitions("task", "share", "order", "ids")
+    sums, left = stored(dealt.select("task", "share", "ids").mapInPandas(learn, "task int, chunk int, top binary, weight binary")), tasks
+    while left > 1:
+        left = -(-left // FAN_IN)
+        more = stored(added(sums.withColumn("task", F.pmod("task", F.lit(left)))))
+        drop(sums)
+        sums = more
+    flat = np.zeros_like(net.flat(w))
+    for r in sums.collect():  # as many numbers as the network has, twice
+        top, weight = np.frombuffer(bytes(r["top"]), np.float32), np.frombuffer(bytes(r["weight"]), np.float32)
+        flat[r["chunk"] * CHUNK : r["chunk"] * CHUNK + len(top)] = np.divide(top, weight, out=np.zeros_like(top), where=weight > 0)
+    drop(sums)
+    return net.unflat(net.flat(w) + flat, w.begin, vocab)
 
 
 _SCORED = "uid long, doc_id string, held_out boolean, n_tokens long, n_known long, base double, score double, hashes array<long>, chances array<float>"

@@ -200,6 +200,30 @@ def test_network_learns_from_all_documents_and_knows_all_ids(spark, monkeypatch)
         assert (first[k][taught] != last[k][taught]).any(1).all()
 
 
+def test_shares_in_tasks_and_levels_average_like_one_after_the_other(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "SHARE_DOCS", 5)
+    first = lm_score.begins(PATH, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(3)
+    docs = [(int(order), rng.integers(0, len(first) - 1, 40).astype(np.uint16)) for order in rng.integers(0, 1 << 40, 60)]
+    counts = np.ones(len(first))
+    w, known = lm_score.untrained(counts, first), lm_score.numbered(counts, first)
+    top, weight = np.zeros(len(net.flat(w))), np.zeros(len(net.flat(w)))
+    for share in range(12):
+        state = net.Share(w, int(known[-1]), 5)
+        mine = sorted((order, ids.tobytes()) for order, ids in docs if order % 12 == share)
+        for _, ids in mine:
+            state.add(known[np.frombuffer(ids, np.uint16)])
+        state.learn()
+        top += (state.adam.v - net.flat(w)) * state.adam.squares
+        weight += state.adam.squares
+    want = net.flat(w) + np.divide(top, weight, out=np.zeros_like(top), where=weight > 0)
+    encoded = spark.createDataFrame([(order, bytearray(ids.tobytes())) for order, ids in docs], "order long, ids binary").repartition(3)
+    for fan_in in (64, 2):
+        monkeypatch.setattr(lm_score, "FAN_IN", fan_in)
+        got = net.flat(lm_score.fit_shares(encoded, w, known, len(docs)))
+        assert np.abs(got - want).max() < 1e-6 < 4e-5 < np.abs(want - net.flat(w)).max()
+
+
 def test_most_frequent_fills_the_last_class(spark):
     from latentspark.llm.common import most_frequent
 
