@@ -246,13 +246,25 @@ def test_error_codes(spark):
 
 def test_streamed_moments_equal_batch(spark, tmp_path):
     x, y, _ = data(50, 3)
-    f = frame(spark, x, y, parts=4)
-    f.rows.write.parquet(str(tmp_path / "rows"))
-    stream = spark.readStream.schema(f.rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "rows"))
-    got = stream_totals(f.with_rows(stream), str(tmp_path / "blocks"), str(tmp_path / "check"))
-    want = moments.total(f, np.zeros(4))
-    np.testing.assert_allclose(got.xx1, want.xx1)
-    assert got.rows == 50
+    f = frame(spark, x + 1e9, y, parts=4)
+    folder = str(tmp_path / "rows")
+    f.rows.write.parquet(folder)
+
+    def streamed():
+        stream = spark.readStream.schema(f.rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        return stream_totals(f.with_rows(stream), str(tmp_path / "blocks"), str(tmp_path / "check"))
+
+    centre, got = streamed()
+    # Around a centre among the rows large means cost no digits.
+    near = np.column_stack([x + 1e9, y]) - centre
+    np.testing.assert_allclose(got.xx1, near[:, :3].T @ near[:, :3], rtol=1e-12)
+    assert got.rows == 50 and np.abs(centre[:3] - 1e9 - x.mean(0)).max() < 2
+    f.rows.limit(20).write.mode("append").parquet(folder)
+    again, more = streamed()
+    assert (again == centre).all() and more.rows == 70
+    # Nothing new: the sum is read, batches are not.
+    spark.createDataFrame([(0, [0.0])], "label int, block array<double>").write.mode("overwrite").parquet(str(tmp_path / "blocks" / "batches" / "batch=0"))
+    np.testing.assert_array_equal(streamed()[1].xx1, more.xx1)
 
 
 def test_responses_alone_are_standardised(spark):
