@@ -7,7 +7,7 @@ but the last return the columns of documents. `run` writes each result as Parque
 from pyspark.sql import DataFrame, SparkSession
 
 from latentspark.llm import decontaminate, jaccard_join, langid
-from latentspark.llm.common import stored, table
+from latentspark.llm.common import drop, stored, table
 from latentspark.llm.queries import pack_whole
 
 
@@ -33,12 +33,14 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("packing", packing)]
 
-#: Fitted classifiers, tokenizers and packing have no SQL form; the tests hold each stage's operator against a plain version, and the pipeline against its stages.
+#: Fitted classifiers, tokenizers and packing have no SQL form; tests hold the pipeline, and each stage's operator, against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
+        drop(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
