@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latentspark.llm.common import hot_join, maybe_in, ranked, stored
+from latentspark.llm.common import drop, hot_join, maybe_in, ranked, stored
 from latentspark.llm.components import components
 from latentspark.llm.shingles import WordHashes, shingles
 
@@ -143,10 +143,11 @@ def candidate_edges(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
         return F.array(*steps)
 
     open_ = reps.select("node", F.explode(F.array(*[path(r) for r in range(runs)])).alias("path"))
-    leaves = []
+    leaves, temporary = [], []
     for level in range(1, DEPTH + 1):
         here = open_.withColumn("bucket", F.element_at("path", level))
         sizes = stored(here.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+        temporary.append(sizes)
         small = here.join(sizes.filter(F.col("n") <= SMALL), "bucket").select("node", "bucket", F.lit(0).alias("i"), F.lit(0).alias("j"))
         leaves.append(small)
         # Copies of a large bucket's size meet shares of its sets, so that no task gets all of them.
@@ -154,6 +155,7 @@ def candidate_edges(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
         large = here.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(3)), F.lit(SALTS)).cast("int")).join(copies, ["bucket", "salt"])
         if level < DEPTH:
             open_ = stored(large.select("node", "path"))
+            temporary.append(open_)
         else:
             shares = F.ceil(F.col("n") / SHARE).cast("int")
             mine = large.select("node", "bucket", shares.alias("shares"), F.pmod(F.xxhash64("node", "bucket"), shares).cast("int").alias("mine"))
@@ -163,7 +165,9 @@ def candidate_edges(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
     members = leaves[0]
     for more in leaves[1:]:
         members = members.unionByName(more)
-    lit = stored(members).join(reps.select("node", "sketch"), "node")
+    members = stored(members)
+    drop(*temporary)
+    lit = members.join(reps.select("node", "sketch"), "node")
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -191,7 +195,9 @@ def candidate_edges(reps: DataFrame, runs: int, threshold: float) -> DataFrame:
             yield pd.DataFrame(edges, columns=["a", "b"])
 
     dealt = lit.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    return dealt.mapInPandas(link, "a long, b long")
+    edges = dealt.mapInPandas(link, "a long, b long")
+    edges.stored_at = members.stored_at
+    return edges
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -266,30 +272,42 @@ def near_duplicates(docs: DataFrame, size: int = 5, threshold: float = 0.8, reca
     classes = read.filter("set_key IS NOT NULL").groupBy("set_key").agg(F.count("*").alias("weight"), first.alias("f"))
     reps = stored(ranked(classes.select("set_key", "weight", "f.*"), [], ["set_key"], "node"))
 
-    near = components(candidate_edges(reps, runs_for(recall, threshold), threshold)).withColumnRenamed("label", "group")
+    edges = candidate_edges(reps, runs_for(recall, threshold), threshold)
+    near_label = components(edges)
+    drop(edges)
+    near = near_label.withColumnRenamed("label", "group")
     blocks = near.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     groups = stored(near.join(blocks, "group").join(reps.select("node", "doc_id", "text_key", "weight"), "node"))
+    drop(near_label)
     links = stored(verified(groups, docs, size, threshold))
+    drop(groups)
     total = links.groupBy("node").agg(F.sum("links").alias("links"))
     label = components(links.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     labelled = stored(reps.select("node", "set_key", "doc_id", "weight").join(label, "node", "left").join(total, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    drop(reps, links, label)
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("sets"))
     known = stored(hot_join(labelled, smallest, "label", "sets", labelled.count()).select("set_key", "class_id", "weight", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links")))
+    drop(labelled)
     # Null keys stay aside: they match nothing and would meet in one task.
     worded = read.filter("set_key IS NOT NULL").select("doc_id", "text_key", "set_key")
     with_words = hot_join(worded, known, "set_key", "weight", worded.count()).select("doc_id", "text_key", "class_id", "n_links")
     without = read.filter("set_key IS NULL").select("doc_id", "text_key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return with_words.unionByName(without)
+    out = with_words.unionByName(without)
+    out.tables = (read, known)
+    return out
 
 
 def deduplicate(docs: DataFrame, size: int = 5, threshold: float = 0.8) -> DataFrame:
     """docs, all columns, with one document of each class: the one with the smallest doc_id."""
-    found = stored(near_duplicates(docs, size, threshold).select("doc_id", "text_key", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
+    classes = near_duplicates(docs, size, threshold)
+    found = stored(classes.select("doc_id", "text_key", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept")))
+    drop(*classes.tables)
     gone = found.filter("NOT kept").select("doc_id", "text_key", F.lit(False).alias("again"))
     # Rows of one id and text are one document.
     again = found.filter("kept").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id", "text_key", F.lit(True).alias("again"))
     special = stored(gone.unionByName(again).distinct())
+    drop(found)
     packed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_key"))
     # Only rows that may go or come again are shuffled; the others stay where they are.
     asked, plain = maybe_in(packed, special, ["doc_id", "text_key"])
