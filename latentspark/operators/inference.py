@@ -169,10 +169,17 @@ def split_nb_gate(frame: Frame) -> SplitNbGateResult:
 
 def _raw_perm(frame: Frame, info: dict, k: int, a: dict, seed: int, keep: int | None) -> tuple:
     perms = resample.permuted(frame, seed, "perm", a["n_perm"])
-    d, q, n_folds = frame.d, perms.q, min(a["n_folds"], info["n"])
+    return raw_perm_p(*fold_sums(perms, info, k, a["n_folds"], seed, keep), a["n_perm"])
+
+
+def fold_sums(frame: Frame, info: dict, k: int, n_folds: int, seed: int, keep: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Residual and total sums of squares of each response over all held-out folds.
+
+    From moments; over rows for many features, and for the folds whose fits lose digits by moments."""
+    d, q, n_folds = frame.d, frame.q, min(n_folds, info["n"])
     sets = resample.folds(frame.rows, seed, info["n"], n_folds)
     if d > fits.MANY:
-        return raw_perm_p(*fold_rows(perms, sets, list(range(n_folds)), k, keep), a["n_perm"])
+        return fold_rows(frame, sets, list(range(n_folds)), k, keep)
     centre = np.concatenate([info["centre"][:d], np.repeat(info["centre"][d], q)])
 
     def work(b: int, train: Moments, val: Moments) -> list[tuple]:
@@ -183,15 +190,15 @@ def _raw_perm(frame: Frame, info: dict, k: int, a: dict, seed: int, keep: int |
             out.append((b, j, *residuals(v, s, f.coef, j), fits.near(f, k)))
         return out
 
-    sums = per_pair(pair_blocks(perms, sets, centre, n_folds), perms, work, "b int, response int, ss_res double, ss_tot double, near boolean").persist()
+    sums = per_pair(pair_blocks(frame, sets, centre, n_folds), frame, work, "b int, response int, ss_res double, ss_tot double, near boolean").persist()
     again = sorted(x["b"] for x in sums.filter("near").select("b").distinct().collect())  # folds
-    fine = sums.filter(~F.col("b").isin(again)).groupBy("response").agg(F.sum("ss_res").alias("res"), F.sum("ss_tot").alias("tot")).collect()  # n_perm + 1 rows
+    fine = sums.filter(~F.col("b").isin(again)).groupBy("response").agg(F.sum("ss_res").alias("res"), F.sum("ss_tot").alias("tot")).collect()  # a row a response
     sums.unpersist()
-    res, tot = fold_rows(perms, sets, again, k, keep) if again else (np.zeros(q), np.zeros(q))
+    res, tot = fold_rows(frame, sets, again, k, keep) if again else (np.zeros(q), np.zeros(q))
     for r in fine:
         res[r["response"]] += r["res"]
         tot[r["response"]] += r["tot"]
-    return raw_perm_p(res, tot, a["n_perm"])
+    return res, tot
 
 
 def fold_rows(frame: Frame, sets: Column, folds: list[int], k: int, keep: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -207,8 +214,12 @@ def fold_rows(frame: Frame, sets: Column, folds: list[int], k: int, keep: int |
     return res, tot
 
 
+def held_out_r2(res: np.ndarray, tot: np.ndarray) -> np.ndarray:
+    return np.where(tot > 0, 1 - res / np.where(tot > 0, tot, 1), 0.0)
+
+
 def raw_perm_p(res: np.ndarray, tot: np.ndarray, n_perm: int) -> tuple:
-    r2 = np.where(tot > 0, 1 - res / np.where(tot > 0, tot, 1), 0.0)
+    r2 = held_out_r2(res, tot)
     nan = int(np.isnan(r2[1:]).sum())
     if 2 * nan > n_perm:
         raise PermNullDegenerate(f"{nan} of {n_perm} permutations failed")
@@ -262,7 +273,7 @@ def score_rows(frame: Frame, pre_standardized: bool = False) -> tuple[float, flo
     """`score_test` without a matrix of features x features."""
     f = wide.standards(frame, None, [0], range(1), pre_standardized)[0]
     c, trace = wide.covariance(frame, f)
-    return matched(float(c @ c), trace, wide.square_norm(frame, f))
+    return matched(float(c[:, 0] @ c[:, 0]), trace, wide.square_norm(frame, f))
 
 
 def matched(t: float, s1: float, s2: float) -> tuple[float, float]:
@@ -273,35 +284,50 @@ def matched(t: float, s1: float, s2: float) -> tuple[float, float]:
 
 
 def _e(frame: Frame, info: dict, k: int, seed: int, keep: int | None) -> tuple:
-    n, d = info["n"], frame.d
+    log_e = float(log_e_values(frame, info, k, seed, keep)[0])
+    return e_p(log_e), log_e, None
+
+
+def e_p(log_e: float) -> float:
+    return min(1.0, math.exp(-max(log_e, 0.0)))
+
+
+def log_e_values(frame: Frame, info: dict, k: int, seed: int, keep: int | None) -> np.ndarray:
+    """log of the e value of each response, in one split for all."""
+    n, d, q = info["n"], frame.d, frame.q
     if n < k + 5:
         raise InvalidArgument(f"{n} rows are too few for k={k} in split halves")
     sets = resample.halves(frame.rows, seed, "split", 1, kernels.split_size(n, k))
+    # Of each response: variance of the fit in its own half, then sums over the other half.
+    alt, res, square, first = (np.zeros(q) for _ in range(4))
     by_moments = d <= fits.MANY
     if by_moments:
-        both = moments.collected(pair_blocks(frame, sets, info["centre"], 1), frame)
+        both = moments.collected(pair_blocks(frame, sets, np.concatenate([info["centre"][:d], np.repeat(info["centre"][d], q)]), 1), frame)
         train, test = both[0], both[1]
         s = moments.standard(train)
-        f = kernels.pls1(s.gram, s.cross[:, 0], k, keep)
-        by_moments = not fits.near(f, k)
+        found = [kernels.pls1(s.gram, s.cross[:, j], k, keep) for j in range(q)]
+        by_moments = not any(fits.near(f, k) for f in found)
     # The null model is the mean of root-weighted y in the test half.
     if by_moments:
-        alt = residuals(train, s, f.coef, 0)[0] / train.n[0]
         n_te, sw = test.n[0], test.n[1] if test.n[1] > 0 else 1.0
-        res, _ = residuals(test, s, f.coef, 0)
-        square = (n_te / sw) * (test.yyw[0] - 2 * s.y_mean[0] * test.yw[0] + sw * s.y_mean[0] ** 2) / s.y_scale[0] ** 2
-        first = math.sqrt(n_te / sw) * (test.yr[0] - s.y_mean[0] * test.n[2]) / s.y_scale[0]
+        for j, f in enumerate(found):
+            alt[j] = residuals(train, s, f.coef, j)[0] / train.n[0]
+            res[j], _ = residuals(test, s, f.coef, j)
+        square = (n_te / sw) * (test.yyw - 2 * s.y_mean * test.yw + sw * s.y_mean**2) / s.y_scale**2
+        first = math.sqrt(n_te / sw) * (test.yr - s.y_mean * test.n[2]) / s.y_scale
     else:
-        f = next(wide.fit_sets(frame, sets, [0], k, keep))[0]
-        one = wide.scorer(f, f.coef(0)[:, None], np.zeros(1, int), True)
-        seen = wide.score_sets(frame, sets, {0: one, 1: one})
-        alt = float(seen[0].residuals()[0][0]) / seen[0].n
-        n_te, unit = seen[1].n, seen[1].n / seen[1].sw if seen[1].sw > 0 else 0.0
-        res, square, first = float(seen[1].residuals()[0][0]), unit * float(seen[1].wyy[0]), math.sqrt(unit) * float(seen[1].ry[0])
+        for some in wide.fit_sets(frame, sets, [0], k, keep):
+            f = some[0]
+            columns = np.arange(len(f.responses))
+            one = wide.scorer(f, np.column_stack([f.coef(j) for j in columns]), columns, True)
+            seen = wide.score_sets(frame, sets, {0: one, 1: one})
+            own = slice(f.responses.start, f.responses.stop)
+            n_te, unit = seen[1].n, seen[1].n / seen[1].sw if seen[1].sw > 0 else 0.0
+            alt[own], res[own] = seen[0].residuals()[0] / seen[0].n, seen[1].residuals()[0]
+            square[own], first[own] = unit * seen[1].wyy, math.sqrt(unit) * seen[1].ry
     null_ss = square - first * first / n_te
-    ll = lambda var, ss: -0.5 * n_te * math.log(2 * math.pi * max(var, 1e-30)) - 0.5 * ss / max(var, 1e-30)
-    log_e = ll(alt, res) - ll(null_ss / n_te, null_ss)
-    return min(1.0, math.exp(-max(log_e, 0.0))), log_e, None
+    ll = lambda var, ss: -0.5 * n_te * np.log(2 * math.pi * np.maximum(var, 1e-30)) - 0.5 * ss / np.maximum(var, 1e-30)
+    return ll(alt, res) - ll(null_ss / n_te, null_ss)
 
 
 def pls1_confirmatory_test(frame: Frame, k: int = 1, *, method: str, args: dict | None = None, ci: bool = False, n_boot: int = 1000, m_rate: float = 0.7, level: float = 0.95, max_failure_rate: float = 0.01, max_skip_rate: float = 0.01, pre_standardized: bool = False, seed: int | None = None, keep: int | None = None, _gate: SplitNbGateResult | None = None) -> ConfirmatoryTestResult:

@@ -226,10 +226,10 @@ def fit_sets(frame: Frame, labels: Column | None, sets: list[int], k: int, keep:
 
 
 def covariance(frame: Frame, f: SetFit) -> tuple[np.ndarray, float]:
-    """X'y of the standardised data (the first response of the range), and the trace of X'X."""
+    """X'y of the standardised data, a column for each response of the range, and the trace of X'X."""
     v = set_sums(frame, None, {0: _state(f)}, _cross)[0] * f.unit
     d, q = frame.d, len(f.responses)
-    return v[: d * q].reshape(d, q)[:, 0], float(v[d * q])
+    return v[: d * q].reshape(d, q), float(v[d * q])
 
 
 # ---- scores in other rows

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from latentspark.functions import kernels
 from latentspark.operators import fit as fits
 from latentspark.operators import inference, moments, resample, selection
+from latentspark.operators.calibration import pls1_calibration
 from latentspark.operators.rotation_stability import pls1_rotation_stability
 from latentspark.sources.frame import Frame, feature_frame
 
@@ -295,7 +296,17 @@ def rotation_stability(spark, sf_dir):
     return pls1_rotation_stability(embeddings(spark, sf_dir), 2, seed=SEED).to_df(spark)
 
 
-_ALL = (standardize, column_moments, kish_n_eff, gram, cross_moment, lineitem_gram, pls1_k1_coef, pls1_k1_predict, pls1_k2_coef, pls1_weighted_k1_coef, spls1_topk, scores_k1, deflated_y, leverage_k1, score_stat, bic_by_k, stable_rank, rotate, fold_assign, split_assign, permute_rows, subsample_assign, split_r, mean_fisher_z, cv_r2, cv_mean_se, quantile7, sign_z, perm_cross, pls1_perm_null, confirmatory_ci, find_k_optimal, find_k_sequence, find_keep_optimal, rotation_stability, _test("raw_perm"), _test("split_nb"), _test("split_exact"), test_score, _test("e"), split_r_weighted, split_r_k2, split_r_sparse, ci_holdout)
+def _calibrate(*methods: str):
+    """p of 200 simulations without an effect."""
+
+    def run(spark, sf_dir):
+        return rounded(pls1_calibration(embeddings(spark, sf_dir), methods=methods, seed=SEED).p_values)
+
+    run.__name__ = "calibrate_" + "_".join(methods)
+    return run
+
+
+_ALL = (standardize, column_moments, kish_n_eff, gram, cross_moment, lineitem_gram, pls1_k1_coef, pls1_k1_predict, pls1_k2_coef, pls1_weighted_k1_coef, spls1_topk, scores_k1, deflated_y, leverage_k1, score_stat, bic_by_k, stable_rank, rotate, fold_assign, split_assign, permute_rows, subsample_assign, split_r, mean_fisher_z, cv_r2, cv_mean_se, quantile7, sign_z, perm_cross, pls1_perm_null, confirmatory_ci, find_k_optimal, find_k_sequence, find_keep_optimal, rotation_stability, _test("raw_perm"), _test("split_nb"), _test("split_exact"), test_score, _test("e"), split_r_weighted, split_r_k2, split_r_sparse, ci_holdout, _calibrate("score", "split_nb", "e"), _calibrate("raw_perm"), _calibrate("split_exact"))
 QUERIES = {f.__name__: f for f in _ALL}
 
 # ---- the same in SQL
@@ -382,6 +393,30 @@ t AS (SELECT f, b, row_id, sum(z * s) AS t FROM z JOIN s USING (f, feature) GROU
 q AS (SELECT f, b, sum(t * zy) / sum(t * t) AS q FROM t JOIN zy USING (f, b, row_id) WHERE inside GROUP BY f, b)"""
 _IN_FOLDS = f"{_ranked('fold', 1)}, cut AS (SELECT row_id, CAST({_FOLD} AS INTEGER) AS fold FROM drawn, (SELECT count(*) AS n FROM embeddings)), member AS (SELECT row_id, f, fold <> f AS inside FROM cut, (SELECT CAST(unnest(range(0, 5)) AS INTEGER) AS f))"
 _IN_SPLITS = f"{_ranked('split', 50)}, member AS (SELECT row_id, b AS f, rank < {_HALF} AS inside FROM drawn)"
+_FOLDED = f"""{_PERMUTED.replace('MEMBER', _IN_FOLDS)},
+v AS (SELECT f, b, sum((zy - t * q) ** 2) AS res, count(*) * var_pop(zy) AS tot FROM t JOIN zy USING (f, b, row_id) JOIN q USING (f, b) WHERE NOT inside GROUP BY f, b),
+r AS (SELECT b, 1 - sum(res) / sum(tot) AS r2 FROM v GROUP BY b)"""
+#: Mean Fisher z over 50 halves, for y (b = -1) and y in 1000 random orders.
+_EXACT = f"""WITH RECURSIVE {_BASE}, {_IN_SPLITS}, {_moved('perm', 1000)},
+moved AS (SELECT b, perm.row_id, base.y FROM perm JOIN base ON base.row_id = source UNION ALL SELECT -1, row_id, y FROM base),
+long AS (SELECT f, inside, base.row_id, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base JOIN member USING (row_id)),
+col AS (SELECT f, feature, avg(x) AS mean, stddev_pop(x) AS scale FROM long WHERE inside GROUP BY f, feature),
+z AS (SELECT f, inside, row_id, feature, (x - mean) / scale AS z FROM long JOIN col USING (f, feature)),
+zl AS (SELECT f, feature, list(z ORDER BY row_id) AS zs FROM z WHERE inside GROUP BY f, feature),
+yl AS (SELECT f, b, list(y ORDER BY row_id) AS ys FROM moved JOIN member USING (row_id) WHERE inside GROUP BY f, b),
+s AS (SELECT f, b, list(list_dot_product(zs, ys) ORDER BY feature) AS s FROM zl JOIN yl USING (f) GROUP BY f, b),
+xl AS (SELECT f, row_id, list(z ORDER BY feature) AS xs FROM z WHERE NOT inside GROUP BY f, row_id),
+t AS (SELECT f, b, row_id, list_dot_product(xs, s) AS t FROM xl JOIN s USING (f)),
+r AS (SELECT f, b, greatest(least(corr(t, y), 0.9999), -0.9999) AS r FROM t JOIN moved USING (b, row_id) GROUP BY f, b),
+m AS (SELECT b, avg(atanh(r)) AS z FROM r GROUP BY b)"""
+_MOVED, _SIMULATED = _moved("perm", 1000), _moved("simulated", 1200)
+
+
+def _pooled(ctes: str, table: str, method: str, statistic: str) -> str:
+    """p of simulations 0 to 199 among the 1000 that follow."""
+    over = f"(sum(CASE WHEN other.{statistic} >= own.{statistic} THEN 1 ELSE 0 END) + 1) / 1001"
+    return f"{ctes.replace(_MOVED, _SIMULATED)} SELECT '{method}' AS method, own.b AS simulation, {_R(over, 'pvalue')} FROM {table} own JOIN {table} other ON own.b BETWEEN 0 AND 199 AND other.b >= 200 GROUP BY own.b"
+
 
 def _components(z: str, k: int, by: str = "b") -> str:
     """z1 to z{k + 1}: rows (by, inside, row_id, feature, z, zy) of z without their first components, fitted to the rows inside; q1 to qk."""
@@ -517,24 +552,11 @@ r AS (SELECT b, keep, 1 - sum((zy - t * q) ** 2) / (count(*) * var_pop(zy)) AS r
 f AS (SELECT keep, avg(r2) AS r2, stddev_samp(r2) / sqrt(count(*)) AS se FROM r GROUP BY keep),
 best AS (SELECT r2 - se AS least FROM f ORDER BY r2 DESC, keep DESC LIMIT 1)
 SELECT CAST(keep AS INTEGER) AS keep, {_R('r2', 'r2')}, {_R('se', 'se')}, keep = (SELECT min(keep) FROM f, best WHERE r2 >= least) AS chosen FROM f""",
-    "test_raw_perm": f"""{_PERMUTED.replace('MEMBER', _IN_FOLDS)},
-v AS (SELECT f, b, sum((zy - t * q) ** 2) AS res, count(*) * var_pop(zy) AS tot FROM t JOIN zy USING (f, b, row_id) JOIN q USING (f, b) WHERE NOT inside GROUP BY f, b),
-r AS (SELECT b, 1 - sum(res) / sum(tot) AS r2 FROM v GROUP BY b),
+    "test_raw_perm": f"""{_FOLDED},
 o AS (SELECT r2 AS o FROM r WHERE b < 0)
 SELECT {_R('(sum(CASE WHEN r2 >= o THEN 1 ELSE 0 END) + 1) / 1001', 'pvalue')}, {_R('any_value(o)', 'statistic')}, 'raw_perm' AS method, CAST(1 AS BIGINT) AS k, CAST(1000 AS BIGINT) AS n_perm,
   CAST(NULL AS VARCHAR) AS n_splits, CAST({SEED} AS BIGINT) AS seed, CAST(NULL AS VARCHAR) AS rho_hat, CAST(NULL AS VARCHAR) AS stable_rank, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM r, o WHERE b >= 0""",
-    "test_split_exact": f"""WITH RECURSIVE {_BASE}, {_IN_SPLITS}, {_moved('perm', 1000)},
-moved AS (SELECT b, perm.row_id, base.y FROM perm JOIN base ON base.row_id = source UNION ALL SELECT -1, row_id, y FROM base),
-long AS (SELECT f, inside, base.row_id, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base JOIN member USING (row_id)),
-col AS (SELECT f, feature, avg(x) AS mean, stddev_pop(x) AS scale FROM long WHERE inside GROUP BY f, feature),
-z AS (SELECT f, inside, row_id, feature, (x - mean) / scale AS z FROM long JOIN col USING (f, feature)),
-zl AS (SELECT f, feature, list(z ORDER BY row_id) AS zs FROM z WHERE inside GROUP BY f, feature),
-yl AS (SELECT f, b, list(y ORDER BY row_id) AS ys FROM moved JOIN member USING (row_id) WHERE inside GROUP BY f, b),
-s AS (SELECT f, b, list(list_dot_product(zs, ys) ORDER BY feature) AS s FROM zl JOIN yl USING (f) GROUP BY f, b),
-xl AS (SELECT f, row_id, list(z ORDER BY feature) AS xs FROM z WHERE NOT inside GROUP BY f, row_id),
-t AS (SELECT f, b, row_id, list_dot_product(xs, s) AS t FROM xl JOIN s USING (f)),
-r AS (SELECT f, b, greatest(least(corr(t, y), 0.9999), -0.9999) AS r FROM t JOIN moved USING (b, row_id) GROUP BY f, b),
-m AS (SELECT b, avg(atanh(r)) AS z FROM r GROUP BY b),
+    "test_split_exact": f"""{_EXACT},
 o AS (SELECT z AS o FROM m WHERE b < 0)
 SELECT {_R('(sum(CASE WHEN z >= o THEN 1 ELSE 0 END) + 1) / 1001', 'pvalue')}, {_R('tanh(any_value(o))', 'statistic')}, 'split_exact' AS method, CAST(1 AS BIGINT) AS k, CAST(1000 AS BIGINT) AS n_perm,
   CAST(50 AS BIGINT) AS n_splits, CAST({SEED} AS BIGINT) AS seed, CAST(NULL AS VARCHAR) AS rho_hat, CAST(NULL AS VARCHAR) AS stable_rank, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM m, o WHERE b >= 0""",
@@ -545,4 +567,32 @@ te AS (SELECT count(*) AS n, sum((zy - t * q) ** 2) AS res, var_pop(zy) AS null_
 e AS (SELECT (-0.5 * n * ln(2 * pi() * var) - 0.5 * res / var) - (-0.5 * n * ln(2 * pi() * null_var) - 0.5 * n) AS e FROM te, alt)
 SELECT {_R('least(1, exp(-greatest(e, 0)))', 'pvalue')}, {_R('e', 'statistic')}, 'e' AS method, CAST(1 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS n_perm, CAST(NULL AS VARCHAR) AS n_splits, CAST({SEED} AS BIGINT) AS seed,
   CAST(NULL AS VARCHAR) AS rho_hat, CAST(NULL AS VARCHAR) AS stable_rank, CAST({_N} AS DOUBLE) AS n_eff, CAST(NULL AS VARCHAR) AS ci FROM e""",
+    "calibrate_raw_perm": _pooled(_FOLDED, "r", "raw_perm", "r2"),
+    "calibrate_split_exact": _pooled(_EXACT, "m", "split_exact", "z"),
+    "calibrate_score_split_nb_e": f"""WITH RECURSIVE {_PLAIN}, {_IN_SPLITS}, {_moved('simulated', 200)},
+sim AS (SELECT b, perm.row_id, base.y FROM perm JOIN base ON base.row_id = source),
+g AS (SELECT sum(a.z * b.z) AS g, a.feature AS i, b.feature AS j FROM z a JOIN z b USING (row_id) GROUP BY 2, 3),
+l AS (SELECT sum(CASE WHEN i = j THEN g ELSE 0 END) AS s1, sum(g * g) AS s2 FROM g),
+zf AS (SELECT feature, list(z ORDER BY row_id) AS zs FROM z GROUP BY feature),
+yf AS (SELECT b, list((y - my) / sy ORDER BY row_id) AS ys FROM sim, resp GROUP BY b),
+o AS (SELECT b, any_value(s1 * s1 / s2 / 2) AS a, sum(list_dot_product(zs, ys) ** 2) * any_value(s1 / s2 / 2) AS x FROM zf, yf, l GROUP BY b),
+series AS (SELECT b, a, x, 0 AS i, 1 / a AS term, 1 / a AS total FROM o UNION ALL SELECT b, a, x, i + 1, term * x / (a + i + 1), total + term * x / (a + i + 1) FROM series WHERE term > total * 1e-18),
+score AS (SELECT b, greatest(0, 1 - exp(a * ln(x) - x - lgamma(a)) * max(total)) AS p FROM series GROUP BY b, a, x),
+hl AS (SELECT f, inside, base.row_id, unnest(range(0, 64)) AS feature, CAST(unnest(embedding) AS DOUBLE) AS x FROM base JOIN member USING (row_id)),
+hc AS (SELECT f, feature, avg(x) AS mean, stddev_pop(x) AS scale FROM hl WHERE inside GROUP BY f, feature),
+hz AS (SELECT f, inside, row_id, feature, (x - mean) / scale AS z FROM hl JOIN hc USING (f, feature)),
+zl AS (SELECT f, feature, list(z ORDER BY row_id) AS zs FROM hz WHERE inside GROUP BY f, feature),
+yl AS (SELECT f, b, list(y ORDER BY row_id) AS ys FROM sim JOIN member USING (row_id) WHERE inside GROUP BY f, b),
+s AS (SELECT f, b, list(list_dot_product(zs, ys) ORDER BY feature) AS s FROM zl JOIN yl USING (f) GROUP BY f, b),
+xl AS (SELECT f, inside, row_id, list(z ORDER BY feature) AS xs FROM hz GROUP BY f, inside, row_id),
+t AS (SELECT f, b, inside, row_id, list_dot_product(xs, s) AS t FROM xl JOIN s USING (f) WHERE f = 0 OR NOT inside),
+r AS (SELECT f, b, greatest(least(corr(t, y), 0.9999), -0.9999) AS r FROM t JOIN sim USING (b, row_id) WHERE NOT inside GROUP BY f, b),
+nb AS (SELECT b, {_P49} AS p FROM (SELECT b, avg(atanh(r)) / greatest(stddev_samp(atanh(r)) * sqrt(1 / 50 + ({_N} - {_HALF}) / {_HALF}), 1e-15) AS t FROM r GROUP BY b)),
+hy AS (SELECT b, avg(y) AS my, stddev_pop(y) AS sy FROM sim JOIN member USING (row_id) WHERE f = 0 AND inside GROUP BY b),
+e0 AS (SELECT b, inside, t, (y - my) / sy AS zy FROM t JOIN sim USING (b, row_id) JOIN hy USING (b) WHERE f = 0),
+q AS (SELECT b, sum(t * zy) / sum(t * t) AS q FROM e0 WHERE inside GROUP BY b),
+alt AS (SELECT b, sum((zy - t * q) ** 2) / count(*) AS var FROM e0 JOIN q USING (b) WHERE inside GROUP BY b),
+te AS (SELECT b, count(*) AS n, sum((zy - t * q) ** 2) AS res, var_pop(zy) AS null_var FROM e0 JOIN q USING (b) WHERE NOT inside GROUP BY b),
+e AS (SELECT b, (-0.5 * n * ln(2 * pi() * var) - 0.5 * res / var) - (-0.5 * n * ln(2 * pi() * null_var) - 0.5 * n) AS e FROM te JOIN alt USING (b))
+SELECT 'score' AS method, CAST(b AS INTEGER) AS simulation, {_R('p', 'pvalue')} FROM score UNION ALL SELECT 'split_nb', CAST(b AS INTEGER), {_R('p', 'pvalue')} FROM nb UNION ALL SELECT 'e', CAST(b AS INTEGER), {_R('least(1, exp(-greatest(e, 0)))', 'pvalue')} FROM e""",
 }

@@ -211,3 +211,16 @@ class RotationStabilityResult(Record):
     degenerate_baseline: bool
     n_boot_finite: int
     n_eff: float
+
+
+@dataclass
+class CalibrationResult(Record):
+    """rates: method, n_sim, rejected, rate, bound (alpha and three standard deviations of the rate), calibrated; p_values: method, simulation, pvalue."""
+
+    alpha: float
+    n_sim: int
+    k: int
+    seed: int
+    n_eff: float
+    rates: DataFrame = field(repr=False, default=None)
+    p_values: DataFrame = field(repr=False, default=None)
