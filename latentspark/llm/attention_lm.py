@@ -22,6 +22,10 @@ BATCH = 512
 HELD = 1 << 19
 #: Windows that the first fit sees in all, where there are fewer.
 ENOUGH = 60_000
+#: As much as a core's cache holds: windows of a part, rows of a softmax, weights that take a step at a time.
+PART, ROWS, STEP = 64, 2048, 1 << 14
+#: Parts whose positions are scored at a time.
+AT_ONCE = 64
 _CAUSAL = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 
@@ -110,155 +114,223 @@ def windows(tokens: np.ndarray, lengths: np.ndarray, start: int, part: int = 1 <
         yield Windows(np.where(inside, before, start), tokens[at], scored)
 
 
-def _attend(w: Weights, inputs: np.ndarray, fast: np.ndarray | None = None):
-    """fast: `_table(w)`, which saves the projections of single tokens."""
-    if fast is None:
-        x = w["embed"][inputs] + w["place"]
-        q, k, v = np.split(x @ w["qkv"], 3, axis=-1)
-    else:
-        x, q, k, v = np.split(fast[inputs] + np.concatenate([w["place"], w["place"] @ w["qkv"]], -1), 4, axis=-1)
-    s = np.matmul(q * np.float32(1 / np.sqrt(DIM)), k.transpose(0, 2, 1))
-    np.minimum(s, 40, out=s)
-    np.exp(s, out=s)
-    s *= _CAUSAL
-    total = s @ np.ones((WINDOW, 1), s.dtype)
-    y = np.matmul(s, v)
-    y /= total
-    h = x + y
-    r = np.maximum(h @ w["up"] + w["up_b"], 0)
-    return x, q, k, v, s, total, h, r, h + r @ w["down"]
-
-
-def _table(w: dict) -> np.ndarray:
-    """Of each token: its embedding, query, key and value."""
-    return np.concatenate([w["embed"], w["embed"] @ w["qkv"]], -1)
-
-
-def _chosen(z: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """The log softmax of each row of z at one column."""
+class _Part:
+    """The network on some windows: what the head takes, for the scored positions, and the gradient back from there. Positions before `lo`
+    only serve as context in all of these windows, so nothing but keys and values is made of them."""
+
+    def __init__(self, w: Weights, inputs: np.ndarray, scored: np.ndarray, lo: int):
+        self.n, self.lo, scale = len(inputs), lo, np.float32(1 / np.sqrt(DIM))
+        self.x = w["embed"][inputs]
+        self.x += w["place"]
+        self.qkv = (_rows(self.x) @ w["qkv"]).reshape(self.n, WINDOW, 3 * DIM)
+        self.q, self.k, self.v = self.qkv[:, lo:, :DIM], self.qkv[..., DIM : 2 * DIM], self.qkv[..., 2 * DIM :]
+        self.q *= scale
+        a = np.matmul(self.q, self.k.transpose(0, 2, 1))
+        np.minimum(a, 40, out=a)
+        np.exp(a, out=a)
+        a *= _CAUSAL[lo:]
+        a /= a @ np.ones((WINDOW, 1), a.dtype)
+        self.a, self.y = a, np.matmul(a, self.v)
+        self.at = np.flatnonzero(scored[:, lo:])
+        self.h = _rows(self.y + self.x[:, lo:])[self.at]
+        self.r = self.h @ w["up"]
+        self.r += w["up_b"]
+        np.maximum(self.r, 0, out=self.r)
+        self.z = self.r @ w["down"]
+        self.z += self.h
+
+    def back(self, w: Weights, dz: np.ndarray, g: dict) -> np.ndarray:
+        """Adds to the gradients in g but the tokens' own; gives that of each input. dz: of the loss, by z."""
+        lo, one = self.lo, np.ones(len(dz), dz.dtype)
+        g["down"] += self.r.T @ dz
+        du = dz @ w["down"].T
+        du *= self.r > 0
+        g["up"] += self.h.T @ du
+        g["up_b"] += one @ du
+        dh = du @ w["up"].T
+        dh += dz
+        dy = np.zeros_like(self.y)
+        _rows(dy)[self.at] = dh
+        # A softmax's gradient needs the mean of da under a, which is dy times y.
+        ds = np.matmul(dy, self.v.transpose(0, 2, 1))
+        ds -= (dy * self.y) @ np.ones((DIM, 1), dy.dtype)
+        ds *= self.a
+        d = np.empty_like(self.qkv)
+        d[:, :lo, :DIM] = 0
+        # self.q is scaled, this part of d is by the queries as they were before.
+        np.multiply(np.matmul(ds, self.k), np.float32(1 / np.sqrt(DIM)), out=d[:, lo:, :DIM])
+        d[..., DIM : 2 * DIM] = np.matmul(ds.transpose(0, 2, 1), self.q)
+        d[..., 2 * DIM :] = np.matmul(self.a.transpose(0, 2, 1), dy)
+        g["qkv"] += _rows(self.x).T @ _rows(d)
+        dx = (_rows(d) @ w["qkv"].T).reshape(self.x.shape)
+        dx[:, lo:] += dy
+        g["place"] += dx.sum(0)
+        return dx
+
+
+def _rows(m: np.ndarray) -> np.ndarray:
+    return m.reshape(-1, m.shape[-1])
+
+
+def _whole_first(scored: np.ndarray) -> tuple[np.ndarray, int]:
+    """The order of windows that puts those first which score some of their first OVERLAP positions, and how many these are."""
+    whole = scored[:, :OVERLAP].any(1)
+    return np.argsort(~whole, kind="stable"), int(whole.sum())
+
+
+def _parts(n: int, whole: int) -> Iterator[tuple[slice, int]]:
+    """Slices of up to PART of n windows, and from which position on each slice scores: the first `whole` windows from their first one."""
+    for lo, begin, end in ((0, 0, whole), (OVERLAP, whole, n)):
+        for at in range(begin, end, PART):
+            yield slice(at, min(at + PART, end)), lo
+
+
+def _exp(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """z becomes its own exponential, bounded on both sides. Where in it the targets are, and their exponents."""
     np.minimum(z, 80, out=z)
-    own = z[np.arange(len(z)), target]
+    np.maximum(z, -80, out=z)
+    at = np.arange(0, z.size, z.shape[1]) + target
+    own = z.ravel()[at]
     np.exp(z, out=z)
-    return own - np.log((z @ np.ones(z.shape[1], z.dtype)) + np.float32(1e-30))
+    return at, own
+
+
+def _sums(z: np.ndarray) -> np.ndarray:
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
 def log_chances(w: Weights, tokens: np.ndarray, lengths: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Natural log chances of every token of texts that follow each other in `tokens`: that a token of its kind comes, and that it is
     this one of its kind. Their sum is the token's chance."""
-    kind, rest, fast = [np.empty(0, np.float32)], [np.empty(0, np.float32)], _table(w)
-    for win in windows(tokens, lengths, start):
-        for at in range(0, len(win.inputs), BATCH):
-            part = slice(at, at + BATCH)
-            scored = win.scored[part]
-            found = _head(w, _attend(w, win.inputs[part], fast)[-1][scored], win.targets[part][scored])
-            kind.append(found[0])
-            rest.append(found[1])
+    kind, rest = [np.empty(0, np.float32)], [np.empty(0, np.float32)]
+    for win in windows(tokens, lengths, start, part=PART * AT_ONCE):
+        order, whole = _whole_first(win.scored)
+        inputs, scored, targets = win.inputs[order], win.scored[order], win.targets[order]
+        place = (np.cumsum(win.scored) - 1).reshape(win.scored.shape)[order]
+        out = np.empty((2, int(win.scored.sum())), np.float32)
+        z = np.concatenate([_Part(w, inputs[s], scored[s], lo).z for s, lo in _parts(len(order), whole)])
+        out[:, place[scored]] = _head(w, z, targets[scored])
+        kind.append(out[0])
+        rest.append(out[1])
     return np.concatenate(kind), np.concatenate(rest)
 
 
-def _head(w: Weights, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _head(w: Weights, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Two rows: of each target the log chances of its kind, and of it among its kind."""
     e, of, first = clusters(w)
     order = np.argsort(of[target], kind="stable")
     h, target = h[order], target[order]
-    cluster = of[target]
-    z = h @ w["cluster"] + w["cluster_b"]
-    z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(z)), cluster]
-    np.exp(z, out=z)
-    kinds = np.zeros((z.shape[1], 2), z.dtype)
+    cluster, begins = of[target], target < w.begin
+    kinds = np.zeros((len(e) - 1, 2), h.dtype)
     kinds[:first, 0] = kinds[first:, 1] = 1
-    mass = z @ kinds + np.float32(1e-30)
-    mine = mass[np.arange(len(z)), (target >= w.begin).astype(np.int64)]
-    kind, rest = np.log(mine / mass.sum(1)), own - np.log(mine)
+    found = np.empty((2, len(h)), h.dtype)
+    for at in range(0, len(h), ROWS):
+        rows = slice(at, at + ROWS)
+        z = h[rows] @ w["cluster"]
+        z += w["cluster_b"]
+        _, own = _exp(z, cluster[rows])
+        mass = z @ kinds
+        mine = np.log(np.where(begins[rows], mass[:, 0], mass[:, 1]))
+        found[0, rows], found[1, rows] = mine - np.log(mass[:, 0] + mass[:, 1]), own - mine
     ends = np.searchsorted(cluster, np.arange(len(e)))
     for c in np.flatnonzero(np.diff(ends)):
-        rows, inner = slice(ends[c], ends[c + 1]), slice(e[c], e[c + 1])
-        rest[rows] += _chosen(h[rows] @ w["inner"][inner].T + w["inner_b"][inner], target[rows] - e[c])
-    out = np.empty_like(kind), np.empty_like(rest)
-    out[0][order], out[1][order] = kind, rest
+        inner = slice(e[c], e[c + 1])
+        for at in range(ends[c], ends[c + 1], ROWS):
+            rows = slice(at, min(at + ROWS, ends[c + 1]))
+            z = h[rows] @ w["inner"][inner].T
+            z += w["inner_b"][inner]
+            _, own = _exp(z, target[rows] - e[c])
+            found[1, rows] += own - np.log(_sums(z))
+    out = np.empty_like(found)
+    out[:, order] = found
     return out
 
 
-def _log_softmax_gradient(z: np.ndarray, target: np.ndarray, n: int) -> float:
+def _softmax_gradient(z: np.ndarray, target: np.ndarray, n: int) -> float:
     """Sum of the negative log softmax at the targets; z becomes the gradient of that sum over n."""
-    at = np.arange(len(z))
-    z -= z.max(-1, keepdims=True)
-    own = z[at, target]
-    np.exp(z, out=z)
-    total = z.sum(-1, keepdims=True)
-    z /= total * n
-    z[at, target] -= 1 / n
+    at, own = _exp(z, target)
+    total = _sums(z)
+    z *= (1 / (total * n))[:, None]
+    z.ravel()[at] -= z.dtype.type(1 / n)
     return float(np.log(total).sum() - own.sum())
 
 
-def gradient(w: Weights, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray) -> tuple[dict, float]:
-    """Gradient of the mean negative log chance, and that mean."""
-    x, q, k, v, a, total, h, r, z = _attend(w, inputs)
-    a /= total
-    g = {}
+def gradient(w: Weights, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray, g: dict | None = None) -> tuple[dict, float]:
+    """Gradient of the mean negative log chance, and that mean. g: arrays to put the gradient in."""
+    g = {k: np.empty_like(v) for k, v in w.items()} if g is None else g
+    for v in g.values():
+        v.fill(0)
+    order, whole = _whole_first(scored)
+    inputs, targets, scored = inputs[order], targets[order], scored[order]
+    parts = [(s, _Part(w, inputs[s], scored[s], lo)) for s, lo in _parts(len(order), whole)]
     e, of, _ = clusters(w)
-    at = np.flatnonzero(scored)
-    at = at[np.argsort(of[targets.ravel()[at]], kind="stable")]
-    two = lambda m: m.reshape(-1, m.shape[-1])
-    hz, t = two(z)[at], targets.ravel()[at]
+    t = targets[scored]
+    by = np.argsort(of[t], kind="stable")
+    t = t[by]
     n, cluster = max(1, len(t)), of[t]
-    d = hz @ w["cluster"] + w["cluster_b"]
-    loss = _log_softmax_gradient(d, cluster, n)
-    g["cluster"], g["cluster_b"] = hz.T @ d, d.sum(0)
-    dh = d @ w["cluster"].T
-    g["inner"], g["inner_b"] = np.zeros_like(w["inner"]), np.zeros_like(w["inner_b"])
+    hz = np.concatenate([p.z for _, p in parts])[by]
+    dh, loss = np.empty_like(hz), 0.0
+    for at in range(0, len(t), ROWS):
+        rows = slice(at, at + ROWS)
+        d = hz[rows] @ w["cluster"]
+        d += w["cluster_b"]
+        loss += _softmax_gradient(d, cluster[rows], n)
+        g["cluster"] += hz[rows].T @ d
+        g["cluster_b"] += np.ones(len(d), d.dtype) @ d
+        np.matmul(d, w["cluster"].T, out=dh[rows])
     ends = np.searchsorted(cluster, np.arange(len(e)))
     for c in np.flatnonzero(np.diff(ends)):
         rows, own = slice(ends[c], ends[c + 1]), slice(e[c], e[c + 1])
-        d = hz[rows] @ w["inner"][own].T + w["inner_b"][own]
-        loss += _log_softmax_gradient(d, t[rows] - e[c], n)
-        g["inner"][own], g["inner_b"][own] = d.T @ hz[rows], d.sum(0)
-        dh[rows] += d @ w["inner"][own]
-    dz = np.zeros_like(z)
-    two(dz)[at] = dh
-    g["down"] = two(r).T @ two(dz)
-    du = (dz @ w["down"].T) * (r > 0)
-    g["up"], g["up_b"] = two(h).T @ two(du), two(du).sum(0)
-    dy = dz + du @ w["up"].T
-    dv = np.matmul(a.transpose(0, 2, 1), dy)
-    da = np.matmul(dy, v.transpose(0, 2, 1))
-    ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(1 / np.sqrt(DIM))
-    dqkv = np.concatenate([np.matmul(ds, k), np.matmul(ds.transpose(0, 2, 1), q), dv], -1)
-    g["qkv"] = two(x).T @ two(dqkv)
-    dx = dy + dqkv @ w["qkv"].T
-    g["place"] = dx.sum(0)
-    g["embed"] = np.zeros_like(w["embed"])
-    order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
-    met = inputs.ravel()[order]
+        inner, h = w["inner"][own], hz[rows]
+        d = h @ inner.T
+        d += w["inner_b"][own]
+        loss += _softmax_gradient(d, t[rows] - e[c], n)
+        np.matmul(d.T, h, out=g["inner"][own])
+        np.matmul(np.ones(len(d), d.dtype), d, out=g["inner_b"][own])
+        dh[rows] += d @ inner
+    dz, at = np.empty_like(dh), 0
+    dz[by] = dh
+    dx = np.empty((*inputs.shape, DIM), hz.dtype)
+    for s, p in parts:
+        dx[s] = p.back(w, dz[at : at + len(p.z)], g)
+        at += len(p.z)
+    met = inputs.ravel()
+    order = np.argsort(met.astype(np.uint16), kind="stable")
+    met = met[order]
     first = np.flatnonzero(np.append(True, met[1:] != met[:-1]))
-    g["embed"][met[first]] = np.add.reduceat(two(dx)[order], first)
+    g["embed"][met[first]] = np.add.reduceat(_rows(dx)[order], first)
     return g, float(loss) / n
 
 
 class Adam:
-    """Weights that learn; `squares` sums the squared gradients that each weight met."""
+    """Weights that learn; `squares` sums the squared gradients that each weight met. Weights take a step some at a time, so what one needs
+    stays in the cache."""
 
     def __init__(self, w: Weights):
         self.v, self.i = flat(w), 0
         self.w = unflat(self.v, w.begin, len(w["embed"]))
-        self.m, self.s, self.squares, self.work = (np.zeros_like(self.v) for _ in range(4))
+        self.m, self.s, self.squares, self.grad = (np.zeros_like(self.v) for _ in range(4))
+        self.g = unflat(self.grad, w.begin, len(w["embed"]))
 
     def step(self, win: Windows, rate: float) -> None:
-        g, _ = gradient(self.w, win.inputs, win.targets, win.scored)
-        grad, self.i = flat({k: g[k] for k in self.w}), self.i + 1
-        now, work = np.float32(rate * min(1, self.i / 50)), self.work
-        self.m *= np.float32(0.9)
-        self.m += np.multiply(grad, np.float32(0.1), out=work)
-        grad *= grad
-        self.squares += grad
-        self.s *= np.float32(0.99)
-        self.s += np.multiply(grad, np.float32(0.01), out=work)
-        np.multiply(self.s, np.float32(1 / (1 - 0.99**self.i)), out=work)
-        np.sqrt(work, out=work)
-        work += np.float32(1e-8)
-        np.divide(self.m, work, out=work)
-        work *= now / np.float32(1 - 0.9**self.i)
-        self.v -= work
+        gradient(self.w, win.inputs, win.targets, win.scored, self.g)
+        self.i += 1
+        # m and s hold ten and a hundred times the running means; the factors of both, and of what they lack at the start, are one number each.
+        bias = np.sqrt(0.01 / (1 - 0.99**self.i))
+        now, tiny = np.float32(rate * min(1, self.i / 50) * 0.1 / (1 - 0.9**self.i) / bias), np.float32(1e-8 / bias)
+        for at in range(0, len(self.v), STEP):
+            grad, m, s, squares, v = (x[at : at + STEP] for x in (self.grad, self.m, self.s, self.squares, self.v))
+            m *= np.float32(0.9)
+            m += grad
+            grad *= grad
+            squares += grad
+            s *= np.float32(0.99)
+            s += grad
+            np.sqrt(s, out=grad)
+            grad += tiny
+            np.divide(m, grad, out=grad)
+            grad *= now
+            v -= grad
 
 
 def train(w: Weights, tokens: np.ndarray, lengths: np.ndarray, start: int, rate: float = 0.01, seed: int = 0, batch: int = 64) -> Weights:

@@ -236,6 +236,13 @@ def added(sums: DataFrame) -> DataFrame:
     return dealt.mapInPandas(add, "task int, chunk int, top binary, weight binary")
 
 
+def by_task(encoded: DataFrame, shares: int, tasks: int) -> DataFrame:
+    """encoded with its share and the task that learns it: each task's documents are one partition, share by share. Ranges, whose bounds are
+    drawn from a sample, would give some partition two tasks' documents and another one none."""
+    dealt = encoded.withColumn("share", F.pmod("order", F.lit(shares))).withColumn("task", F.pmod("share", F.lit(tasks)).cast("int"))
+    return dealt.repartitionById(tasks, "task").sortWithinPartitions("task", "share", "order", "ids")
+
+
 def fit_shares(encoded: DataFrame, w: net.Weights, known: np.ndarray, documents: int) -> net.Weights:
     """The weights after all documents (order, ids: subword ids as 16-bit numbers) have been learnt from, `documents` in all.
 
@@ -272,10 +279,7 @@ def fit_shares(encoded: DataFrame, w: net.Weights, known: np.ndarray, documents:
             parts = lambda x: [x[i : i + CHUNK].astype(np.float32).tobytes() for i in cut]
             yield pd.DataFrame({"task": task, "chunk": range(len(cut)), "top": parts(top), "weight": parts(weight)})
 
-    share = F.pmod("order", F.lit(shares))
-    dealt = encoded.withColumn("share", share).withColumn("task", F.pmod("share", F.lit(tasks)).cast("int"))
-    dealt = dealt.repartitionByRange(tasks, "task").sortWithinPartitions("task", "share", "order", "ids")
-    sums, left = stored(dealt.select("task", "share", "ids").mapInPandas(learn, "task int, chunk int, top binary, weight binary")), tasks
+    sums, left = stored(by_task(encoded, shares, tasks).select("task", "share", "ids").mapInPandas(learn, "task int, chunk int, top binary, weight binary")), tasks
     while left > 1:
         left = -(-left // FAN_IN)
         more = stored(added(sums.withColumn("task", F.pmod("task", F.lit(left)))))

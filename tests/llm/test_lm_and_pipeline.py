@@ -97,6 +97,42 @@ def test_later_windows_see_eight_tokens_and_the_network_has_a_feed_forward_layer
     assert {"up", "up_b", "down"} <= set(net.initial(np.ones(VOCAB), BEGIN))
 
 
+def test_context_alone_costs_keys_and_values_only_and_parts_change_nothing(monkeypatch):
+    w, rng = trained()
+    tokens, lengths = rng.integers(0, VOCAB, 700), np.array([300, 1, 33, 366])
+    win = next(net.windows(tokens, lengths, 5))
+    order, whole = net._whole_first(win.scored)
+    assert whole == 4 and win.scored[order[:whole], 0].all() and not win.scored[order[whole:], :8].any()
+    rows = order[whole:]
+    part = net._Part(w, win.inputs[rows], win.scored[rows], 8)
+    assert part.a.shape == (len(rows), 24, 32) and len(part.r) == len(part.z) == win.scored[rows].sum()
+    want, loss = net.gradient(w, win.inputs, win.targets, win.scored)
+    chances = np.array(net.log_chances(w, tokens, lengths, 5))
+    assert loss == pytest.approx(-chances.sum() / len(tokens), rel=1e-5)
+    monkeypatch.setattr(net, "PART", 3)
+    monkeypatch.setattr(net, "ROWS", 7)
+    monkeypatch.setattr(net, "AT_ONCE", 2)
+    got, _ = net.gradient(w, win.inputs, win.targets, win.scored)
+    for k in w:
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-3, atol=1e-6)
+    np.testing.assert_allclose(np.array(net.log_chances(w, tokens, lengths, 5)), chances, atol=1e-5)
+
+
+@pytest.mark.parametrize("step", [1 << 14, 1000])
+def test_steps_are_those_of_adam(monkeypatch, step):
+    monkeypatch.setattr(net, "STEP", step)
+    w, rng = trained()
+    adam, v, m, s, squares = net.Adam(w), net.flat(w).astype(float), 0, 0, 0
+    for i in range(1, 61):
+        win = next(net.windows(rng.integers(0, VOCAB, 200), np.array([200]), 0))
+        grad = net.flat(net.gradient(adam.w, win.inputs, win.targets, win.scored)[0]).astype(float)
+        adam.step(win, 0.01)
+        m, s, squares = 0.9 * m + 0.1 * grad, 0.99 * s + 0.01 * grad**2, squares + grad**2
+        v -= 0.01 * min(1, i / 50) * m / (1 - 0.9**i) / (np.sqrt(s / (1 - 0.99**i)) + 1e-8)
+    np.testing.assert_allclose(adam.squares, squares, rtol=1e-3, atol=1e-9)
+    assert np.quantile(np.abs(adam.v - v), 0.999) < 1e-4 < np.abs(v - net.flat(w)).mean()
+
+
 def test_subwords_in_one_call():
     enc = lm_score._encoding(PATH, public_tokenizers.PATTERN)
     words = ["the", "don't", "\xa0", "a\xa0", "中文", "!!", "　x", "é", "\xa0", "\xa0"]
@@ -224,6 +260,14 @@ def test_shares_in_tasks_and_levels_average_like_one_after_the_other(spark, monk
         assert np.abs(got - want).max() < 1e-6 < 4e-5 < np.abs(want - net.flat(w)).max()
 
 
+def test_each_task_learns_from_a_partition_of_its_own(spark):
+    docs = spark.range(3000).select(F.xxhash64("id").alias("order"), F.lit(b"xx").alias("ids"))
+    for shares, tasks in ((57, 6), (7, 7), (90, 40)):
+        dealt = lm_score.by_task(docs, shares, tasks).select(F.spark_partition_id().alias("at"), "task", "share")
+        got = {(r["at"], r["task"]) for r in dealt.distinct().collect()}
+        assert len(got) == len({at for at, _ in got}) == len({task for _, task in got}) == tasks and dealt.count() == 3000
+
+
 def test_most_frequent_fills_the_last_class(spark):
     from latentspark.llm.common import most_frequent
 
