@@ -21,9 +21,10 @@ SMALL = 64
 
 
 def _salted_votes(members: DataFrame, votes: DataFrame, keys: list[str]) -> DataFrame:
-    """members joined with the one row of their group; a large group's members meet copies of that row in SALTS tasks."""
+    """members joined with the one row of their group; a large group's members meet copies of that row in SALTS tasks. Never by a broadcast: Spark takes the
+    copies for as large as one of them, and their number grows with the groups."""
     copies = votes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return members.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"]).drop("_salt")
+    return members.withColumn("_salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int")).join(copies.hint("merge"), [*keys, "_salt"]).drop("_salt")
 
 
 def quotas(asked: list[tuple[int, int, int, int]], room: dict[int, int]) -> dict[tuple[int, int], int]:
@@ -111,7 +112,7 @@ def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:
     kept = stored(placed.filter(F.col("slot") < quota).select("uid", "shard", "slot"))
     load = {r["shard"]: r["count"] for r in kept.groupBy("shard").count().collect()}
 
-    rest = ranked(rows.select("uid").join(kept.select("uid"), "uid", "left_anti"), [], ["uid"], "place")
+    rest = ranked(rows.select("uid").join(kept.select("uid").hint("merge"), "uid", "left_anti"), [], ["uid"], "place")
     # Gaps of the shards, one after the other, are filled in the order of the rest's ranks.
     gaps, at = [], 0
     for s in range(shards):

@@ -165,3 +165,15 @@ def test_shards_of_repeated_and_no_rows(spark):
     got = sharding.shard_documents(docs, shards=4).collect()
     assert len(got) == 9 and sorted(Counter(r["shard"] for r in got).values()) == [2, 2, 2, 3]
     assert sharding.shard_documents(docs.limit(0), shards=4).count() == 0
+
+
+def test_tables_that_grow_with_the_groups_are_not_broadcast(spark):
+    """Spark takes the copies of a group's row for one, so far more than its threshold would reach the driver."""
+    members = spark.range(400).select(F.col("id").alias("uid"), F.concat(F.lit("g"), F.col("id") % 50).alias("group"))
+    joined = sharding._salted_votes(members, members.groupBy("group").agg(F.max("uid").alias("n")), ["group"])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan(joined) and "SortMergeJoin" in plan(joined)
+    assert sorted((r["uid"], r["group"], r["n"]) for r in joined.collect()) == [(i, f"g{i % 50}", 350 + i % 50) for i in range(400)]
+    docs = spark.createDataFrame([(i, f"text {i // 2}") for i in range(40)], "doc_id long, text string")
+    whole = plan(sharding.shard_documents(docs, shards=4))
+    assert not [line for line in whole.splitlines() if "BroadcastHashJoin" in line and "LeftAnti" in line] and "LeftAnti" in whole
