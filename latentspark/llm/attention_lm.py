@@ -119,12 +119,11 @@ class _Part:
     only serve as context in all of these windows, so nothing but keys and values is made of them."""
 
     def __init__(self, w: Weights, inputs: np.ndarray, scored: np.ndarray, lo: int):
-        self.n, self.lo, scale = len(inputs), lo, np.float32(1 / np.sqrt(DIM))
-        self.x = w["embed"][inputs]
+        self.n, self.lo, scale = len(inputs), lo, np.repeat(np.float32([1 / np.sqrt(DIM), 1]), (DIM, 2 * DIM))
+        self.x = w["embed"].take(inputs, axis=0)
         self.x += w["place"]
-        self.qkv = (_rows(self.x) @ w["qkv"]).reshape(self.n, WINDOW, 3 * DIM)
+        self.qkv = (_rows(self.x) @ (w["qkv"] * scale)).reshape(self.n, WINDOW, 3 * DIM)
         self.q, self.k, self.v = self.qkv[:, lo:, :DIM], self.qkv[..., DIM : 2 * DIM], self.qkv[..., 2 * DIM :]
-        self.q *= scale
         a = np.matmul(self.q, self.k.transpose(0, 2, 1))
         np.minimum(a, 40, out=a)
         np.exp(a, out=a)
@@ -132,7 +131,7 @@ class _Part:
         a /= a @ np.ones((WINDOW, 1), a.dtype)
         self.a, self.y = a, np.matmul(a, self.v)
         self.at = np.flatnonzero(scored[:, lo:])
-        self.h = _rows(self.y + self.x[:, lo:])[self.at]
+        self.h = _rows(self.y + self.x[:, lo:]).take(self.at, axis=0)
         self.r = self.h @ w["up"]
         self.r += w["up_b"]
         np.maximum(self.r, 0, out=self.r)
@@ -187,8 +186,7 @@ def _parts(n: int, whole: int) -> Iterator[tuple[slice, int]]:
 
 def _exp(z: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """z becomes its own exponential, bounded on both sides. Where in it the targets are, and their exponents."""
-    np.minimum(z, 80, out=z)
-    np.maximum(z, -80, out=z)
+    np.clip(z, -80, 80, out=z)
     at = np.arange(0, z.size, z.shape[1]) + target
     own = z.ravel()[at]
     np.exp(z, out=z)
@@ -256,10 +254,8 @@ def _softmax_gradient(z: np.ndarray, target: np.ndarray, n: int) -> float:
 
 
 def gradient(w: Weights, inputs: np.ndarray, targets: np.ndarray, scored: np.ndarray, g: dict | None = None) -> tuple[dict, float]:
-    """Gradient of the mean negative log chance, and that mean. g: arrays to put the gradient in."""
-    g = {k: np.empty_like(v) for k, v in w.items()} if g is None else g
-    for v in g.values():
-        v.fill(0)
+    """Gradient of the mean negative log chance, and that mean. g: zeros to put the gradient in."""
+    g = {k: np.zeros_like(v) for k, v in w.items()} if g is None else g
     order, whole = _whole_first(scored)
     inputs, targets, scored = inputs[order], targets[order], scored[order]
     parts = [(s, _Part(w, inputs[s], scored[s], lo)) for s, lo in _parts(len(order), whole)]
@@ -304,13 +300,14 @@ def gradient(w: Weights, inputs: np.ndarray, targets: np.ndarray, scored: np.nda
 
 class Adam:
     """Weights that learn; `squares` sums the squared gradients that each weight met. Weights take a step some at a time, so what one needs
-    stays in the cache."""
+    stays in the cache; those that have met no gradient yet stay where they are. `grad` is zero between steps."""
 
     def __init__(self, w: Weights):
         self.v, self.i = flat(w), 0
         self.w = unflat(self.v, w.begin, len(w["embed"]))
         self.m, self.s, self.squares, self.grad = (np.zeros_like(self.v) for _ in range(4))
         self.g = unflat(self.grad, w.begin, len(w["embed"]))
+        self.met = [False] * -(-len(self.v) // STEP)
 
     def step(self, win: Windows, rate: float) -> None:
         gradient(self.w, win.inputs, win.targets, win.scored, self.g)
@@ -318,7 +315,11 @@ class Adam:
         # m and s hold ten and a hundred times the running means; the factors of both, and of what they lack at the start, are one number each.
         bias = np.sqrt(0.01 / (1 - 0.99**self.i))
         now, tiny = np.float32(rate * min(1, self.i / 50) * 0.1 / (1 - 0.9**self.i) / bias), np.float32(1e-8 / bias)
-        for at in range(0, len(self.v), STEP):
+        for part, at in enumerate(range(0, len(self.v), STEP)):
+            # Ids that don't occur have no gradient, and nothing in m and s.
+            self.met[part] = self.met[part] or bool(self.grad[at : at + STEP].any())
+            if not self.met[part]:
+                continue
             grad, m, s, squares, v = (x[at : at + STEP] for x in (self.grad, self.m, self.s, self.squares, self.v))
             m *= np.float32(0.9)
             m += grad
@@ -331,6 +332,7 @@ class Adam:
             np.divide(m, grad, out=grad)
             grad *= now
             v -= grad
+            grad.fill(0)
 
 
 def train(w: Weights, tokens: np.ndarray, lengths: np.ndarray, start: int, rate: float = 0.01, seed: int = 0, batch: int = 64) -> Weights:

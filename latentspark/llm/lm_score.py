@@ -243,6 +243,11 @@ def by_task(encoded: DataFrame, shares: int, tasks: int) -> DataFrame:
     return dealt.repartitionById(tasks, "task").sortWithinPartitions("task", "share", "order", "ids")
 
 
+def learning_tasks(shares: int, cores: int) -> int:
+    """As few tasks of SHARES_A_TASK shares at most as keep all cores busy to the end."""
+    return min(shares, cores * -(-shares // (cores * SHARES_A_TASK)))
+
+
 def fit_shares(encoded: DataFrame, w: net.Weights, known: np.ndarray, documents: int) -> net.Weights:
     """The weights after all documents (order, ids: subword ids as 16-bit numbers) have been learnt from, `documents` in all.
 
@@ -253,7 +258,7 @@ def fit_shares(encoded: DataFrame, w: net.Weights, known: np.ndarray, documents:
         return w
     spark, vocab = encoded.sparkSession, len(known)
     shared = spark.sparkContext.broadcast((w, known))
-    tasks = min(shares, max(spark.sparkContext.defaultParallelism, -(-shares // SHARES_A_TASK)))
+    tasks = learning_tasks(shares, spark.sparkContext.defaultParallelism)
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w, known = shared.value

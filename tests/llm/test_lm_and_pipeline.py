@@ -133,6 +133,19 @@ def test_steps_are_those_of_adam(monkeypatch, step):
     assert np.quantile(np.abs(adam.v - v), 0.999) < 1e-4 < np.abs(v - net.flat(w)).mean()
 
 
+def test_ids_that_do_not_occur_take_no_step():
+    rng = np.random.default_rng(2)
+    w = net.initial(np.ones(20_000), 12_000)
+    adam, before = net.Adam(w), net.flat(w).copy()
+    for _ in range(3):
+        tokens = rng.integers(0, 300, 2000)
+        adam.step(next(net.windows(tokens, np.array([2000]), 0)), 0.01)
+    assert not adam.grad.any() and 0 < sum(adam.met) < len(adam.met) / 2
+    for part, met in enumerate(adam.met):
+        at = slice(part * net.STEP, (part + 1) * net.STEP)
+        assert met == (adam.v[at] != before[at]).any() == adam.squares[at].any()
+
+
 def test_subwords_in_one_call():
     enc = lm_score._encoding(PATH, public_tokenizers.PATTERN)
     words = ["the", "don't", "\xa0", "a\xa0", "中文", "!!", "　x", "é", "\xa0", "\xa0"]
@@ -268,6 +281,15 @@ def test_each_task_learns_from_a_partition_of_its_own(spark):
         assert len(got) == len({at for at, _ in got}) == len({task for _, task in got}) == tasks and dealt.count() == 3000
 
 
+def test_learning_keeps_all_cores_busy():
+    """A task more than the cores would take as long alone as all others together."""
+    for cores in (1, 6, 40):
+        for shares in (1, 5, 97, 113, 677, 5000):
+            tasks = lm_score.learning_tasks(shares, cores)
+            most = -(-shares // tasks)
+            assert most <= lm_score.SHARES_A_TASK and -(-tasks // cores) * most <= -(-shares // cores) + -(-tasks // cores)
+
+
 def test_most_frequent_fills_the_last_class(spark):
     from latentspark.llm.common import most_frequent
 
